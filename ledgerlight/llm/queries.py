@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import token_digests
 from .chat_format import format_and_read_back
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .secret_scan import scan_history
 from .sharding import shard_documents
+from .toxicity import toxicity
+
+#: Where public tokenizers' files are; the operator takes any path.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -37,7 +50,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_and_read_back(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_sharding, op6_mixing, op8_exact_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format)}
 
 _NORM = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
