@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -28,10 +29,12 @@ SAMPLE = 20_000
 #: Characters in an n-gram.
 SIZES = (4, 5, 6)
 DIMS = 1 << 20
-FEATURES = 2_000
+FEATURES = 1_000
 #: Standard errors by which an n-gram's shares must differ between the labels.
 CERTAIN = 4.0
 SMOOTHING = 1.0
+#: Ridge penalty of the logistic regression.
+PENALTY = 0.0005
 #: Code points that are hashed at a time, so that long texts take bounded memory.
 WINDOW = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +72,21 @@ def _present(text: str) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
 
 
+def _places(index: np.ndarray) -> np.ndarray:
+    """By feature number, its place in the model, or one place after the last for the others."""
+    place = np.full(DIMS, len(index), np.int32)
+    place[index] = np.arange(len(index))
+    return place
+
+
+def _seen(text: str, place: np.ndarray, n: int) -> np.ndarray:
+    """Which of the model's n features occur in the text."""
+    here = np.zeros(n + 1, bool)
+    for features in ngram_features(text):
+        here[place[features]] = True
+    return here[:-1]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) rows to (feature, clean, toxic) counts of documents, summed over the task's rows."""
     counts = np.zeros((2, DIMS), np.int32)
@@ -109,15 +127,16 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     index, ratios = np.array([f for f, _ in best]), np.array([r for _, r in best])
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _places(index)
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = np.where(np.isin(index, _present(text.as_py() or "")), ratios, 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([float(label)]), pa.array([row.tolist()], pa.list_(pa.float64()))], ["label", "values"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = np.array([_seen(t.as_py() or "", place, len(index)) for t in part.column(1)]) * ratios
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(index))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], ["label", "values"])
 
     vectors = rows.mapInArrow(values, "label double, values array<double>").select("label", array_to_vector("values").alias("features"))
-    vectors = vectors.persist()
-    fitted = LogisticRegression(maxIter=60, regParam=0.02, elasticNetParam=0.0, standardization=False).fit(vectors)
-    vectors.unpersist()
+    fitted = LogisticRegression(maxIter=50, regParam=PENALTY, elasticNetParam=0.0, standardization=False).fit(vectors)
     weights = np.asarray(fitted.coefficients.toArray()) * ratios
     return Model(tuple(int(i) for i in index), tuple(float(w) for w in weights), float(fitted.intercept))
 
@@ -128,15 +147,9 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("double")
     def scores(texts):
-        place = np.full(DIMS, len(index), np.int32)
-        place[index] = np.arange(len(index))
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            here = np.zeros(len(index) + 1, bool)
-            for features in ngram_features(text or ""):
-                here[place[features]] = True
-            out[i] = 1 / (1 + np.exp(-np.clip(model.base + weights[here[:-1]].sum(), -500, 500)))
-        return texts.map(lambda _: 0.0).astype(float) * 0 + out
+        place = _places(index)
+        sums = np.array([weights[_seen(text, place, len(index))].sum() for text in texts])
+        return pd.Series(1 / (1 + np.exp(-np.clip(model.base + sums, -500, 500))))
 
     scored = documents.withColumn("score", scores(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
