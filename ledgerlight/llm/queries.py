@@ -13,11 +13,16 @@ from .mixing import mix
 from .secret_scan import scan_history
 from .sharding import shard_documents
 from .toxicity import toxicity
+from .warc import archive_and_read_back
 
 #: Where public tokenizers' files are; the operator takes any path.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read_back(table(spark, sf_dir, "pages")).drop("key")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan_history(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     counts = [F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(("assign", "access", "hex"))]
@@ -50,7 +55,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_and_read_back(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format)}
 
 _NORM = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
