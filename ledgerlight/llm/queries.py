@@ -10,6 +10,7 @@ from .chat_format import format_and_read_back
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .ngram_join import near_copies
 from .secret_scan import scan_history
 from .sharding import shard_documents
 from .toxicity import toxicity
@@ -29,6 +30,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -55,7 +60,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_and_read_back(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_ngram_join, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format)}
 
 _NORM = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
