@@ -9,6 +9,7 @@ from .bpe import token_digests
 from .chat_format import format_and_read_back
 from .common import table
 from .exact_dedup import exact_groups
+from .grid_join import link_vectors
 from .mixing import mix
 from .ngram_join import near_copies
 from .secret_scan import scan_history
@@ -60,7 +61,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_and_read_back(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_ngram_join, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_ngram_join, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format, op10_embedding_dedup)}
 
 _NORM = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
