@@ -1 +1 @@
-"""Part of the ledgerlight analytics engine."""
+"""Streams beyond the batch engine: alerts as cases arrive."""
