@@ -148,8 +148,8 @@ _ATTRIBUTED = f"""{CASES}, fields as (
   union all select 'completion_rows', 'execution_delay', 'not_applicable'),
 attributed as (
   select field, t.rule_id, any_value(weight) as weight,
-         count(*) filter (status = 'skipped' and why = reason and case field when 'payment_rows' then payment_count = 0 else completion_date is null end) as skips,
-         count(*) filter (status = 'fired') as fired, count(*) filter (status = 'passed') as passed
+         count(*) filter (t.status = 'skipped' and why = reason and case field when 'payment_rows' then payment_count = 0 else completion_date is null end) as skips,
+         count(*) filter (t.status = 'fired') as fired, count(*) filter (t.status = 'passed') as passed
   from trace t join fields f using (rule_id) join cases c using (work_id) group by field, t.rule_id)"""
 
 ORACLE_SQL = {
