@@ -9,9 +9,9 @@ so that two similar sets share a rare token or two frequent tokens of one group.
 number of groups grows with the set, which keeps entries in proportion to it; sets whose
 sizes can be similar share a grouping.
 
-Texts with one set form a class and go through the join once. Short lists give all pairs
-that sizes allow. In a long list, the first members are compared with all others; what
-components still divide is compared after that, so large groups of near copies are not
+Texts with one set form a class and go through the join once. A list's first members are
+compared with all others that sizes allow; of the other pairs, those that components
+still divide are compared after that, so large groups of near copies are not
 expanded into all their pairs, and no link between components is missed. Candidates are
 pruned by how many prefix tokens they share, and the rest verified on their whole sets.
 """
@@ -35,13 +35,15 @@ UNDER, OVER = 4, 3
 #: This orders and groups tokens only: which pairs are found does not depend on it.
 FREQUENT, MOST_FREQUENT = 32, 1 << 17
 #: Members of an index list up to which all its pairs are candidates.
-SHORT = 10
+SHORT = 40
 #: Members of a longer list that are compared with all others at first.
 LEADERS = 3
 #: Tokens whose counts a task holds before it merges them; classes whose entries a task remembers to have sent.
 HELD = 1 << 21
 #: Sets below this size use frequent tokens like rare ones; those that can be similar to such sets do both.
 TINY = 8
+#: Classes in a part of a group of candidates; bits of the filter before the join with texts (8 bits to a byte).
+PART, FILTER_BITS = 400, 1 << 23
 _U = np.uint64
 
 
@@ -57,14 +59,14 @@ def _class_of(tokens: np.ndarray) -> int:
 
 
 def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, count) of tokens that occur in three texts or more of a run of the task's texts; equal sets count once."""
+    """(token, count) of tokens that occur in two texts or more of a run of the task's texts; equal sets count once."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
 
     def counted() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= 3
+        often = counts >= 2
         return pa.RecordBatch.from_arrays([pa.array(tokens[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "count"])
 
     for batch in batches:
@@ -122,23 +124,26 @@ def entries(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, in
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, n) rows sorted by entry and class to pairs (a, b, shared) and, with b null, the members of long lists.
+    """(entry, class, n) rows sorted by entry and class to pairs (a, b, shared, lead) and, with b null, the members of long lists.
 
-    Lists pass by as a stream; shared counts a pair's short lists. Long lists give their leaders' pairs, with shared 0.
+    Lists pass by as a stream; shared counts a pair's short lists. Long lists give their leaders' pairs only, with shared 0.
+    lead is above 0 if one of the pair leads some list.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("entry", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("lead", pa.int64()), ("entry", pa.int64()), ("n", pa.int64())])
     pairs: list[np.ndarray] = []
     size = 0
 
     def merged() -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(pairs)
+        if not len(rows):
+            return
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         at = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-        sums = np.add.reduceat(rows[:, 2], at)
+        sums = np.add.reduceat(rows[:, 2:], at)
         for k in range(0, len(at), 50_000):
             part = rows[at[k : k + 50_000]]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(sums[k : k + 50_000]), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(sums[k : k + 50_000, 0]), pa.array(sums[k : k + 50_000, 1]), none, none], schema=schema)
 
     for entry, name, n in _runs(batches):
         begins = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
@@ -147,14 +152,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(entry)) - np.repeat(begins, count)
         for step in range(1, SHORT):
             i = np.flatnonzero((width[:-step] <= SHORT) & (place[:-step] + step < width[:-step])) if len(entry) > step else np.empty(0, np.int64)
-            pairs.append(_pairs(name, n, i, i + step, 1))
+            pairs.append(_pairs(name, n, i, i + step, 1, place[i] == 0))
         long = np.flatnonzero(width > SHORT)
         if len(long):
             for leader in range(LEADERS):
                 other = long[place[long] > leader]
-                pairs.append(_pairs(name, n, other - place[other] + leader, other, 0))
+                pairs.append(_pairs(name, n, other - place[other] + leader, other, 0, np.ones(len(other), bool)))
             none = pa.nulls(len(long), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(name[long]), none, none, pa.array(entry[long]), pa.array(n[long])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(name[long]), none, none, none, pa.array(entry[long]), pa.array(n[long])], schema=schema)
         size += sum(map(len, pairs[-SHORT - LEADERS :]))
         if size > 1 << 20:
             yield from merged()
@@ -163,11 +168,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged()
 
 
-def _pairs(name: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, shared: int) -> np.ndarray:
-    """Rows (smaller class, larger class, shared) of those pairs that sizes allow."""
+def _pairs(name: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, shared: int, lead: np.ndarray) -> np.ndarray:
+    """Rows (smaller class, larger class, shared, lead) of those pairs that sizes allow."""
     fits = (UNDER * np.minimum(n[i], n[j]) >= OVER * np.maximum(n[i], n[j])) & (name[i] != name[j])
     a, b = name[i[fits]], name[j[fits]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), shared, np.int64)], axis=1)
+    return np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), shared, np.int64), lead[fits].astype(np.int64)], axis=1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -194,26 +199,31 @@ def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, n, root) rows sorted by entry and class to the pairs of each list whose roots differ."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(entry, class, n, root) rows sorted by entry and class to (a, b, shared): pairs of a list whose roots differ, and how
+    many lists of the task they share."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
     pairs: list[np.ndarray] = []
     size = 0
+
+    def merged() -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(counts)], schema=schema)
+
     for entry, name, n, root in _runs(batches):
         begins = np.append(np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])), len(entry))
         for lo, hi in zip(begins[:-1], begins[1:], strict=True):
             roots, counts = np.unique(root[lo:hi], return_counts=True)
-            # Members outside the largest component, each against all others.
-            for i in np.flatnonzero(root[lo:hi] != roots[np.argmax(counts)]) + lo if len(roots) > 1 else ():
-                j = np.flatnonzero(root[lo:hi] != root[i]) + lo
-                pairs.append(_pairs(name, n, np.full(len(j), i), j, 0)[:, :2])
+            largest = root[lo:hi] == roots[np.argmax(counts)]
+            # Members outside the largest component, each against that one and the ones after it.
+            for i in np.flatnonzero(~largest) if len(roots) > 1 else ():
+                j = np.flatnonzero((root[lo:hi] != root[lo + i]) & (largest | (np.arange(hi - lo) > i))) + lo
+                pairs.append(_pairs(name, n, np.full(len(j), lo + i), j, 0, np.zeros(len(j), bool))[:, :2])
                 size += len(pairs[-1])
                 if size > 1 << 20:
-                    found = np.unique(np.concatenate(pairs), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+                    yield merged()
                     pairs, size = [], 0
     if size:
-        found = np.unique(np.concatenate(pairs), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
+        yield merged()
 
 
 def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,25 +265,78 @@ def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(documents.select(id_col, text_col).mapInArrow(build, f"id {kind.simpleString()}, class long, n long, often long, entries array<long>"), "join-index")
 
 
+def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Those rows whose key may be in ``wanted`` (one column): a Bloom filter of FILTER_BITS bits in a table of fixed size.
+
+    It keeps most rows that a join would drop out of the join's shuffle. On inputs too large for it, all rows pass.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(FILTER_BITS)).alias("bit"))
+    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    rows = rows.withColumn("_bit", bit).join(F.broadcast(maps), F.bitmap_bucket_number("_bit") == F.col("_bucket"))
+    at = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.where(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("long") % 2 == 1).drop("_bit", "_bucket", "_map")
+
+
 def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are similar, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = index.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("_id")).select("_id").distinct()
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.hint("shuffle_hash"), "_id", "left_semi")
+    """Those of the pairs (a, b) of classes that are similar, by their whole sets.
+
+    Classes that candidate pairs connect are dealt to one task, so that a set is sent once and not for each of its pairs;
+    large groups are split into parts, and a task gets two parts and the pairs between them.
+    """
+    roots = connected_components(pairs)
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    parts = roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    cells = pairs.select("a", "b")
+    for side in ("a", "b"):
+        cells = cells.join(parts.select(F.col("node").alias(side), "root", F.col("part").alias(f"part_{side}")).drop(*(["root"] if side == "b" else [])), side)
+    cell = F.concat_ws(":", "root", F.least("part_a", "part_b"), F.greatest("part_a", "part_b"))
+    cells = stored(cells.select("a", "b", cell.alias("cell")), "join-cells")
+
+    wanted = cells.select(F.explode(F.array("a", "b")).alias("class"), "cell").groupBy("class").agg(F.collect_set("cell").alias("cells"))
+    first = index.where("class is not null").groupBy("class").agg(F.min("id").alias("_id"))
+    wanted = stored(wanted.join(first, "class"), "join-wanted")
+    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = _passing(texts, "_id", wanted.select("_id")).join(wanted.hint("shuffle_hash"), "_id").select("_text", "class", "cells")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cell", pa.string()), ("class", pa.int64()), ("tokens", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                found = [x for x in shingle_sets(t.as_py() for t in batch.column(0).slice(at, 500)) if len(x)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                values = np.concatenate(found or [np.empty(0, _U)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["class", "tokens"])
-
-    whole = stored(texts.select("_text").mapInArrow(sets, "class long, tokens array<long>"), "join-sets")
-    # The second join is on the side with hot members, where Spark sees the skew in bytes and can split it.
-    both = pairs.select("a", "b").join(whole.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b").join(whole.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(UNDER * shared >= OVER * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+                part, out = batch.slice(at, 500), []
+                for tokens, name, places in zip(shingle_sets(t.as_py() for t in part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if len(tokens) and _class_of(tokens) == name:  # rows that repeat an id may hold other texts
+                        data = tokens.tobytes()
+                        out += [(place, name, data) for place in places]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def similar(asked: pa.Table, sent: pa.Table) -> pa.Table:
+        tokens = {name: np.frombuffer(data.as_buffer(), _U) for name, data in zip(sent.column("class").to_pylist(), sent.column("tokens"), strict=True)}
+        a, b = asked.column("a").to_pylist(), asked.column("b").to_pylist()
+        keep = []
+        for x, y in zip(a, b, strict=True):
+            p, q = tokens[x], tokens[y]
+            shared = len(p) + len(q) - len(np.union1d(p, q))
+            keep.append(UNDER * shared >= OVER * (len(p) + len(q) - shared))
+        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    whole = texts.mapInArrow(sets, "cell string, class long, tokens binary")
+    return cells.groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(similar, "a long, b long")
+
+
+def _possible(pairs: DataFrame, facts: DataFrame, uncounted: str) -> DataFrame:
+    """Those of the pairs (a, b, shared) that can be similar by the tokens that their prefixes share.
+
+    Similar sets share at least 3/7 of both sizes, and a set's suffix holds fewer than 3/4 of it, so the prefix that ends
+    first shares the rest. ``uncounted`` bounds, for each class, the prefix tokens that ``shared`` doesn't count.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col(uncounted).alias(f"open{side}")), side)
+    both = F.ceil((F.col("na") + F.col("nb")) * OVER / (OVER + UNDER) - 1e-9)
+    least = both - F.ceil(F.greatest("na", "nb") * OVER / UNDER) + 1
+    return pairs.where(F.col("shared") + F.least("opena", "openb") >= least).select("a", "b")
 
 
 def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,27 +351,31 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = _index(documents, id_col, text_col)
     lists = index.where("entries is not null").select(F.explode("entries").alias("entry"), "class", "n")
     lists = lists.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "class")
-    found = stored(lists.mapInArrow(_candidates, "a long, b long, shared long, entry long, n long"), "join-candidates")
+    found = stored(lists.mapInArrow(_candidates, "a long, b long, shared long, lead long, entry long, n long"), "join-candidates")
 
     # A pair needs as many common tokens in the prefixes as their suffixes leave open; frequent tokens and those of
     # long lists, which aren't counted by pair, are taken as common as far as both have them.
     long = found.where("b is null").groupBy("a").agg(F.countDistinct("entry").alias("long"))
     facts = index.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.max("often").alias("often")).join(long.withColumnRenamed("a", "class"), "class", "left")
-    facts = facts.select("class", "n", (F.col("often") + F.coalesce("long", F.lit(0))).alias("open"))
-    pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("open").alias(f"open{side}")), side)
-    both = F.ceil((F.col("na") + F.col("nb")) * OVER / (OVER + UNDER) - 1e-9)
-    least = both - F.ceil(F.greatest("na", "nb") * OVER / UNDER) + 1
-    pairs = stored(pairs.where(F.col("shared") + F.least("opena", "openb") >= least).select("a", "b"), "join-pairs")
+    facts = stored(facts.select("class", "n", "often", (F.col("often") + F.coalesce("long", F.lit(0))).alias("open")), "join-facts")
+    counted = stored(found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("lead").alias("lead")), "join-counted")
+    pairs = stored(_possible(counted.where("lead > 0"), facts, "open"), "join-pairs")
     links = stored(_verified(documents, id_col, text_col, index, pairs), "join-links")
     roots = connected_components(links)
 
+    # What components still divide: the other pairs of short lists, and those of long lists, which now are counted, too.
     members = found.where("b is null").select("entry", F.col("a").alias("class"), "n").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_lists = members.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("entry")
     members = members.join(open_lists, "entry", "left_semi").select("entry", "class", "n", "root")
     rest = members.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "class")
-    more = stored(rest.mapInArrow(_divided, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    others = counted.where("lead = 0").select("a", "b")
+    for side in ("a", "b"):
+        others = others.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    others = others.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", F.lit(0).cast("long").alias("shared"))
+    more = rest.mapInArrow(_divided, "a long, b long, shared long").unionByName(others)
+    more = more.groupBy("a", "b").agg(F.sum("shared").alias("in_long")).join(counted, ["a", "b"], "left")
+    more = more.select("a", "b", (F.col("in_long") + F.coalesce("shared", F.lit(0))).alias("shared")).join(pairs, ["a", "b"], "left_anti")
+    more = stored(_possible(more, facts, "often"), "join-rest")
     if more.limit(1).count():
         links = links.unionByName(_verified(documents, id_col, text_col, index, more))
         roots = connected_components(links)
