@@ -37,7 +37,9 @@ LINES = 1000
 #: Bytes of an archive file, after which a task begins another.
 FILE_BYTES = 1 << 30
 #: Records that lie closer than this many bytes are read in one range, of at most READ_BYTES.
-GAP_BYTES, READ_BYTES = 1 << 16, 1 << 23
+GAP_BYTES, READ_BYTES = 1 << 16, 1 << 21
+#: Effort of the compression.
+LEVEL = 3
 # Fixed values of the file format.
 VERSION, WHEN = "WARC/1.1", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,7 +138,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, lines: in
             for page, url, html, key, refers in zip(*(batch.column(i) for i in range(5)), strict=True):
                 payload, at, to = html.as_py().encode("utf-8", "surrogatepass"), page.as_py(), refers.as_py()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                out.append((at, key.as_py(), *files.put(gzip.compress(record_bytes(at, url.as_py(), payload, digest, to), 5, mtime=0))))
+                out.append((at, key.as_py(), *files.put(gzip.compress(record_bytes(at, url.as_py(), payload, digest, to), LEVEL, mtime=0))))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["page_id", "key", "file", "offset", "length"])
         files.close()
 
@@ -253,7 +255,11 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-        last, by_key = None, {}
+        last, by_key, out = None, {}, []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
         for (file, offset, _, key), data in _ranges(folder, _rows(batches)):
             if (file, offset) != last:
                 last, by_key = (file, offset), {}
@@ -261,8 +267,12 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
                     parts = line.split("\t")
                     name = parts[0].replace("\\\\", "\0").replace("\\t", "\t").replace("\\n", "\n").replace("\0", "\\") if "\\" in parts[0] else parts[0]
                     by_key.setdefault(name, []).append((None if parts[1] == "None" else int(parts[1]), parts[2], int(parts[3]), int(parts[4])))
-            if found := by_key.get(key):
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), *(pa.array([x[i] for x in found], schema.field(i + 1).type) for i in range(4))], schema=schema)
+            out += [(key, *capture) for capture in by_key.get(key, ())]
+            if len(out) >= 5_000:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
 
     return wanted.select("file", "offset", "length", "key").mapInArrow(resolve, "key string, page_id long, file string, offset long, length long")
 
