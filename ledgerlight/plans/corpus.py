@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_APPLICABLE, NOT_PUBLISHED, PUBLISHED
+from ..functions.text import NOT_APPLICABLE, NOT_PUBLISHED, PUBLISHED, description_key
 from ..operators.features import DONE, derive
 from ..operators.rulebook import Rulebook, checked, load
 from ..operators.scoring import cases
+from ..operators.similarity import best_similarity, similar_peers
 
 #: All days are counted to this one, never to today.
 AS_OF = datetime.date(2001, 12, 31)
@@ -88,7 +89,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str, check: bool = False) -> DataFrame:
     work = works(spark, sf_dir)
-    rows = derive(work, payments(spark, sf_dir, work), accounts(spark, sf_dir), AS_OF, agency_floor=0)
+    keyed = work.select("work_id", "agency", description_key("description").alias("description_key"))
+    similar = best_similarity(similar_peers(keyed, "agency", "work_id", "description_key", k=1), "work_id")
+    rows = derive(work, payments(spark, sf_dir, work), accounts(spark, sf_dir), AS_OF, similarity=similar, agency_floor=0)
     return checked(rows) if check else rows
 
 
