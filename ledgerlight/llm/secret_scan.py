@@ -62,7 +62,7 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, kind, at, start, end) of every counting match in ``blobs`` (blob, text); at is the kind's place in ``rules``.
 
     Positions are running sums of lengths along the text's matches, made by a window: cost and memory stay linear in
-    the number of matches, however many one text has.
+    the number of matches, however many one text has. A blob may come several times: its equal matches count once.
     """
     from pyspark.sql import Window as W
 
@@ -70,7 +70,9 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for at, rule in enumerate(rules):
         rows = blobs.select("blob", F.posexplode(_pieces(F.col("text"), rule)).alias("no", "m")).select("blob", F.lit(at).alias("at"), "no", "m.gap", "m.whole", (F.col("m.tested") >= rule.least).alias("good"))
         found = rows if found is None else found.unionByName(rows)
-    so_far = W.partitionBy("blob", "at").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
+    in_order = W.partitionBy("blob", "at").orderBy("no")
+    found = found.withColumn("again", F.lag("no").over(in_order).eqNullSafe(F.col("no"))).where("not again")
+    so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("whole")).over(so_far)
     kinds = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("at") + 1)
     return found.withColumn("end", end).where("good").select("blob", kinds.alias("kind"), "at", (F.col("end") - F.col("whole")).alias("start"), "end")
@@ -91,7 +93,8 @@ def scan_history(versions: DataFrame, path_cols: list[str], text_col: str, ledge
     unseen = paths.groupBy("blob").agg(F.min(F.struct(*names)).alias("first"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    # Only the small side is built into a table; the texts stream past it once, dealt by path, of which each is one row.
+    # Only the small side is built into a table; the texts stream past it once, dealt by path. Rows that repeat both path
+    # and text all pass.
     chosen = unseen.select("blob", *[F.col(f"first.{n}").alias(f"_at{i}") for i, n in enumerate(names)])
     texts = versions.select(*[F.col(c).alias(n) for n, c in zip(names, path_cols, strict=True)], text.alias("text")).withColumn("blob", F.sha2("text", 256))
     same = F.lit(True)
@@ -100,7 +103,7 @@ def scan_history(versions: DataFrame, path_cols: list[str], text_col: str, ledge
     chosen = chosen.withColumnRenamed("blob", "_blob").hint("shuffle_hash")
     blobs = texts.join(chosen, same & (F.col("blob") == F.col("_blob")), "left_semi").select("blob", "text")
 
-    spans = find_spans(blobs, rules).distinct()  # a path that is repeated with the same text is scanned more than once
+    spans = find_spans(blobs, rules)  # a row that repeats path and text is a copy of its blob there
     each = F.array_sort(F.collect_list(F.struct("start", "at", F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("span"))))
     counts = F.array(*[F.count_if(F.col("at") == i) for i in range(len(rules))])
     hits = spans.groupBy("blob").agg(counts.alias("counts"), F.array_join(F.transform(each, lambda s: s["span"]), ",").alias("spans"))
