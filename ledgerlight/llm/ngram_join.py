@@ -227,7 +227,8 @@ def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, class, n, often, entries) for each row; entries is null where the task has sent those of the class before."""
+    """(id, key, class, n, often, entries) for each row; entries is null where the task has sent those of the class before,
+    and key is the text's SHA-256 where there is no id."""
     frequent = frequent_tokens(documents, text_col)
     kind = documents.schema[id_col].dataType
 
@@ -260,9 +261,10 @@ def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int32)
                 values = np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int64)])
                 none = pa.array([x is None for x in lists])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(often, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=none)], ["id", "class", "n", "often", "entries"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(often, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=none)], ["id", "key", "class", "n", "often", "entries"])
 
-    return stored(documents.select(id_col, text_col).mapInArrow(build, f"id {kind.simpleString()}, class long, n long, often long, entries array<long>"), "join-index")
+    key = F.when(F.col(id_col).isNull(), F.sha2(text_col, 256)).alias("_key")
+    return stored(documents.select(id_col, text_col, key).mapInArrow(build, f"id {kind.simpleString()}, key string, class long, n long, often long, entries array<long>"), "join-index")
 
 
 def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -295,10 +297,18 @@ def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame
     cells = stored(cells.select("a", "b", cell.alias("cell")), "join-cells")
 
     wanted = cells.select(F.explode(F.array("a", "b")).alias("class"), "cell").groupBy("class").agg(F.collect_set("cell").alias("cells"))
-    first = index.where("class is not null").groupBy("class").agg(F.min("id").alias("_id"))
+    first = index.where("class is not null").groupBy("class").agg(F.min("id").alias("_id"), F.min("key").alias("_key"))
     wanted = stored(wanted.join(first, "class"), "join-wanted")
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    texts = _passing(texts, "_id", wanted.select("_id")).join(wanted.hint("shuffle_hash"), "_id").select("_text", "class", "cells")
+    named, nameless = wanted.where("_id is not null").drop("_key"), wanted.where("_id is null").drop("_id")
+    # Classes whose rows all have no id get a text by its hash; equal texts are brought to one before they are dealt.
+    apart = None
+    if nameless.limit(1).count():
+        apart = texts.where("_id is null").select(F.sha2("_text", 256).alias("_key"), "_text")
+        apart = _passing(apart, "_key", nameless.select("_key")).groupBy("_key").agg(F.first("_text").alias("_text"))
+        apart = apart.join(nameless.hint("shuffle_hash"), "_key").select("_text", "class", "cells")
+    texts = _passing(texts, "_id", named.select("_id")).join(named.hint("shuffle_hash"), "_id").select("_text", "class", "cells")
+    texts = texts if apart is None else texts.unionByName(apart)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cell", pa.string()), ("class", pa.int64()), ("tokens", pa.binary())])
@@ -344,8 +354,8 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two texts are linked if 100 * shared >= 75 * all of their distinct five-word shingles. Texts of one to four words
     are one shingle; null and blank texts have none, are linked with nothing, and are their own component. Rows that
-    repeat an id are rows of their own; if their texts differ, each has its own component. An empty table gives an
-    empty result; other columns are ignored.
+    repeat an id are rows of their own; if their texts differ, each has its own component. Null ids come last: where all
+    rows of a component have none, component_id is null. An empty table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
     index = _index(documents, id_col, text_col)

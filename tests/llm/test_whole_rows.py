@@ -2,8 +2,9 @@
 
 from collections import Counter
 
-from ledgerlight.llm import secret_scan
+from ledgerlight.llm import ngram_join, secret_scan
 
+from .conftest import jaccard_components, shingles
 from .test_operators import spans
 
 
@@ -14,3 +15,20 @@ def test_secret_scan_of_repeated_rows(spark):
     found, ledger = secret_scan.scan_history(docs, ["doc_id"], "text")
     assert Counter((r["doc_id"], r["spans"], sum(r["counts"])) for r in found.collect()) == Counter((i, spans(t), spans(t).count(":") // 2) for i, t in rows)
     assert ledger.count() == 3
+
+
+def test_ngram_join_of_near_copies_without_ids(spark, documents):
+    words = [f"n{i}" for i in range(60)]
+    near = [" ".join(words[:k] + [f"other{k}"] + words[k:]) for k in (20, 40)] + [" ".join(words)]
+    alone = " ".join(f"m{i}" for i in range(30))
+    first = documents.where("doc_id = 7").first()["text"]
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (None, near[2]), (None, alone), (None, alone + " tail"), (None, ""), (None, first + " end"), (None, None)]
+    extra = [(r["doc_id"], r["text"]) for r in documents.collect()] + rows
+    docs = spark.createDataFrame(extra, "doc_id long, text string")
+    _, roots = jaccard_components([(10_000 + k if i is None else i, t) for k, (i, t) in enumerate(extra)])
+    expected = Counter((i, len(shingles(t)), root if (root := roots[10_000 + k if i is None else i]) < 10_000 else None) for k, (i, t) in enumerate(extra))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(docs).collect())
+    assert got == expected and any(i is None and root == 7 for i, _, root in got)
+    # Links of nothing but null ids hold a group together.
+    keyed = spark.createDataFrame([(1, near[0]), (None, near[2]), (2, near[1])], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.near_copies(keyed).collect()} == {1}
