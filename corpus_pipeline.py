@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.bpe import token_digests
-from ledgerlight.llm.common import stored, table
+from ledgerlight.llm.common import packed, stored, table
 from ledgerlight.llm.exact_dedup import drop_copies
 from ledgerlight.llm.mixing import mix
 from ledgerlight.llm.ngram_join import near_copies
@@ -30,18 +30,26 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """(row, doc): each row's key, and its columns in one; stored, so that a row has one key wherever it is read."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs).alias("doc")), label)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near copies."""
-    found = near_copies(docs.select("doc_id", "text"))
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stays.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    """Keeps one document, that with the smallest id (null ids last), of each group of near copies."""
+    rows = numbered(docs, "pipeline-near-rows")
+    found = near_copies(rows.select("row", "doc.text"), "row").select("row", "component_id")
+    ids = rows.select("row", F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row").alias("at"))
+    stays = found.join(ids, "row").groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.row").alias("row"))
+    return rows.join(stays.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Brings sources to their target weights: each document is there as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").distinct()
-    taken = docs.join(copies.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = numbered(docs, "pipeline-mix-rows")
+    copies = mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), row_col="row").where("copies > 0").select("row", "copies")
+    taken = rows.join(copies.hint("shuffle_hash"), "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

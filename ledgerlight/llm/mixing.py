@@ -50,15 +50,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return rows.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", priority: Column | None = None, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", priority: Column | None = None, seed: int = SEED, ranges: int = RANGES, row_col: str | None = None) -> DataFrame:
     """id, size, source_size, target, copies and taken (= copies * size) for each row; all of them, taken or not.
 
+    row_col: a column that tells rows apart, also those that repeat an id; the result has it first.
     priority: a positive column that raises a document's expected copies against others of its source; without it they
     are all alike. Random numbers are hashes of id and seed, so reruns agree, and so do rows that repeat an id. Null or
     blank texts have size 0 and are not taken. Null sources are one source, last in order. An empty table gives an
     empty result; other columns are ignored.
     """
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), (F.lit(1.0) if priority is None else priority.cast("double")).alias("_priority"))
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), (F.lit(1.0) if priority is None else priority.cast("double")).alias("_priority"), *([F.col(row_col).alias("_row")] if row_col else []))
+    own = ["_row"] if row_col else []
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_priority")).alias("_mass"))
     goal = targets(sums.select("source", "source_size")).join(sums.select(F.col("source").alias("_s"), "_mass"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goal = goal.select(F.col("source").alias("_source"), "source_size", "target", "_mass")
@@ -75,9 +77,9 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     earlier = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     by_range = by_range.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_sure").over(W.partitionBy("source")).alias("_sure"))
     rows = rows.join(by_range, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_r")))
-    inside = W.partitionBy("source", "_range").orderBy("_rank", "_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_range").orderBy("_rank", "_id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     # A row is in the sample if most of it lies before the words that are left.
     sampled = F.col("_rank").isNotNull() & (before + F.col("size") / 2 <= F.col("target") - F.col("_sure"))
     rows = rows.withColumn("copies", (F.col("_whole") + sampled.cast("int")).cast("long"))
-    return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(*[F.col(c).alias(row_col) for c in own], F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -2,9 +2,12 @@
 
 from collections import Counter
 
-from ledgerlight.llm import ngram_join, secret_scan
+from pyspark.sql import functions as F
 
-from .conftest import jaccard_components, shingles
+import corpus_pipeline as p
+from ledgerlight.llm import mixing, ngram_join, secret_scan
+
+from .conftest import SF, jaccard_components, shingles
 from .test_operators import spans
 
 
@@ -32,3 +35,22 @@ def test_ngram_join_of_near_copies_without_ids(spark, documents):
     # Links of nothing but null ids hold a group together.
     keyed = spark.createDataFrame([(1, near[0]), (None, near[2]), (2, near[1])], "doc_id long, text string")
     assert {r["component_id"] for r in ngram_join.near_copies(keyed).collect()} == {1}
+
+
+def test_pipeline_near_dedup_keeps_one_row_of_each_component(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (1, "quite another text of more than five words"), (2, "quite another text of more than five words"), (3, base + " tail"), (1, base + " end"), (None, base + " none"), (None, "only this row has such words and no id"), (4, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, SF).collect()]
+    assert len(kept) == 3 and sorted(i or 0 for i, _ in kept) == [0, 1, 1]
+    assert {t.split()[0] for _, t in kept} == {"w0", "quite", "only"}
+
+
+def test_pipeline_mixing_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(k % 5 if k % 7 else None, f"word{k} " * (1 + k % 4), f"s{k % 3}") for k in range(60)], "doc_id long, text string, source string").coalesce(1)
+    rows = p.mixing(spark, docs, SF).collect()
+    emitted = Counter(r["text"] for r in rows)
+    assert max(emitted.values()) <= mixing.MOST
+    taken = mixing.mix(p.numbered(docs, "test-rows").select("row", "doc.*"), row_col="row").where("copies > 0").collect()
+    text = {r["row"]: r["doc"]["text"] for r in p.numbered(docs, "test-rows").collect()}
+    assert emitted == Counter({text[r["row"]]: r["copies"] for r in taken})
