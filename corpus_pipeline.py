@@ -22,7 +22,7 @@ from ledgerlight.llm.toxicity import labelled_documents, score, train
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier calls toxic."""
     model = train(labelled_documents(docs, table(spark, sf_dir, "labels")))
-    return score(docs, model).where("predicted = 0").drop("score", "predicted")
+    return score(docs.select(packed(docs).alias("doc"), "text"), model).where("predicted = 0").select("doc.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, text_or_empty
+from .common import SPACES, packed, stored, text_or_empty
 
 #: Code points in a block.
 BLOCK = 4096
@@ -119,8 +119,8 @@ def drop_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = {"_stay_id": F.col(id_col), "_stay_sha": F.sha2(normalised(text_col), 256), "_stay_chars": F.length(text_or_empty(text_col))}
     groups = exact_groups(documents.select(id_col, text_col), id_col, text_col).where("kept")
     stays = groups.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = documents.withColumns(key)
+    rows = documents.select(packed(documents).alias("_doc"), *[c.alias(n) for n, c in key.items()])
     same = F.col("_stay_id").eqNullSafe(F.col("_id")) & (F.col("_stay_sha") == F.col("_sha"))
     rows = rows.join(stays.hint("merge"), same, "left_semi")
     best = W.partitionBy("_stay_id", "_stay_sha").orderBy(F.desc("_stay_chars"))
-    return rows.withColumn("_no", F.row_number().over(best)).where("_no = 1").drop("_no", *key)
+    return rows.withColumn("_no", F.row_number().over(best)).where("_no = 1").select("_doc.*")

@@ -37,6 +37,21 @@ def test_ngram_join_of_near_copies_without_ids(spark, documents):
     assert {r["component_id"] for r in ngram_join.near_copies(keyed).collect()} == {1}
 
 
+def clashing(documents):
+    names = ("predicted", "copies", "_id", "_row", "row", "doc", "_no", "_copy", "component_id", "_sha", "a.b")
+    return documents.withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names})
+
+
+def test_pipeline_stages_keep_columns_with_their_own_names(spark, documents):
+    docs = clashing(documents.where("doc_id < 120"))
+    rows = Counter(tuple(r) for r in docs.collect())
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.count() > 0 and {tuple(r) for r in out.collect()} <= rows.keys(), name
+    assert p.bpe(spark, docs, SF).count() == docs.count()
+
+
 def test_pipeline_near_dedup_keeps_one_row_of_each_component(spark):
     base = " ".join(f"w{i}" for i in range(80))
     rows = [(1, base), (1, "quite another text of more than five words"), (2, "quite another text of more than five words"), (3, base + " tail"), (1, base + " end"), (None, base + " none"), (None, "only this row has such words and no id"), (4, base)]
