@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,6 +83,41 @@ def band_ceiling(needs: DataFrame, budget: int) -> DataFrame:
     return counts.select("n", can.alias("can")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("can_change"), F.lit(budget).cast("long").alias("budget"), F.coalesce(F.sum("can"), F.lit(0)).cast("long").alias("ceiling"))
 
 
+def band_capacity(cases: DataFrame, field: Field, book: Rulebook) -> DataFrame:
+    """(work_id, absorbs, fires) of the cases on which rules of the field were skipped for want of it.
+
+    absorbs: the most fires, lightest first, that keep the case in its band; all of them where no band lies above. fires:
+    the fewest, heaviest first, that bring it to the next band; null if none do. Only the rules that were skipped on the
+    case, for the field's reason, can fire.
+    """
+    edge = F.when(F.col("score") < book.medium, book.medium).when(F.col("score") < book.high, book.high)
+    skipped = F.filter("trace", lambda t: t["rule_id"].isin(*field.rules) & (t["status"] == "skipped") & (t["skip_reason"] == field.skip_reason))
+    rows = cases.where(F.expr(field.condition)).select("work_id", (edge - F.col("score")).alias("gap"), F.array_sort(F.transform(skipped, lambda t: t["weight"])).alias("light"))
+    rows = rows.where(F.size("light") > 0)
+
+    def short(weights: Column) -> Column:
+        """How many of the weights, in their order, together stay below the gap."""
+        sums = F.transform(F.sequence(F.lit(1), F.size(weights)), lambda n: F.aggregate(F.slice(weights, 1, n), F.lit(0), lambda a, w: a + w))
+        return F.size(F.filter(sums, lambda x: x < F.col("gap")))
+
+    absorbs = F.when(F.col("gap").isNull(), F.size("light")).otherwise(short(F.col("light")))
+    fires = short(F.reverse("light")) + 1
+    return rows.select("work_id", absorbs.alias("absorbs"), F.when(F.col("gap").isNotNull() & (fires <= F.size("light")), fires).alias("fires"))
+
+
+def band_range(cases: DataFrame, attributed: DataFrame, field: Field, book: Rulebook) -> DataFrame:
+    """(field, can_change, budget, absorb_capacity, floor, ceiling): between which numbers of cases the field's
+    extrapolated fires change the band.
+
+    The floor is what the lightest-first capacity of all cases leaves of the budget; the ceiling is ``band_ceiling``.
+    """
+    budget = attributed.where(F.col("field") == field.key).agg(F.sum("extrapolated_fires")).first()[0]
+    needs = band_capacity(cases, field, book)
+    capacity = needs.agg(F.coalesce(F.sum("absorbs"), F.lit(0)).cast("long").alias("absorb_capacity"))
+    rows = band_ceiling(needs, int(budget or 0)).crossJoin(capacity)
+    return rows.select(F.lit(field.key).alias("field"), "can_change", "budget", "absorb_capacity", F.greatest(F.lit(0), F.col("budget") - F.col("absorb_capacity")).cast("long").alias("floor"), "ceiling")
+
+
 def markdown(report: list[dict]) -> str:
     """The few rows of a report as a table."""
     if not report:

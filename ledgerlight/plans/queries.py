@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -352,6 +353,16 @@ def ablation_band_range(spark, d):
     return ablation.band_ceiling(ablation.band_needs(c, ablation.CATALOGUE[0], corpus.rulebook()), int(budget or 0))
 
 
+@query
+def ablation_band_range_by_field(spark, d):
+    """Both ends of the range, for each field that rules are attributed to."""
+    c, found = _attributed(spark, d)
+    c = materialised(c.select("work_id", "score", "payment_count", "completion_date", "trace"), "ablation-cases")
+    found = materialised(found, "ablation-fields")
+    parts = [ablation.band_range(c, found, f, corpus.rulebook()) for f in ablation.CATALOGUE if f.rules]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def trace_diff(spark, d):
     from dataclasses import replace
