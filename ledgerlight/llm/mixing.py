@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 #: Weights by place of the source in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -61,6 +61,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     rows = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), (F.lit(1.0) if priority is None else priority.cast("double")).alias("_priority"), *([F.col(row_col).alias("_row")] if row_col else []))
     own = ["_row"] if row_col else []
+    rows = stored(rows, "mix-rows")  # without texts: words are counted once
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_priority")).alias("_mass"))
     goal = targets(sums.select("source", "source_size")).join(sums.select(F.col("source").alias("_s"), "_mass"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goal = goal.select(F.col("source").alias("_source"), "source_size", "target", "_mass")
@@ -69,17 +70,23 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     expected = F.when((F.col("size") > 0) & (F.col("_mass") > 0), F.least(F.lit(float(MOST)), F.col("target") * F.col("_priority") / F.col("_mass"))).otherwise(0.0)
     rows = rows.withColumn("_expected", expected).withColumn("_whole", F.floor("_expected")).withColumn("_part", F.col("_expected") - F.col("_whole"))
     u = (F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
-    odds = F.when(F.col("_part") > 0, (u / (1 - u)) * ((1 - F.col("_part")) / F.col("_part")))
+    sure = rows.groupBy("source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_sure")).select(F.col("source").alias("_s"), "_sure")
+    # Rows without a fractional part are settled; only the others are ranked.
+    settled = rows.where("_part <= 0").withColumn("copies", F.col("_whole").cast("long"))
+    rows = rows.where("_part > 0")
+    odds = F.when(F.col("_part") > 0, (u / (1 - u)) * ((1 - F.col("_part")) / F.col("_part")))  # may be put before the filter
     rows = rows.withColumn("_rank", odds).withColumn("_range", F.floor(ranges * odds / (1 + odds)).cast("int"))
 
     # Words ranked before a row: those of all earlier ranges of its source, and of earlier rows in its range.
-    by_range = rows.groupBy("source", "_range").agg(F.sum(F.when(F.col("_rank").isNotNull(), F.col("size")).otherwise(0)).alias("_in"), F.sum(F.col("_whole") * F.col("size")).alias("_sure"))
+    by_range = rows.groupBy("source", "_range").agg(F.sum("size").alias("_in"))
     earlier = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    by_range = by_range.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_sure").over(W.partitionBy("source")).alias("_sure"))
-    rows = rows.join(by_range, F.col("source").eqNullSafe(F.col("_source")) & F.col("_range").eqNullSafe(F.col("_r")))
+    by_range = by_range.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    by_range = by_range.join(sure, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = rows.join(by_range, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
     inside = W.partitionBy("source", "_range").orderBy("_rank", "_id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     # A row is in the sample if most of it lies before the words that are left.
-    sampled = F.col("_rank").isNotNull() & (before + F.col("size") / 2 <= F.col("target") - F.col("_sure"))
+    sampled = before + F.col("size") / 2 <= F.col("target") - F.col("_sure")
     rows = rows.withColumn("copies", (F.col("_whole") + sampled.cast("int")).cast("long"))
+    rows = rows.select(*settled.columns).unionByName(settled)
     return rows.select(*[F.col(c).alias(row_col) for c in own], F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -69,3 +69,14 @@ def test_pipeline_mixing_with_repeated_ids(spark):
     taken = mixing.mix(p.numbered(docs, "test-rows").select("row", "doc.*"), row_col="row").where("copies > 0").collect()
     text = {r["row"]: r["doc"]["text"] for r in p.numbered(docs, "test-rows").collect()}
     assert emitted == Counter({text[r["row"]]: r["copies"] for r in taken})
+
+
+def test_mixing_ranks_only_rows_with_a_fractional_part(spark):
+    sizes = [(k, "word " * (1 + k % 5), f"s{k % 3}") for k in range(300)] + [(1000 + k, None, "s1") for k in range(40)]
+    docs = spark.createDataFrame(sizes, "doc_id long, text string, source string")
+    found = mixing.mix(docs)
+    got = {r["doc_id"]: r for r in found.collect()}
+    # s0 is capped at twice its size, so all its rows are settled, as blank ones are; no window sees them.
+    assert len(got) == 340 and all(got[k]["copies"] == 2 for k in range(0, 300, 3)) and all(got[1000 + k]["copies"] == 0 for k in range(40))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("_part") and plan.index("Union") < plan.index("Window")
