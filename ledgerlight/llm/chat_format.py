@@ -69,9 +69,15 @@ def parsed(stream: DataFrame) -> DataFrame:
     return stream.withColumn("role", role).withColumn("text", text)
 
 
-def read_back(stream: DataFrame) -> DataFrame:
-    """Per conversation, all from the written output: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    rows = parsed(stream).withColumn("loss", F.expr("substring(piece, cast(loss_start - start + 1 as int), cast(loss_end - loss_start as int))"))
+def read_back(stream: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
+    """Per conversation, all from the written output: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    dealt: the examples, as ``examples`` makes them of the stream. What is trained on is read by them alone: each one's
+    loss span, from the piece that begins where its context ends.
+    """
+    dealt = (examples(stream) if dealt is None else dealt).select(F.col("conv_id").alias("_conv"), F.col("context_end").alias("_end"), F.col("loss_start").alias("_from"), F.col("loss_end").alias("_to"))
+    rows = parsed(stream.drop("loss_start", "loss_end")).join(dealt, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("start") == F.col("_end")), "left")
+    rows = rows.withColumn("loss", F.expr("substring(piece, cast(_from - _end + 1 as int), cast(_to - _from as int))"))
     all_turns = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "loss")))
     whole = rows.groupBy("conv_id").agg(all_turns.alias("turns"), F.sum(F.length("piece")).cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -81,4 +87,5 @@ def read_back(stream: DataFrame) -> DataFrame:
 
 def format_and_read_back(turns: DataFrame) -> DataFrame:
     """Writes the stream and its examples' positions to the shared folder and digests what can be read from them."""
-    return read_back(stored(format_turns(turns), "chat"))
+    stream = stored(format_turns(turns), "chat")
+    return read_back(stream, stored(examples(stream), "chat-examples"))

@@ -1,11 +1,12 @@
 """Rows that repeat ids, have none, or have columns with the operators' own names, against plain Python versions."""
 
+import hashlib
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from ledgerlight.llm import mixing, ngram_join, secret_scan
+from ledgerlight.llm import chat_format, mixing, ngram_join, secret_scan
 
 from .conftest import SF, jaccard_components, shingles
 from .test_operators import spans
@@ -80,3 +81,14 @@ def test_mixing_ranks_only_rows_with_a_fractional_part(spark):
     assert len(got) == 340 and all(got[k]["copies"] == 2 for k in range(0, 300, 3)) and all(got[1000 + k]["copies"] == 0 for k in range(40))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and plan.count("_part") and plan.index("Union") < plan.index("Window")
+
+
+def test_chat_format_reads_replies_by_its_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a\\<s>"), (1, 2, "user", ""), (1, 3, "assistant", "bé"), (2, 0, "user", "x"), (None, 0, "assistant", "n"), (None, 1, "assistant", "m")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = lambda: {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.format_and_read_back(turns).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert read() == {1: (4, 7, sha("a\\<s>bé")), 2: (1, 0, sha("")), None: (2, 2, sha("nm"))}
+    whole = chat_format.examples
+    monkeypatch.setattr(chat_format, "examples", lambda stream: whole(stream).where("not (conv_id <=> 1 and example = 2)"))
+    assert read()[1] == (4, 2, sha("bé")), "the digest follows the stored examples"
