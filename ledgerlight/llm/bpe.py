@@ -7,9 +7,15 @@ and the encoding of a shorter prefix. The transducer reads one symbol at a time
 keeps, for the prefixes that can still matter, their last token. Any later token starts
 within the longest token's length of the point reached: that length is the merge list's
 sufficient lookahead. A token is emitted once the chains from all prefixes within the
-lookahead run through it, and what lies before it is forgotten.
+lookahead run through it, and what lies before it is forgotten. An automaton of all
+tokens tells, symbol by symbol, which of them end there.
 
-Spark deals out the documents; the transducer is the helper that a task runs on each.
+Decoding spells ids as bytes and turns these into text by a state machine that holds
+the bytes of one character at most.
+
+Spark deals out the documents. A task goes through them in pieces of bounded size, cut
+before white space, encodes each distinct word of a piece once, and adds what comes out
+to the digests of the documents; nothing else is kept of a document.
 """
 
 from __future__ import annotations
@@ -21,7 +27,10 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +38,19 @@ from tokenizers import Tokenizer
 
 NEVER = 1 << 60
 #: Chunks of text, and pairs of tokens, whose results a task remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Symbols read between two looks for tokens that are stable.
 EVERY = 256
-#: Chunks that are gone through before their output goes into the digests.
-HELD = 20_000
+#: Code points of text that are gone through at a time.
+WINDOW = 1 << 23
+#: Stands for the end of a word in the automaton; no sign of the byte alphabet.
+END = "\uffff"
 
-#: Code points from here on, and some control signs, differ between versions of Unicode or kinds of white space: texts
-#: that hold any are normalised and cut into words by the tokenizer file's own steps.
-_RARE = re.compile("[\x1c-\x1f\u0557-\U0010ffff]")
+#: Only beyond these can a code point be one that versions of Unicode disagree on.
+_LATE = re.compile("[\u0557-\U0010ffff]")
+# Fixed value: white space of the pattern that the tokenizer file replaces by spaces, beyond ASCII.
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CUT = re.compile("[\t-\r " + _SPACES.pattern[1:])
 
 
 def byte_alphabet() -> list[str]:
@@ -72,9 +85,10 @@ class MergeList:
             if max(self.born.get(a, -1), self.born.get(b, -1)) >= rank or made in self.parts:
                 raise ValueError(f"merge {rank} uses what later merges make, or makes a token again")
             self.ranks[a, b], self.parts[made], self.born[made] = rank, (a, b), rank
-        self.lookahead = max(len(s.removesuffix(self.end) if self.end else s) for s in self.ids)
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.lookahead = max(len(s.removesuffix(self.end) + END if self.end and s.endswith(self.end) else s) for s in self.ids)
+        self.fitting: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self._spelled: dict[bool, dict[int, bytes]] = {}
         sound: dict[int, bool] = {}
         for token in sorted(self.strings, key=lambda t: self.born.get(t, -1)):
             if token in self.parts:
@@ -82,8 +96,23 @@ class MergeList:
                 sound[token] = sound[x] and sound[y] and not self._crossed(x, y, rank)
             else:
                 sound[token] = len(self.strings[token].removesuffix(self.end) or self.end) == 1
-        #: Only tokens whose own text has them as its encoding can be in any encoding.
-        self.sound = {s: i for s, i in self.ids.items() if sound[i]}
+        # Only tokens whose own text has them as its encoding can be in any encoding.
+        self.sound = {name.removesuffix(self.end) + END if self.end and name.endswith(self.end) else name: token for name, token in self.ids.items() if sound[token]}
+        self.found = ahocorasick.Automaton()
+        for symbols, token in self.sound.items():
+            self.found.add_word(symbols, (len(symbols), token))
+        self.found.make_automaton()
+
+    def spelled(self, plain: bool) -> dict[int, bytes]:
+        """Each token's bytes: what its signs stand for, with a space at a word's end, or its spelling after a space."""
+        if plain not in self._spelled:
+            if plain:
+                ends = {i: bool(self.end) and s.endswith(self.end) for i, s in self.strings.items()}
+                bodies = {i: s.removesuffix(self.end) if ends[i] else s for i, s in self.strings.items()}
+                self._spelled[plain] = {i: s.encode() if s in self.special else bytes([self.values[c] for c in s]) + b" " * ends[i] for i, s in bodies.items()}
+            else:
+                self._spelled[plain] = {i: f" {s}".encode() for i, s in self.strings.items()}
+        return self._spelled[plain]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(part, rank at which it is merged away) of the parts that lie at the token's left (0) or right (1) edge, itself first."""
@@ -109,7 +138,7 @@ class MergeList:
         """Whether the encoding of both tokens' text is just these two."""
         if len(self.fitting) > REMEMBERED:
             self.fitting.clear()
-        found = self.fitting[a, b] = not self._crossed(a, b, NEVER)
+        found = self.fitting[a << 32 | b] = not self._crossed(a, b, NEVER)
         return found
 
 
@@ -119,32 +148,84 @@ class Transducer:
     def __init__(self, merges: MergeList):
         self.merges = merges
 
-    def encode(self, signs: str) -> Iterator[int]:
-        """The tokens of a word given in byte signs, each as soon as it is stable."""
-        m, n, base = self.merges, len(signs), 0
-        get, fits, known, look, tail = m.sound.get, m.fits, m.fitting.get, m.lookahead, ""
-        last: list[int] = [-1]  # by prefix length less base: the last token, and where it starts
-        start: list[int] = [0]
-        for i in range(1, n + 1):
-            if i == n:
-                tail = m.end
-            for j in range(i - look if i - look > base else base, i):
-                token = get(signs[j:i] + tail)
-                if token is None:
-                    continue
-                before = last[j - base]
-                fit = j == 0 or known((before, token))
-                if fit or fit is None and fits(before, token):
-                    last.append(token)
-                    start.append(j)
+    def encode(self, signs: str) -> Iterable[int]:
+        """The tokens of a word given in byte signs."""
+        word = signs + END if self.merges.end else signs
+        return self._whole(word) if len(word) <= self.merges.lookahead else self._streamed(word)
+
+    def _whole(self, word: str) -> list[int]:
+        """The tokens of a word that the lookahead covers: the one chain of fitting tokens, searched with longer tokens first.
+
+        A prefix has one encoding, so a point from which the chain can't go on is on no other chain either.
+        """
+        m, n, at, end = self.merges, len(word), 0, 0
+        get, fits, known = m.sound.get, m.fits, m.fitting.get
+        chain, starts = [], []
+        for last, (length, token) in m.found.iter_long(word):  # the chain of longest tokens, as far as they fit
+            if last + 1 - length != at:
+                break
+            end = last
+            if chain:
+                before = chain[-1]
+                if not (fits(before, token) if (fit := known(before << 32 | token)) is None else fit):
                     break
+            chain.append(token)
+            starts.append(at)
+            at = end = last + 1
+        if at == n:
+            return chain
+        dead: set[int] = set()
+        if at == end:  # not at a token that doesn't fit: any length is open
+            end = n
+        while at < n:
+            while end > at:
+                token = get(word[at:end])
+                if token is not None and end not in dead:
+                    if not chain:
+                        break
+                    before = chain[-1]
+                    if fits(before, token) if (fit := known(before << 32 | token)) is None else fit:
+                        break
+                end -= 1
             else:
-                raise ValueError(f"the vocabulary has no token for {signs[i - 1]!r}")
-            if i % EVERY == 0 and i < n and (stable := self._common(start, base, i)) > base:
+                if not chain:
+                    raise ValueError(f"the vocabulary has no tokens for {word!r}")
+                dead.add(at)
+                chain.pop()
+                at, end = starts.pop(), at - 1
+                continue
+            chain.append(token)
+            starts.append(at)
+            at, end = end, n
+        return chain
+
+    def _streamed(self, word: str) -> Iterator[int]:
+        """The tokens of a word of any length, each as soon as it is stable."""
+        m, base, done = self.merges, 0, 0
+        fits, known = m.fits, m.fitting.get
+        last: list[int] = [-1]  # by prefix length less base: the last token, and where it starts
+        start: list[int] = [0]
+        for at, (length, token) in m.found.iter(word):  # the longest token first of those that end at one symbol
+            if at < done:
+                continue
+            if at > done:
+                break  # no token ends at the symbol before
+            j = at + 1 - length
+            if j < base:
+                continue
+            before = last[j - base]
+            if j and not (fits(before, token) if (fit := known(before << 32 | token)) is None else fit):
+                continue
+            last.append(token)
+            start.append(j)
+            done += 1
+            if done % EVERY == 0 and (stable := self._common(start, base, done)) > base:
                 yield from self._chain(last, start, base, stable)
                 keep = stable - base
                 last, start, base = last[keep:], [stable, *start[keep + 1 :]], stable
-        yield from self._chain(last, start, base, n)
+        if done < len(word):
+            raise ValueError(f"the vocabulary has no token for {word[done]!r}")
+        yield from self._chain(last, start, base, done)
 
     def _common(self, start: list[int], base: int, at: int) -> int:
         """The last boundary that the chains from all prefixes within the lookahead share."""
@@ -167,31 +248,23 @@ class Transducer:
 class Decoder:
     """Token ids to text, piece by piece; what it keeps between pieces is a few bytes at most.
 
-    With ``plain`` the ids' byte signs become bytes and these, through a UTF-8 state machine, text: bytes that begin no
-    character become U+FFFD, bytes of a character that isn't complete wait, and a word's end is a space. Otherwise the
-    text is that of a tokenizer file without a decoder: the tokens as the vocabulary spells them, a space between two.
+    Ids are spelled as bytes, and these become text through a state machine. With ``plain`` a token's byte signs are
+    the bytes they stand for and a word's end is a space. Otherwise the text is that of a tokenizer file without a
+    decoder: the tokens as the vocabulary spells them, a space between two.
     """
 
-    def __init__(self, merges: MergeList, plain: bool = False):
-        self.merges, self.plain, self.begun = merges, plain, False
-        self.utf8 = Utf8() if plain else None
+    def __init__(self, merges: MergeList, plain: bool = False, begun: bool = False):
+        self.begun, self.utf8, self.spelled = plain or begun, Utf8(), merges.spelled(plain)
 
     def feed(self, ids: Iterable[int]) -> str:
-        names = [self.merges.strings[i] for i in ids]
-        if not self.plain:
-            text = " ".join(names)
-            out, self.begun = (" " if self.begun and names else "") + text, self.begun or bool(names)
-            return out
-        end, out = self.merges.end, []
-        for name in names:
-            ended = bool(end) and name.endswith(end)
-            body = name.removesuffix(end) if ended else name
-            data = body.encode() if name in self.merges.special else bytes(self.merges.values[c] for c in body)
-            out.append(self.utf8.feed(data) + " " * ended)
-        return "".join(out)
+        spelled = self.spelled
+        data = b"".join([spelled[i] for i in ids])
+        if data and not self.begun:
+            self.begun, data = True, data[1:]
+        return self.utf8.feed(data)
 
     def finish(self) -> str:
-        return self.utf8.finish() if self.plain else ""
+        return self.utf8.finish()
 
 
 class Utf8:
@@ -201,6 +274,11 @@ class Utf8:
         self.held, self.need, self.low, self.high = bytearray(), 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        if not self.need:
+            try:
+                return data.decode()  # whole characters only: the machine ends where it began
+            except UnicodeDecodeError:
+                pass
         out = []
         for b in data:
             if self.need:
@@ -229,6 +307,21 @@ class Utf8:
         return out
 
 
+class _Digest:
+    """What is kept of a document: number of tokens, and the digests of ids and decoded text so far."""
+
+    def __init__(self):
+        self.n, self.ids, self.words, self.begun = 0, hashlib.sha256(), hashlib.sha256(), False
+
+    def add(self, n: int, ids: memoryview, words: memoryview) -> None:
+        """Both with a space before each token; that before the first one goes."""
+        if n:
+            skip = 0 if self.begun else 1
+            self.n, self.begun = self.n + n, True
+            self.ids.update(ids[skip:])
+            self.words.update(words[skip:])
+
+
 class WordBpe:
     """The whole way from a text to ids: special strings, normalising, words, merges."""
 
@@ -241,67 +334,100 @@ class WordBpe:
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         steps = Tokenizer.from_file(path)
         self.own_norm, self.own_cut = steps.normalizer, steps.pre_tokenizer
+        self.decoder = Decoder(self.merges, begun=True)
+        self._numbers = {i: f" {i}".encode() for i in self.merges.strings}
+        self._signs = {b: sign for b, sign in enumerate(self.merges.signs)}
+        # Chunks met lately, and those met before that.
         self._chunks: dict[str, tuple[int, bytes, bytes]] = {}
-        self._words: dict[str, list[int]] = {}
+        self._older: dict[str, tuple[int, bytes, bytes]] = {}
+        # Code points without a class here may have one in the tokenizer file's version of Unicode.
+        self._new = lru_cache(maxsize=1 << 16)(lambda c: unicodedata.category(c) == "Cn")
+
+    def _unsettled(self, text: str) -> bool:
+        return _LATE.search(text) is not None and any(self._new(c) for c in set(_LATE.findall(text)))
+
+    def _normalised(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if self._unsettled(text):
+            return self.own_norm.normalize_str(text)
+        return _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+
+    def _words(self, chunk: str) -> list[str]:
+        """The chunk's words in byte signs."""
+        if chunk.isalpha():
+            words = [chunk]
+        elif self._unsettled(chunk):
+            return [w for w, _ in self.own_cut.pre_tokenize_str(chunk)]
+        else:
+            words = self.WORDS.findall(chunk)
+        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._signs) for w in words]
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
-        """Number of tokens, their ids and their spelling, each after a space, of text without white space."""
-        ids, decoder, signs = [], Decoder(self.merges), self.merges.signs
-        decoder.begun = True
-        if _RARE.search(chunk):
-            words = [w for w, _ in self.own_cut.pre_tokenize_str(chunk)]
-        else:
-            words = [w if w.isascii() and w.isprintable() else "".join([signs[b] for b in w.encode()]) for w in self.WORDS.findall(chunk)]
-        for word in words:
-            if (found := self._words.get(word)) is None:
-                found = list(self.transducer.encode(word))
-                if len(word) < 50:
-                    if len(self._words) > REMEMBERED:
-                        self._words.clear()
-                    self._words[word] = found
-            ids += found
-        done = (len(ids), "".join([f" {i}" for i in ids]).encode(), decoder.feed(ids).encode())
+        """Number of tokens, their ids and their spelling, each after a space, of text without white space, or of a special string."""
+        if (done := self._older.get(chunk)) is None:
+            if chunk[:1] == "S":
+                ids = [int(chunk[1:])]
+            else:
+                ids = [i for word in self._words(chunk) for i in self.transducer.encode(word)]
+            numbers = self._numbers
+            done = (len(ids), b"".join([numbers[i] for i in ids]), self.decoder.feed(ids).encode())
         if len(chunk) < 50:
-            if len(self._chunks) > REMEMBERED:
-                self._chunks.clear()
+            if len(self._chunks) >= REMEMBERED // 2:
+                self._chunks, self._older = {}, self._chunks
             self._chunks[chunk] = done
         return done
 
-    def pieces(self, text: str) -> Iterator[tuple[int, bytes, bytes]]:
-        get = self._chunks.get
+    def pieces(self, text: str) -> Iterator[str]:
+        """The normalised text in pieces of about ``WINDOW`` code points at most, cut before white space.
+
+        A special string is a piece of its own, written as an S and its id: no normalised text has capitals.
+        """
         for i, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
             if i % 2:
-                yield 1, f" {self.merges.special[part]}".encode(), f" {part}".encode()
-            elif _RARE.search(part):
-                for chunk in filter(None, self.own_norm.normalize_str(part).split(" ")):
-                    yield get(chunk) or self._chunk(chunk)
-            else:
-                for chunk in unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().split():
-                    yield get(chunk) or self._chunk(chunk)
-
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids joined by a space, SHA-256 of the decoded text), with bounded memory."""
-        n, ids, words, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        held: list[tuple[int, bytes, bytes]] = []
-
-        def flush() -> int:
-            nonlocal first
-            a, b = b"".join([x[1] for x in held]), b"".join([x[2] for x in held])
-            ids.update(a[1:] if first else a)
-            words.update(b[1:] if first else b)
-            first = first and not a
-            return sum([x[0] for x in held])
-
-        for piece in self.pieces(text):
-            held.append(piece)
-            if len(held) >= HELD:
-                n += flush()
-                held.clear()
-        n += flush()
-        return n, ids.hexdigest(), words.hexdigest()
+                yield f"S{self.merges.special[part]}"
+                continue
+            at = 0
+            while len(part) - at > WINDOW:
+                cut = _CUT.search(part, at + WINDOW)
+                end = cut.start() if cut else len(part)
+                yield self._normalised(part[at:end])
+                at = end
+            yield self._normalised(part[at:] if at else part)
+
+    def _chunks_of(self, pieces: list[str]) -> tuple[np.ndarray, pa.Array, list[tuple[int, bytes, bytes]]]:
+        """The pieces' chunks: where each piece's begin, each chunk's place in the list of distinct ones, and what these come to."""
+        lists = pc.ascii_split_whitespace(pa.array(pieces, pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        return lists.offsets.to_numpy(), coded.indices, [self._chunks.get(c) or self._chunk(c) for c in coded.dictionary.to_pylist()]
+
+    def _absorb(self, held: list[tuple[_Digest, str]]) -> None:
+        offsets, codes, found = self._chunks_of([piece for _, piece in held])
+        numbers = np.concatenate([[0], np.cumsum(np.array([f[0] for f in found], np.int64)[codes.to_numpy()])]) if found else np.zeros(1, np.int64)
+        spelled = [pa.array([f[k] for f in found], pa.large_binary()).take(codes) for k in (1, 2)]
+        ends = [np.frombuffer(x.buffers()[1], np.int64)[: len(x) + 1] if len(x) else np.zeros(1, np.int64) for x in spelled]
+        data = [memoryview(x.buffers()[2] or b"") for x in spelled]
+        for k, (digest, _) in enumerate(held):
+            a, b = offsets[k], offsets[k + 1]
+            digest.add(int(numbers[b] - numbers[a]), *[d[e[a] : e[b]] for d, e in zip(data, ends, strict=True)])
+
+    def digests(self, texts: Iterable[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the ids joined by a space, SHA-256 of the decoded text) of each text, in bounded memory."""
+        made, held, size = [], [], 0
+        for text in texts:
+            made.append(_Digest())
+            for piece in self.pieces(text):
+                held.append((made[-1], piece))
+                size += len(piece) + 1
+                if size >= WINDOW:
+                    self._absorb(held)
+                    held, size = [], 0
+        if held:
+            self._absorb(held)
+        return [(d.n, d.ids.hexdigest(), d.words.hexdigest()) for d in made]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
+        return [int(i) for piece in self.pieces(text) for chunk in re.split("[ \t-\r]+", piece) for i in (self._chunks.get(chunk) or self._chunk(chunk))[1].split()]
 
 
 @lru_cache(maxsize=2)
@@ -344,7 +470,7 @@ def token_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            found = [bpe.digests(t.as_py() or "") for t in batch.column(1)]
+            found = bpe.digests(t.as_py() or "" for t in batch.column(1))
             n, ids, words = ([x[k] for x in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

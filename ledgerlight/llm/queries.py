@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from .sharding import shard_documents
 from .toxicity import toxicity
 from .warc import archive_and_read_back
 
-#: Where public tokenizers' files are; the operator takes any path.
-TOKENIZERS = "/opt/tokenizers"
+#: The tokenizer file, in a package that all executors have; the operator takes any path.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from .common import SPACES
 
 #: Words in a shingle.
 WORDS = 5
-#: Bytes of text that are hashed at a time; longer texts are taken alone.
-CHUNK = 1 << 22
+#: Bytes of text that are hashed at a time; longer texts are cut before white space.
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _U = np.uint64
@@ -21,12 +21,16 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK)
-        up, down = np.full(size, _U(_BASE)), np.full(size, _U(pow(_BASE, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.cumprod(up), np.cumprod(down)
-    return _powers["up"], _powers["down"]
+    """The powers of the base and of its inverse up to n; those that a chunk needs are kept."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    size = max(n, CHUNK + 1)
+    up, down = np.full(size, _U(_BASE)), np.full(size, _U(pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    if size <= CHUNK + 1:
+        _powers["up"], _powers["down"] = up, down
+    return up, down
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,14 +39,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-    up, down = _power_tables(len(data) + 1)
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash; data begins and ends with white space."""
     space = _IS_SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)])])
-    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    hashes, at = np.empty(len(starts), _U), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, "right")))  # a word of more than a chunk is taken alone
+        part = data[base : ends[to - 1]]
+        up, down = _power_tables(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum((part.astype(_U) + _U(1)) * up[: len(part)])])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        hashes[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(_U))
+        at = to
+    return starts, hashes
+
+
+def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    starts, words = _words(np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8))
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     first = np.searchsorted(starts, bounds)
     rolled = words[: max(0, len(words) - WORDS + 1)].copy()
@@ -76,7 +92,7 @@ def shingle_sets(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
     held, size = [], 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass").lower()
-        if held and size + len(raw) > CHUNK // 2:
+        if held and size + len(raw) > CHUNK:
             yield from _sets(held)
             held, size = [], 0
         held.append(raw)

@@ -102,7 +102,7 @@ def test_entries_of_similar_sets_meet():
         assert len(np.intersect1d(a, b)), (len(x), len(y), shared)
 
 
-TOKENS = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+TOKENS = queries.TOKENIZER
 
 
 def test_bpe(spark, documents):
@@ -133,6 +133,24 @@ def test_bpe_keeps_constant_memory_and_decodes_bytes():
     assert bpe.Decoder(found.merges, plain=True).feed(found.encode("Hello, wörld")) == "hello , wörld "
 
 
+def test_bpe_of_random_texts_in_small_pieces(monkeypatch):
+    """White space of all kinds, control signs, marks, special strings and code points of late versions of Unicode, against the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    own, found = Tokenizer.from_file(TOKENS), bpe.loaded(TOKENS)
+    monkeypatch.setattr(bpe, "WINDOW", 100)
+    random.seed(1)
+    signs = [chr(c) for c in (*range(0x250), 0x3A3, 0x130, 0x2019, 0x2028, 0x3000, 0x65E5, 0x1F600, 0x301, 0x558, 0x1C89, 0x345, 0x1100, 0x1161, 0x323B0, 0xFB01)]
+    signs += [" "] * 300 + list("abcdefghijklmnop'") * 20 + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'LL"] * 5
+    texts = ["".join(random.choices(signs, k=random.randint(0, 500))) for _ in range(300)] + ["abcde" * 4000, "é" * 3000, "ación" * 999]
+    wanted = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [found.encode(t) for t in texts] == wanted
+    assert found.digests(texts) == [(len(i), sha(" ".join(map(str, i))), sha(own.decode(i, skip_special_tokens=False))) for i in wanted]
+    assert max(len(p) for t in texts[:300] for p in found.pieces(t)) < 1000
+
+
 def test_sharding(spark, documents):
     rows = sharding.shard_documents(documents).collect()
     text = dict(pairs(documents))
