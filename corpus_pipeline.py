@@ -15,7 +15,7 @@ from ledgerlight.llm.common import packed, stored, table
 from ledgerlight.llm.exact_dedup import drop_copies
 from ledgerlight.llm.mixing import mix
 from ledgerlight.llm.ngram_join import near_copies
-from ledgerlight.llm.queries import TOKENIZERS
+from ledgerlight.llm.queries import TOKENIZER
 from ledgerlight.llm.toxicity import labelled_documents, score, train
 
 
@@ -54,7 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every document and decodes it again."""
-    return token_digests(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_digests(docs, TOKENIZER)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("mixing", mixing), ("BPE", bpe)]
