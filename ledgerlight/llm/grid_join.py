@@ -5,7 +5,8 @@ Vectors are turned to their principal dimensions and put in the order of the gri
 (of width eps) of the leading ones. The sequence is cut into blocks; blocks and intervals
 of FAN of them, of FAN of these and so on have bounding boxes. Pairs of intervals are
 joined from the top down: those whose boxes are farther apart than eps are skipped, the
-others are split, down to pairs of blocks, which are dealt out and compared in full.
+others are split, down to pairs of blocks, which are dealt out. A task goes on in the same
+way within its two blocks, and compares the parts that are left.
 
 The result does not depend on how well the dimensions separate the vectors: they decide
 only what can be skipped. A task holds two blocks at a time.
@@ -25,14 +26,14 @@ from .common import shuffle_partitions, stored
 from .components import connected_components
 
 LEAST_COSINE = 0.9
-#: Vectors in a block.
-BLOCK = 1024
+#: Vectors in a block, two of which a task holds; and in the parts of a block that are compared at once.
+BLOCK, LEAF = 4096, 256
 #: Intervals in an interval of the next level.
 FAN = 8
 #: Leading dimensions whose cells make the order.
 LEADING = 6
-#: Products closer to the limit than this are taken again, one by one.
-CLOSE = 1e-10
+#: Products closer to the limit than this are taken again: those in single precision in double, these with more digits, one by one.
+ROUGH, CLOSE = 1e-4, 1e-10
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -68,9 +69,8 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return turned[:, np.argsort(-values)]
 
 
-def _sequence(vectors: DataFrame, dim: int, eps: float, block: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """(id, times, x, block) in grid order, the blocks' boxes (block, lo, hi), and the levels and fan of the interval tree."""
-    rotation = _rotation(vectors, dim)
+def _sequence(vectors: DataFrame, dim: int, eps: float, block: int, rotation: np.ndarray) -> tuple[DataFrame, DataFrame, int, int]:
+    """(id, times, x, block, place) in grid order, the blocks' boxes (block, lo, hi), and the levels and fan of the interval tree."""
     lead = min(dim, LEADING)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,7 @@ def _sequence(vectors: DataFrame, dim: int, eps: float, block: int) -> tuple[Dat
     kind = vectors.schema["x"].dataType.simpleString()
     spark = vectors.sparkSession
     ordered = vectors.select("id", "times", "x").mapInArrow(cells, f"id long, times long, x {kind}, cell string").repartitionByRange(shuffle_partitions(spark), "cell", "id").sortWithinPartitions("cell", "id")
-    schema = pa.schema([("id", pa.int64()), ("times", pa.int64()), ("x", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("part", pa.int64()), ("no", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+    schema = pa.schema([("id", pa.int64()), ("times", pa.int64()), ("x", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("part", pa.int64()), ("no", pa.int64()), ("place", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, no = TaskContext.get().partitionId(), 0, 0
@@ -101,7 +101,7 @@ def _sequence(vectors: DataFrame, dim: int, eps: float, block: int) -> tuple[Dat
                 lo, hi = np.minimum(lo, y.min(axis=0)), np.maximum(hi, y.max(axis=0))
                 n = rows.num_rows
                 none = pa.nulls(n, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2).cast(schema.field("x").type), pa.array(np.full(n, part)), pa.array(np.full(n, no)), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2).cast(schema.field("x").type), pa.array(np.full(n, part)), pa.array(np.full(n, no)), pa.array(np.arange(at, at + n)), none, none], schema=schema)
                 at, start = at + n, start + n
                 if at == block:
                     yield box()
@@ -109,7 +109,7 @@ def _sequence(vectors: DataFrame, dim: int, eps: float, block: int) -> tuple[Dat
         if at:
             yield box()
 
-    rows = stored(ordered.select("id", "times", "x").mapInArrow(cut, f"id long, times long, x {kind}, part long, no long, lo array<double>, hi array<double>"), "grid-sequence")
+    rows = stored(ordered.select("id", "times", "x").mapInArrow(cut, f"id long, times long, x {kind}, part long, no long, place long, lo array<double>, hi array<double>"), "grid-sequence")
     most = rows.agg(F.max("part"), F.max("no")).first()
     levels, width = 0, 1
     while width <= most[1]:
@@ -118,7 +118,7 @@ def _sequence(vectors: DataFrame, dim: int, eps: float, block: int) -> tuple[Dat
     while top < (most[0] + 1) * width:
         levels, top = levels + 1, top * FAN
     rows = rows.withColumn("block", F.col("part") * width + F.col("no"))
-    return rows.where("id is not null").select("id", "times", "x", "block"), rows.where("id is null").select("block", "lo", "hi"), levels, FAN
+    return rows.where("id is not null").select("id", "times", "x", "block", "place"), rows.where("id is null").select("block", "lo", "hi"), levels, FAN
 
 
 def near_block_pairs(boxes: DataFrame, levels: int, fan: int, eps: float) -> DataFrame:
@@ -145,65 +145,102 @@ def near_block_pairs(boxes: DataFrame, levels: int, fan: int, eps: float) -> Dat
     return pairs
 
 
-def _compare(dim: int, least: float):
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of unit vectors with a cosine of at least ``least``: found in single precision with a margin, then judged in double."""
+    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= np.float32(least - ROUGH))
+    sure = np.empty(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        p, q = x[i[at : at + (1 << 14)]], y[j[at : at + (1 << 14)]]
+        cosines = np.einsum("ij,ij->i", p, q)
+        sure[at : at + len(p)] = cosines >= least
+        for k in np.flatnonzero(np.abs(cosines - least) < CLOSE):
+            dot, m, n = (float(np.dot(v.astype(np.longdouble), w.astype(np.longdouble))) for v, w in ((p[k], q[k]), (p[k], p[k]), (q[k], q[k])))
+            sure[at + k] = dot / np.sqrt(m * n) >= least
+    return i[sure], j[sure]
+
+
+def _near_parts(x: np.ndarray, y: np.ndarray, same: bool, eps: float, leaf: int) -> Iterator[tuple[slice, slice]]:
+    """Pairs of intervals of at most ``leaf`` vectors whose boxes are within eps, by recursion over halves of both sequences."""
+
+    def box(v: np.ndarray, at: slice, known: dict) -> tuple[np.ndarray, np.ndarray]:
+        if (found := known.get((at.start, at.stop))) is None:
+            found = known[at.start, at.stop] = v[at].min(axis=0), v[at].max(axis=0)
+        return found
+
+    def halves(at: slice) -> list[slice]:
+        middle = (at.start + at.stop) // 2
+        return [at] if at.stop - at.start <= leaf else [slice(at.start, middle), slice(middle, at.stop)]
+
+    left: dict = {}
+    right = left if same else {}
+    open_pairs = [(slice(0, len(x)), slice(0, len(y)))]
+    while open_pairs:
+        p, q = open_pairs.pop()
+        (plo, phi), (qlo, qhi) = box(x, p, left), box(y, q, right)
+        gap = np.maximum(0, np.maximum(plo - qhi, qlo - phi))
+        if gap @ gap > eps * eps + 1e-9:
+            continue
+        if p.stop - p.start <= leaf and q.stop - q.start <= leaf:
+            yield p, q
+            continue
+        open_pairs += [(a, b) for a in halves(p) for b in halves(q) if not same or a.start <= b.start]
+
+
+def _compare(dim: int, least: float, eps: float, rotation: np.ndarray, leaf: int):
     """For the rows of a pair of blocks: each vector's links to the other block (b null), and links that connect what is linked."""
 
-    def close(x: np.ndarray, y: np.ndarray) -> bool:
-        dot, a, b = (float(np.dot(p.astype(np.longdouble), q.astype(np.longdouble))) for p, q in ((x, y), (x, x), (y, y)))
-        return dot / np.sqrt(a * b) >= least
-
     def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        ids, times, x = group.column("id").to_numpy(), group.column("times").to_numpy(), _unit(_matrix(group.column("x"), dim))
-        order = np.argsort(ids, kind="stable")
-        order = order[np.argsort(side[order], kind="stable")]
-        side, ids, times, x = side[order], ids[order], times[order], x[order]
+        side, place = group.column("side").to_numpy(), group.column("place").to_numpy()
+        order = np.lexsort((place, side))
+        side, ids, times = side[order], group.column("id").to_numpy()[order], group.column("times").to_numpy()[order]
+        x = _unit(_matrix(group.column("x"), dim))[order]
+        turned = x @ rotation
         split = int((side == 0).sum())
         same = split == len(side)  # a block with itself has one side
-        left, right = slice(0, split), slice(0, split) if same else slice(split, None)
-        cosines = x[left] @ x[right].T
-        linked = cosines >= least
-        for i, j in np.argwhere(np.abs(cosines - least) < CLOSE):
-            linked[i, j] = close(x[left][i], x[right][j])
-        if same:
-            np.fill_diagonal(linked, False)
-        counts = [(ids[left], linked @ times[right])]
-        if not same:
-            counts.append((ids[right], times[left] @ linked))
-        a, n = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
-        out_a, out_b, out_n = [a[n > 0]], [np.full(int((n > 0).sum()), -1)], [n[n > 0]]
-        rows, columns = linked.any(axis=1), linked.any(axis=0)
-        if rows.any():
-            part = linked[np.ix_(rows, columns)]
-            p, q = np.flatnonzero(rows), np.flatnonzero(columns) + (0 if same else split)
-            label = np.arange(len(ids))
-            while True:  # the smallest place that links reach within the two blocks
-                before = label.copy()
-                label[q] = np.minimum(label[q], np.where(part, label[p][:, None], len(ids)).min(axis=0))
-                label[p] = np.minimum(label[p], np.where(part, label[q][None, :], len(ids)).min(axis=1))
-                if (label == before).all():
-                    break
-            moved = np.flatnonzero(label != np.arange(len(ids)))
-            out_a.append(ids[moved])
-            out_b.append(ids[label[moved]])
-            out_n.append(np.zeros(len(moved), np.int64))
-        b = np.concatenate(out_b)
-        is_count = np.concatenate([np.ones(len(out_a[0]), bool), *[np.zeros(len(v), bool) for v in out_a[1:]]])
-        return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(b, pa.int64(), mask=is_count), "n": pa.array(np.concatenate(out_n), pa.int64())})
+        base = 0 if same else split
+        links = np.zeros(len(ids), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for p, q in _near_parts(turned[:split], turned[base:], same, eps, leaf):
+            i, j = _linked(x[:split][p], x[base:][q], least)
+            i, j = i + p.start, j + q.start + base
+            if same and p.start == q.start:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                links += np.bincount(i, times[j], len(ids)).astype(np.int64) + np.bincount(j, times[i], len(ids)).astype(np.int64)
+                found.append(_spanning(i, j))
+        root, moved = _spanning(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 2
+        linked = np.flatnonzero(links)
+        b = np.concatenate([np.full(len(linked), -1), ids[root]])
+        return pa.table({"a": pa.array(ids[np.concatenate([linked, moved])], pa.int64()), "b": pa.array(b, pa.int64(), mask=np.arange(len(b)) < len(linked)), "n": pa.array(np.concatenate([links[linked], np.zeros(len(moved), np.int64)]), pa.int64())})
 
     return run
 
 
-def _join(vectors: DataFrame, dim: int, least: float, block: int) -> DataFrame:
-    eps = float(np.sqrt(2 - 2 * least))
-    rows, boxes, levels, fan = _sequence(vectors, dim, eps, block)
+def _spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of vertices to the smallest that the given links reach, one for each vertex that is not itself the smallest."""
+    vertices, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j, label = at[: len(i)], at[len(i) :], np.arange(len(vertices))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, j, label[i])
+        np.minimum.at(label, i, label[j])
+        label = label[label]
+        if (label == before).all():
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            return vertices[label[moved]], vertices[moved]
+
+
+def _join(vectors: DataFrame, dim: int, least: float, block: int, leaf: int) -> DataFrame:
+    eps, rotation = float(np.sqrt(2 - 2 * least)), _rotation(vectors, dim)
+    rows, boxes, levels, fan = _sequence(vectors, dim, eps, block, rotation)
     pairs = near_block_pairs(boxes, levels, fan, eps)
-    sides = pairs.select("i", "j", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.when(F.col("i") != F.col("j"), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("s")).where("s is not null").select("i", "j", "s.side", "s.block")
-    dealt = sides.join(rows, "block").select("i", "j", "side", "id", "times", "x")
-    return stored(dealt.groupBy("i", "j").applyInArrow(lambda t: _compare(dim, least)(t), "a long, b long, n long"), "grid-links")
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.when(F.col("i") != F.col("j"), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))
+    sides = pairs.select("i", "j", F.explode(both).alias("s")).where("s is not null").select("i", "j", "s.side", "s.block")
+    dealt = sides.join(rows, "block").select("i", "j", "side", "place", "id", "times", "x")
+    return stored(dealt.groupBy("i", "j").applyInArrow(lambda t: _compare(dim, least, eps, rotation, leaf)(t), "a long, b long, n long"), "grid-links")
 
 
-def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
+def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """id, n_links, component_id and kept for each row.
 
     Rows are linked if the cosine of their vectors, in double precision, is at least ``least``. n_links counts the other
@@ -226,7 +263,7 @@ def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
 
     found = None
     for (dim,) in copies.select(F.size("x").alias("d")).distinct().orderBy("d").collect():
-        part = _join(copies.where(F.size("x") == dim).select(F.col("node").alias("id"), "times", "x"), dim, least, block)
+        part = _join(copies.where(F.size("x") == dim).select(F.col("node").alias("id"), "times", "x"), dim, least, block, leaf)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))

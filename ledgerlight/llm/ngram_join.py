@@ -9,8 +9,10 @@ so that two similar sets share a rare token or two frequent tokens of one group.
 number of groups grows with the set, which keeps entries in proportion to it; sets whose
 sizes can be similar share a grouping.
 
-Texts with one set form a class and go through the join once. A list's first members are
-compared with all others that sizes allow; of the other pairs, those that components
+Texts with one set form a class and go through the join once. A list is sorted by the
+share of rare tokens in its members: the first ones are nearest to the text that a group
+of near copies goes back to, and lead all of the group's lists. They are compared with all
+others that sizes allow; of the other pairs, those that components
 still divide are compared after that, so large groups of near copies are not
 expanded into all their pairs, and no link between components is missed. Candidates are
 pruned by how many prefix tokens they share, and the rest verified on their whole sets.
@@ -43,7 +45,7 @@ HELD = 1 << 21
 #: Sets below this size use frequent tokens like rare ones; those that can be similar to such sets do both.
 TINY = 8
 #: Classes in a part of a group of candidates; bits of the filter before the join with texts (8 bits to a byte).
-PART, FILTER_BITS = 400, 1 << 23
+PART, FILTER_BITS = 100, 1 << 23
 _U = np.uint64
 
 
@@ -124,7 +126,7 @@ def entries(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, in
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, n) rows sorted by entry and class to pairs (a, b, shared, lead) and, with b null, the members of long lists.
+    """(entry, class, n, rare) rows sorted by entry, rare and class to pairs (a, b, shared, lead) and, with b null, the members of long lists.
 
     Lists pass by as a stream; shared counts a pair's short lists. Long lists give their leaders' pairs only, with shared 0.
     lead is above 0 if one of the pair leads some list.
@@ -145,7 +147,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(sums[k : k + 50_000, 0]), pa.array(sums[k : k + 50_000, 1]), none, none], schema=schema)
 
-    for entry, name, n in _runs(batches):
+    for entry, name, n, _ in _runs(batches):
         begins = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
         count = np.diff(np.append(begins, len(entry)))
         width = np.repeat(count, count)
@@ -227,8 +229,8 @@ def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, class, n, often, entries) for each row; entries is null where the task has sent those of the class before,
-    and key is the text's SHA-256 where there is no id."""
+    """(id, key, class, n, often, rare, entries) for each row; entries is null where the task has sent those of the class
+    before, key is the text's SHA-256 where there is no id, and rare is the part of rare tokens in a set, in 10,000ths."""
     frequent = frequent_tokens(documents, text_col)
     kind = documents.schema[id_col].dataType
 
@@ -239,13 +241,14 @@ def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                names, sizes, often, lists = [], [], [], []
+                names, sizes, often, rare, lists = [], [], [], [], []
                 for tokens in shingle_sets(t.as_py() for t in part.column(1)):
                     name = _class_of(tokens) if len(tokens) else None
                     names.append(name)
                     sizes.append(len(tokens))
                     if name is None or name in sent:
                         often.append(0)
+                        rare.append(0)
                         lists.append(None)
                         continue
                     if len(sent) < HELD:
@@ -257,14 +260,15 @@ def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         known[at_known] = frequent[spot] == tokens[at_known]
                     found, count = entries(tokens, known)
                     often.append(count)
+                    rare.append(int(np.count_nonzero(~known)) * 10_000 // len(tokens))
                     lists.append(found.view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int32)
                 values = np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int64)])
                 none = pa.array([x is None for x in lists])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(often, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=none)], ["id", "key", "class", "n", "often", "entries"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(often, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=none)], ["id", "key", "class", "n", "often", "rare", "entries"])
 
     key = F.when(F.col(id_col).isNull(), F.sha2(text_col, 256)).alias("_key")
-    return stored(documents.select(id_col, text_col, key).mapInArrow(build, f"id {kind.simpleString()}, key string, class long, n long, often long, entries array<long>"), "join-index")
+    return stored(documents.select(id_col, text_col, key).mapInArrow(build, f"id {kind.simpleString()}, key string, class long, n long, often long, rare long, entries array<long>"), "join-index")
 
 
 def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -359,8 +363,8 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = documents.sparkSession
     index = _index(documents, id_col, text_col)
-    lists = index.where("entries is not null").select(F.explode("entries").alias("entry"), "class", "n")
-    lists = lists.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "class")
+    lists = index.where("entries is not null").select(F.explode("entries").alias("entry"), "class", "n", "rare")
+    lists = lists.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "rare", "class")
     found = stored(lists.mapInArrow(_candidates, "a long, b long, shared long, lead long, entry long, n long"), "join-candidates")
 
     # A pair needs as many common tokens in the prefixes as their suffixes leave open; frequent tokens and those of

@@ -260,8 +260,9 @@ def test_embedding_dedup(spark):
     sound = {i: np.array(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
     links = [(a, b) for a in sound for b in sound if a < b and len(sound[a]) == len(sound[b]) and sound[a] @ sound[b] / np.sqrt((sound[a] @ sound[a]) * (sound[b] @ sound[b])) >= 0.9]
     degree, roots = Counter(x for p in links for x in p), components([i for i, _ in rows], links)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in grid_join.link_vectors(table, block=16).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in grid_join.link_vectors(table, block=16, leaf=8).collect()}
     assert got == {i: (degree[i], roots[i], roots[i] == i) for i, _ in rows}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in grid_join.link_vectors(table, leaf=4).collect()} == got
     assert grid_join.link_vectors(table.limit(0)).count() == 0
 
 
