@@ -26,6 +26,8 @@ class Field:
             raise ValueError(f"{self.key} needs rules or a reason for none")
 
 
+#: Columns of a case that conditions read.
+READ = ("payment_count", "completion_date")
 CATALOGUE = (
     Field("payment_rows", ("utilisation_shortfall", "stalled_work", "vendor_concentration"), "not_published", "payment_count = 0"),
     Field("completion_rows", ("execution_delay",), "not_applicable", "completion_date is null"),

@@ -58,24 +58,26 @@ def exact_counts(works: DataFrame) -> DataFrame:
     return readable.withColumn("agency_described", F.sum("same_count").over(W.partitionBy("agency")))
 
 
-def derive(works: DataFrame, payments: DataFrame, accounts: DataFrame, as_of: datetime.date, similarity: DataFrame | None = None, agency_floor: int = AGENCY_FLOOR) -> DataFrame:
+def derive(works: DataFrame, payments: DataFrame | None, accounts: DataFrame, as_of: datetime.date, similarity: DataFrame | None = None, agency_floor: int = AGENCY_FLOOR, shares: DataFrame | None = None) -> DataFrame:
     """All features of each work.
 
     works: work_id, agency, member, fy, status, description, sanctioned_amt, sanction_date, recommended_date,
     recommended_date__why, completion_date, completion_date__why, certified_amt, certified_amt__why, asset_image_present,
-    asset_image__why. payments: work_id, agency, vendor_id, paid_amt, payment_date. accounts: member, allocated_amt,
-    allocated_amt__why, account_sanctioned. similarity: work_id, duplicate_similarity (null or no row: no peer); without
-    it a repeated description under the agency is 1 and any other readable one 0.
+    asset_image__why. payments: work_id, agency, vendor_id, paid_amt, payment_date; where it is None, works have the columns
+    of ``payment_rollup``, and shares those of ``agency_totals``. accounts: member, allocated_amt,
+    allocated_amt__why, account_sanctioned. similarity: agency, description_key, duplicate_similarity (null or no row: no
+    peer); without it a repeated description under the agency is 1 and any other readable one 0.
     """
     works = works.withColumn("description_key", description_key("description"))
-    shares = agency_totals(payments).select(F.col("agency").alias("_agency"), F.col("vendor_id").alias("_vendor"), "vendor_paid", "agency_paid")
+    shares = (agency_totals(payments) if shares is None else shares).select(F.col("agency").alias("_agency"), F.col("vendor_id").alias("_vendor"), "vendor_paid", "agency_paid")
     counts = exact_counts(works).select(F.col("agency").alias("_a"), F.col("description_key").alias("_d"), "same_count", "agency_described")
-    rows = works.join(payment_rollup(payments), "work_id", "left")
+    rows = works if payments is None else works.join(payment_rollup(payments), "work_id", "left")
     rows = rows.join(shares, (F.col("agency") == F.col("_agency")) & (F.col("top_vendor") == F.col("_vendor")), "left").drop("_agency", "_vendor")
     rows = rows.join(counts, (F.col("agency") == F.col("_a")) & (F.col("description_key") == F.col("_d")), "left").drop("_a", "_d")
     rows = rows.join(accounts, "member", "left")
     if similarity is not None:
-        rows = rows.join(similarity.select("work_id", F.col("duplicate_similarity").alias("_similar")), "work_id", "left")
+        best = similarity.select(F.col("agency").alias("_a"), F.col("description_key").alias("_d"), F.col("duplicate_similarity").alias("_similar"))
+        rows = rows.join(best, (F.col("agency") == F.col("_a")) & (F.col("description_key") == F.col("_d")), "left").drop("_a", "_d")
     else:
         rows = rows.withColumn("_similar", F.when(F.col("agency_described") > 1, F.when(F.col("same_count") > 1, 1.0).otherwise(0.0)))
 

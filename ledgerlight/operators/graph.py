@@ -9,9 +9,14 @@ from ..sources.tables import materialised
 from .features import agency_totals
 
 
+def with_share(totals: DataFrame) -> DataFrame:
+    """agency, vendor_id, vendor_paid and agency_paid with the vendor's share of what the agency pays."""
+    return totals.withColumn("share", F.try_divide("vendor_paid", "agency_paid"))
+
+
 def shares(paid: DataFrame) -> DataFrame:
     """(agency, vendor_id, vendor_paid, agency_paid, share)."""
-    return agency_totals(paid).withColumn("share", F.try_divide("vendor_paid", "agency_paid"))
+    return with_share(agency_totals(paid))
 
 
 def spans(edges: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ def ranked(cases: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return cases.orderBy(*[way(c) for way, c in RANKING]).offset(offset).limit(limit)
 
 
-def listed(cases: DataFrame, who: Principal, severity: str | None = None, state: str | None = None, district: str | None = None, agency: str | None = None, status: str | None = None, synthetic: bool = False, term: str | None = None) -> DataFrame:
-    """The scoped and filtered cases; a search term is looked for in six columns, before any limit."""
+def listed(cases: DataFrame, who: Principal, severity: str | None = None, state: str | None = None, district: str | None = None, agency: str | None = None, status: str | None = None, synthetic: bool = False, term: str | tuple[str, ...] | None = None) -> DataFrame:
+    """The scoped and filtered cases; a search term, or any of several, is looked for in six columns, before any limit."""
     rows = scoped(cases, who)
     if not synthetic:
         rows = rows.where("not is_synthetic")
@@ -88,7 +88,8 @@ def listed(cases: DataFrame, who: Principal, severity: str | None = None, state:
     if term:
         found = F.lit(False)
         for c in SEARCHED:
-            found |= F.coalesce(F.lower(c).contains(term.lower()), F.lit(False))
+            for t in (term,) if isinstance(term, str) else term:
+                found |= F.coalesce(F.lower(c).contains(t.lower()), F.lit(False))
         rows = rows.where(found)
     return rows
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,12 +64,8 @@ def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8
     texts = rows.groupBy(block, key).agg(F.count("*").alias("n"))
     firsts = rows.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(id_col))).where(F.col("nth") <= k + 1).select(block, F.col(key).alias("other"), F.col(id_col).alias("peer"))
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(x, y) / 100 for x, y in zip(a, b, strict=True)])
-
     pairs = texts.select(block, key).join(texts.select(block, F.col(key).alias("other")), block)
-    pairs = pairs.withColumn("score", F.when(F.col(key) == F.col("other"), 1.0).otherwise(score(key, "other"))).where(F.col("score") >= least)
+    pairs = pairs.withColumn("score", F.when(F.col(key) == F.col("other"), 1.0).otherwise(set_ratio(key, "other"))).where(F.col("score") >= least)
     # Per text, more texts than k + 1 can't reach a list of k: each has a row at least.
     best = pairs.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k + 1)
     peers = rows.select(block, key, id_col).join(best.select(block, key, "other", "score"), [block, key]).join(firsts, [block, "other"]).where(F.col(id_col) != F.col("peer"))
@@ -77,8 +73,33 @@ def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8
     return ranked.select(id_col, "peer", "score", "rank")
 
 
-def best_similarity(peers: DataFrame, id_col: str) -> DataFrame:
-    return peers.where("rank = 1").select(id_col, F.col("score").alias("duplicate_similarity"))
+def set_ratio(a: str, b: str) -> Column:
+    """token_set_ratio of two columns, from 0 to 1."""
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(p, q) / 100 for p, q in zip(x, y, strict=True)])
+
+    return score(a, b)
+
+
+def best_in_block(rows: DataFrame, block: str, key: str) -> DataFrame:
+    """(block, key, duplicate_similarity): for each text of a block, the best ratio to another row's text there.
+
+    A text that repeats has 1 without any comparison. Others are compared with the block's distinct texts; those whose
+    words hold all of the other's, or lie in them, have 1 by the ratio's definition and need no Python either.
+    """
+    texts = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull()).groupBy(block, key).agg(F.count("*").alias("n"))
+    words = F.array_distinct(F.split(key, r"\s+"))
+    once = texts.where("n = 1").select(block, key, words.alias("_x"))
+    pairs = once.join(texts.select(block, F.col(key).alias("_other"), words.alias("_y")), block).where(F.col(key) != F.col("_other"))
+    within = (F.size(F.array_except("_x", "_y")) == 0) | (F.size(F.array_except("_y", "_x")) == 0)
+    pairs = pairs.withColumn("_within", within)
+    alone = pairs.groupBy(block, key).agg(F.max("_within").alias("_one"))
+    scored = pairs.join(alone.where("not _one").select(block, key), [block, key], "left_semi").withColumn("_score", set_ratio(key, "_other"))
+    best = scored.groupBy(block, key).agg(F.max("_score").alias("duplicate_similarity"))
+    whole = texts.where("n > 1").select(block, key).unionByName(alone.where("_one").select(block, key)).withColumn("duplicate_similarity", F.lit(1.0))
+    return best.unionByName(whole)
 
 
 def citation_components(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,22 +1,33 @@
-"""The star-schema tables in the roles of works, payments, members and agencies."""
+"""The star-schema tables in the roles of works, payments, members and agencies, and the tables built from them.
+
+Each built table is written once for a session and folder, from tables built before it, and read by all queries after
+that. ``built`` makes what is asked for and what it needs, so that a query about vendors doesn't score any case.
+"""
 
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import NOT_APPLICABLE, NOT_PUBLISHED, PUBLISHED, description_key
-from ..operators.features import DONE, derive
+from ..operators import rollups, scoring
+from ..operators.features import DONE, agency_totals, derive
 from ..operators.rulebook import Rulebook, checked, load
-from ..operators.scoring import cases
-from ..operators.similarity import best_similarity, similar_peers
+from ..operators.similarity import best_in_block
+from ..sources.tables import shared_path
 
 #: All days are counted to this one, never to today.
 AS_OF = datetime.date(2001, 12, 31)
-SMALL_BROADCAST = ("nation", "region")  # 25 and 5 rows by the schema
+#: Paid by an agency in all, at or below which a vendor's share of it is not looked at: large enough here to leave some out.
+AGENCY_FLOOR = 20_000_000
+#: One order of so many is a synthetic work, which rollups, lists and alerts leave out.
+SYNTHETIC_EVERY = 997
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +51,53 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("member"), "state", "district", F.concat("district", F.lit("/"), "c_mktsegment").alias("agency"), F.bround(F.greatest("c_acctbal", F.lit(0.0)), 0).cast("long").alias("allocated_amt"))
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: By session, folder and name: where a built table is, and its columns.
+_BUILT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``TABLES``, written to the shared folder by the first query that needs it.
+
+    What was built holds for the session: ``forget`` it where the inputs change. Files that are gone are built anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _BUILT:
+        path, schema = _BUILT[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the folder was removed
+            del _BUILT[key]
+    rows = TABLES[name](spark, sf_dir)
+    path = shared_path(spark, f"corpus-{name}")
+    rows.write.parquet(path)
+    _BUILT[key] = path, rows.schema
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def forget(sf_dir: str) -> None:
+    for key in [k for k in _BUILT if k[1] == sf_dir]:
+        del _BUILT[key]
+
+
+def _paid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one reading of lineitem: sums for each order and vendor."""
+    rupees = F.bround("l_extendedprice", 0).cast("long")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", rupees.alias("paid"), F.to_date("l_shipdate").alias("on"), "l_returnflag")
+    return lines.groupBy(F.col("l_orderkey").alias("order_key"), F.col("l_suppkey").alias("vendor_id")).agg(
+        F.sum("paid").alias("paid"), F.count("*").alias("n"), F.min("on").alias("lo"), F.max("on").alias("hi"), F.min("l_partkey").alias("part"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("paid"))).alias("certified_amt")
+    )
+
+
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A work for each order. Its recommendation is the member's order before; its description is the part of its first line."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("on"), "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", F.to_date("l_shipdate").alias("shipped"), "l_returnflag")
-    by_order = lines.groupBy("l_orderkey").agg(F.max("shipped").alias("last"), F.min("l_partkey").alias("part"), F.sum(F.when(F.col("l_returnflag") == "A", F.bround("l_extendedprice", 0).cast("long"))).alias("certified_amt"))
+    top = F.max_by("vendor_id", F.when(F.col("vendor_id").isNotNull() & F.col("paid").isNotNull(), F.struct(F.col("paid"), -F.col("vendor_id"))))
+    by_order = built(spark, sf_dir, "lines").groupBy("order_key").agg(
+        F.min("part").alias("part"), F.sum("certified_amt").alias("certified_amt"), F.sum("paid").alias("paid_amt"), F.sum("n").alias("n_payments"), F.min("lo").alias("first_payment"), F.max("hi").alias("last_payment"), top.alias("top_vendor")
+    )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("description"))
     earlier = W.partitionBy("o_custkey").orderBy("on", "o_orderkey")
-    rows = orders.withColumn("recommended_date", F.lag("on").over(earlier)).join(by_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(part, "part", "left")
+    rows = orders.withColumn("recommended_date", F.lag("on").over(earlier)).join(by_order, F.col("o_orderkey") == F.col("order_key"), "left").drop("order_key").join(part, "part", "left")
     rows = rows.join(members(spark, sf_dir), F.col("o_custkey") == F.col("member"))
     year = F.year("on").cast("string")
     fy = F.concat(year, F.lit("-"), (F.year("on") + 1).cast("string"))
@@ -59,26 +109,38 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(done, DONE).when(F.col("o_orderstatus") == "P", "Work partially Completed").otherwise("Sanction").alias("status"),
         F.bround("o_totalprice", 0).cast("long").alias("sanctioned_amt"), F.col("on").alias("sanction_date"),
         "recommended_date", F.when(F.col("recommended_date").isNull(), NOT_PUBLISHED).otherwise(PUBLISHED).alias("recommended_date__why"),
-        F.when(done, F.col("last")).alias("completion_date"), F.when(~done, NOT_APPLICABLE).when(F.col("last").isNull(), NOT_PUBLISHED).otherwise(PUBLISHED).alias("completion_date__why"),
+        F.when(done, F.col("last_payment")).alias("completion_date"), F.when(~done, NOT_APPLICABLE).when(F.col("last_payment").isNull(), NOT_PUBLISHED).otherwise(PUBLISHED).alias("completion_date__why"),
         "certified_amt", F.when(F.col("certified_amt").isNull(), NOT_PUBLISHED).otherwise(PUBLISHED).alias("certified_amt__why"),
         F.when(done & (image != "3"), image != "5").alias("asset_image_present"), F.when(done & (image != "3"), PUBLISHED).otherwise(NOT_PUBLISHED).alias("asset_image__why"),
-        F.lit(False).alias("is_synthetic"),
+        (F.col("o_orderkey") % SYNTHETIC_EVERY == 1).alias("is_synthetic"), "paid_amt", "n_payments", "first_payment", "last_payment", "top_vendor",
     )
 
 
-def payments(spark: SparkSession, sf_dir: str, work: DataFrame | None = None) -> DataFrame:
+PAYMENT_SUMS = ("paid_amt", "n_payments", "first_payment", "last_payment", "top_vendor")
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "works").drop(*PAYMENT_SUMS)
+
+
+def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per work with a payment: paid_amt, n_payments, first_payment, last_payment and top_vendor."""
+    return built(spark, sf_dir, "works").where("n_payments is not null").select("work_id", *PAYMENT_SUMS)
+
+
+def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """work_id, agency, vendor_id, paid_amt, payment_date for each line."""
-    work = works(spark, sf_dir) if work is None else work
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("vendor_id"), F.bround("l_extendedprice", 0).cast("long").alias("paid_amt"), F.to_date("l_shipdate").alias("payment_date"))
-    return lines.join(work.select("order_key", "work_id", "agency"), F.col("l_orderkey") == F.col("order_key")).select("work_id", "agency", "vendor_id", "paid_amt", "payment_date")
+    work = built(spark, sf_dir, "works").select("order_key", "work_id", "agency")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("vendor_id"), F.bround("l_extendedprice", 0).cast("long").alias("paid_amt"), F.to_date("l_shipdate").alias("payment_date"))
+    return lines.join(work, F.col("l_orderkey") == F.col("order_key")).select("work_id", "agency", "vendor_id", "paid_amt", "payment_date", F.col("l_linenumber").alias("line"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(agency, vendor_id, paid_amt) for each line, without the columns that only works need."""
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(agency, vendor_id, vendor_paid, agency_paid) over all works; what is paid is summed before and after the join."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("vendor_id"), F.bround("l_extendedprice", 0).cast("long").alias("paid_amt"))
-    by_order = lines.groupBy("l_orderkey", "vendor_id").agg(F.sum("paid_amt").alias("paid_amt"))
-    return by_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(members(spark, sf_dir).select("member", "agency"), F.col("o_custkey") == F.col("member")).select("agency", "vendor_id", "paid_amt")
+    lines = built(spark, sf_dir, "lines").select("order_key", "vendor_id", F.col("paid").alias("paid_amt"))
+    by_member = lines.join(orders, F.col("order_key") == F.col("o_orderkey")).groupBy("o_custkey", "vendor_id").agg(F.sum("paid_amt").alias("paid_amt"))
+    return agency_totals(by_member.join(members(spark, sf_dir).select("member", "agency"), F.col("o_custkey") == F.col("member")))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +149,44 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir).select("member", "allocated_amt", F.lit(PUBLISHED).alias("allocated_amt__why")).join(spent, "member", "left")
 
 
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = built(spark, sf_dir, "works")
+    similar = best_in_block(work.withColumn("description_key", description_key("description")), "agency", "description_key")
+    return derive(work, None, accounts(spark, sf_dir), AS_OF, similarity=similar, agency_floor=AGENCY_FLOOR, shares=built(spark, sf_dir, "shares"))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases under the rulebook, in files that hold few states and districts each."""
+    base = built(spark, sf_dir, "base")
+    rows = scoring.with_bonus(base, rulebook())
+    return rows.repartitionByRange("state", "district", "case_id").sortWithinPartitions("state", "district", "case_id")
+
+
+TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "lines": _paid_lines,
+    "works": _works,
+    "shares": _shares,
+    "features": _features,
+    "base": lambda spark, d: scoring.base_scores(built(spark, d, "features"), rulebook()),
+    "cases": _cases,
+    "hits": lambda spark, d: scoring.rule_hits(built(spark, d, "cases")),
+    **{f"rollup_{g}": (lambda spark, d, g=g: rollups.rollup(built(spark, d, "cases"), g)) for g in rollups.GRAINS},
+}
+
+
+def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "shares")
+
+
 def features(spark: SparkSession, sf_dir: str, check: bool = False) -> DataFrame:
-    work = works(spark, sf_dir)
-    keyed = work.select("work_id", "agency", description_key("description").alias("description_key"))
-    similar = best_similarity(similar_peers(keyed, "agency", "work_id", "description_key", k=1), "work_id")
-    rows = derive(work, payments(spark, sf_dir, work), accounts(spark, sf_dir), AS_OF, similarity=similar, agency_floor=0)
+    rows = built(spark, sf_dir, "features")
     return checked(rows) if check else rows
 
 
 def scored_cases(spark: SparkSession, sf_dir: str, book: Rulebook | None = None) -> DataFrame:
-    return cases(features(spark, sf_dir), book or rulebook())
+    """The stored cases; under another rulebook, the stored features scored anew."""
+    return built(spark, sf_dir, "cases") if book is None else scoring.cases(built(spark, sf_dir, "features"), book)
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "hits")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import HONORIFICS
 from ..operators.rulebook import SQL_OPERATORS, TRUTHS
-from .corpus import AS_OF, rulebook
+from .corpus import AGENCY_FLOOR, AS_OF, SYNTHETIC_EVERY, rulebook
 
 _RUPEES = "cast(round_even({0}, 0) as bigint)"
 
@@ -28,7 +28,8 @@ works as (
          case when o_orderstatus = 'F' then last end as completion_date,
          case when o_orderstatus <> 'F' then 'not_applicable' when last is null then 'not_published' else 'published' end as completion_why,
          cast(certified_amt as bigint) as certified_amt,
-         case when o_orderstatus = 'F' and o_orderpriority[1] <> '3' then o_orderpriority[1] <> '5' end as image
+         case when o_orderstatus = 'F' and o_orderpriority[1] <> '3' then o_orderpriority[1] <> '5' end as image,
+         o_orderkey % {SYNTHETIC_EVERY} = 1 as is_synthetic
   from orders join members on o_custkey = member left join lines on l_orderkey = o_orderkey left join part on p_partkey = part),
 payments as (
   select work_id, agency, l_suppkey as vendor_id, {_RUPEES.format("l_extendedprice")} as paid_amt, cast(l_shipdate as date) as payment_date
@@ -45,6 +46,21 @@ paid as (
   from by_vendor group by work_id),
 spent as (select member, cast(sum(sanctioned_amt) as bigint) as account_sanctioned from works group by member),
 keyed as (select *, nullif(trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')), '') as dkey from works),
+texts as (select agency, dkey, count(*) as n, list_sort(list_distinct(string_split(dkey, ' '))) as words from keyed where dkey is not null and agency is not null group by agency, dkey),
+word_pairs as (
+  select a.agency, a.dkey, list_sort(list_intersect(a.words, b.words)) as shared, list_sort(list_filter(a.words, lambda w: not list_contains(b.words, w))) as mine,
+         list_sort(list_filter(b.words, lambda w: not list_contains(a.words, w))) as theirs
+  from texts a join texts b on a.agency = b.agency and a.dkey <> b.dkey where a.n = 1),
+joined as (select *, array_to_string(shared, ' ') as s, array_to_string(list_concat(shared, mine), ' ') as p, array_to_string(list_concat(shared, theirs), ' ') as q from word_pairs),
+matched as (
+  select *, length(p) - bit_count(list_reduce(list_prepend((1::bigint << length(p)) - 1, list_transform(string_split(q, ''),
+           lambda c: list_sum(list_transform(range(1, length(p) + 1), lambda i: case when p[i] = c then 1::bigint << (i - 1)::int else 0 end))::bigint)),
+           lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::bigint << length(p)) - 1))) as lcs
+  from joined),
+best as (
+  select agency, dkey, max(case when len(shared) > 0 and (len(mine) = 0 or len(theirs) = 0) then 100.0::double
+           else greatest(200.0::double * lcs / (length(p) + length(q)), case when len(shared) > 0 then greatest(200.0::double * length(s) / (length(s) + length(p)), 200.0::double * length(s) / (length(s) + length(q))) else 0 end) end) / 100.0::double as best
+  from matched group by agency, dkey),
 same as (select agency, dkey, count(*) as same_count, sum(count(*)) over (partition by agency) as described from keyed where dkey is not null group by agency, dkey),
 features as (
   select w.* exclude (dkey), w.dkey as dkey, p.paid_amt, p.first_payment, p.last_payment, same_count, described,
@@ -61,18 +77,18 @@ features as (
          completion_date - sanction_date as execution_days, completion_why as execution_days__why,
          date '{AS_OF}' - last_payment as days_since_last_payment,
          case when last_payment is null then 'not_published' else 'published' end as days_since_last_payment__why,
-         case when agency_paid > 0 then vendor_paid / agency_paid * 100.0 end as vendor_share_in_agency_pct,
-         case when agency_paid > 0 then 'published' when agency_paid <= 0 then 'not_applicable' else 'not_published' end as vendor_share_in_agency_pct__why,
+         case when agency_paid > {AGENCY_FLOOR} then vendor_paid / agency_paid * 100.0 end as vendor_share_in_agency_pct,
+         case when agency_paid > {AGENCY_FLOOR} then 'published' when agency_paid <= {AGENCY_FLOOR} then 'not_applicable' else 'not_published' end as vendor_share_in_agency_pct__why,
          status = 'Work Completed' and n_payments is null as completed_without_payment, 'published' as completed_without_payment__why,
          not image as asset_image_absent, case when image is null then 'not_published' else 'published' end as asset_image_absent__why,
          case when allocated_amt <> 0 then coalesce(account_sanctioned, 0) / allocated_amt * 100.0 end as mp_utilisation_pct,
          case when allocated_amt = 0 then 'published_zero' else 'published' end as mp_utilisation_pct__why,
-         case when w.dkey is not null and described > 1 then case when same_count > 1 then 1.0 else 0.0 end end as duplicate_similarity,
+         case when w.dkey is not null and described > 1 then case when same_count > 1 then 1.0 else b.best end end as duplicate_similarity,
          case when w.dkey is null then 'not_published' when described > 1 then 'published' else 'not_applicable' end as duplicate_similarity__why,
          same_count as same_desc_same_agency_count, case when same_count is null then 'not_published' else 'published' end as same_desc_same_agency_count__why,
          coalesce(n_payments, 0) as payment_count
   from keyed w left join paid p using (work_id) left join shares s on s.agency = w.agency and s.vendor_id = top_vendor
-       left join same c on c.agency = w.agency and c.dkey = w.dkey
+       left join same c on c.agency = w.agency and c.dkey = w.dkey left join best b on b.agency = w.agency and b.dkey = w.dkey
        left join spent using (member) join (select member, allocated_amt from members) m using (member))"""
 
 
@@ -111,11 +127,11 @@ _ITEM = "case_id, work_id, state, district, agency, score, raw_score, severity,
 
 
 def _rollup(keys: str, distinct: str) -> str:
-    return f"with {CASES} select {keys}, {_MEASURES}, count(distinct {distinct}) as n_{distinct} from cases group by {keys}"
+    return f"with {CASES} select {keys}, {_MEASURES}, count(distinct {distinct}) as n_{distinct} from cases where not is_synthetic group by {keys}"
 
 
 _HITS = f"with {CASES}, hits as (select c.case_id, t.* from trace t join cases c using (work_id))"
-_ROLLED = f"with {CASES}, rolled as (select state, {_MEASURES} from cases group by state)"
+_ROLLED = f"with {CASES}, rolled as (select state, {_MEASURES} from cases where not is_synthetic group by state)"
 
 _LINK = """links as (select distinct 'A' || agency as a, 'V' || vendor_id as b from edges)"""
 
@@ -185,14 +201,14 @@ ORACLE_SQL = {
     "rollup_retotal": f"""{_ROLLED} select cast(sum(cases) as bigint) as cases, cast(sum(high) as bigint) as high, cast(sum(medium) as bigint) as medium, cast(sum(low) as bigint) as low,
   cast(sum(sanctioned) as bigint) as sanctioned, cast(sum(paid) as bigint) as paid, round(sum(mean_coverage * cases) / sum(cases), 4) as mean_coverage, max(worst) as worst from rolled""",
     "national_top_states": f"{_ROLLED} select state, cases, high, sanctioned from rolled order by high desc, sanctioned desc, state limit 10",
-    "district_queue": f"with {CASES} select {_ITEM} from cases where state = 'ASIA' and district = 'CHINA' {_ORDER} limit 25",
+    "district_queue": f"with {CASES} select {_ITEM} from cases where state = 'EUROPE' and district = 'NATION_13' {_ORDER} limit 25",
     "member_worst_cases": f"with {CASES} select {_ITEM} from cases where member = 7 {_ORDER} limit 5",
     "member_utilisation_percentile": f"""with {FEATURES}, u as (select distinct member, account_sanctioned / nullif(m.allocated_amt, 0) * 100.0 as pct from spent join members m using (member))
   select member, round(pct, 6) as utilisation_pct, round(cume_dist() over (order by pct) * 100, 1) as percentile from u where pct is not null""",
-    "case_search_paged": f"""with {CASES} select {_ITEM} from cases where severity <> 'LOW' and (contains(lower(work_id), 'plate') or contains(lower(case_id), 'plate') or contains(lower(state), 'plate')
+    "case_search_paged": f"""with {CASES} select {_ITEM} from cases where severity <> 'LOW' and not is_synthetic and (contains(lower(work_id), 'plate') or contains(lower(case_id), 'plate') or contains(lower(state), 'plate')
   or contains(lower(district), 'plate') or contains(lower(agency), 'plate') or contains(lower(description), 'plate') or contains(lower(agency), 'building')) {_ORDER} limit 20 offset 10""",
     "scoped_state": f"with {CASES} select severity, count(*) as cases from cases where state = 'EUROPE' group by severity",
-    "scoped_district": f"with {CASES} select severity, count(*) as cases from cases where state = 'EUROPE' and district = 'FRANCE' group by severity",
+    "scoped_district": f"with {CASES} select severity, count(*) as cases from cases where state = 'EUROPE' and district = 'NATION_13' group by severity",
     "scoped_member": f"with {CASES} select {_ITEM} from cases where member = 1",
     "ambiguous_names": "select c_mktsegment as district, count(distinct n_name) as states from customer join nation on c_nationkey = n_nationkey group by 1 having count(distinct n_name) > 1",
     "exact_clusters": f"""with {FEATURES} select 'DC-' || upper(substring(sha256(agency || chr(31) || dkey), 1, 8)) as cluster_id, agency, dkey as description_key, count(*) as works,
@@ -230,7 +246,7 @@ ORACLE_SQL = {
   select member, upper(trim(regexp_replace(regexp_replace(regexp_replace(name, '^((?:{_PREFIXES})\\.?\\s+)+', '', 'i'), '[^A-Za-z ]+', ' ', 'g'), ' +', ' ', 'g'))) as name,
          2022 as term_start, 2028 as term_end from bare""",
     "case_ids": f"with {WORKS} select work_id, 'NG-' || upper(substring(sha256(work_id), 1, 10)) as case_id, regexp_extract(work_id, 'MP(\\d+)/', 1) as mp_code, fy, cast(fy[1:4] as int) as fy_start from works",
-    "alerts_new": f"""with {CASES} select case_id, 'high_severity' as kind, state, district, score from cases where severity = 'HIGH' and order_key % 5 <> 0""",
+    "alerts_new": f"""with {CASES} select case_id, 'high_severity' as kind, state, district, score from cases where severity = 'HIGH' and not is_synthetic and order_key % 5 <> 0""",
     "alerts_loudest_rule": f"{_HITS} select case_id, arg_min(rule_id, (-weight, rule_id)) as rule_id, cast(max(weight) as bigint) as contribution from hits where status = 'fired' group by case_id",
     "alerts_inbox_order": f"""with {CASES}, a as (select case_id, score, ['open', 'acknowledged', 'escalated', 'closed'][(order_key % 4 + 1)::int] as status from cases where severity = 'HIGH')
   select case_id, status, score from a order by list_position(['open', 'acknowledged', 'escalated', 'closed'], status), score desc, case_id limit 50""",

@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ITEM = ["case_id", "work_id", "state", "district", "agency", "score", "raw_score", "severity", "coverage_pct"]
 MINISTRY = scope.Principal(scope.MINISTRY)
+DISTRICT_OFFICER = scope.Principal(scope.DISTRICT, "EUROPE", "NATION_13")
 
 
 def query(f: Query) -> Query:
@@ -43,12 +44,12 @@ def feature_dictionary(spark, d):
 
 @query
 def rule_trace_long(spark, d):
-    return scoring.rule_hits(corpus.scored_cases(spark, d)).select("case_id", "rule_id", "status", "contribution", "skip_reason")
+    return corpus.hits(spark, d).select("case_id", "rule_id", "status", "contribution", "skip_reason")
 
 
 @query
 def rule_firing_counts(spark, d):
-    return scoring.firing_counts(scoring.rule_hits(corpus.scored_cases(spark, d)))
+    return scoring.firing_counts(corpus.hits(spark, d))
 
 
 @query
@@ -70,7 +71,7 @@ def corroboration_evidence(spark, d):
 
 @query
 def gap_hop_slowest_lag(spark, d):
-    return scoring.base_scores(corpus.features(spark, d), corpus.rulebook()).select("work_id", "gap_hop", "slowest_lag")
+    return corpus.scored_cases(spark, d).select("work_id", "gap_hop", "slowest_lag")
 
 
 @query
@@ -86,14 +87,13 @@ def case_memos(spark, d):
 
 @query
 def fund_accounts_two_grain(spark, d):
-    work = corpus.works(spark, d)
-    rows = rollups.fund_accounts(work, features.payment_rollup(corpus.payments(spark, d, work)), corpus.members(spark, d))
+    rows = rollups.fund_accounts(corpus.works(spark, d), corpus.paid(spark, d), corpus.members(spark, d))
     return rows.withColumn("utilisation_pct", F.round("utilisation_pct", 6))
 
 
 def _rollup(grain: str) -> Query:
     def run(spark, d):
-        return rollups.rollup(corpus.scored_cases(spark, d), grain).withColumn("mean_coverage", F.round("mean_coverage", 6))
+        return corpus.built(spark, d, f"rollup_{grain}").withColumn("mean_coverage", F.round("mean_coverage", 6))
 
     run.__name__ = f"rollup_{grain}"
     return run
@@ -105,19 +105,17 @@ for _grain in rollups.GRAINS:
 
 @query
 def rollup_retotal(spark, d):
-    rolled = rollups.rollup(corpus.scored_cases(spark, d), "state")
-    return rollups.totalled(rolled).withColumn("mean_coverage", F.round("mean_coverage", 4))
+    return rollups.totalled(corpus.built(spark, d, "rollup_state")).withColumn("mean_coverage", F.round("mean_coverage", 4))
 
 
 @query
 def national_top_states(spark, d):
-    return rollups.top_states(rollups.rollup(corpus.scored_cases(spark, d), "state")).select("state", "cases", "high", "sanctioned")
+    return rollups.top_states(corpus.built(spark, d, "rollup_state")).select("state", "cases", "high", "sanctioned")
 
 
 @query
 def district_queue(spark, d):
-    who = scope.Principal(scope.DISTRICT, "ASIA", "CHINA")
-    return scope.ranked(scope.scoped(corpus.scored_cases(spark, d), who), 25).select(*ITEM)
+    return scope.ranked(scope.scoped(corpus.scored_cases(spark, d), DISTRICT_OFFICER), 25).select(*ITEM)
 
 
 @query
@@ -135,8 +133,7 @@ def member_utilisation_percentile(spark, d):
 @query
 def case_search_paged(spark, d):
     c = corpus.scored_cases(spark, d).where("severity <> 'LOW'")
-    found = scope.listed(c, MINISTRY, term="plate").unionByName(scope.listed(c, MINISTRY, term="building")).dropDuplicates(["case_id"])
-    return scope.ranked(found, 20, 10).select(*ITEM)
+    return scope.ranked(scope.listed(c, MINISTRY, term=("plate", "building")), 20, 10).select(*ITEM)
 
 
 def _scoped(name: str, who: scope.Principal) -> None:
@@ -148,7 +145,7 @@ def _scoped(name: str, who: scope.Principal) -> None:
 
 
 _scoped("scoped_state", scope.Principal(scope.STATE, "EUROPE"))
-_scoped("scoped_district", scope.Principal(scope.DISTRICT, "EUROPE", "FRANCE"))
+_scoped("scoped_district", DISTRICT_OFFICER)
 _scoped("scoped_member", scope.Principal(scope.MEMBER, member=1))
 
 
@@ -160,7 +157,7 @@ def ambiguous_names(spark, d):
 
 @query
 def busiest_scopes(spark, d):
-    c = materialised(corpus.scored_cases(spark, d).select("state", "district", "agency", "severity"), "busiest")
+    c = corpus.scored_cases(spark, d).select("state", "district", "agency", "severity")
     parts = [scope.busiest(c, k).select(F.lit(k).alias("scope"), F.col(k).alias("name"), "cases", "high") for k in ("state", "district", "agency")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -184,35 +181,35 @@ def cluster_stats_topk(spark, d):
 
 @query
 def vendor_share(spark, d):
-    rows = graph.shares(corpus.edges(spark, d))
+    rows = graph.with_share(corpus.shares(spark, d))
     return rows.select("agency", "vendor_id", "vendor_paid", "agency_paid", F.round(F.col("share") * 100, 6).alias("share_pct"))
 
 
 @query
 def vendor_span(spark, d):
-    return graph.spans(features.agency_totals(corpus.edges(spark, d)))
+    return graph.spans(corpus.shares(spark, d))
 
 
 @query
 def agency_hhi(spark, d):
-    rows = graph.concentration(graph.shares(corpus.edges(spark, d)))
+    rows = graph.concentration(graph.with_share(corpus.shares(spark, d)))
     return rows.select("agency", "vendors", *[six(c, 9) for c in ("hhi", "top_share", "shared_exposure")])
 
 
 @query
 def concentrated_pairs(spark, d):
-    return graph.concentrated_pairs(graph.shares(corpus.edges(spark, d)), 2.5, features.AGENCY_FLOOR)
+    return graph.concentrated_pairs(graph.with_share(corpus.shares(spark, d)), 2.5, features.AGENCY_FLOOR)
 
 
 @query
 def graph_components(spark, d):
-    big = graph.shares(corpus.edges(spark, d)).where("share * 100 > 2.0")
+    big = graph.with_share(corpus.shares(spark, d)).where("share * 100 > 2.0")
     return graph.components(big.select(F.concat(F.lit("A"), "agency").alias("a"), F.concat(F.lit("V"), F.col("vendor_id").cast("string")).alias("b")))
 
 
 @query
 def graph_findings(spark, d):
-    return graph.graph_findings(corpus.works(spark, d).select("work_id", "agency"), graph.shares(corpus.edges(spark, d)))
+    return graph.graph_findings(corpus.works(spark, d).select("work_id", "agency"), graph.with_share(corpus.shares(spark, d)))
 
 
 def dirty_exports(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +311,7 @@ def alerts_new(spark, d):
 
 @query
 def alerts_loudest_rule(spark, d):
-    return scoring.loudest_rule(scoring.rule_hits(corpus.scored_cases(spark, d)))
+    return scoring.loudest_rule(corpus.hits(spark, d))
 
 
 @query
@@ -332,8 +329,8 @@ def alerts_orphans(spark, d):
 
 def _attributed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = corpus.scored_cases(spark, d)
-    hits = c.select("work_id", "payment_count", "completion_date", F.explode("trace").alias("t")).select("work_id", "payment_count", "completion_date", "t.*")
-    return c, ablation.attribute(hits)
+    rows = c.select("work_id", *ablation.READ, F.explode("trace").alias("t")).select("work_id", *ablation.READ, "t.*")
+    return c, ablation.attribute(rows)
 
 
 @query
@@ -357,7 +354,6 @@ def ablation_band_range(spark, d):
 def ablation_band_range_by_field(spark, d):
     """Both ends of the range, for each field that rules are attributed to."""
     c, found = _attributed(spark, d)
-    c = materialised(c.select("work_id", "score", "payment_count", "completion_date", "trace"), "ablation-cases")
     found = materialised(found, "ablation-fields")
     parts = [ablation.band_range(c, found, f, corpus.rulebook()) for f in ablation.CATALOGUE if f.rules]
     return reduce(DataFrame.unionByName, parts)
@@ -369,8 +365,7 @@ def trace_diff(spark, d):
 
     book = corpus.rulebook()
     other = replace(book, rules=tuple(replace(r, threshold=400) if r.id == "stalled_work" else r for r in book.rules))
-    f = corpus.features(spark, d)
-    return audit.diff_traces(scoring.rule_hits(scoring.cases(f, book)), scoring.rule_hits(scoring.cases(f, other)), ("status",))
+    return audit.diff_traces(corpus.hits(spark, d), scoring.rule_hits(corpus.scored_cases(spark, d, other)), ("status",))
 
 
 @query
@@ -425,7 +420,7 @@ def canonical_agencies(spark, d):
 
 @query
 def anomaly_badges(spark, d):
-    return anomaly.anomaly_badges(materialised(corpus.features(spark, d).select("work_id", "category", "state", "fy", *anomaly.COLUMNS), "anomaly-rows"))
+    return anomaly.anomaly_badges(corpus.features(spark, d).select("work_id", "category", "state", "fy", *anomaly.COLUMNS))
 
 
 @query
