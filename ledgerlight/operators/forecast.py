@@ -9,9 +9,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import spread_ranks
+
 #: Numbers that the model reads. A missing one is a sentinel and a column of its own says so: the trees have no branch for null.
 NUMBERS = ("log_amount", "sanction_lag_days", "vendor_share_in_agency_pct", "mp_utilisation_pct", "same_desc_same_agency_count")
 CODES = ("category", "state", "fy")
@@ -53,7 +54,7 @@ def quality(scored: DataFrame) -> dict[str, float]:
     return {"auc": BinaryClassificationEvaluator(rawPredictionCol="risk").evaluate(held), "accuracy": accuracy, "brier": brier, "constant_brier": constant}
 
 
-def percentile_in(value: str, groups: list[str], tie: str = "work_id") -> Column:
-    """The share of the group's other rows ranked below, in percent; ties by id, null for a row alone."""
-    n = F.count("*").over(W.partitionBy(*groups))
-    return (F.row_number().over(W.partitionBy(*groups).orderBy(value, tie)) - 1) / F.nullif(n - 1, F.lit(0)) * 100
+def percentile_in(rows: DataFrame, value: str, groups: list[str], tie: str = "work_id") -> DataFrame:
+    """Adds percentile: the share of the group's other rows ranked below, in percent; ties by id, null for a row alone."""
+    ranked = spread_ranks(rows, value, [tie], tuple(groups))
+    return ranked.withColumn("percentile", (F.col("_rank") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)) * 100).drop("_rank", "_upto", "_n")

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Reasons that a row can be rejected for.
+from ..functions.text import NOT_PUBLISHED, case_id, collapsed, is_null_token, malformed_amount, malformed_date, member_name, work_id_parts
+
+# The reasons that a row can be rejected for. The last two are reserved: drift is counted and the row kept.
 REASONS = (
-    "footer_row", "work_id_unparseable", "duplicate_work_id", "blank_state", "no_member", "amount_missing", "amount_malformed", "date_malformed",
-    "negative_lag", "unresolved_reference", "unknown_payment_status",
+    "grand_total_row", "work_id_unparseable", "unparseable_amount", "unparseable_date", "null_required_field", "duplicate_work_id",
+    "case_id_collision", "unresolved_reference", "negative_lag", "column_shift", "unknown_category",
 )
 
 
@@ -17,6 +19,52 @@ def is_footer(c: str) -> Column:
     return F.lower(F.regexp_replace(F.col(c), r"(?U)\s+", " ")).contains("grand total")
 
 
+def work_checks(serial: str, work: str, state: str, member: str) -> list[tuple[Column, str]]:
+    """What every work row is checked for, in order; a dataset's own checks come after."""
+    return [(is_footer(serial), "grand_total_row"), (work_id_parts(work)["canon"].isNull(), "work_id_unparseable"), (_blank(collapsed(state)), "null_required_field"), (_blank(member_name(member)["name"]), "null_required_field")]
+
+
+def expenditure_checks(serial: str, work: str, state: str, status: str, amount: str, on: str, member: str) -> list[tuple[Column, str]]:
+    """The checks of a payment row, in order. An amount or date that isn't published is no fault; one that can't be read is."""
+    return [
+        (is_footer(serial), "grand_total_row"), (work_id_parts(work)["canon"].isNull(), "work_id_unparseable"), (_blank(collapsed(state)), "null_required_field"),
+        (is_null_token(status), "null_required_field"), (malformed_amount(amount), "unparseable_amount"), (malformed_date(on), "unparseable_date"), (_blank(member_name(member)["name"]), "null_required_field"),
+    ]
+
+
+def allocation_checks(serial: str, state: str, amount: str, member: str) -> list[tuple[Column, str]]:
+    """The checks of an allocation or calamity row, in order; whether the member is known is a join (``unresolved``)."""
+    return [(is_footer(serial), "grand_total_row"), (_blank(collapsed(state)), "null_required_field"), (malformed_amount(amount), "unparseable_amount"), (_blank(member_name(member)["name"]), "null_required_field")]
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) == ""
+
+
+def first_seen(rows: DataFrame, key: str, raw: str, order: list[str]) -> DataFrame:
+    """(key, raw): of each key the spelling that was read first."""
+    return rows.where(F.col(raw).isNotNull()).groupBy(key).agg(F.min_by(raw, F.struct(*order)).alias(raw))
+
+
+def best_variant(rows: DataFrame, key: str, raw: str, score: str, id_col: str) -> DataFrame:
+    """(key, raw, score): of each key the spelling that matched best, ties by the smaller id."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(raw, score), F.struct(F.col(score), -F.col(id_col))).alias("b")).select(key, f"b.{raw}", f"b.{score}")
+
+
+def with_recommended(sanctions: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """Sanctions with recommended_amt and its reason; those that no recommendation names have none published."""
+    rows = sanctions.join(recommendations.select("work_id", "recommended_amt", "recommended_amt__why"), "work_id", "left")
+    return rows.withColumn("recommended_amt__why", F.coalesce("recommended_amt__why", F.lit(NOT_PUBLISHED)))
+
+
+def with_synthetic_control(works: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(works with the labelled control rows, control rows rejected as their case id is taken)."""
+    taken = works.select(case_id("work_id").alias("_case")).distinct()
+    control = control.withColumn("_case", case_id("work_id")).withColumn("is_synthetic", F.lit(True))
+    fresh = control.join(taken, "_case", "left_anti").drop("_case")
+    return works.unionByName(fresh, allowMissingColumns=True), control.join(taken, "_case", "left_semi").drop("_case").withColumn("reason", F.lit("case_id_collision"))
+
+
 def first_reason(checks: list[tuple[Column, str]]) -> Column:
     """The reason of the first check that holds, or null."""
     out = F

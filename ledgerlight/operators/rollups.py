@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import spread_ranks
+
 GRAINS = {"state": ["state"], "district": ["state", "district"], "agency": ["state", "district", "agency"], "member": ["member"]}
 #: What else each grain counts: distinct values of these.
 DISTINCT = {"state": "district", "district": "agency", "agency": "member", "member": "district"}
@@ -37,6 +39,29 @@ def top_states(rolled: DataFrame, n: int = 10) -> DataFrame:
     return rolled.orderBy(F.desc("high"), F.desc("sanctioned"), "state").limit(n)
 
 
+def in_rank(rolled: DataFrame, name: str) -> DataFrame:
+    """Districts or agencies with their places: most HIGH cases, then most money, then by name."""
+    return rolled.withColumn("place", F.row_number().over(W.orderBy(F.desc("high"), F.desc("sanctioned"), *GRAINS[name])))  # a row for each office
+
+
+def preview(rolled: DataFrame, n: int, *names: str) -> DataFrame:
+    """The n rows with the most HIGH and then most cases, the last of them first, as a bar chart lists them."""
+    top = rolled.orderBy(F.desc("high"), F.desc("cases"), *names).limit(n)
+    return top.orderBy("high", "cases", *[F.desc(c) for c in names])
+
+
+def tally(rows: DataFrame, column: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(column, rows) for each of the kinds, those without a row too."""
+    counted = F.array(*[F.struct(F.lit(k).alias(column), F.count_if(F.col(column) == k).alias("rows")) for k in kinds])
+    return rows.agg(counted.alias("t")).select(F.inline("t"))
+
+
+def shares_of_total(rolled: DataFrame, within: list[str], value: str) -> DataFrame:
+    """Adds share (of the total within, in percent) and scale (of the largest there) to a rollup's rows."""
+    whole = W.partitionBy(*within)
+    return rolled.withColumn("share_pct", F.try_divide(F.col(value), F.sum(value).over(whole)) * 100).withColumn("scale", F.try_divide(F.col(value), F.max(value).over(whole)))
+
+
 def stale(rolled: DataFrame, cases: DataFrame) -> bool:
     """Whether a rollup no longer holds its cases: counts or money differ."""
     a = rolled.agg(F.coalesce(F.sum("cases"), F.lit(0)), F.coalesce(F.sum("sanctioned"), F.lit(0))).first()
@@ -47,13 +72,10 @@ def stale(rolled: DataFrame, cases: DataFrame) -> bool:
 def member_percentile(accounts: DataFrame) -> DataFrame:
     """(member, utilisation_pct, percentile): the share of members whose utilisation is at most the own one, in percent.
 
-    Counted over distinct values, whose running sum is a window over a far smaller table than the members.
+    Members are dealt to ranges of the value, so no task sees all of them.
     """
-    rows = accounts.where("utilisation_pct is not null")
-    values = rows.groupBy("utilisation_pct").agg(F.count("*").alias("n"))
-    share = values.withColumn("upto", F.sum("n").over(W.orderBy("utilisation_pct").rowsBetween(W.unboundedPreceding, 0)))
-    share = share.select("utilisation_pct", (F.col("upto") * 100.0 / F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("percentile"))
-    return rows.join(share, "utilisation_pct").select("member", "utilisation_pct", "percentile")
+    rows = spread_ranks(accounts, "utilisation_pct", ["member"])
+    return rows.select("member", "utilisation_pct", (F.col("_upto") * 100.0 / F.col("_n")).alias("percentile"))
 
 
 def fund_accounts(works: DataFrame, paid: DataFrame, allocations: DataFrame) -> DataFrame:

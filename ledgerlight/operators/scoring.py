@@ -30,7 +30,7 @@ def base_scores(features: DataFrame, book: Rulebook) -> DataFrame:
     rows = features.withColumn("trace", trace(book))
     rows = rows.withColumn("subtotal", total(F.col("trace"), "contribution", "fired"))
     return rows.withColumns({
-        "case_id": case_id("work_id"), "base_severity": severity(F.least("subtotal", F.lit(SCORE_CAP)), book), "coverage_pct": coverage_pct(F.col("trace"), book),
+        "case_id": case_id("work_id"), "rulebook_version": F.lit(book.version), "base_severity": severity(F.least("subtotal", F.lit(SCORE_CAP)), book), "coverage_pct": coverage_pct(F.col("trace"), book),
         "gap_hop": gap_hop(float(rule.threshold)) if rule else gap_hop(), "slowest_lag": slowest_lag(),
     })
 
@@ -85,6 +85,19 @@ def loudest_rule(hits: DataFrame) -> DataFrame:
     return hits.where("status = 'fired'").groupBy("case_id").agg(best.alias("b")).select("case_id", "b.rule_id", "b.contribution")
 
 
+def with_citations(cases: DataFrame, peers: DataFrame, rule: str = "duplicate_work", most: int = 2) -> DataFrame:
+    """(case_id, work_id, cited, best): the works that each case with the rule fired cites, the most similar first.
+
+    peers: (work_id, peer, score, rank) of ``similar_peers``. A case on which the rule fired and that can cite nothing is
+    an error: a repeated work must name the work that it repeats.
+    """
+    fired = cases.where(F.exists("trace", lambda t: (t["rule_id"] == rule) & (t["status"] == "fired"))).select("case_id", "work_id")
+    listed = peers.where(F.col("rank") <= most).groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("rank", "peer", "score"))).alias("peers"))
+    rows = fired.join(listed, "work_id", "left")
+    cited = F.when(F.coalesce(F.size("peers"), F.lit(0)) < 1, F.raise_error(F.lit(f"{rule} fired and cites no work"))).otherwise(F.transform("peers", lambda p: p["peer"]))
+    return rows.select("case_id", "work_id", cited.cast("array<string>").alias("cited"), F.element_at("peers", 1)["score"].alias("best"))
+
+
 def memo() -> Column:
     """A paragraph on a case in a fixed order of sentences; those with nothing to say are left out."""
     fired = F.transform(F.filter("trace", lambda t: t["status"] == "fired"), lambda t: F.replace(t["rule_id"], F.lit("_"), F.lit(" ")))

@@ -61,13 +61,13 @@ def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8
     block's pairs of distinct texts are spread over tasks by the first text, so the largest block isn't one task.
     """
     rows = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull())
-    texts = rows.groupBy(block, key).agg(F.count("*").alias("n"))
+    texts = rows.groupBy(block, key).agg(F.min(id_col).alias("_least"))
     firsts = rows.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(id_col))).where(F.col("nth") <= k + 1).select(block, F.col(key).alias("other"), F.col(id_col).alias("peer"))
 
-    pairs = texts.select(block, key).join(texts.select(block, F.col(key).alias("other")), block)
+    pairs = texts.select(block, key).join(texts.select(block, F.col(key).alias("other"), "_least"), block)
     pairs = pairs.withColumn("score", F.when(F.col(key) == F.col("other"), 1.0).otherwise(set_ratio(key, "other"))).where(F.col("score") >= least)
-    # Per text, more texts than k + 1 can't reach a list of k: each has a row at least.
-    best = pairs.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k + 1)
+    # Of each text, k + 1 others by score and then least id can reach a list of k: one row of each comes before all of the rest.
+    best = pairs.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(F.desc("score"), "_least"))).where(F.col("nth") <= k + 1)
     peers = rows.select(block, key, id_col).join(best.select(block, key, "other", "score"), [block, key]).join(firsts, [block, "other"]).where(F.col(id_col) != F.col("peer"))
     ranked = peers.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), "peer"))).where(F.col("rank") <= k)
     return ranked.select(id_col, "peer", "score", "rank")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..functions.text import HONORIFICS
-from ..operators.rulebook import SQL_OPERATORS, TRUTHS
+from ..operators.ablation import CATALOGUE
+from ..operators.rulebook import SQL_OPERATORS, TRUTHS, digest
+from .build import RULES
 from .corpus import AGENCY_FLOOR, AS_OF, SYNTHETIC_EVERY, rulebook
 
 _RUPEES = "cast(round_even({0}, 0) as bigint)"
@@ -152,19 +154,19 @@ parsed as (
   from raw),
 idd as (select *, nullif(regexp_extract(id, '^(WS/MP(\\d+)/(\\d{4}-\\d{4})/(\\d+))', 1), '') as canon from parsed),
 faults as (
-  select *, case when canon is null then 'work_id_unparseable' when amt is null and amount <> '' then 'amount_malformed'
-                 when amt is null then 'amount_missing' when on_date is null and on_text <> 'N/A' then 'date_malformed' end as fault
+  select *, case when canon is null then 'work_id_unparseable' when amt is null and amount <> '' then 'unparseable_amount'
+                 when amt is null then 'null_required_field' when on_date is null and on_text <> 'N/A' then 'unparseable_date' end as fault
   from idd),
 seen as (select *, min(event_id) filter (fault is null) over (partition by canon) as first_ok from faults),
 judged as (
   select *, case when canon is null then 'work_id_unparseable' when first_ok < event_id then 'duplicate_work_id' else fault end as reason from seen)"""
 
 _ATTRIBUTED = f"""{CASES}, fields as (
-  select 'payment_rows' as field, unnest(['utilisation_shortfall', 'stalled_work', 'vendor_concentration']) as rule_id, 'not_published' as reason
-  union all select 'completion_rows', 'execution_delay', 'not_applicable'),
+  select 'expenditure_linkage' as field, unnest(['utilisation_shortfall', 'stalled_work', 'vendor_concentration']) as rule_id, 'not_published' as reason
+  union all select 'asset_image_publication_scope', 'asset_evidence_missing', 'not_published'),
 attributed as (
   select field, t.rule_id, any_value(weight) as weight,
-         count(*) filter (t.status = 'skipped' and why = reason and case field when 'payment_rows' then payment_count = 0 else completion_date is null end) as skips,
+         count(*) filter (t.status = 'skipped' and why = reason and case field when 'expenditure_linkage' then payment_count = 0 else completion_date is null end) as skips,
          count(*) filter (t.status = 'fired') as fired, count(*) filter (t.status = 'passed') as passed
   from trace t join fields f using (rule_id) join cases c using (work_id) group by field, t.rule_id)"""
 
@@ -253,7 +255,7 @@ ORACLE_SQL = {
     "alerts_orphans": f"with {CASES} select case_id from cases where severity = 'HIGH' and order_key % 9 = 0",
     "ablation_attribution": f"""with {_ATTRIBUTED} select field, rule_id, skips, fired, passed, skips * weight as unrealised_weight,
   round(fired / nullif(fired + passed, 0), 9) as firing_rate, cast(round_even(fired / nullif(fired + passed, 0) * skips, 0) as bigint) as extrapolated_fires from attributed""",
-    "ablation_rank": f"""with {_ATTRIBUTED}, names as (select unnest(['payment_rows', 'completion_rows', 'vendor_terms', 'site_location']) as field),
+    "ablation_rank": f"""with {_ATTRIBUTED}, names as (select unnest([{", ".join(f"'{f.key}'" for f in CATALOGUE)}]) as field),
   sums as (select n.field, coalesce(cast(sum(skips * weight) as bigint), 0) as criterion from names n left join attributed a using (field) group by n.field)
   select field, criterion, case when criterion > 0 and count(*) over (partition by criterion) = 1 then 1 + (select count(distinct s2.criterion) from sums s2 where s2.criterion > sums.criterion) end as position from sums""",
     "ablation_band_range": f"""with {_ATTRIBUTED}, needs as (
@@ -261,7 +263,7 @@ ORACLE_SQL = {
            least(cast(payment_count = 0 as int) * 22, 22) as w1, cast(payment_count = 0 as int) * 16 as w2, cast(payment_count = 0 as int) * 12 as w3 from cases),
   steps as (select *, case when edge is null or w1 = 0 then null when raw_score + w1 >= edge then 1 when raw_score + w1 + w2 >= edge then 2 when raw_score + w1 + w2 + w3 >= edge then 3 end as fires from needs),
   run as (select fires, sum(fires) over (order by fires, work_id rows unbounded preceding) as used from steps where fires is not null),
-  budget as (select cast(sum(round_even(fired / nullif(fired + passed, 0) * skips, 0)) as bigint) as b from attributed where field = 'payment_rows')
+  budget as (select cast(sum(round_even(fired / nullif(fired + passed, 0) * skips, 0)) as bigint) as b from attributed where field = 'expenditure_linkage')
   select (select count(*) from steps where fires is not null) as can_change, (select b from budget) as budget, (select count(*) from run, budget where used <= b) as ceiling""",
     "trace_diff": f"""{_HITS}, other as (select *, case when value is null then 'skipped' when rule_id = 'stalled_work' and cast(value as double) > 400 then 'fired' when rule_id = 'stalled_work' then 'passed' else status end as now from hits)
   select case_id, rule_id, 'status' as field, status as before, now as after from other where status <> now""",
@@ -280,3 +282,139 @@ ORACLE_SQL = {
     "corpus_measures": f"""with {CASES} select count(*) as cases, count(distinct agency) as agencies, count(distinct member) as members, cast(sum(sanctioned_amt) as bigint) as sanctioned,
   count(*) filter (bonus > 0) as with_bonus, count(*) filter (severity = 'HIGH') as high, count(*) filter (payment_count = 0) as unpaid, round(avg(coverage_pct), 6) as mean_coverage from cases""",
 }
+
+_ITEMS = "unnest(['works', 'cases', 'hits', 'shares', 'notes'])"
+_VERSION = f"'{_BOOK.version}' as version, '{digest(RULES.read_text(encoding='utf-8'))}' as yaml_sha256, {_BOOK.weight_total} as weight_total, {len(_BOOK.rules)} as n_rules"
+_FIRED = f"""{CASES}, fired as (
+  select work_id, string_agg(rule_id, ',' order by rule_id) filter (status = 'fired') as fired, string_agg(rule_id, ',' order by rule_id) filter (status = 'skipped') as skipped,
+         count(*) filter (status = 'fired') as n from trace group by work_id)"""
+_HOP = "case when {0} is null then 'unavailable' when {0} < -60 then 'open' else 'closed' end"
+_SHOWN = "coalesce(cast({0} as varchar), '-')"
+#: The log's rows of member 7, and their hashes: SHA-256 of JSON with sorted keys, the hash before it last.
+_LOG = f"""with recursive {CASES}, mine as (select case_id, work_id, bonus, score from cases where member = 7),
+  fires as (select m.case_id, m.score, t.rule_id, list_position([{", ".join(f"'{r.id}'" for r in _BOOK.rules)}], t.rule_id) as pos from mine m join trace t using (work_id) where status = 'fired'),
+  events as (
+    select case_id, score, 0 as k, 0 as pos, 'CASE_OPENED' as event, cast(null as varchar) as rule_id from mine
+    union all select case_id, score, 1, pos, 'RULE_FIRED', rule_id from fires
+    union all select case_id, score, 2, 0, 'DUPLICATE_LINKED', null from fires where rule_id = 'duplicate_work'
+    union all select case_id, score, 3, 0, 'PATTERN_LINKED', null from mine where bonus > 0),
+  numbered as (select *, row_number() over (partition by case_id order by k, pos) - 1 as id from events),
+  bodies as (
+    select case_id, id, event, '{{"actor":"system","actor_id":null,"actor_role":"system","at":"{AS_OF}T00:00:00","case_id":"' || case_id || '","event":"' || event || '","payload_json":"{{\\"rule_id\\":'
+           || coalesce('\\"' || rule_id || '\\"', 'null') || ',\\"score\\":' || score || '}}","prev_hash":"' as body
+    from numbered),
+  log as (
+    select case_id, id, event, repeat('0', 64) as prev_hash, sha256(body || repeat('0', 64) || '"}}') as row_hash from bodies where id = 0
+    union all select b.case_id, b.id, b.event, l.row_hash, sha256(b.body || l.row_hash || '"}}') from log l join bodies b on b.case_id = l.case_id and b.id = l.id + 1)"""
+_PAID_RAW = f"""{_RAW}, dirty as (
+  select *, case when event_id % 1999 = 1998 then true else false end as footer, event_id % 37 = 0 as no_state, event_id % 41 = 0 as no_status, event_id % 43 = 0 as no_member from idd),
+checked as (
+  select *, case when footer then 'grand_total_row' when canon is null then 'work_id_unparseable' when no_state or no_status then 'null_required_field' when amt is null and amount <> '' then 'unparseable_amount'
+                 when on_date is null and on_text <> 'N/A' then 'unparseable_date' when no_member then 'null_required_field' end as why,
+            case when footer then 'grand_total_row' when no_state then 'null_required_field' when amt is null and amount <> '' then 'unparseable_amount' when no_member then 'null_required_field'
+                 when event_id % 97 >= 90 then 'unresolved_reference' end as allocation_why
+  from dirty)"""
+_RECOVERED = f"""{_ATTRIBUTED}, lost as (select work_id, sum(weight) filter (status = 'skipped') as w from trace group by work_id),
+got as (
+  select f.field, t.work_id, sum(t.weight) as w from trace t join fields f using (rule_id) join cases c using (work_id)
+  where t.status = 'skipped' and why = reason and case field when 'expenditure_linkage' then payment_count = 0 else completion_date is null end group by all),
+names as (select unnest([{", ".join(f"'{f.key}'" for f in CATALOGUE)}]) as field),
+measured as (
+  select n.field, count(g.work_id) as works_affected, cast(coalesce(sum(g.w), 0) as bigint) as unrealised_weight, avg(c.coverage_pct) as now,
+         avg(round_even(({_BOOK.weight_total} - coalesce(l.w, 0) + coalesce(g.w, 0)) / {_BOOK.weight_total}.0 * 100, 0)) as later
+  from names n cross join cases c left join lost l using (work_id) left join got g on g.field = n.field and g.work_id = c.work_id group by n.field)"""
+_TEXT_PEERS = """all_pairs as (
+  select a.agency, a.dkey, b.dkey as other, list_sort(list_intersect(a.words, b.words)) as shared, list_sort(list_filter(a.words, lambda w: not list_contains(b.words, w))) as mine,
+         list_sort(list_filter(b.words, lambda w: not list_contains(a.words, w))) as theirs
+  from texts a join texts b on a.agency = b.agency),
+spelled as (select *, array_to_string(shared, ' ') as s, array_to_string(list_concat(shared, mine), ' ') as p, array_to_string(list_concat(shared, theirs), ' ') as q from all_pairs),
+common as (
+  select *, length(p) - bit_count(list_reduce(list_prepend((1::bigint << length(p)) - 1, list_transform(string_split(q, ''),
+           lambda c: list_sum(list_transform(range(1, length(p) + 1), lambda i: case when p[i] = c then 1::bigint << (i - 1)::int else 0 end))::bigint)),
+           lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::bigint << length(p)) - 1))) as lcs
+  from spelled),
+ratios as (
+  select agency, dkey, other, case when dkey = other or len(shared) > 0 and (len(mine) = 0 or len(theirs) = 0) then 100.0::double
+           else greatest(200.0::double * lcs / (length(p) + length(q)), case when len(shared) > 0 then greatest(200.0::double * length(s) / (length(s) + length(p)), 200.0::double * length(s) / (length(s) + length(q))) else 0 end) end / 100.0::double as ratio
+  from common),
+peers as (
+  select a.work_id, b.work_id as peer, ratio as score, row_number() over (partition by a.work_id order by ratio desc, b.work_id) as rank
+  from features a join ratios r on r.agency = a.agency and r.dkey = a.dkey join features b on b.agency = r.agency and b.dkey = r.other and b.work_id <> a.work_id
+  qualify rank <= 8)"""
+
+ORACLE_SQL |= {
+    "ladders": f"""with {FEATURES} select work_id,
+  {_SHOWN.format("sanctioned_amt")} || ',' || {_SHOWN.format("paid_amt")} || ',' || {_SHOWN.format("certified_amt")} as amounts,
+  'start,' || {_HOP.format("variance_sanction_to_disbursement")} || ',' || {_HOP.format("variance_disbursement_to_certification")} as states,
+  '-,' || variance_sanction_to_disbursement__why || ',' || variance_disbursement_to_certification__why as hop_reasons,
+  {_SHOWN.format("recommended_date")} || ',' || {_SHOWN.format("sanction_date")} || ',' || {_SHOWN.format("first_payment")} || ',' || {_SHOWN.format("completion_date")} as dates,
+  '-,' || {_SHOWN.format("sanction_lag_days")} || ',' || {_SHOWN.format("sanction_to_first_payment_days")} || ',' || {_SHOWN.format("first_payment_to_completion_days")} as lags,
+  '-,' || sanction_lag_days__why || ',' || sanction_to_first_payment_days__why || ',' || first_payment_to_completion_days__why as lag_reasons,
+  concat_ws(',', case when execution_days__why <> 'published' then 'execution_days:' || execution_days__why end, case when sanction_lag_days__why <> 'published' then 'sanction_lag_days:' || sanction_lag_days__why end,
+            case when asset_image_absent__why <> 'published' then 'asset_image_absent:' || asset_image_absent__why end) as unavailable from features""",
+    "graph_findings": f"""with {WORKS}, {EDGES}, h as (select agency, sum((vendor_paid / agency_paid) ** 2) as hhi from shares group by agency)
+  select work_id, round(hhi, 9) as hhi, case when hhi is null then 'not_applicable' else 'published' end as hhi__why from works left join h using (agency)""",
+    "reject_ledger": f"""with {_RAW} select event_type as file, event_id as row_number, reason, '{{"work":' || to_json(work) || ',"amount":' || to_json(amount) || ',"on_text":' || to_json(on_text) || '}}' as raw_row from judged where reason is not null""",
+    "similar_works_topk": f"with {FEATURES}, {_TEXT_PEERS} select work_id, peer, score, rank from peers",
+    "recommended_amounts": f"""with {WORKS} select work_id, sanctioned_amt, case when order_key % 3 <> 0 then sanctioned_amt + order_key % 1000 end as recommended_amt,
+  case when order_key % 3 <> 0 then 'published' else 'not_published' end as recommended_amt__why from works""",
+    "payments_of_works": f"""with {WORKS} select work_id, cast(l_shipdate as date) as payment_date, l_suppkey as vendor_id, s_name as vendor_name, {_RUPEES.format("l_extendedprice")} as paid_amt, l_linenumber as line
+  from lineitem join works on l_orderkey = order_key left join supplier on s_suppkey = l_suppkey where member = 7""",
+    "case_version": f"with {WORKS} select min('NG-' || upper(substring(sha256(work_id), 1, 10))) as case_id, {_VERSION} from works where member = 7 having count(*) > 0",
+    "case_sheets": f"""with {_FIRED} select case_id, work_id, score, severity, coalesce(fired, '') as fired, coalesce(skipped, '') as skipped,
+  'start,' || {_HOP.replace("-60", "-15").format("variance_sanction_to_disbursement")} || ',' || {_HOP.replace("-60", "-15").format("variance_disbursement_to_certification")} as fund, bonus > 0 as applied, bonus as contribution
+  from cases join fired using (work_id) where member = 7""",
+    "scope_reach": f"""with {CASES} select 'ministry' as role, cast(null as varchar) as state, cast(null as varchar) as district, cast(null as bigint) as member, count(*) as cases, count(*) filter (severity = 'HIGH') as high from cases
+  union all select 'state', 'EUROPE', null, null, count(*), count(*) filter (severity = 'HIGH') from cases where state = 'EUROPE'
+  union all select 'district', 'EUROPE', 'NATION_13', null, count(*), count(*) filter (severity = 'HIGH') from cases where state = 'EUROPE' and district = 'NATION_13'
+  union all select 'member', null, null, 7, count(*), count(*) filter (severity = 'HIGH') from cases where member = 7""",
+    "health_counts": f"""with {WORKS}, {EDGES}, n as (
+    select 'works' as name, count(*) as rows from works union all select 'cases', count(*) from works union all select 'hits', count(*) * {len(_BOOK.rules)} from works
+    union all select 'shares', count(*) from shares union all select 'notes', 0)
+  select name, rows, case when rows > 0 then 'ok' else 'empty' end as status from n""",
+    "status_tally": f"""with {CASES}, s as (select ['open', 'acknowledged', 'escalated'][(order_key % 3 + 1)::int] as status from cases where severity = 'HIGH')
+  select k.status, count(s.status) as rows from (select unnest(['open', 'acknowledged', 'escalated', 'closed']) as status) k left join s using (status) group by k.status""",
+    "agency_shares_of_district": f"""with {CASES}, r as (select state, district, agency, cast(sum(sanctioned_amt) as bigint) as v from cases where not is_synthetic group by all)
+  select state, district, agency, round(v / sum(v) over (partition by state, district) * 100.0, 6) as share_pct, round(v / max(v) over (partition by state, district), 6) as scale from r""",
+    "districts_ranked": f"""with {CASES}, r as (select state, district, {_MEASURES} from cases where not is_synthetic group by all)
+  select row_number() over (order by high desc, sanctioned desc, state, district) as place, state, district, cases, high, sanctioned from r""",
+    "agencies_ranked": f"""with {CASES}, r as (select state, district, agency, {_MEASURES} from cases where not is_synthetic group by all)
+  select row_number() over (order by high desc, sanctioned desc, state, district, agency) as place, state, district, agency, cases, high, sanctioned from r""",
+    "district_preview": f"with {CASES} select state, district, count(*) as cases, count(*) filter (severity = 'HIGH') as high from cases where not is_synthetic group by all order by high desc, cases desc, state, district limit 6",
+    "vendor_first_names": """with n as (
+    select l_suppkey as vendor_id, l_orderkey, l_linenumber, case (l_orderkey + l_linenumber) % 3 when 0 then upper(s_name) when 1 then 'M/s ' || s_name else s_name end as vendor_name from lineitem join supplier on l_suppkey = s_suppkey)
+  select vendor_id, arg_min(vendor_name, (l_orderkey, l_linenumber, vendor_name)) as vendor_name from n group by vendor_id""",
+    "agency_best_variants": """select c_mktsegment as agency, arg_max(c_name, (round(c_acctbal, 0), -c_custkey)) as raw, max(round(c_acctbal, 0)) as match from customer group by 1""",
+    "synthetic_control": f"""with {WORKS}, w as (select is_synthetic, count(*) as rows from works group by 1)
+  select 'synthetic ' || is_synthetic as kind, rows + case when is_synthetic then 1 else 0 end as rows from w union all select 'case_id_collision', 1""",
+    "duplicate_evidence": f"""{_HITS}, {_TEXT_PEERS} select h.case_id, string_agg(peer, ',' order by rank) as cited, round(max(p.score), 6) as best
+  from hits h join peers p on p.work_id = h.work_id and p.rank <= 2 where h.rule_id = 'duplicate_work' and h.status = 'fired' group by h.case_id""",
+    "badges_attached": f"""with {CASES}, h as (select agency, sum((vendor_paid / agency_paid) ** 2) as hhi from shares group by agency)
+  select case_id, c.score, severity, round(hhi, 6) as graph_value, case when hhi is null then 'not_applicable' else 'published' end as graph_why,
+         case when same_count >= 2 then 'DC-' || upper(substring(sha256(agency || chr(31) || dkey), 1, 8)) end as cluster_cluster_id, case when same_count >= 2 then same_count end as cluster_works,
+         case when same_count >= 2 then 'published' else 'not_applicable' end as cluster_works__why from cases c left join h using (agency)""",
+    "fired_counts": f"with {_FIRED} select work_id, n + case when bonus > 0 then 1 else 0 end as n_fired from cases join fired using (work_id)",
+    "ablation_measures": f"with {_RECOVERED} select field, works_affected, unrealised_weight, round(now, 6) as coverage_now, round(later, 6) as coverage_if_published, round(later - now, 6) as uplift from measured",
+    "ablation_order": f"""with {_RECOVERED}, placed as (
+    select field, unrealised_weight as criterion, case when unrealised_weight > 0 and count(*) over (partition by unrealised_weight) = 1 then dense_rank() over (order by unrealised_weight desc) end as position from measured)
+  select field, criterion, position, row_number() over (order by position asc nulls last, criterion desc, field) as place from placed""",
+    "band_histogram": f"with {CASES} select severity, count(*) as cases from cases group by severity",
+    "recompute_diff": f"""with {CASES}, late as (select work_id, weight, case when days_since_last_payment > 400 then 1 else 0 end - case when trace.status = 'fired' then 1 else 0 end as step from trace join features f using (work_id) where rule_id = 'stalled_work' and f.days_since_last_payment is not null),
+  again as (select case_id, c.score, c.raw_score, c.severity, c.raw_score + step * weight as raw2 from cases c join late using (work_id) where step <> 0),
+  full2 as (select *, least(raw2, 100) as score2, case when least(raw2, 100) >= {_BOOK.high} then 'HIGH' when least(raw2, 100) >= {_BOOK.medium} then 'MEDIUM' else 'LOW' end as severity2 from again)
+  select case_id, 'raw_score' as field, cast(raw_score as varchar) as before, cast(raw2 as varchar) as after from full2
+  union all select case_id, 'score', cast(score as varchar), cast(score2 as varchar) from full2 where score <> score2
+  union all select case_id, 'severity', severity, severity2 from full2 where severity <> severity2""",
+    "audit_chain_verify": "select cast(user_id as varchar) as case_id, min(event_id) as first_broken from events where event_id % 1999 = 5 group by user_id",
+    "audit_log_hashes": f"{_LOG} select case_id, id, event, prev_hash, row_hash from log",
+    "audit_trail": f"{_LOG} select case_id, id, event, id <> 2 as sound from log where case_id in (select case_id from mine order by case_id limit 5)",
+    "expenditure_rejects": f"with {_PAID_RAW} select event_id, why as reason from checked where why is not null",
+    "allocation_rejects": f"with {_PAID_RAW} select allocation_why as reason, count(*) as rows from checked where allocation_why is not null group by 1",
+    "csv_ingest": f"""with {_PAID_RAW} select case event_id % 2 when 0 then 'lok_sabha' else 'rajya_sabha' end as file, count(*) as read, count(*) filter (why is null) as loaded, count(*) filter (why = 'null_required_field') as blank,
+  count(*) filter (why = 'grand_total_row') as footers, count(*) as last_row, 1 as first_row from checked group by 1""",
+    "build_counts": f"""{_HITS}, n as (select (select count(*) from cases) as c, (select count(*) from hits where status = 'fired') as f, (select count(*) from hits where status = 'fired' and rule_id = 'duplicate_work') as dup, (select count(*) from cases where bonus > 0) as b)
+  select 'works' as name, c as rows from n union all select 'cases', c from n union all select 'hits', (select count(*) from hits) union all select 'shares', (select count(*) from shares)
+  union all select 'rollup_state', (select count(distinct state) from cases where not is_synthetic) union all select 'rollup_district', (select count(distinct (state, district)) from cases where not is_synthetic)
+  union all select 'rollup_agency', (select count(distinct (state, district, agency)) from cases where not is_synthetic) union all select 'rollup_member', (select count(distinct member) from cases where not is_synthetic)
+  union all select 'rulebook_versions', 1 union all select 'audit_log', c + f + dup + b from n""",
+}

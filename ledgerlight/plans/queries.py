@@ -77,7 +77,13 @@ def gap_hop_slowest_lag(spark, d):
 @query
 def ladders(spark, d):
     rows = corpus.features(spark, d)
-    return rows.select("work_id", features.fund_ladder().alias("fund"), features.lifecycle_ladder().alias("lifecycle"), features.unavailable_fields(["execution_days", "sanction_lag_days", "asset_image_absent"]).alias("unavailable"))
+    fund, lifecycle = features.fund_ladder(-60.0), features.lifecycle_ladder()
+    text = lambda rungs, part: F.array_join(F.transform(rungs, lambda r: F.coalesce(r[part].cast("string"), F.lit("-"))), ",")
+    missing = features.unavailable_fields(["execution_days", "sanction_lag_days", "asset_image_absent"])
+    return rows.select(
+        "work_id", text(fund, "amount").alias("amounts"), text(fund, "state").alias("states"), text(fund, "why").alias("hop_reasons"), text(lifecycle, "on").alias("dates"), text(lifecycle, "lag_days").alias("lags"), text(lifecycle, "why").alias("lag_reasons"),
+        F.array_join(F.transform(missing, lambda m: F.concat_ws(":", m["field"], m["why"])), ",").alias("unavailable"),
+    )
 
 
 @query
@@ -209,7 +215,7 @@ def graph_components(spark, d):
 
 @query
 def graph_findings(spark, d):
-    return graph.graph_findings(corpus.works(spark, d).select("work_id", "agency"), graph.with_share(corpus.shares(spark, d)))
+    return graph.graph_findings(corpus.works(spark, d).select("work_id", "agency"), graph.with_share(corpus.shares(spark, d))).withColumn("hhi", F.round("hhi", 9))
 
 
 def dirty_exports(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +230,7 @@ def dirty_exports(spark: SparkSession, d: str) -> DataFrame:
 
 def judged_exports(spark: SparkSession, d: str) -> DataFrame:
     rows = dirty_exports(spark, d).withColumns({"canon": fn.work_id_parts("work")["canon"], "amt": fn.parsed_amount("amount"), "on_date": fn.parsed_date("on_text")})
-    fault = ingest.first_reason([(F.col("canon").isNull(), "work_id_unparseable"), (fn.malformed_amount("amount"), "amount_malformed"), (F.col("amt.value").isNull(), "amount_missing"), (fn.malformed_date("on_text"), "date_malformed")])
+    fault = ingest.first_reason([(F.col("canon").isNull(), "work_id_unparseable"), (fn.malformed_amount("amount"), "unparseable_amount"), (F.col("amt.value").isNull(), "null_required_field"), (fn.malformed_date("on_text"), "unparseable_date")])
     return ingest.judged(rows, "canon", "event_id", fault)
 
 
@@ -346,8 +352,8 @@ def ablation_rank(spark, d):
 @query
 def ablation_band_range(spark, d):
     c, found = _attributed(spark, d)
-    budget = found.where("field = 'payment_rows'").agg(F.sum("extrapolated_fires")).first()[0]
-    return ablation.band_ceiling(ablation.band_needs(c, ablation.CATALOGUE[0], corpus.rulebook()), int(budget or 0))
+    budget = found.where("field = 'expenditure_linkage'").agg(F.sum("extrapolated_fires")).first()[0]
+    return ablation.band_ceiling(ablation.band_needs(c, ablation.ATTRIBUTED[0], corpus.rulebook()), int(budget or 0))
 
 
 @query
@@ -355,7 +361,7 @@ def ablation_band_range_by_field(spark, d):
     """Both ends of the range, for each field that rules are attributed to."""
     c, found = _attributed(spark, d)
     found = materialised(found, "ablation-fields")
-    parts = [ablation.band_range(c, found, f, corpus.rulebook()) for f in ablation.CATALOGUE if f.rules]
+    parts = [ablation.band_range(c, found, f, corpus.rulebook()) for f in ablation.ATTRIBUTED]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -376,7 +382,7 @@ def audit_openings(spark, d):
 @query
 def audit_chain_verify(spark, d):
     e = corpus.table(spark, d, "events")
-    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("event"), F.col("ts").cast("string").alias("at"), F.lit("officer").alias("actor"), F.col("props").alias("payload_json"))
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("event"), F.col("ts").cast("string").alias("at"), F.lit("officer").alias("actor"), F.lit("state").alias("actor_role"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("é"), F.col("user_id").cast("string"))).alias("actor_id"), F.col("props").alias("payload_json"))
     chain = materialised(audit.chained(rows), "audit-chain")
     touched = chain.withColumn("actor", F.when(F.col("id") % 1999 == 5, "someone").otherwise(F.col("actor")))
     return audit.broken(touched)
@@ -390,7 +396,7 @@ def forecast_populations(spark, d):
 
 @query
 def risk_percentile(spark, d):
-    return corpus.works(spark, d).select("work_id", F.round(forecast.percentile_in("sanctioned_amt", ["fy"]), 6).alias("percentile"))
+    return forecast.percentile_in(corpus.works(spark, d).select("work_id", "fy", "sanctioned_amt"), "sanctioned_amt", ["fy"]).select("work_id", six("percentile"))
 
 
 @query
