@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source has a target of words. A document's expected number of copies follows
-from its source's target and its priority; the whole part is taken for certain, and
-the rest is its inclusion probability in a Pareto sample: documents are ranked by
-their random odds divided by their inclusion odds, and the first ones make up the
-sample, whose size in words is fixed by what certain copies leave of the target.
+Each source has a target of words. A document's expected number of copies is in
+proportion to its priority, by default the root of its size, up to the most copies that
+it may have; the source's level makes the expected words come to the target. The whole
+part is taken for certain, and the rest is the document's inclusion probability in a
+Pareto sample: documents are ranked by their random odds divided by their inclusion
+odds, and the first ones make up the sample, whose size in words is fixed by what
+certain copies leave of the target.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ BUDGET = 1.5
 #: No target, and no document's copies, exceed this times the size.
 MOST = 2
 #: Ranges of the ranking key that are summed before any single rows are ranked.
-RANGES = 1 << 10
+RANGES = 1 << 14
 SEED = 17
 
 
@@ -50,24 +52,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return rows.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
+def levels(rows: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
+    """(source, level): with copies of least(most, level * priority) a source's expected words come to its target.
+
+    rows: source, size, _priority; goal: source, target. The largest priorities reach ``most`` first, so running sums in
+    their order tell where the level lies. They go over sums for each source and priority. A source without words has no
+    row, and one whose target is all that can be taken has a level at which all documents have the most copies.
+    """
+    sums = rows.where("size > 0").groupBy(F.col("source").alias("_s"), "_priority").agg(F.sum("size").alias("_words"))
+    sums = sums.join(goal.select("source", "target"), F.col("_s").eqNullSafe(F.col("source")))
+    down = W.partitionBy("source").orderBy(F.desc("_priority"))
+    full = F.coalesce(F.sum("_words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * float(most)
+    open_mass = F.sum(F.col("_words") * F.col("_priority")).over(down.rowsBetween(0, W.unboundedFollowing))
+    sums = sums.withColumn("_level", F.greatest(F.lit(0.0), F.col("target") - full) / open_mass)
+    # The first priority that the level keeps below the most copies; if there is none, a level that fills all.
+    fits = F.when(F.col("_level") * F.col("_priority") <= float(most), F.struct(-F.col("_priority"), "_level"))
+    return sums.groupBy("source").agg(F.min(fits)["_level"].alias("_first"), (F.lit(float(most)) / F.min("_priority")).alias("_all")).select("source", F.coalesce("_first", "_all").alias("level"))
+
+
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", priority: Column | None = None, seed: int = SEED, ranges: int = RANGES, row_col: str | None = None) -> DataFrame:
     """id, size, source_size, target, copies and taken (= copies * size) for each row; all of them, taken or not.
 
     row_col: a column that tells rows apart, also those that repeat an id; the result has it first.
-    priority: a positive column that raises a document's expected copies against others of its source; without it they
-    are all alike. Random numbers are hashes of id and seed, so reruns agree, and so do rows that repeat an id. Null or
+    priority: a positive column of the documents by which expected copies rise; without it, the root of the size. Random numbers are hashes of id and seed, so reruns agree, and so do rows that repeat an id. Null or
     blank texts have size 0 and are not taken. Null sources are one source, last in order. An empty table gives an
     empty result; other columns are ignored.
     """
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), (F.lit(1.0) if priority is None else priority.cast("double")).alias("_priority"), *([F.col(row_col).alias("_row")] if row_col else []))
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), (F.lit(None) if priority is None else priority).cast("double").alias("_priority"), *([F.col(row_col).alias("_row")] if row_col else []))
     own = ["_row"] if row_col else []
     rows = stored(rows, "mix-rows")  # without texts: words are counted once
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_priority")).alias("_mass"))
-    goal = targets(sums.select("source", "source_size")).join(sums.select(F.col("source").alias("_s"), "_mass"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    goal = goal.select(F.col("source").alias("_source"), "source_size", "target", "_mass")
+    if priority is None:
+        rows = rows.withColumn("_priority", F.sqrt("size"))
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    level = levels(rows, goal).select(F.col("source").alias("_s"), "level")
+    goal = goal.join(level, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "level")
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
-    expected = F.when((F.col("size") > 0) & (F.col("_mass") > 0), F.least(F.lit(float(MOST)), F.col("target") * F.col("_priority") / F.col("_mass"))).otherwise(0.0)
+    # Whole numbers but for rounding are whole: a document at its most copies is settled.
+    copies = F.least(F.lit(float(MOST)), F.col("level") * F.col("_priority"))
+    near = F.round(copies, 0)
+    expected = F.when(F.col("size") > 0, F.when(F.abs(copies - near) < 1e-9, near).otherwise(copies)).otherwise(0.0)
     rows = rows.withColumn("_expected", expected).withColumn("_whole", F.floor("_expected")).withColumn("_part", F.col("_expected") - F.col("_whole"))
     u = (F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
     sure = rows.groupBy("source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_sure")).select(F.col("source").alias("_s"), "_sure")

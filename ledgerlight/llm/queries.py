@@ -27,7 +27,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = scan_history(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    """Two runs over one ledger: the first scans all blobs that it doesn't know, the second none, and reads what is known."""
+    documents = table(spark, sf_dir, "documents")
+    _, ledger = scan_history(documents, ["doc_id"], "text")
+    found, _ = scan_history(documents, ["doc_id"], "text", ledger)
     counts = [F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(("assign", "access", "hex"))]
     return found.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
 
@@ -58,7 +61,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    planted = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as t (conv_id, turn, role, text)")
     return format_and_read_back(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 

@@ -1,41 +1,62 @@
 """Sharding by longest-processing-time scheduling with a heap.
 
-Groups that must stay together are taken from the largest down, each by the shard
-with the least load so far. The driver schedules at most 2 * ``PARCELS`` items however
-large the corpus is: a group gets an item of its own if it holds at least 1 / PARCELS
-of all bytes (so there are at most PARCELS of them); all smaller groups are dealt by
-hash into PARCELS parcels, which are scheduled like groups. A shard's load then differs
-from the least loaded one's by one item at most, unless one group is larger than a
-shard's fair share.
+Groups that must stay together are taken from the largest down, each by the shard with
+the least load so far. Groups of one size are alike, so the driver gets only how many
+there are of each size, and says how many of them each shard takes: with sizes that add
+up to B bytes there are fewer than the root of 2B different ones. Spark numbers the
+groups of a size and gives each its shard. Every load then is what taking the groups one
+by one gives, and differs from the least one by one group at most.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
-PARCELS = 1 << 15
-#: Parts of a shard whose rows are counted apart, so that no task holds a whole shard.
+#: Parts of a shard, or of the groups of one size, that are counted apart, so that no task holds a whole one.
 PARTS = 1 << 10
 
 
-def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """{item: shard} for (item, size) pairs: from the largest down, ties by item, to the least loaded shard, ties by number."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[item] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return out
-
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, groups for each shard) for (size, number of groups), which come from the largest size down.
 
-def shard_documents(documents: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", parcels: int = PARCELS, parts: int = PARTS) -> DataFrame:
+    As if each group went to the least loaded shard, ties by number: while one shard is behind the others by whole
+    groups it takes these at once, and while all are within one group, each takes one in turn.
+    """
+    heap = [(0, s) for s in range(shards)]
+    most = 0
+    for size, left in sizes:
+        taken = [0] * shards
+        while left:
+            load, shard = heap[0]
+            if most - load < size and left >= shards:
+                rounds = left // shards
+                heap = [(at + rounds * size, s) for at, s in heap]
+                taken, left, most = [n + rounds for n in taken], left % shards, most + rounds * size
+                continue
+            behind = min(heap[1:3], default=(load, shard))[0] - load
+            n = min(left, max(1, behind // size))
+            heapq.heapreplace(heap, (load + n * size, shard))
+            taken[shard], left, most = taken[shard] + n, left - n, max(most, load + n * size)
+        yield size, taken
+
+
+def _numbered(rows: DataFrame, key: str, order: list[str], parts: int) -> DataFrame:
+    """Adds _no, from 0 without gaps within each key, counted in parts by a hash and then put after the parts before."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(key, "_part").agg(F.count("*").alias("_n")).select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy(key, "_part").orderBy(*order))
+    return rows.withColumn("_in", inside).join(offsets, [key, "_part"]).withColumn("_no", (F.col("_offset") + F.col("_in") - 1).cast("long")).drop("_part", "_offset", "_in")
+
+
+def shard_documents(documents: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard for each row.
 
     Size is the text's UTF-8 bytes plus 8. Rows with equal texts share a shard; null texts count as empty and so are
@@ -43,34 +64,16 @@ def shard_documents(documents: DataFrame, shards: int = 24, id_col: str = "doc_i
     without gaps, in an order that depends on the rows only; rows that are repeated get slots of their own. An empty
     table gives an empty result; other columns are ignored.
     """
-    spark = documents.sparkSession
     raw = F.encode(text_or_empty(text_col), "UTF-8")
-    rows = documents.select(F.col(id_col).alias("_id"), F.sha2(raw, 256).alias("_group"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * parcels >= F.lit(total)
-    # Items: parcels are numbered from 0, large groups by a hash that is negative; at most 2 * parcels rows come to the driver.
-    by_parcel = rows_to_items(groups.where(~large), F.pmod(F.xxhash64("_group"), F.lit(parcels)))
-    alone = groups.where(large).select("_group", "bytes").collect()
-    names = {g: i for i, g in enumerate(sorted(r["_group"] for r in alone), start=parcels)}
-    sizes = [(r["item"], r["bytes"]) for r in by_parcel.collect()] + [(names[r["_group"]], r["bytes"]) for r in alone]
-    plan = longest_first(sizes, shards)
-
-    to_shard = spark.createDataFrame([(i, s) for i, s in plan.items() if i < parcels], "item long, _parcel_shard int")
-    to_large = spark.createDataFrame([(g, plan[i]) for g, i in names.items()], "_group string, _large_shard int")
-    rows = rows.withColumn("item", F.pmod(F.xxhash64("_group"), F.lit(parcels)))
-    rows = rows.join(F.broadcast(to_large), "_group", "left").join(F.broadcast(to_shard), "item", "left")
-    rows = rows.select("_id", "size", "text_crc32", F.coalesce("_large_shard", "_parcel_shard").alias("shard"))
-
-    # Slots: a row's place in its part, after all rows of the shard's earlier parts.
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(parts)).cast("int"))
-    before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "_part").agg(F.count("*").alias("n")).select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("shard", "_part").orderBy("_id", "text_crc32", "size")
-    rows = rows.withColumn("_no", F.row_number().over(inside) - 1).join(offsets, ["shard", "_part"])
-    return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("_no")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def rows_to_items(groups: DataFrame, item) -> DataFrame:
-    return groups.groupBy(item.alias("item")).agg(F.sum("bytes").alias("bytes"))
+    rows = documents.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(raw, 256)).alias("_group"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = stored(rows, "shard-rows")  # without texts: each is hashed once
+    groups = stored(_numbered(rows.groupBy("_group").agg(F.sum("size").alias("bytes")), "bytes", ["_group"], parts), "shard-groups")
+
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toLocalIterator()
+    plan = [(size, taken) for size, taken in longest_first(((r["bytes"], r["n"]) for r in sizes), shards)]
+    plan = documents.sparkSession.createDataFrame(plan, "bytes long, _taken array<long>")
+    # The groups of a size go to shards in turn: the first ones to shard 0, as many as it takes, and so on.
+    ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.aggregate(F.slice("_taken", 1, k), F.lit(0).cast("long"), lambda a, n: a + n))
+    placed = groups.join(plan.select("bytes", ends.alias("_ends")), "bytes").select("_group", F.size(F.filter("_ends", lambda e: e <= F.col("_no"))).alias("shard"))
+    rows = _numbered(rows.join(placed, "_group"), "shard", ["_id", "text_crc32", "size"], parts)
+    return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_no").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

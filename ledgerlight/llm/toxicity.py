@@ -2,8 +2,8 @@
 
 Training takes a bounded sample of labelled documents (``SAMPLE``). For each n-gram,
 hashed to one of ``DIMS`` features, documents with and without the label are counted
-by Spark; features are kept whose difference is beyond chance, the most certain
-``FEATURES`` at most. A document's value for a feature is its log-count ratio if it
+by Spark; features are kept whose difference is beyond chance (``CERTAIN`` standard
+errors), however many these are. A document's value for a feature is its log-count ratio if it
 occurs in the text, else 0; Spark's logistic regression weighs these values. A score
 is the logistic of the summed weights of the features present, computed in the tasks
 that read the texts.
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,6 @@ SAMPLE = 20_000
 #: Characters in an n-gram.
 SIZES = (4, 5, 6)
 DIMS = 1 << 20
-FEATURES = 1_000
 #: Standard errors by which an n-gram's shares must differ between the labels.
 CERTAIN = 4.0
 SMOOTHING = 1.0
@@ -106,10 +105,10 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     0 without rows.
     """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text"), F.xxhash64(F.col(order_col)).alias("_order"))
-    n = rows.count()
-    if n > sample:
-        share = int(sample / n * (1 << 62)) * 2
-        rows = rows.where(F.shiftrightunsigned("_order", 1) < share)
+    # The rows of the least hashes: sample of them, fewer if some tie at the end.
+    first = rows.select("_order").orderBy("_order").limit(sample + 1).agg(F.count("*"), F.max("_order")).first()
+    if first[0] > sample:
+        rows = rows.where(F.col("_order") < first[1])
     rows = stored(rows.select("toxic", "text"), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -121,7 +120,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     ratio = F.log(((F.col("toxic") + SMOOTHING) / (totals[1] + 2 * SMOOTHING)) / ((F.col("clean") + SMOOTHING) / (totals[0] + 2 * SMOOTHING)))
     counts = rows.mapInArrow(_counted, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     picked = counts.withColumn("z", F.try_divide(F.abs(shares["toxic"] - shares["clean"]), spread)).where(F.col("z") >= CERTAIN)
-    best = sorted((r["feature"], r["ratio"]) for r in picked.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature", ratio.alias("ratio")).collect())
+    best = sorted((r["feature"], r["ratio"]) for r in picked.select("feature", ratio.alias("ratio")).collect())  # of DIMS features at most
     if not best:
         return Model((), (), float(np.log(totals[1] / totals[0])))
     index, ratios = np.array([f for f, _ in best]), np.array([r for _, r in best])
@@ -131,11 +130,12 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = np.array([_seen(t.as_py() or "", place, len(index)) for t in part.column(1)]) * ratios
-                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(index))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], ["label", "values"])
+                found = [np.flatnonzero(_seen(t.as_py() or "", place, len(index))) for t in part.column(1)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32)))], ["label", "places"])
 
-    vectors = rows.mapInArrow(values, "label double, values array<double>").select("label", array_to_vector("values").alias("features"))
+    sparse = F.udf(lambda places: Vectors.sparse(len(index), places, ratios[places]), VectorUDT())  # sample rows only
+    vectors = rows.mapInArrow(values, "label double, places array<int>").select("label", sparse("places").alias("features"))
     fitted = LogisticRegression(maxIter=50, regParam=PENALTY, elasticNetParam=0.0, standardization=False).fit(vectors)
     weights = np.asarray(fitted.coefficients.toArray()) * ratios
     return Model(tuple(int(i) for i in index), tuple(float(w) for w in weights), float(fitted.intercept))

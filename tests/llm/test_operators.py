@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,10 +164,73 @@ def test_sharding(spark, documents):
         loads[r["shard"]] += r["size"]
     assert len(rows) == documents.count() and all(len(s) == 1 for s in where.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.longest_first([(0, 5), (1, 4), (2, 3), (3, 3)], 2) == {0: 0, 1: 1, 2: 1, 3: 0}
+    assert loads == one_by_one(rows, text)
     assert sharding.shard_documents(documents.limit(0)).count() == 0
 
 
+def one_by_one(rows, text, shards=24):
+    """The shards' loads where each group of equal texts, from the largest down, goes to the least loaded one."""
+    groups = Counter()
+    for r in rows:
+        groups[text[r["doc_id"]] or ""] += r["size"]
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(groups.values(), reverse=True):
+        load, shard = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, shard))
+    return Counter({s: load for load, s in heap if load})
+
+
+def test_sharding_takes_sizes_as_one_by_one():
+    random = np.random.default_rng(4)
+    for _ in range(200):
+        shards, sizes = int(random.integers(1, 9)), Counter(int(x) for x in random.integers(1, 30, random.integers(0, 200)))
+        heap = [(0, s) for s in range(shards)]
+        for size in sorted(sizes.elements(), reverse=True):
+            load, shard = heapq.heappop(heap)
+            heapq.heappush(heap, (load + size, shard))
+        plan = list(sharding.longest_first(sorted(sizes.items(), reverse=True), shards))
+        assert all(sum(taken) == sizes[size] for size, taken in plan)
+        assert {s: sum(size * taken[s] for size, taken in plan) for s in range(shards)} == {s: load for load, s in heap}
+
+
+def test_sharding_of_documents_and_many_equal_sizes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.range(10_000, 12_000).selectExpr("id as doc_id", "cast(id as string) as text"))
+    rows, loads = sharding.shard_documents(docs).collect(), Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert len(rows) == 3000 and loads == one_by_one(rows, dict(pairs(docs)))
+
+
+def test_mixing_against_a_plain_sampler(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("h")).collect()
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append((r["doc_id"], got[r["doc_id"]]["size"], ((r["h"] % 2**64 >> 11) + 0.5) / 2**53))
+    for source, docs_of in by_source.items():
+        target = got[docs_of[0][0]]["target"]
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level at which expected words come to the target
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * min(2, level * n**0.5) for _, n, _ in docs_of if n) < target else (low, level)
+        copies, ranked = {}, []
+        for i, n, u in docs_of:
+            expected = min(2, high * n**0.5) if n else 0
+            expected = round(expected) if abs(expected - round(expected)) < 1e-6 else expected
+            copies[i] = int(expected)
+            if part := expected - int(expected):
+                ranked.append((u / (1 - u) * (1 - part) / part, i, n))
+        left = target - sum(copies[i] * n for i, n, _ in docs_of)
+        before = 0
+        for _, i, n in sorted(ranked):
+            copies[i] += before + n / 2 <= left
+            before += n
+        wrong = sum(copies[i] != got[i]["copies"] for i, _, _ in docs_of)
+        assert wrong <= 1, (source, wrong)  # but for a document at the very edge of the words left
+        assert abs(sum(got[i]["taken"] for i, _, _ in docs_of) - target) <= max(n for _, n, _ in docs_of)
+
+
 def test_mixing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.when(F.col("source") != "src3", F.col("source")))
     first, again = (mixing.mix(docs).collect() for _ in range(2))
