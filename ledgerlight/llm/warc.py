@@ -18,7 +18,7 @@ import base64
 import bisect
 import gzip
 import hashlib
-import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,6 +45,12 @@ VERSION, WHEN = "WARC/1.1", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: How an index line writes the signs that end its fields.
+_SIGNS = {"\\\\": "\\", "\\t": "\t", "\\n": "\n"}
+_ESCAPES = str.maketrans({sign: written for written, sign in _SIGNS.items()})
+_ESCAPED = re.compile(r"\\[\\tn]")
+
+
 def url_key(url: str | Column) -> Column:
     """The sort key of a URL: host labels reversed and joined by commas, then ")" and the rest without scheme, www and
     fragment. The host is in lower case. Null and empty URLs have the key ")/"."""
@@ -94,23 +100,26 @@ class Archive:
 
 
 def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: a response with its payload, or a revisit, whose block is empty, naming the record it repeats."""
+    """One record: the head of an HTTP response, and its payload but for revisits, which name the record they repeat."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {WHEN}", f"WARC-Target-URI: {''.join(url.splitlines())}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Payload-Length: {len(payload)}"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    else:
+        block += payload
+    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> dict:
-    """A record's headers by name, and its payload under ``payload``."""
+    """A record's headers by name, its payload under ``payload``, and the length that its HTTP head states under ``length``."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0] != VERSION:
         raise ValueError("not a record")
     found = dict(line.split(": ", 1) for line in lines[1:])
-    found["payload"] = rest[: int(found["Content-Length"])]
+    http, _, found["payload"] = rest[: int(found["Content-Length"])].partition(b"\r\n\r\n")
+    found["length"] = int(dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])[b"Content-Length"])
     return found
 
 
@@ -149,7 +158,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, lines: in
         files, held = _Files(blocks, ".cdx.gz"), []
 
         def block(rows: list[tuple]) -> pa.RecordBatch:
-            text = "".join("\t".join((key.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), *map(str, rest))) + "\n" for key, *rest in rows)
+            text = "".join("\t".join((key.translate(_ESCAPES), *map(str, rest))) + "\n" for key, *rest in rows)
             where = files.put(gzip.compress(text.encode("utf-8", "surrogatepass"), 5, mtime=0))
             return pa.RecordBatch.from_pylist([{"first_key": rows[0][0], "last_key": rows[-1][0], "file": where[0], "offset": where[1], "length": where[2], "lines": len(rows)}], schema=pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())]))
 
@@ -265,7 +274,7 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
                 last, by_key = (file, offset), {}
                 for line in gzip.decompress(data).decode("utf-8", "surrogatepass").split("\n")[:-1]:
                     parts = line.split("\t")
-                    name = parts[0].replace("\\\\", "\0").replace("\\t", "\t").replace("\\n", "\n").replace("\0", "\\") if "\\" in parts[0] else parts[0]
+                    name = _ESCAPED.sub(lambda m: _SIGNS[m[0]], parts[0])
                     by_key.setdefault(name, []).append((None if parts[1] == "None" else int(parts[1]), parts[2], int(parts[3]), int(parts[4])))
             out += [(key, *capture) for capture in by_key.get(key, ())]
             if len(out) >= 5_000:
@@ -297,9 +306,9 @@ def fetch(archive: Archive, captures: DataFrame) -> DataFrame:
             r = parse_record(zlib.decompress(data, wbits=31))
             revisit, payload = r["WARC-Type"] == "revisit", r["payload"]
             digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
-            if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+            if not revisit and (r["length"] != len(payload) or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                 raise ValueError(f"record {r['WARC-Record-ID']} does not match its digest")
-            out.append({"page_id": number(r["WARC-Record-ID"]), "key": key, "url": r["WARC-Target-URI"], "payload": None if revisit else payload, "payload_bytes": int(r["X-Payload-Length"]) if revisit else len(payload), "payload_digest": digest, "record_type": r["WARC-Type"], "refers_to": number(r.get("WARC-Refers-To"))})
+            out.append({"page_id": number(r["WARC-Record-ID"]), "key": key, "url": r["WARC-Target-URI"], "payload": None if revisit else payload, "payload_bytes": r["length"], "payload_digest": digest, "record_type": r["WARC-Type"], "refers_to": number(r.get("WARC-Refers-To"))})
             weight += len(payload)
             if weight > 1 << 22 or len(out) >= 1000:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -313,9 +322,17 @@ def fetch(archive: Archive, captures: DataFrame) -> DataFrame:
 def archive_and_read_back(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Archives all pages in the shared folder and reads every record back through the capture index.
 
-    Null html and URLs are empty; pages with one URL are captures of one key; an empty table gives an empty result;
-    other columns are ignored.
+    Null html and URLs are empty; pages with one URL are captures of one key; rows that repeat a page_id are records of
+    their own; a very long page is one record, held whole by the task that writes or reads it; an empty table gives an
+    empty result; other columns are ignored. A revisit whose length or digest isn't that of a record that it refers to is
+    an error.
     """
     archive = write_archive(pages, shared_folder(pages.sparkSession, "warc"), least_bytes)
     keys = pages.select(url_key("url").alias("key")).distinct()
-    return fetch(archive, lookup(archive, keys)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "key")
+    found = stored(fetch(archive, lookup(archive, keys)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "key"), "warc-read")
+    said = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_bytes", "payload_digest").distinct()
+    held = found.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest").distinct()
+    broken = said.alias("s").join(held.alias("h"), F.col("s.page_id").eqNullSafe(F.col("h.page_id")) & (F.col("s.payload_bytes") == F.col("h.payload_bytes")) & (F.col("s.payload_digest") == F.col("h.payload_digest")), "left_anti")
+    if broken.limit(1).count():
+        raise ValueError(f"a revisit does not match the record it refers to: {broken.first()}")
+    return found

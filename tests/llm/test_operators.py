@@ -23,7 +23,7 @@ def pairs(documents):
 
 
 def test_warc(spark):
-    rows = [(1, "http://www.A.example.com/x?y#z", "same"), (2, "http://a.example.com/x?y", "same"), (3, None, None), (4, "", ""), (5, "http://b.org\tq/\n", "é" * 5000)]
+    rows = [(1, "http://www.A.example.com/x?y#z", "same"), (2, "http://a.example.com/x?y", "same"), (3, None, None), (4, "", ""), (5, "http://b.org\tq/\n", "é" * 5000), (6, "http://a.com/\\\0x\\t", "nul"), (7, "http://a.com/\\\\t\t\n", "back")]
     rows += [(10 + i, "http://hot.example.com/", f"page {i}") for i in range(2500)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, length int")
     got = {r["page_id"]: r for r in warc.archive_and_read_back(pages).collect()}
