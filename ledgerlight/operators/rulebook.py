@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import json
 import operator
+import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -29,6 +31,9 @@ NUMERIC = (
 )
 TRUTHS = ("completed_without_payment", "asset_image_absent")
 SCORE_CAP = 100
+# Why a feature can have no value, and when a rule's own caveat is shown.
+SKIP_REASONS = ("not_published", "published_zero", "not_applicable")
+CAVEAT_WHEN = ("always", "fired")
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,8 @@ class Rule:
     severity: str = "medium"
     label: str = ""
     skip_caveats: dict = field(default_factory=dict, hash=False)
+    caveat: str = ""
+    caveat_when: str = "always"
 
 
 @dataclass(frozen=True)
@@ -79,10 +86,13 @@ def loads(text: str) -> Rulebook:
             faults.append(f"rule {r.get('id')}: no operator {r.get('operator')}")
         if r.get("field") not in NUMERIC + TRUTHS:
             faults.append(f"rule {r.get('id')}: no feature {r.get('field')}")
+        faults += [f"rule {r.get('id')}: no skip reason {reason}" for reason in r.get("skip_caveats") or {} if reason not in SKIP_REASONS]
+        if r.get("caveat_when", "always") not in CAVEAT_WHEN:
+            faults.append(f"rule {r.get('id')}: no caveat when {r.get('caveat_when')}")
     if faults:
         raise ValueError("; ".join(faults))
     bands, bonus = raw["severity_bands"], raw.get("corroboration") or {}
-    made = tuple(Rule(r["id"], r["field"], r["operator"], r["threshold"], r["weight"], r.get("severity", "medium"), r.get("label", ""), r.get("skip_caveats") or {}) for r in rules)
+    made = tuple(Rule(r["id"], r["field"], r["operator"], r["threshold"], r["weight"], r.get("severity", "medium"), r.get("label", ""), r.get("skip_caveats") or {}, r.get("caveat", ""), r.get("caveat_when", "always")) for r in rules)
     return Rulebook(str(raw["version"]), made, bands.get("high", 75), bands.get("medium", 50), bonus.get("id", "agency_pattern_bonus"), bonus.get("weight", 10), bonus.get("min_high_cases", 3))
 
 
@@ -140,10 +150,31 @@ def published(book: Rulebook, text: str) -> tuple[Rulebook, dict]:
     return made, {"version": made.version, "replaces": book.version, "sha256": digest(text), "yaml": text}
 
 
+def publish(path: str | Path, text: str, log: Callable[[dict], None] | None = None) -> dict:
+    """Puts an edited rulebook in the place of the one at ``path``, as its next version, and gives the version's row.
+
+    The text is checked before anything is written. ``log`` writes the version's row and its audit event; the file is
+    replaced after that, in one step, so a reader sees the old file or the new one and no version without a row.
+    """
+    path = Path(path)
+    made, row = published(load(path), text)
+    out = re.sub(r"(?m)^version:.*$", f"version: {json.dumps(made.version)}", text, count=1)
+    loads(out)
+    row |= {"yaml": out, "sha256": digest(out)}
+    if log is not None:
+        log(row)
+    draft = path.with_name(f"{path.name}.new")
+    draft.write_text(out, encoding="utf-8")
+    os.replace(draft, path)
+    return row
+
+
 def trace(book: Rulebook) -> Column:
-    """array<struct<rule_id, status, raw_value, threshold, contribution, skip_reason, caveat, severity>>, a row for each rule.
+    """array<struct<rule_id, label, field, operator, status, raw_value, threshold, contribution, skip_reason, caveat, citation,
+    severity, weight>>, a row for each rule.
 
-    Values are compared as they are and rounded half to even to two places for display only.
+    Values are compared as they are and rounded half to even to two places for display only. A skipped rule has the caveat
+    for its reason, any other the rule's own, where it is shown always or the rule fired. citation is left for evidence.
     """
     rows = []
     for r in book.rules:
@@ -152,11 +183,13 @@ def trace(book: Rulebook) -> Column:
         status = F.when(value.isNull(), "skipped").when(hit, "fired").otherwise("passed")
         shown = value.cast("string") if r.field in TRUTHS else F.bround(value.cast("double"), 2).cast("string")
         caveats = F.create_map(*[F.lit(x) for pair in r.skip_caveats.items() for x in pair]) if r.skip_caveats else None
-        caveat = F.when(value.isNull(), caveats[why]) if caveats is not None else F.lit(None).cast("string")
+        none = F.lit(None).cast("string")
+        own = F.lit(r.caveat) if r.caveat and r.caveat_when == "always" else F.when(status == "fired", r.caveat) if r.caveat else none
+        caveat = F.when(value.isNull(), none if caveats is None else caveats[why]).otherwise(own)
         rows.append(
             F.struct(
-                F.lit(r.id).alias("rule_id"), status.alias("status"), shown.alias("raw_value"), F.lit(str(r.threshold).lower() if isinstance(r.threshold, bool) else str(float(r.threshold))).alias("threshold"),
-                F.when(status == "fired", r.weight).otherwise(0).alias("contribution"), F.when(value.isNull(), why).alias("skip_reason"), caveat.alias("caveat"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
+                F.lit(r.id).alias("rule_id"), F.lit(r.label).alias("label"), F.lit(r.field).alias("field"), F.lit(r.operator).alias("operator"), status.alias("status"), shown.alias("raw_value"), F.lit(str(r.threshold).lower() if isinstance(r.threshold, bool) else str(float(r.threshold))).alias("threshold"),
+                F.when(status == "fired", r.weight).otherwise(0).alias("contribution"), F.when(value.isNull(), why).alias("skip_reason"), caveat.alias("caveat"), none.alias("citation"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
             )
         )
     return F.array(*rows)
