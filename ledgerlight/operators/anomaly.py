@@ -79,7 +79,7 @@ def anomaly_badges(features: DataFrame, columns: tuple[str, ...] = COLUMNS, peer
     numeric = [F.col(c).cast("double").alias(c) for c in columns]
     n = rows.where("_whole").count()
     share = min(1.0, TREES * SAMPLE / max(n, 1))
-    sample = rows.where("_whole").where(F.shiftrightunsigned(F.xxhash64("work_id"), 1) <= int(share * (2**63 - 1))).select("work_id", *numeric).toPandas().sort_values("work_id")
+    sample = rows.where("_whole").where(F.shiftrightunsigned(F.xxhash64("work_id"), 1) <= min(2**63 - 1, int(share * 2**63))).select("work_id", *numeric).toPandas().sort_values("work_id")
     if not len(sample):
         return rows.select("work_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flagged"), F.lit("not_applicable").alias("score__why"), "peer_size")
     matrix = sample[list(columns)].to_numpy(float)

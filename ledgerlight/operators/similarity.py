@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import cluster_id
 
 
+#: Tasks that the pairs of a block are dealt to.
+SALTS = 16
+
+
 def indel_ratio(a: str, b: str) -> float:
     """200 * longest common subsequence / both lengths: the ratio of insertions and deletions, in percent.
 
@@ -57,14 +61,13 @@ def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8
     """(id, peer, score, rank): each row's k most similar other rows of its block by token-set ratio (0 to 1).
 
     Equal texts of a block are compared once: distinct texts are joined within the block and scored in batches, the best
-    k for each text stay, and ids come back at the end, the first k + 1 of each text being all that a list can hold. A
-    block's pairs of distinct texts are spread over tasks by the first text, so the largest block isn't one task.
+    k for each text stay, and ids come back at the end, the first k + 1 of each text being all that a list can hold.
     """
     rows = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull())
     texts = rows.groupBy(block, key).agg(F.min(id_col).alias("_least"))
     firsts = rows.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(id_col))).where(F.col("nth") <= k + 1).select(block, F.col(key).alias("other"), F.col(id_col).alias("peer"))
 
-    pairs = texts.select(block, key).join(texts.select(block, F.col(key).alias("other"), "_least"), block)
+    pairs = _pairs(texts.select(block, key), texts.select(block, F.col(key).alias("other"), "_least"), block, key)
     pairs = pairs.withColumn("score", F.when(F.col(key) == F.col("other"), 1.0).otherwise(set_ratio(key, "other"))).where(F.col("score") >= least)
     # Of each text, k + 1 others by score and then least id can reach a list of k: one row of each comes before all of the rest.
     best = pairs.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(F.desc("score"), "_least"))).where(F.col("nth") <= k + 1)
@@ -73,6 +76,13 @@ def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8
     return ranked.select(id_col, "peer", "score", "rank")
 
 
+def _pairs(left: DataFrame, right: DataFrame, block: str, key: str) -> DataFrame:
+    """The pairs of a block, dealt by the left text to SALTS tasks, each of which gets all right texts: no block is one task."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [block, "_salt"]).drop("_salt")
+
+
 def set_ratio(a: str, b: str) -> Column:
     """token_set_ratio of two columns, from 0 to 1."""
 
@@ -92,7 +102,7 @@ def best_in_block(rows: DataFrame, block: str, key: str) -> DataFrame:
     texts = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull()).groupBy(block, key).agg(F.count("*").alias("n"))
     words = F.array_distinct(F.split(key, r"\s+"))
     once = texts.where("n = 1").select(block, key, words.alias("_x"))
-    pairs = once.join(texts.select(block, F.col(key).alias("_other"), words.alias("_y")), block).where(F.col(key) != F.col("_other"))
+    pairs = _pairs(once, texts.select(block, F.col(key).alias("_other"), words.alias("_y")), block, key).where(F.col(key) != F.col("_other"))
     within = (F.size(F.array_except("_x", "_y")) == 0) | (F.size(F.array_except("_y", "_x")) == 0)
     pairs = pairs.withColumn("_within", within)
     alone = pairs.groupBy(block, key).agg(F.max("_within").alias("_one"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import ablation, alerts, audit, badges, casework, graph, ingest, rollups, scope, scoring, similarity
-from ..sources.tables import read_all, resolve, shared_path
+from ..operators import ablation, alerts, anomaly, audit, badges, casework, forecast, graph, ingest, rollups, scope, scoring, similarity
+from ..sources.tables import materialised, read_all, resolve, shared_path
 from . import build, corpus
 from .queries import DISTRICT_OFFICER, MINISTRY, QUERIES, dirty_exports, exact_clusters, query, six  # QUERIES: all, these among them
 
@@ -127,6 +127,36 @@ def badges_attached(spark, d):
     return rows.select("case_id", "score", "severity", six("graph_value"), "graph_why", "cluster_cluster_id", "cluster_works", "cluster_works__why")
 
 
+@query
+def outliers_confirmed(spark, d):
+    """Flags of the outlier model that some rule says too; null where a work's fired rules aren't known."""
+    rows = corpus.features(spark, d).select("work_id", "category", "state", "fy", *anomaly.COLUMNS)
+    return anomaly.confirmed(anomaly.anomaly_badges(rows), badges.fired_counts(corpus.scored_cases(spark, d))).select("work_id", "flagged", "n_fired", "confirms", "score__why")
+
+
+@query
+def citation_ratios(spark, d):
+    """Partial and sorted ratios of the texts of fired repetitions and the first work that each cites."""
+    work = corpus.works(spark, d).select("work_id", "agency", fn.description_key("description").alias("key"))
+    peers = similarity.similar_peers(work, "agency", "work_id", "key", k=1)
+    cited = scoring.with_citations(corpus.scored_cases(spark, d), peers, most=1).select("work_id", F.element_at("cited", 1).alias("peer"))
+    texts = work.select("work_id", F.col("key").alias("a"))
+    pairs = cited.join(texts, "work_id").join(texts.select(F.col("work_id").alias("peer"), F.col("a").alias("b")), "peer")
+    distinct = similarity.citation_components(pairs.select("a", "b").distinct(), "a", "b")
+    return pairs.join(distinct, ["a", "b"]).select("work_id", "peer", "components.partial", "components.sorted")
+
+
+@query
+def delay_risk_quality(spark, d):
+    """How well delays are foretold for agencies that the model hasn't seen, and, as a contrast, for works of any agency."""
+    rows = materialised(forecast.model_rows(corpus.features(spark, d), 1000, corpus.AS_OF), "forecast-rows")
+    found = []
+    for split, part in (("by agency", rows), ("at random", forecast.with_random_split(rows))):
+        q = forecast.quality(forecast.risks(part, forecast.fit(part)))
+        found.append((split, *[float(q[k]) for k in ("auc", "accuracy", "brier", "constant_brier")]))
+    return spark.createDataFrame(found, "split string, auc double, accuracy double, brier double, constant_brier double")
+
+
 @query
 def fired_counts(spark, d):
     return badges.fired_counts(corpus.scored_cases(spark, d))
