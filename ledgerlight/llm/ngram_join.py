@@ -44,7 +44,7 @@ LEADERS = 3
 HELD = 1 << 21
 #: Sets below this size use frequent tokens like rare ones; those that can be similar to such sets do both.
 TINY = 8
-#: Classes in a part of a group of candidates; bits of the filter before the join with texts (8 bits to a byte).
+#: Pairs in a part of those of one class; bits of the filter before the join with texts (8 bits to a byte).
 PART, FILTER_BITS = 100, 1 << 23
 _U = np.uint64
 
@@ -54,6 +54,14 @@ def _needed(n: int) -> int:
     return -(-OVER * n // UNDER)
 
 
+def _least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many tokens of their prefixes similar sets of these sizes share at least.
+
+    They share 3/7 of both sizes together, and the suffix of the larger holds fewer than 3/4 of it.
+    """
+    return -(-OVER * (n + m) // (OVER + UNDER)) - -(-OVER * np.maximum(n, m) // UNDER) + 1
+
+
 def _class_of(tokens: np.ndarray) -> int:
     """A set's name: a 64-bit hash of all its tokens."""
     with np.errstate(over="ignore"):
@@ -98,15 +106,15 @@ def _groups(level: int) -> int:
 
 
 def entries(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """The index entries of a set, and the number of frequent tokens in its prefix."""
+    """The index entries of a set, single tokens even and pairs odd numbers, and the number of frequent tokens in its prefix."""
     n = len(tokens)
     first = n - _needed(n) + 1
     rare, often = tokens[~is_frequent], tokens[is_frequent]
     if len(rare) >= first:
-        return rare[:first], 0
-    singles = [rare]
+        return rare[:first] & ~_U(1), 0
+    singles = [rare & ~_U(1)]
     if n <= TINY * UNDER // OVER:
-        singles.append(often[: first - len(rare)])
+        singles.append(often[: first - len(rare)] & ~_U(1))
     if n >= TINY:
         level = int(np.floor(np.log(n) / np.log(4 / 3) + 1e-9))
         for scheme in (level, level + 1):
@@ -121,14 +129,15 @@ def entries(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, in
                 same = np.flatnonzero(mine[step:] == mine[:-step])
                 if not len(same):
                     break
-                singles.append(mixed(kept[same] * _U(0x9E3779B97F4A7C15) + mixed(kept[same + step]) + _U(scheme)))
+                singles.append(mixed(kept[same] * _U(0x9E3779B97F4A7C15) + mixed(kept[same + step]) + _U(scheme)) | _U(1))
     return np.concatenate(singles), first - len(rare)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entry, class, n, rare) rows sorted by entry, rare and class to pairs (a, b, shared, lead) and, with b null, the members of long lists.
 
-    Lists pass by as a stream; shared counts a pair's short lists. Long lists give their leaders' pairs only, with shared 0.
+    Lists pass by as a stream; shared counts a pair's short lists of single tokens. Long lists give their leaders' pairs
+    only, with shared 0.
     lead is above 0 if one of the pair leads some list.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("lead", pa.int64()), ("entry", pa.int64()), ("n", pa.int64())])
@@ -136,30 +145,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def merged() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(pairs)
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        at = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-        sums = np.add.reduceat(rows[:, 2:], at)
-        for k in range(0, len(at), 50_000):
-            part = rows[at[k : k + 50_000]]
+        rows = _summed(pairs)
+        for k in range(0, len(rows), 50_000):
+            part = rows[k : k + 50_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(sums[k : k + 50_000, 0]), pa.array(sums[k : k + 50_000, 1]), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.array(part[:, c]) for c in range(4)], none, none], schema=schema)
 
     for entry, name, n, _ in _runs(batches):
         begins = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
         count = np.diff(np.append(begins, len(entry)))
-        width = np.repeat(count, count)
+        width, single = np.repeat(count, count), 1 - (entry & 1)
         place = np.arange(len(entry)) - np.repeat(begins, count)
         for step in range(1, SHORT):
             i = np.flatnonzero((width[:-step] <= SHORT) & (place[:-step] + step < width[:-step])) if len(entry) > step else np.empty(0, np.int64)
-            pairs.append(_pairs(name, n, i, i + step, 1, place[i] == 0))
+            pairs.append(_pairs(name, n, i, i + step, single[i], place[i] == 0))
         long = np.flatnonzero(width > SHORT)
         if len(long):
             for leader in range(LEADERS):
                 other = long[place[long] > leader]
-                pairs.append(_pairs(name, n, other - place[other] + leader, other, 0, np.ones(len(other), bool)))
+                pairs.append(_pairs(name, n, other - place[other] + leader, other, np.zeros(len(other), np.int64), np.ones(len(other), bool)))
             none = pa.nulls(len(long), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(name[long]), none, none, none, pa.array(entry[long]), pa.array(n[long])], schema=schema)
         size += sum(map(len, pairs[-SHORT - LEADERS :]))
@@ -170,11 +174,21 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged()
 
 
-def _pairs(name: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, shared: int, lead: np.ndarray) -> np.ndarray:
+def _summed(pairs: list[np.ndarray]) -> np.ndarray:
+    """A row for each pair, by the first two columns, with the sums of the others."""
+    rows = np.concatenate(pairs)
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    at = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+    return np.concatenate([rows[at, :2], np.add.reduceat(rows[:, 2:], at)], axis=1)
+
+
+def _pairs(name: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, shared: np.ndarray, lead: np.ndarray) -> np.ndarray:
     """Rows (smaller class, larger class, shared, lead) of those pairs that sizes allow."""
     fits = (UNDER * np.minimum(n[i], n[j]) >= OVER * np.maximum(n[i], n[j])) & (name[i] != name[j])
     a, b = name[i[fits]], name[j[fits]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), shared, np.int64), lead[fits].astype(np.int64)], axis=1)
+    return np.stack([np.minimum(a, b), np.maximum(a, b), shared[fits], lead[fits].astype(np.int64)], axis=1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -201,17 +215,21 @@ def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, n, root) rows sorted by entry and class to (a, b, shared): pairs of a list whose roots differ, and how
-    many lists of the task they share."""
+    """(entry, class, n, root, open) rows sorted by entry and class to (a, b, shared): pairs of a list whose roots differ, and
+    how many lists of single tokens they share in the task.
+
+    A pair that shares a short list, or that a list's leader is in, is known from there. So a pair's common prefix tokens
+    are no more here than what is open for either: pairs for which that is too few are left out.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
     pairs: list[np.ndarray] = []
     size = 0
 
     def merged() -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(counts)], schema=schema)
+        rows = _summed(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(3)], schema=schema)
 
-    for entry, name, n, root in _runs(batches):
+    for entry, name, n, root, free in _runs(batches):
         begins = np.append(np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])), len(entry))
         for lo, hi in zip(begins[:-1], begins[1:], strict=True):
             roots, counts = np.unique(root[lo:hi], return_counts=True)
@@ -219,7 +237,8 @@ def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Members outside the largest component, each against that one and the ones after it.
             for i in np.flatnonzero(~largest) if len(roots) > 1 else ():
                 j = np.flatnonzero((root[lo:hi] != root[lo + i]) & (largest | (np.arange(hi - lo) > i))) + lo
-                pairs.append(_pairs(name, n, np.full(len(j), lo + i), j, 0, np.zeros(len(j), bool))[:, :2])
+                j = j[np.minimum(free[lo + i], free[j]) >= _least_common(n[lo + i], n[j])]
+                pairs.append(_pairs(name, n, np.full(len(j), lo + i), j, np.full(len(j), 1 - (entry[lo] & 1)), np.zeros(len(j), bool)))
                 size += len(pairs[-1])
                 if size > 1 << 20:
                     yield merged()
@@ -288,21 +307,21 @@ def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of classes that are similar, by their whole sets.
 
-    Classes that candidate pairs connect are dealt to one task, so that a set is sent once and not for each of its pairs;
-    large groups are split into parts, and a task gets two parts and the pairs between them.
+    Pairs are dealt by the one of the two that is in more of them, so that its set is sent once for all; those of a class
+    in many pairs are dealt in parts, by the other class, and its set is sent to each part.
     """
-    roots = connected_components(pairs)
-    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    parts = roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    degrees = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
     cells = pairs.select("a", "b")
     for side in ("a", "b"):
-        cells = cells.join(parts.select(F.col("node").alias(side), "root", F.col("part").alias(f"part_{side}")).drop(*(["root"] if side == "b" else [])), side)
-    cell = F.concat_ws(":", "root", F.least("part_a", "part_b"), F.greatest("part_a", "part_b"))
-    cells = stored(cells.select("a", "b", cell.alias("cell")), "join-cells")
+        cells = cells.join(degrees.select(F.col("class").alias(side), F.col("degree").alias(f"of_{side}")), side)
+    by_a = F.struct("of_a", "a") >= F.struct("of_b", "b")
+    cells = cells.select("a", "b", F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("of_a", "of_b").alias("degree"))
+    part = F.pmod(F.xxhash64("other"), F.ceil(F.col("degree") / PART))
+    cells = stored(cells.select("a", "b", "home", "other", F.concat_ws(":", "home", part).alias("cell")), "join-cells")
 
-    wanted = cells.select(F.explode(F.array("a", "b")).alias("class"), "cell").groupBy("class").agg(F.collect_set("cell").alias("cells"))
+    wanted = cells.select(F.col("home").alias("class"), "cell").distinct().unionByName(cells.select(F.col("other").alias("class"), "cell"))
     first = index.where("class is not null").groupBy("class").agg(F.min("id").alias("_id"), F.min("key").alias("_key"))
-    wanted = stored(wanted.join(first, "class"), "join-wanted")
+    wanted = stored(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")).join(first, "class"), "join-wanted")
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     named, nameless = wanted.where("_id is not null").drop("_key"), wanted.where("_id is null").drop("_id")
     # Classes whose rows all have no id get a text by its hash; equal texts are brought to one before they are dealt.
@@ -337,14 +356,13 @@ def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame
         return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = texts.mapInArrow(sets, "cell string, class long, tokens binary")
-    return cells.groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(similar, "a long, b long")
+    return cells.select("a", "b", "cell").groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(similar, "a long, b long")
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, uncounted: str) -> DataFrame:
-    """Those of the pairs (a, b, shared) that can be similar by the tokens that their prefixes share.
+    """Those of the pairs (a, b, shared) that can be similar by the tokens that their prefixes share (``_least_common``).
 
-    Similar sets share at least 3/7 of both sizes, and a set's suffix holds fewer than 3/4 of it, so the prefix that ends
-    first shares the rest. ``uncounted`` bounds, for each class, the prefix tokens that ``shared`` doesn't count.
+    ``uncounted`` bounds, for each class, the prefix tokens that ``shared`` doesn't count.
     """
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col(uncounted).alias(f"open{side}")), side)
@@ -369,7 +387,7 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # A pair needs as many common tokens in the prefixes as their suffixes leave open; frequent tokens and those of
     # long lists, which aren't counted by pair, are taken as common as far as both have them.
-    long = found.where("b is null").groupBy("a").agg(F.countDistinct("entry").alias("long"))
+    long = found.where("b is null and entry % 2 = 0").groupBy("a").agg(F.countDistinct("entry").alias("long"))
     facts = index.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.max("often").alias("often")).join(long.withColumnRenamed("a", "class"), "class", "left")
     facts = stored(facts.select("class", "n", "often", (F.col("often") + F.coalesce("long", F.lit(0))).alias("open")), "join-facts")
     counted = stored(found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("lead").alias("lead")), "join-counted")
@@ -380,16 +398,17 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # What components still divide: the other pairs of short lists, and those of long lists, which now are counted, too.
     members = found.where("b is null").select("entry", F.col("a").alias("class"), "n").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     open_lists = members.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("entry")
-    members = members.join(open_lists, "entry", "left_semi").select("entry", "class", "n", "root")
+    members = members.join(open_lists, "entry", "left_semi").join(facts.select("class", "open"), "class").select("entry", "class", "n", "root", "open")
     rest = members.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "class")
-    others = counted.where("lead = 0").select("a", "b")
+    others = counted.where("lead = 0").select("a", "b", "shared")
     for side in ("a", "b"):
         others = others.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    others = others.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", F.lit(0).cast("long").alias("shared"))
-    more = rest.mapInArrow(_divided, "a long, b long, shared long").unionByName(others)
-    more = more.groupBy("a", "b").agg(F.sum("shared").alias("in_long")).join(counted, ["a", "b"], "left")
-    more = more.select("a", "b", (F.col("in_long") + F.coalesce("shared", F.lit(0))).alias("shared")).join(pairs, ["a", "b"], "left_anti")
-    more = stored(_possible(more, facts, "often"), "join-rest")
+    others = others.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "shared")
+    more = rest.mapInArrow(_divided, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("in_long"))
+    more = more.join(counted, ["a", "b"], "left").select("a", "b", (F.col("in_long") + F.coalesce("shared", F.lit(0))).alias("shared"))
+    # Shared long lists are counted only for pairs that came from there.
+    more = _possible(more, facts, "often").unionByName(_possible(others, facts, "open")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "join-rest")
     if more.limit(1).count():
         links = links.unionByName(_verified(documents, id_col, text_col, index, more))
         roots = connected_components(links)

@@ -89,6 +89,21 @@ def test_ngram_join_with_many_frequent_tokens(spark, documents, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in got} == set(roots.items())
 
 
+def test_ngram_join_of_a_large_group_and_its_outliers(spark):
+    """Copies of one text with few and many edits, some edits shared, lengths that differ, and short lists of rare words."""
+    random = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(260):
+        text = list(base[: int(random.integers(100, 151))])
+        for at in random.choice(len(text), int(random.integers(0, 9)), replace=False):
+            text[at] = f"v{random.integers(12)}" if random.random() < 0.5 else f"u{k}x{at}"
+        rows.append((k, " ".join(text)))
+    sets, roots = jaccard_components(rows)
+    assert 1 < len(set(roots.values())) < 200
+    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(roots.items())
+
+
 def test_entries_of_similar_sets_meet():
     random = np.random.default_rng(5)
     for _ in range(300):
