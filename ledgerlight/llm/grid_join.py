@@ -70,7 +70,7 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _sequence(vectors: DataFrame, dim: int, eps: float, block: int, rotation: np.ndarray) -> tuple[DataFrame, DataFrame, int, int]:
-    """(id, times, x, block, place) in grid order, the blocks' boxes (block, lo, hi), and the levels and fan of the interval tree."""
+    """(id, times, x, block, place) in grid order, boxes of parts of blocks (block, lo, hi), and the levels and fan of the interval tree."""
     lead = min(dim, LEADING)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,41 +84,35 @@ def _sequence(vectors: DataFrame, dim: int, eps: float, block: int, rotation: np
     kind = vectors.schema["x"].dataType.simpleString()
     spark = vectors.sparkSession
     ordered = vectors.select("id", "times", "x").mapInArrow(cells, f"id long, times long, x {kind}, cell string").repartitionByRange(shuffle_partitions(spark), "cell", "id").sortWithinPartitions("cell", "id")
-    schema = pa.schema([("id", pa.int64()), ("times", pa.int64()), ("x", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("part", pa.int64()), ("no", pa.int64()), ("place", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, no = TaskContext.get().partitionId(), 0, 0
-        lo, hi = np.full(dim, np.inf), np.full(dim, -np.inf)
-
-        def box() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "no": no, "lo": lo.tolist(), "hi": hi.tolist()}], schema=schema)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                rows = batch.slice(start, block - at)
-                y = _unit(_matrix(rows.column(2), dim)) @ rotation
-                lo, hi = np.minimum(lo, y.min(axis=0)), np.maximum(hi, y.max(axis=0))
-                n = rows.num_rows
-                none = pa.nulls(n, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2).cast(schema.field("x").type), pa.array(np.full(n, part)), pa.array(np.full(n, no)), pa.array(np.arange(at, at + n)), none, none], schema=schema)
-                at, start = at + n, start + n
-                if at == block:
-                    yield box()
-                    at, no, lo, hi = 0, no + 1, np.full(dim, np.inf), np.full(dim, -np.inf)
-        if at:
-            yield box()
-
-    rows = stored(ordered.select("id", "times", "x").mapInArrow(cut, f"id long, times long, x {kind}, part long, no long, place long, lo array<double>, hi array<double>"), "grid-sequence")
-    most = rows.agg(F.max("part"), F.max("no")).first()
-    levels, width = 0, 1
-    while width <= most[1]:
-        levels, width = levels + 1, width * FAN
-    top = width
-    while top < (most[0] + 1) * width:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(at, at + n))], ["id", "times", "x", "part", "place"])
+            at += n
+
+    rows = stored(ordered.select("id", "times", "x").mapInArrow(place, f"id long, times long, x {kind}, part long, place long"), "grid-sequence")
+    # Places in the whole sequence: those in a task's part after the sizes of the parts before it, of which there is one for each task.
+    sizes = sorted(tuple(r) for r in rows.groupBy("part").count().collect())
+    total, offsets = 0, []
+    for part, n in sizes:
+        offsets.append((part, total))
+        total += n
+    rows = rows.join(F.broadcast(spark.createDataFrame(offsets, "part long, _before long")), "part").withColumn("place", F.col("place") + F.col("_before"))
+    rows = rows.select("id", "times", "x", F.floor(F.col("place") / block).cast("long").alias("block"), "place")
+
+    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, at = _unit(_matrix(batch.column(1), dim)) @ rotation, batch.column(0).to_numpy()
+            blocks = np.unique(at)
+            sides = [pa.array([side(y[at == k], axis=0).tolist() for k in blocks], pa.list_(pa.float64())) for side in (np.min, np.max)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), *sides], ["block", "lo", "hi"])
+
+    levels, top = 0, 1
+    while top * block < total:
         levels, top = levels + 1, top * FAN
-    rows = rows.withColumn("block", F.col("part") * width + F.col("no"))
-    return rows.where("id is not null").select("id", "times", "x", "block", "place"), rows.where("id is null").select("block", "lo", "hi"), levels, FAN
+    return rows, rows.select("block", "x").mapInArrow(box, "block long, lo array<double>, hi array<double>"), levels, FAN
 
 
 def near_block_pairs(boxes: DataFrame, levels: int, fan: int, eps: float) -> DataFrame:
