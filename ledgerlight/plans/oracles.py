@@ -418,3 +418,28 @@ ORACLE_SQL |= {
   union all select 'rollup_agency', (select count(distinct (state, district, agency)) from cases where not is_synthetic) union all select 'rollup_member', (select count(distinct member) from cases where not is_synthetic)
   union all select 'rulebook_versions', 1 union all select 'audit_log', c + f + dup + b from n""",
 }
+
+
+def _sql_rupees(c: str) -> str:
+    """Digits in groups of two before the last three; written backwards, as there the groups begin."""
+    head = f"reverse(trim(regexp_replace(reverse(left(d, length(d) - 3)), '(..)', '\\1,', 'g'), ','))"
+    return f"(select case when {c} is null then 'an unpublished amount' else case when {c} < 0 then '-' else '' end || 'Rs ' || case when length(d) > 3 then {head} || ',' || right(d, 3) else d end end from (select cast(abs({c}) as varchar) as d))"
+
+
+_AND = "case when len({0}) <= 1 then array_to_string({0}, '') else array_to_string({0}[1:len({0}) - 1], ', ') || ' and ' || {0}[len({0})] end"
+_ORDER_OF = f"list_position([{', '.join(repr(r.id) for r in _BOOK.rules)}], rule_id)"
+
+ORACLE_SQL |= {
+    "case_memos": f"""with {CASES}, said as (
+    select work_id, coalesce(list(replace(rule_id, '_', ' ') order by {_ORDER_OF}) filter (status = 'fired'), []) as fired,
+           coalesce(list(replace(rule_id, '_', ' ') || ' (' || replace(why, '_', ' ') || ')' order by {_ORDER_OF}) filter (status = 'skipped'), []) as skipped
+    from trace group by work_id)
+  select case_id, concat_ws(' ',
+    'Work ' || work_id || ' scores ' || score || ' (' || severity || ') with ' || coverage_pct || '% of the rulebook readable.',
+    'It was sanctioned ' || {_sql_rupees("sanctioned_amt")} || coalesce(' on ' || strftime(sanction_date, '%-d %B %Y'), '') || ' and paid ' || {_sql_rupees("paid_amt")} || '.',
+    case when len(fired) > 0 then 'Fired: ' || {_AND.format("fired")} || '.' end,
+    case when same_count > 1 then 'The description occurs ' || same_count || ' times under the agency; this asks for review and shows no wrong.' end,
+    case when len(skipped) > 0 then 'Not evaluated: ' || {_AND.format("skipped")} || '.' end,
+    case when bonus > 0 then 'The agency has ' || peer_count || ' other HIGH cases in the year.' end) as memo
+  from cases join said using (work_id)""",
+}
