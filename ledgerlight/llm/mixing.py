@@ -25,6 +25,8 @@ BUDGET = 1.5
 MOST = 2
 #: Ranges of the ranking key that are summed before any single rows are ranked.
 RANGES = 1 << 14
+#: Tasks that the rows of a source are dealt to where they meet what is known of it.
+SALTS = 64
 SEED = 17
 
 
@@ -52,6 +54,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return rows.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
+def _of_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rows with the columns of ``facts`` (a row for each _source); a source's rows are dealt to SALTS tasks."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "size"), F.lit(SALTS)).cast("int"))
+    facts = facts.withColumn("_s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(facts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_s_salt"))).drop("_source", "_salt", "_s_salt")
+
+
 def levels(rows: DataFrame, goal: DataFrame, most: float = MOST) -> DataFrame:
     """(source, level): with copies of least(most, level * priority) a source's expected words come to its target.
 
@@ -86,7 +95,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     level = levels(rows, goal).select(F.col("source").alias("_s"), "level")
     goal = goal.join(level, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "level")
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = _of_source(rows, goal)
 
     # Whole numbers but for rounding are whole: a document at its most copies is settled.
     copies = F.least(F.lit(float(MOST)), F.col("level") * F.col("_priority"))
