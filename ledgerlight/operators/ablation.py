@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import PUBLISHED, crore
 from .rulebook import Rulebook
 
 
@@ -20,6 +21,8 @@ class Field:
     skip_reason: str = ""
     condition: str = ""
     zero_reason: str = ""
+    #: Figures of ``corpus_measures`` that are cited beside the field, and never turned into weight.
+    beside: tuple[str, ...] = ()
 
     def __post_init__(self):
         if bool(self.rules) == bool(self.zero_reason):
@@ -31,14 +34,14 @@ READ = ("payment_count", "completion_date")
 # The fields' keys, and the rules, reasons and conditions of those that skips are attributed to.
 CATALOGUE = (
     Field("revised_cost_estimate", zero_reason="no rule compares a sanction with a revision of it"),
-    Field("utilisation_certificate", zero_reason="no rule waits for a certificate"),
+    Field("utilisation_certificate", zero_reason="no rule waits for a certificate", beside=("certification_not_published",)),
     Field("milestone_progress", zero_reason="no rule reads progress between sanction and completion"),
     Field("tender_records", zero_reason="no rule reads how a vendor was chosen"),
-    Field("work_geocoordinates", zero_reason="no rule reads a place; two rules would fire more exactly"),
-    Field("asset_photo_geotag", zero_reason="no rule reads where and when a photograph was taken"),
+    Field("work_geocoordinates", zero_reason="no rule reads a place; two rules would fire more exactly", beside=("duplicate_work_fires", "split_sanction_fires")),
+    Field("asset_photo_geotag", zero_reason="no rule reads where and when a photograph was taken", beside=("asset_evidence_passes", "asset_evidence_fires")),
     Field("beneficiary_counts", zero_reason="no rule reads an outcome"),
-    Field("expenditure_linkage", ("utilisation_shortfall", "stalled_work", "vendor_concentration"), "not_published", "payment_count = 0"),
-    Field("asset_image_publication_scope", ("asset_evidence_missing",), "not_published", "completion_date is null"),
+    Field("expenditure_linkage", ("utilisation_shortfall", "stalled_work", "vendor_concentration"), "not_published", "payment_count = 0", beside=("works_with_payment", "works_without_payment")),
+    Field("asset_image_publication_scope", ("asset_evidence_missing",), "not_published", "completion_date is null", beside=("asset_image_published", "works_without_completion")),
 )
 ATTRIBUTED = tuple(f for f in CATALOGUE if f.rules)
 
@@ -156,6 +159,32 @@ def measure_all(cases: DataFrame, book: Rulebook, catalogue: tuple[Field, ...] =
     return rows.agg(*sums).select(F.inline(F.array(*parts))).withColumn("uplift", F.col("coverage_if_published") - F.col("coverage_now"))
 
 
+def corpus_measures(cases: DataFrame, recommended: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of the figures that fields may cite, over works that aren't synthetic.
+
+    recommended: work_id, recommended_amt, recommended_amt__why. edges: work_id, vendor_id, a row or more for each pair.
+    """
+    real = cases.where("not is_synthetic")
+    status = lambda rule, s: F.count_if(F.exists("trace", lambda t: (t["rule_id"] == rule) & (t["status"] == s)))
+    paid, done = F.col("payment_count") > 0, F.col("completion_date").isNotNull()
+    one = real.agg(
+        F.count("*").alias("corpus_works"), F.count_if(F.col("certified_amt").isNull()).alias("certification_not_published"), F.count("certified_amt").alias("certification_rows"),
+        F.count_if(paid).alias("works_with_payment"), F.count_if(~paid).alias("works_without_payment"), F.count_if(~done).alias("works_without_completion"), F.count_if(paid & ~done).alias("paid_without_completion"), F.count_if(done).alias("asset_image_published"),
+        status("asset_evidence_missing", "fired").alias("asset_evidence_fires"), status("asset_evidence_missing", "passed").alias("asset_evidence_passes"), status("duplicate_work", "fired").alias("duplicate_work_fires"),
+        status("split_sanction", "fired").alias("split_sanction_fires"), status("vendor_concentration", "fired").alias("vendor_concentration_fires"), F.countDistinct("agency").alias("agencies"), crore(F.sum("sanctioned_amt")).alias("sanctioned_value"),
+    )
+    said = recommended.select("work_id", "recommended_amt", "recommended_amt__why").join(real.select("work_id", "sanctioned_amt"), "work_id")
+    published = F.col("recommended_amt__why") == PUBLISHED
+    two = said.agg(F.count_if(published).alias("degeneracy_matched"), F.count_if(published & (F.col("recommended_amt") != F.col("sanctioned_amt"))).alias("degeneracy_differing"), F.count_if(~published).alias("recommended_not_published"))
+    three = edges.join(real.select("work_id"), "work_id", "left_semi").agg(F.countDistinct("vendor_id").alias("vendors"))
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # one row each
+
+
+def corroborating(measures: dict, field: Field) -> dict:
+    """The figures that stand beside a field; one that wasn't measured is an error."""
+    return {name: measures[name] for name in field.beside}
+
+
 def in_order(ranked: DataFrame) -> DataFrame:
     """Ranked fields first, those without a place after them, by criterion and key; place counts all from 1."""
     by = W.orderBy(F.col("position").asc_nulls_last(), F.desc("criterion"), "field")

@@ -443,3 +443,14 @@ ORACLE_SQL |= {
     case when bonus > 0 then 'The agency has ' || peer_count || ' other HIGH cases in the year.' end) as memo
   from cases join said using (work_id)""",
 }
+
+ORACLE_SQL |= {
+    "gap_measures": f"""with {CASES}, r as (select * exclude (status) from cases where not is_synthetic),
+  t as (select rule_id, status, count(*) as n from trace join r using (work_id) group by all),
+  v as (select count(distinct vendor_id) as vendors from payments join r using (work_id))
+  select count(*) as corpus_works, count(*) filter (certified_amt is null) as certification_not_published, count(certified_amt) as certification_rows, count(*) filter (payment_count > 0) as works_with_payment,
+         count(*) filter (payment_count = 0) as works_without_payment, count(*) filter (completion_date is null) as works_without_completion, count(*) filter (payment_count > 0 and completion_date is null) as paid_without_completion,
+         count(completion_date) as asset_image_published, {", ".join(f"coalesce((select n from t where rule_id = '{rule}' and t.status = '{status}'), 0) as {name}" for rule, status, name in (("asset_evidence_missing", "fired", "asset_evidence_fires"), ("asset_evidence_missing", "passed", "asset_evidence_passes"), ("duplicate_work", "fired", "duplicate_work_fires"), ("split_sanction", "fired", "split_sanction_fires"), ("vendor_concentration", "fired", "vendor_concentration_fires")))},
+         count(distinct agency) as agencies, format('{{:,.2f}}', sum(sanctioned_amt) / 1e7) as sanctioned_value, count(*) filter (order_key % 3 <> 0) as degeneracy_matched,
+         count(*) filter (order_key % 3 <> 0 and order_key % 1000 <> 0) as degeneracy_differing, count(*) filter (order_key % 3 = 0) as recommended_not_published, (select vendors from v) as vendors from r""",
+}

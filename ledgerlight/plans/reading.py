@@ -175,6 +175,12 @@ def ablation_order(spark, d):
     return ablation.in_order(ranked)
 
 
+@query
+def gap_measures(spark, d):
+    edges = corpus.built(spark, d, "lines").join(corpus.works(spark, d).select("order_key", "work_id"), "order_key").select("work_id", "vendor_id")
+    return ablation.corpus_measures(corpus.scored_cases(spark, d), recommended_amounts(spark, d), edges)
+
+
 @query
 def band_histogram(spark, d):
     return ablation.band_counts(corpus.scored_cases(spark, d))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import ablation
 from ledgerlight.plans import corpus
-from ledgerlight.plans.queries import QUERIES
+from ledgerlight.plans.reading import QUERIES
 
 
 def plain(cases, field, book, budget):
@@ -47,3 +47,15 @@ def test_band_range_query_covers_each_attributed_field(spark):
     assert got.keys() == {f.key for f in ablation.ATTRIBUTED}
     for f in ablation.ATTRIBUTED:
         assert got[f.key] == plain([(r["score"], r[f.key], r["trace"]) for r in cases], f, corpus.rulebook(), got[f.key][2])
+
+
+def test_fields_cite_measures_that_were_taken(spark):
+    measured = QUERIES["gap_measures"](spark, "/root/testdata/sf0.001").first().asDict()
+    for f in ablation.CATALOGUE:
+        assert set(ablation.corroborating(measured, f)) == set(f.beside)
+    assert measured["works_with_payment"] + measured["works_without_payment"] == measured["corpus_works"]
+    try:
+        ablation.corroborating({}, ablation.ATTRIBUTED[0])
+        raise AssertionError("a measure that wasn't taken was cited")
+    except KeyError:
+        pass
