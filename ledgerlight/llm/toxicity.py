@@ -18,7 +18,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +135,10 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32)))], ["label", "places"])
 
-    sparse = F.udf(lambda places: Vectors.sparse(len(index), places, ratios[places]), VectorUDT())  # sample rows only
-    vectors = rows.mapInArrow(values, "label double, places array<int>").select("label", sparse("places").alias("features"))
+    places = stored(rows.mapInArrow(values, "label double, places array<int>"), "toxicity-features")
+    named = places.select("label", F.transform("places", lambda p: p.cast("string")).alias("places"))
+    seen = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(index))], inputCol="places", outputCol="seen")
+    vectors = ElementwiseProduct(scalingVec=Vectors.dense(ratios), inputCol="seen", outputCol="features").transform(seen.transform(named)).select("label", "features")
     fitted = LogisticRegression(maxIter=50, regParam=PENALTY, elasticNetParam=0.0, standardization=False).fit(vectors)
     weights = np.asarray(fitted.coefficients.toArray()) * ratios
     return Model(tuple(int(i) for i in index), tuple(float(w) for w in weights), float(fitted.intercept))
