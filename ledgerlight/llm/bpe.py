@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import release, tidy
+
 NEVER = 1 << 60
 #: Chunks of text, and pairs of tokens, whose results a task remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Symbols read between two looks for tokens that are stable.
 EVERY = 256
 #: Code points of text that are gone through at a time.
-WINDOW = 1 << 23
+WINDOW = 1 << 21
 #: Stands for the end of a word in the automaton; no sign of the byte alphabet.
 END = "\uffff"
 
@@ -468,10 +470,11 @@ def token_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_
     kind = documents.schema[id_col].dataType
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier tasks of other kinds have left
         bpe = loaded(path)
         for batch in batches:
             found = bpe.digests(t.as_py() or "" for t in batch.column(1))
             n, ids, words = ([x[k] for x in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(words, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(id_col, text_col).mapInArrow(digest, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(id_col, text_col).mapInArrow(tidy(digest), f"`{id_col}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import shuffle_partitions, stored, tidy
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
@@ -96,7 +96,7 @@ def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def frequent_tokens(documents: DataFrame, text_col: str = "text") -> np.ndarray:
     """The sorted frequent tokens, at most MOST_FREQUENT of them (8 bytes each)."""
-    counts = documents.select(text_col).mapInArrow(_frequent_here, "token long, count long").groupBy("token").agg(F.sum("count").alias("n"))
+    counts = documents.select(text_col).mapInArrow(tidy(_frequent_here), "token long, count long").groupBy("token").agg(F.sum("count").alias("n"))
     rows = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(rows.column(0).combine_chunks().to_numpy().astype(np.int64).view(_U))
 
@@ -287,7 +287,7 @@ def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(often, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=none)], ["id", "key", "class", "n", "often", "rare", "entries"])
 
     key = F.when(F.col(id_col).isNull(), F.sha2(text_col, 256)).alias("_key")
-    return stored(documents.select(id_col, text_col, key).mapInArrow(build, f"id {kind.simpleString()}, key string, class long, n long, often long, rare long, entries array<long>"), "join-index")
+    return stored(documents.select(id_col, text_col, key).mapInArrow(tidy(build), f"id {kind.simpleString()}, key string, class long, n long, often long, rare long, entries array<long>"), "join-index")
 
 
 def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame
             keep.append(UNDER * shared >= OVER * (len(p) + len(q) - shared))
         return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = texts.mapInArrow(sets, "cell string, class long, tokens binary")
+    whole = texts.mapInArrow(tidy(sets), "cell string, class long, tokens binary")
     return cells.select("a", "b", "cell").groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(similar, "a long, b long")
 
 
@@ -383,7 +383,7 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = _index(documents, id_col, text_col)
     lists = index.where("entries is not null").select(F.explode("entries").alias("entry"), "class", "n", "rare")
     lists = lists.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "rare", "class")
-    found = stored(lists.mapInArrow(_candidates, "a long, b long, shared long, lead long, entry long, n long"), "join-candidates")
+    found = stored(lists.mapInArrow(tidy(_candidates), "a long, b long, shared long, lead long, entry long, n long"), "join-candidates")
 
     # A pair needs as many common tokens in the prefixes as their suffixes leave open; frequent tokens and those of
     # long lists, which aren't counted by pair, are taken as common as far as both have them.
@@ -404,7 +404,7 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for side in ("a", "b"):
         others = others.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     others = others.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "shared")
-    more = rest.mapInArrow(_divided, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("in_long"))
+    more = rest.mapInArrow(tidy(_divided), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("in_long"))
     more = more.join(counted, ["a", "b"], "left").select("a", "b", (F.col("in_long") + F.coalesce("shared", F.lit(0))).alias("shared"))
     # Shared long lists are counted only for pairs that came from there.
     more = _possible(more, facts, "often").unionByName(_possible(others, facts, "open")).distinct()

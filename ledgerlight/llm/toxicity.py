@@ -23,7 +23,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored, tidy
 
 #: Labelled documents that are trained on, at most (drawn by a hash of the id).
 SAMPLE = 20_000
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     pooled = (F.col("clean") + F.col("toxic")) / F.lit(float(sum(totals.values())))
     spread = F.sqrt(pooled * (1 - pooled) * F.lit(1 / totals[0] + 1 / totals[1]))
     ratio = F.log(((F.col("toxic") + SMOOTHING) / (totals[1] + 2 * SMOOTHING)) / ((F.col("clean") + SMOOTHING) / (totals[0] + 2 * SMOOTHING)))
-    counts = rows.mapInArrow(_counted, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(tidy(_counted), "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     picked = counts.withColumn("z", F.try_divide(F.abs(shares["toxic"] - shares["clean"]), spread)).where(F.col("z") >= CERTAIN)
     best = sorted((r["feature"], r["ratio"]) for r in picked.select("feature", ratio.alias("ratio")).collect())  # of DIMS features at most
     if not best:
@@ -135,7 +135,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32)))], ["label", "places"])
 
-    places = stored(rows.mapInArrow(values, "label double, places array<int>"), "toxicity-features")
+    places = stored(rows.mapInArrow(tidy(values), "label double, places array<int>"), "toxicity-features")
     named = places.select("label", F.transform("places", lambda p: p.cast("string")).alias("places"))
     seen = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(index))], inputCol="places", outputCol="seen")
     vectors = ElementwiseProduct(scalingVec=Vectors.dense(ratios), inputCol="seen", outputCol="features").transform(seen.transform(named)).select("label", "features")
@@ -152,6 +152,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def scores(texts):
         place = _places(index)
         sums = np.array([weights[_seen(text, place, len(index))].sum() for text in texts])
+        release()
         return pd.Series(1 / (1 + np.exp(-np.clip(model.base + sums, -500, 500))))
 
     scored = documents.withColumn("score", scores(F.coalesce(F.col(text_col), F.lit(""))))
