@@ -19,9 +19,10 @@ from .secret_scan import scan_history
 from .sharding import shard_documents
 from .toxicity import toxicity
 from .warc import archive_and_read_back
+from .wavelet import write_and_read_back
 
-#: The tokenizer file, in a package that all executors have; the operator takes any path.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The tokenizer files, in a package that all executors have; the operators take any path. END closes each document in op13's files.
+TOKENIZER, BYTE_TOKENIZER, END = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json"), 2
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_ngram_join, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format, op10_embedding_dedup, op11_ranked_search, op12_prefix_trie)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read_back(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, END)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_secret_scan, op3_ngram_join, op4_bpe, op5_sharding, op6_mixing, op7_toxicity, op8_exact_dedup, op9_chat_format, op10_embedding_dedup, op11_ranked_search, op12_prefix_trie, op13_token_files)}
 
 _NORM = "translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
