@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,18 +35,31 @@ from .common import shared_folder, shuffle_partitions, stored, text_or_empty, ti
 from .warc import _open
 
 MAGIC, HEAD = b"WMSHARD1", struct.Struct("<QIIHH")
-#: Ids after which a shard is closed (a document is never divided); log2 of the bits in a block; words that a task remembers.
-SHARD_IDS, BLOCK, WORDS = 1 << 20, 16, 250_000
+#: Ids after which a shard is closed (a document is never divided); log2 of the bits in a block; words and parts of words that a task remembers.
+SHARD_IDS, BLOCK, WORDS = 1 << 20, 16, 300_000
 #: Unicode's white space. A word with the white space before it is encoded by itself, as a pre-tokenizer that cuts where white space begins allows.
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 _WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+def _latin(kind: str) -> str:
+    return "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)
+
+
+#: What the byte-level pre-tokenizer cuts, for texts of Latin letters (below U+0250), whose classes are the same in all versions of Unicode.
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+_PARTS = re.compile("'(?:[stmd]|re|ve|ll)| ?[{0}]+| ?[{1}]+| ?[^{2}{0}{1}]+|[{2}]+(?![^{2}])|[{2}]+".format(_latin("L"), _latin("N"), "\t-\r \x85\xa0"))
+#: The sign that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the others for what follows U+00FF.
+_SIGNS = {b: chr(b) for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
+_SIGNS |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SIGNS)}
+
+
 class Encoder:
     """A tokenizer file's ids of whole texts, as the library gives them without adding special tokens.
 
-    Where the file has a byte-level pre-tokenizer and no normalizer, words are cut out, given to the library's
-    pre-tokenizer and model once each and remembered, up to a number of them; else the library encodes the text.
+    Where the file has a byte-level pre-tokenizer and no normalizer, what it cuts out is given to the library's model
+    once each and remembered, up to a number of them. Texts beyond Latin letters are cut at white space first and by the
+    library's pre-tokenizer then. With any other file the library encodes the text.
     """
 
     def __init__(self, path: str):
@@ -64,23 +79,27 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _model(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(part)], dtype="<u4").tobytes()
-            if len(part) <= 64:
-                self.parts[part] = found
+        found = self._model(part.encode().decode("latin-1").translate(_SIGNS))
+        if len(part) <= 64:
+            self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        found = b"".join([self._part(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)])
+        found = b"".join([self._model(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)])
         if len(word) <= 64:
             self.words[word] = found
         return found
 
     def _plain(self, text: str) -> bytes:
-        known, words = self.words.get, _WORD.findall(text)
-        return b"".join([x if (x := known(w)) is not None else self._word(w) for w in words])
+        if _BEYOND.search(text):
+            known, make, found = self.words.get, self._word, _WORD.findall(text)
+        else:
+            known, make, found = self.parts.get, self._part, _PARTS.findall(text)
+        return b"".join([x if (x := known(w)) is not None else make(w) for w in found])
 
     def encode(self, text: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers."""

@@ -112,9 +112,10 @@ TEXTS = ["", " ", "\n\n a", "it's  fine,\t b 　c ", "a\x1c  b\x85 c", "12 345
 def test_words_are_encoded_as_the_library_encodes_texts():
     rng, library = random.Random(5), Tokenizer.from_file(queries.BYTE_TOKENIZER)
     signs = "ab1é😀'.-s \n\t\r\x0b\x1c\x85\xa0 　᠎​"
+    latin = [chr(c) for c in range(0x250)] + list(" '  \n\tab12.,") * 30
     ours = wavelet.Encoder(queries.BYTE_TOKENIZER)
     assert ours.by_word
-    for text in [*TEXTS, *("".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000))]:
+    for text in [*TEXTS, *("".join(rng.choice(s) for _ in range(rng.randint(1, 60))) for s in (signs, latin) for _ in range(3000))]:
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
     words = wavelet.Encoder(queries.TOKENIZER)
     assert not words.by_word and np.frombuffer(words.encode("Ab c"), "<u4").tolist() == words.tokenizer.encode("Ab c", add_special_tokens=False).ids
