@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, casework
+from ..sources.tables import materialised
 from . import corpus
 
 RULES = Path(corpus.__file__).with_name("synthetic_rules.yaml")
@@ -15,6 +16,14 @@ RULES = Path(corpus.__file__).with_name("synthetic_rules.yaml")
 WRITTEN = ("works", "shares", "cases", "hits", "rollup_state", "rollup_district", "rollup_agency", "rollup_member")
 
 
+#: Parts of the stored log, by the hash of the case.
+LOG_BUCKETS = 64
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("case_id"), F.lit(LOG_BUCKETS)).cast("int")
+
+
 def versions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(casework.versions(corpus.rulebook(), RULES.read_text(encoding="utf-8")), casework.VERSION_SCHEMA)
 
@@ -31,17 +40,30 @@ def opening_log(cases: DataFrame) -> DataFrame:
 def build(spark: SparkSession, sf_dir: str, out: str) -> dict[str, DataFrame]:
     """Writes all tables to ``out``, replacing what is there, and gives them as read back.
 
-    Running it again gives the same tables. An empty table of cases is an error: nothing else can be right then.
+    Running it again gives the same tables, and the inputs are read anew: what the session built from them before is
+    forgotten. An empty table of cases is an error: nothing else can be right then. The log lies in LOG_BUCKETS parts by
+    case, of which an append reads those of its own cases.
     """
+    corpus.forget(sf_dir)
     made = {name: corpus.built(spark, sf_dir, name) for name in WRITTEN}
     if not made["cases"].limit(1).count():
         raise ValueError(f"no cases in {sf_dir}")
     made |= {"rulebook_versions": versions(spark), "audit_log": opening_log(made["cases"])}
+    made["audit_log"] = made["audit_log"].withColumn("bucket", bucket())
     for name, rows in made.items():
-        rows.write.mode("overwrite").parquet(f"{out}/{name}")
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy("bucket") if name == "audit_log" else writer).parquet(f"{out}/{name}")
     return {name: spark.read.schema(rows.schema).parquet(f"{out}/{name}") for name, rows in made.items()}
 
 
-def append_events(log: str, events: DataFrame) -> None:
-    """Adds rows to the log; none is ever changed."""
-    events.write.mode("append").parquet(log)
+def append_events(spark: SparkSession, log: str, events: DataFrame) -> int:
+    """Adds a batch of events to the stored log, as ``audit.appended`` says; none of its rows is ever changed. Gives the number added.
+
+    The batch is chained first and written in one step, so a run that fails leaves the log as it was; sent again, it adds
+    what isn't there. Batches are appended one at a time.
+    """
+    events = materialised(events, "audit-batch")
+    parts = [r[0] for r in events.select(bucket()).distinct().collect()]  # LOG_BUCKETS of them at most
+    rows = materialised(audit.appended(spark.read.parquet(log).where(F.col("bucket").isin(parts)), events), "audit-rows")
+    rows.withColumn("bucket", bucket()).write.mode("append").partitionBy("bucket").parquet(log)
+    return rows.count()

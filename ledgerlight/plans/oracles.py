@@ -291,7 +291,7 @@ _FIRED = f"""{CASES}, fired as (
 _HOP = "case when {0} is null then 'unavailable' when {0} < -60 then 'open' else 'closed' end"
 _SHOWN = "coalesce(cast({0} as varchar), '-')"
 #: The log's rows of member 7, and their hashes: SHA-256 of JSON with sorted keys, the hash before it last.
-_LOG = f"""with recursive {CASES}, mine as (select case_id, work_id, bonus, score from cases where member = 7),
+_LOG = f"""with recursive {CASES}, mine as (select case_id, work_id, bonus, score, member, severity from cases),
   fires as (select m.case_id, m.score, t.rule_id, list_position([{", ".join(f"'{r.id}'" for r in _BOOK.rules)}], t.rule_id) as pos from mine m join trace t using (work_id) where status = 'fired'),
   events as (
     select case_id, score, 0 as k, 0 as pos, 'CASE_OPENED' as event, cast(null as varchar) as rule_id from mine
@@ -306,6 +306,17 @@ _LOG = f"""with recursive {CASES}, mine as (select case_id, work_id, bonus, scor
   log as (
     select case_id, id, event, repeat('0', 64) as prev_hash, sha256(body || repeat('0', 64) || '"}}') as row_hash from bodies where id = 0
     union all select b.case_id, b.id, b.event, l.row_hash, sha256(b.body || l.row_hash || '"}}') from log l join bodies b on b.case_id = l.case_id and b.id = l.id + 1)"""
+_NOTE = '{{"actor":"officer","actor_id":"7","actor_role":"state","at":"2002-01-0{0}T00:00:00","case_id":"\' || case_id || \'","event":"NOTE_ADDED","payload_json":"{{\\"text\\":\\"{1}\\"}}","prev_hash":"'
+#: The log with two batches of notes behind the opening events.
+_APPENDED = _LOG.replace("  log as (", f"""  longest as (select case_id, max(id) as last from bodies group by case_id),
+  noted as (
+    select case_id, 1 as batch, '{_NOTE.format(1, "seen")}' as body from mine where severity = 'HIGH'
+    union all select case_id, 2, '{_NOTE.format(2, "asked the office")}' from mine where member % 5 = 0),
+  opened as (select * from bodies),
+  whole as (
+    select * from opened union all
+    select case_id, last + row_number() over (partition by case_id order by batch), 'NOTE_ADDED', body from noted join longest using (case_id)),
+  log as (""").replace("from bodies where id = 0", "from whole where id = 0").replace("join bodies b", "join whole b")
 _PAID_RAW = f"""{_RAW}, dirty as (
   select *, case when event_id % 1999 = 1998 then true else false end as footer, event_id % 37 = 0 as no_state, event_id % 41 = 0 as no_status, event_id % 43 = 0 as no_member from idd),
 checked as (
@@ -407,7 +418,20 @@ ORACLE_SQL |= {
   union all select case_id, 'severity', severity, severity2 from full2 where severity <> severity2""",
     "audit_chain_verify": "select cast(user_id as varchar) as case_id, min(event_id) as first_broken from events where event_id % 1999 = 5 group by user_id",
     "audit_log_hashes": f"{_LOG} select case_id, id, event, prev_hash, row_hash from log",
-    "audit_trail": f"{_LOG} select case_id, id, event, id <> 2 as sound from log where case_id in (select case_id from mine order by case_id limit 5)",
+    "audit_trail": f"{_LOG} select case_id, id, event, id <> 2 as sound from log where case_id in (select case_id from mine where member = 7 order by case_id limit 5)",
+    "audit_log_appended": f"{_APPENDED} select case_id, id, event, prev_hash, row_hash from log",
+    "recompute_snapshots": f"""with {CASES}, pointed as (select *, 'v0.' || (member % 3) || '.0' as version from cases),
+  asked as (
+    select p.case_id, p.version, p.raw_score, p.coverage_pct, p.severity, t.rule_id, t.weight, t.status,
+           case when t.status = 'skipped' then 'skipped' when t.rule_id = 'stalled_work' and f.days_since_last_payment > 400 or t.rule_id = 'execution_delay' and f.execution_days > 500 then 'fired' else 'passed' end as status2
+    from pointed p join trace t using (work_id) join features f using (work_id) where t.rule_id = 'stalled_work' and p.member % 3 = 1 or t.rule_id = 'execution_delay' and p.member % 3 = 2),
+  moved as (
+    select case_id, raw_score + case when status = status2 then 0 when status2 = 'fired' then weight else -weight end as raw2,
+           case when status = status2 then rule_id || '.threshold' else rule_id || '.threshold,' || rule_id || '.contribution,' || rule_id || '.status' end as said from asked)
+  select p.case_id, p.version as rulebook_version, least(coalesce(raw2, raw_score), 100) as score,
+         case when least(coalesce(raw2, raw_score), 100) >= {_BOOK.high} then 'HIGH' when least(coalesce(raw2, raw_score), 100) >= {_BOOK.medium} then 'MEDIUM' else 'LOW' end as severity,
+         coverage_pct, said is null as identical, coalesce(said, '') as moved
+  from pointed p left join moved m using (case_id)""",
     "expenditure_rejects": f"with {_PAID_RAW} select event_id, why as reason from checked where why is not null",
     "allocation_rejects": f"with {_PAID_RAW} select allocation_why as reason, count(*) as rows from checked where allocation_why is not null group by 1",
     "csv_ingest": f"""with {_PAID_RAW} select case event_id % 2 when 0 then 'lok_sabha' else 'rajya_sabha' end as file, count(*) as read, count(*) filter (why is null) as loaded, count(*) filter (why = 'null_required_field') as blank,

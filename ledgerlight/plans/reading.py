@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import ablation, alerts, anomaly, audit, badges, casework, forecast, graph, ingest, rollups, scope, scoring, similarity
+from ..operators import ablation, alerts, anomaly, audit, badges, casework, forecast, graph, ingest, rollups, rulebook, scope, scoring, similarity, snapshots
 from ..sources.tables import materialised, read_all, resolve, shared_path
 from . import build, corpus
 from .queries import DISTRICT_OFFICER, MINISTRY, QUERIES, dirty_exports, exact_clusters, query, six  # QUERIES: all, these among them
@@ -186,18 +184,35 @@ def band_histogram(spark, d):
     return ablation.band_counts(corpus.scored_cases(spark, d))
 
 
+def repointed(spark: SparkSession, d: str, limits: list[dict[str, float]]) -> tuple[DataFrame, DataFrame]:
+    """The stored cases, dealt by member to versions of the rulebook with other thresholds, and these versions' rows."""
+    text, rows = build.RULES.read_text(encoding="utf-8"), []
+    for i, other in enumerate(limits):
+        own = rulebook.edited(text, {rule: {"threshold": t} for rule, t in other.items()}) if other else text
+        own = own.replace(corpus.rulebook().version, f"v0.{i}.0")
+        rows.append(snapshots.version_row(rulebook.loads(own), own))
+    version = F.concat(F.lit("v0."), (F.col("member") % len(limits)).cast("string"), F.lit(".0"))
+    return corpus.scored_cases(spark, d).withColumn("rulebook_version", version), spark.createDataFrame(rows, casework.VERSION_SCHEMA)
+
+
 @query
 def recompute_diff(spark, d):
-    """What changes where stored cases are derived anew under a rulebook with another limit for stalled works."""
-    book = corpus.rulebook()
-    other = replace(book, rules=tuple(replace(r, threshold=400) if r.id == "stalled_work" else r for r in book.rules))
-    stored = corpus.scored_cases(spark, d)
-    return audit.diff_cases(casework.headline(stored), casework.headline(audit.recompute(stored, corpus.features(spark, d), other)), ("score", "raw_score", "severity", "coverage_pct", "bonus"))
+    """What changes where stored cases are derived anew under a stored rulebook with another limit for stalled works."""
+    stored, versions = repointed(spark, d, [{"stalled_work": 400}])
+    return audit.diff_cases(casework.headline(stored), casework.headline(snapshots.recompute(stored, corpus.features(spark, d), versions)), ("score", "raw_score", "severity", "coverage_pct", "bonus"))
+
+
+@query
+def recompute_snapshots(spark, d):
+    """All cases, dealt to three stored versions, derived anew in one pass, with what moved in their traces."""
+    stored, versions = repointed(spark, d, [{}, {"stalled_work": 400}, {"execution_delay": 500}])
+    found = snapshots.outcomes(stored, snapshots.recompute(stored, corpus.features(spark, d), versions))
+    moved = F.array_join(F.transform("trace_diff", lambda t: F.concat_ws(".", t["rule_id"], t["field"])), ",")
+    return found.select("case_id", "rulebook_version", F.col("recomputed.score").cast("long").alias("score"), F.col("recomputed.severity").alias("severity"), F.col("recomputed.coverage_pct").cast("long").alias("coverage_pct"), "identical", moved.alias("moved"))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus.scored_cases(spark, d).where("member = 7")
-    return build.opening_log(c)
+    return build.opening_log(corpus.scored_cases(spark, d))
 
 
 @query
@@ -205,6 +220,19 @@ def audit_log_hashes(spark, d):
     return _log(spark, d).select("case_id", "id", "event", "prev_hash", "row_hash")
 
 
+@query
+def audit_log_appended(spark, d):
+    """The stored log of all cases after three batches of notes: on HIGH cases; on every fifth member's; the first again."""
+    cases, folder = corpus.scored_cases(spark, d), shared_path(spark, "audit-log")
+    _log(spark, d).withColumn("bucket", build.bucket()).write.partitionBy("bucket").parquet(folder)
+    note = lambda rows, at, text: casework.notes(rows.select("case_id", F.lit(at).alias("at"), F.lit("officer").alias("actor"), F.lit(text).alias("text"), F.lit("7").alias("actor_id")), STATE_OFFICER)
+    first = note(cases.where("severity = 'HIGH'"), "2002-01-01T00:00:00", "seen")
+    for batch in (first, note(cases.where("member % 5 = 0"), "2002-01-02T00:00:00", "asked the office"), first):
+        build.append_events(spark, folder, batch)
+    log = spark.read.parquet(folder)
+    return log.select("case_id", "id", "event", "prev_hash", "row_hash")
+
+
 @query
 def audit_trail(spark, d):
     log = _log(spark, d)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import alerts, anomaly, audit, badges, casework, graph, ingest, ranking, rulebook, scope, scoring, similarity
+from ledgerlight.operators import alerts, anomaly, audit, badges, casework, graph, ingest, ranking, rulebook, scope, scoring, similarity, snapshots
 from ledgerlight.plans import build, corpus
 from ledgerlight.plans.reading import QUERIES
 from ledgerlight.sources import tables
@@ -122,7 +122,7 @@ def test_caveats_of_rules(spark):
 
 def test_recompute_replays_the_bonus_and_leaves_stored_cases(spark):
     stored = corpus.scored_cases(spark, SF)
-    again = audit.recompute(stored, corpus.features(spark, SF), corpus.rulebook())
+    again = snapshots.recompute(stored, corpus.features(spark, SF), build.versions(spark))
     assert audit.diff_cases(casework.headline(stored), casework.headline(again)).count() == 0
     assert audit.diff_traces(scoring.rule_hits(stored), scoring.rule_hits(again)).count() == 0
 
@@ -166,8 +166,11 @@ def test_the_build_writes_all_tables_again_and_again(spark, tmp_path):
     again = build.build(spark, SF, str(tmp_path))
     assert {n: t.count() for n, t in again.items()} == first and first["cases"] > 0
     assert audit.broken(again["audit_log"]).count() == 0
-    build.append_events(str(tmp_path / "audit_log"), again["audit_log"].limit(1))
-    assert spark.read.parquet(str(tmp_path / "audit_log")).count() == first["audit_log"] + 1
+    row = again["audit_log"].withColumn("seq", F.col("id"))
+    assert build.append_events(spark, str(tmp_path / "audit_log"), row) == 0  # all of it is there
+    assert build.append_events(spark, str(tmp_path / "audit_log"), row.limit(5).withColumn("event_key", F.concat(F.lit("again:"), "event_key"))) == 5
+    whole = spark.read.parquet(str(tmp_path / "audit_log"))
+    assert whole.count() == first["audit_log"] + 5 and audit.broken(whole).count() == 0
     rolled = again["rollup_state"]
     from ledgerlight.operators import rollups
 
