@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cluster_id
-
-
-#: Tasks that the pairs of a block are dealt to.
-SALTS = 16
+from ..sources.tables import materialised
+from .textsearch import best_texts, near_names
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -57,59 +57,43 @@ def partial_ratio(a: str, b: str) -> float:
     return max(indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
 
 
-def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8, least: float = 0.0) -> DataFrame:
-    """(id, peer, score, rank): each row's k most similar other rows of its block by token-set ratio (0 to 1).
+def similar_texts(rows: DataFrame, block: str, id_col: str, key: str, k: int = 9) -> DataFrame:
+    """(block, key, n, other, score, nth): each distinct text of a block, how many rows have it, and its k best texts of the block.
 
-    Equal texts of a block are compared once: distinct texts are joined within the block and scored in batches, the best
-    k for each text stay, and ids come back at the end, the first k + 1 of each text being all that a list can hold.
+    The text itself is among them, with 1; ties go by the first id that has a text. Lists of up to k - 1 similar rows and
+    the best ratio of any row follow from it, so it is worth storing.
     """
-    rows = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull())
-    texts = rows.groupBy(block, key).agg(F.min(id_col).alias("_least"))
-    firsts = rows.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(id_col))).where(F.col("nth") <= k + 1).select(block, F.col(key).alias("other"), F.col(id_col).alias("peer"))
-
-    pairs = _pairs(texts.select(block, key), texts.select(block, F.col(key).alias("other"), "_least"), block, key)
-    pairs = pairs.withColumn("score", F.when(F.col(key) == F.col("other"), 1.0).otherwise(set_ratio(key, "other"))).where(F.col("score") >= least)
-    # Of each text, k + 1 others by score and then least id can reach a list of k: one row of each comes before all of the rest.
-    best = pairs.withColumn("nth", F.row_number().over(W.partitionBy(block, key).orderBy(F.desc("score"), "_least"))).where(F.col("nth") <= k + 1)
-    peers = rows.select(block, key, id_col).join(best.select(block, key, "other", "score"), [block, key]).join(firsts, [block, "other"]).where(F.col(id_col) != F.col("peer"))
-    ranked = peers.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), "peer"))).where(F.col("rank") <= k)
-    return ranked.select(id_col, "peer", "score", "rank")
-
-
-def _pairs(left: DataFrame, right: DataFrame, block: str, key: str) -> DataFrame:
-    """The pairs of a block, dealt by the left text to SALTS tasks, each of which gets all right texts: no block is one task."""
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [block, "_salt"]).drop("_salt")
+    texts = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull()).groupBy(block, key).agg(F.min(id_col).alias("_first"), F.count("*").alias("n"))
+    return best_texts(texts, block, key, "_first", k).join(texts.select(block, key, "n"), [block, key]).select(block, key, "n", "other", "score", "nth")
 
 
-def set_ratio(a: str, b: str) -> Column:
-    """token_set_ratio of two columns, from 0 to 1."""
-
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_ratio(p, q) / 100 for p, q in zip(x, y, strict=True)])
-
-    return score(a, b)
-
+def similar_peers(rows: DataFrame, block: str, id_col: str, key: str, k: int = 8, least: float = 0.0, best: DataFrame | None = None) -> DataFrame:
+    """(id, peer, score, rank): each row's k most similar other rows of its block by token-set ratio (0 to 1).
 
-def best_in_block(rows: DataFrame, block: str, key: str) -> DataFrame:
+    best: ``similar_texts`` of the rows, with at least k + 1 texts for each. The first k + 1 ids of these texts are
+    merged to one list for each text, of which a row takes what isn't itself: no list grows with how often a text repeats.
+    """
+    rows = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull()).select(block, key, id_col)
+    best = similar_texts(rows, block, id_col, key, k + 1) if best is None else best
+    nth = F.row_number().over(W.partitionBy(block, key).orderBy(id_col))
+    firsts = rows.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).groupBy(block, F.col(key).alias("other")).agg(F.collect_list(id_col).alias("_ids"))
+    near = best.where((F.col("nth") <= k + 1) & (F.col("score") >= least)).select(block, key, "other", "score").join(firsts, [block, "other"])
+    lists = near.groupBy(block, key).agg(F.array_sort(F.flatten(F.collect_list(F.transform("_ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("peer")))))).alias("_peers"))
+    lists = lists.select(block, key, F.slice("_peers", 1, k + 1).alias("_peers"))
+    own = F.slice(F.filter("_peers", lambda p: p["peer"] != F.col(id_col)), 1, k)
+    found = rows.join(lists, [block, key]).select(id_col, F.posexplode(own).alias("_at", "_p"))
+    return found.select(id_col, F.col("_p.peer").alias("peer"), (-F.col("_p.less")).alias("score"), (F.col("_at") + 1).alias("rank"))
+
+
+def best_in_block(rows: DataFrame, block: str, key: str, id_col: str, best: DataFrame | None = None) -> DataFrame:
     """(block, key, duplicate_similarity): for each text of a block, the best ratio to another row's text there.
 
-    A text that repeats has 1 without any comparison. Others are compared with the block's distinct texts; those whose
-    words hold all of the other's, or lie in them, have 1 by the ratio's definition and need no Python either.
+    best: ``similar_texts`` of the rows. A text that repeats has 1; one that is alone in its block has no row.
     """
-    texts = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull()).groupBy(block, key).agg(F.count("*").alias("n"))
-    words = F.array_distinct(F.split(key, r"\s+"))
-    once = texts.where("n = 1").select(block, key, words.alias("_x"))
-    pairs = _pairs(once, texts.select(block, F.col(key).alias("_other"), words.alias("_y")), block, key).where(F.col(key) != F.col("_other"))
-    within = (F.size(F.array_except("_x", "_y")) == 0) | (F.size(F.array_except("_y", "_x")) == 0)
-    pairs = pairs.withColumn("_within", within)
-    alone = pairs.groupBy(block, key).agg(F.max("_within").alias("_one"))
-    scored = pairs.join(alone.where("not _one").select(block, key), [block, key], "left_semi").withColumn("_score", set_ratio(key, "_other"))
-    best = scored.groupBy(block, key).agg(F.max("_score").alias("duplicate_similarity"))
-    whole = texts.where("n > 1").select(block, key).unionByName(alone.where("_one").select(block, key)).withColumn("duplicate_similarity", F.lit(1.0))
-    return best.unionByName(whole)
+    best = similar_texts(rows, block, id_col, key, 2) if best is None else best
+    other = F.when(F.col("other") != F.col(key), F.col("score"))
+    found = best.groupBy(block, key).agg(F.max("n").alias("_n"), F.max(other).alias("_other"))
+    return found.select(block, key, F.when(F.col("_n") > 1, 1.0).otherwise(F.col("_other")).alias("duplicate_similarity")).where("duplicate_similarity is not null")
 
 
 def citation_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -125,27 +109,36 @@ def citation_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def canonical_names(rows: DataFrame, block: str, name: str, order: str, floor: float = 90.0) -> DataFrame:
     """(block, name, canonical, score): each distinct name's canonical one, taken greedily in the order of first sight.
 
-    An equal name is its own; else the best of the canonical names so far that reaches the floor. The outcome depends
-    on the order, so a block is one sequence; it holds distinct names, whose number the offices of a district bound.
+    A name with no canonical name before it that it is near to (its sorted words are alike by the floor) is canonical;
+    any other goes to the nearest of these, to the earliest of equally near ones. What the sequence decides is the first
+    independent set, in its order, of the graph of near names, and rounds find it: a name is decided once a near one
+    before it is canonical, or once all of them are not. Names of a block are compared and decided in many tasks; a round
+    takes in all blocks, and there are as many as the longest run of names that wait for each other.
     """
     distinct = rows.where(F.col(name).isNotNull()).groupBy(block, name).agg(F.min(order).alias("_at"))
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        out = []
-        for row in frame.sort_values(["_at", name]).itertuples(index=False):
-            text = getattr(row, name)
-            best = max(((token_sort_ratio(text, k), -i) for i, k in enumerate(kept)), default=(0.0, 0))
-            if best[0] >= floor:
-                out.append((kept[-best[1]], best[0]))
-            else:
-                kept.append(text)
-                out.append((text, None))
-        frame = frame.sort_values(["_at", name])
-        return pd.DataFrame({block: frame[block], name: frame[name], "canonical": [c for c, _ in out], "score": pd.array([s for _, s in out], "Float64")})
-
-    kind = distinct.schema[block].dataType.simpleString()
-    return distinct.groupBy(block).applyInPandas(greedy, f"`{block}` {kind}, `{name}` string, canonical string, score double")
+    at = F.col("_at").cast("string")
+    if rows.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        at = F.lpad((F.col("_at").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    of = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit(""))  # names without a block are one block
+    names = materialised(distinct.select(block, name, of.alias("_of"), F.concat(at, F.lit(" "), F.col(name)).alias("_order")), "canonical-names")
+    near = materialised(near_names(names, "_of", name, "_order", floor), "canonical-near")
+    first = names.join(near.select("_of", name).distinct(), ["_of", name], "left_anti")
+    decided = materialised(first.select("_of", name, F.lit(True).alias("kept")), "canonical-decided")
+    parts, open_ = [decided], near.select("_of", name, "earlier")
+    while open_.limit(1).count():
+        known = decided.select("_of", F.col(name).alias("earlier"), "kept")
+        judged = open_.join(known, ["_of", "earlier"], "left").groupBy("_of", name).agg(F.bool_or("kept").alias("_near"), F.count_if(F.col("kept").isNull()).alias("_wait"))
+        fresh = materialised(judged.where("_near or _wait = 0").select("_of", name, (~F.coalesce("_near", F.lit(False))).alias("kept")), "canonical-decided")
+        # A name that is decided waits no more, and nothing waits for one that is known not to be canonical.
+        gone = decided.where("not kept").select("_of", F.col(name).alias("earlier"))
+        open_ = materialised(open_.join(fresh.select("_of", name), ["_of", name], "left_anti").join(gone, ["_of", "earlier"], "left_anti"), "canonical-open")
+        parts.append(fresh)
+        decided = reduce(DataFrame.unionByName, parts)
+    kept = decided.where("kept").select("_of", F.col(name).alias("earlier"))
+    ranked = near.join(kept, ["_of", "earlier"]).join(names.select("_of", F.col(name).alias("earlier"), "_order"), ["_of", "earlier"])
+    best = ranked.groupBy("_of", name).agg(F.min_by(F.struct("earlier", "score"), F.struct((-F.col("score")).alias("less"), "_order")).alias("_b"))
+    # A canonical name has no canonical one near and before it.
+    return names.join(best, ["_of", name], "left").select(block, name, F.coalesce("_b.earlier", F.col(name)).alias("canonical"), F.col("_b.score").alias("score"))
 
 
 def merge_summary(merged: DataFrame, block: str) -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions.text import NOT_APPLICABLE, NOT_PUBLISHED, PUBLISHED, descripti
 from ..operators import rollups, scoring
 from ..operators.features import DONE, agency_totals, derive
 from ..operators.rulebook import Rulebook, checked, load
-from ..operators.similarity import best_in_block
+from ..operators.similarity import best_in_block, similar_texts
 from ..sources.tables import shared_path
 
 #: All days are counted to this one, never to today.
@@ -149,9 +149,14 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir).select("member", "allocated_amt", F.lit(PUBLISHED).alias("allocated_amt__why")).join(spent, "member", "left")
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """work_id, agency and key, the description as it is compared."""
+    return built(spark, sf_dir, "works").select("work_id", "agency", description_key("description").alias("key"))
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = built(spark, sf_dir, "works")
-    similar = best_in_block(work.withColumn("description_key", description_key("description")), "agency", "description_key")
+    similar = best_in_block(work, "agency", "description_key", "work_id", built(spark, sf_dir, "similar").withColumnRenamed("key", "description_key"))
     return derive(work, None, accounts(spark, sf_dir), AS_OF, similarity=similar, agency_floor=AGENCY_FLOOR, shares=built(spark, sf_dir, "shares"))
 
 
@@ -166,6 +171,7 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lines": _paid_lines,
     "works": _works,
     "shares": _shares,
+    "similar": lambda spark, d: similar_texts(described(spark, d), "agency", "work_id", "key"),
     "features": _features,
     "base": lambda spark, d: scoring.base_scores(built(spark, d, "features"), rulebook()),
     "cases": _cases,

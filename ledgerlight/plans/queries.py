@@ -405,16 +405,19 @@ def peer_groups(spark, d):
     return rows.withColumn("comparable", F.col("size") >= anomaly.PEER_FLOOR)
 
 
+def similar_peers(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return similarity.similar_peers(corpus.described(spark, d), "agency", "work_id", "key", k, best=corpus.built(spark, d, "similar"))
+
+
 @query
 def similar_works_topk(spark, d):
-    rows = corpus.works(spark, d).select("work_id", "agency", fn.description_key("description").alias("key"))
-    return similarity.similar_peers(rows, "agency", "work_id", "key", k=8)
+    return similar_peers(spark, d, 8)
 
 
 @query
 def tfidf_cosine(spark, d):
-    rows = corpus.works(spark, d).select("work_id", "agency", fn.description_key("description").alias("key"))
-    pairs = materialised(similarity.similar_peers(rows, "agency", "work_id", "key", k=8).where("rank = 1").select(F.col("work_id").alias("a"), F.col("peer").alias("b")), "tfidf-pairs")
+    rows = corpus.described(spark, d)
+    pairs = materialised(similar_peers(spark, d, 1).select(F.col("work_id").alias("a"), F.col("peer").alias("b")), "tfidf-pairs")
     return similarity.tfidf_cosine(rows, "work_id", "key", pairs)
 
 

@@ -9,7 +9,7 @@ from ..functions import text as fn
 from ..operators import ablation, alerts, anomaly, audit, badges, casework, forecast, graph, ingest, rollups, rulebook, scope, scoring, similarity, snapshots
 from ..sources.tables import materialised, read_all, resolve, shared_path
 from . import build, corpus
-from .queries import DISTRICT_OFFICER, MINISTRY, QUERIES, dirty_exports, exact_clusters, query, six  # QUERIES: all, these among them
+from .queries import DISTRICT_OFFICER, MINISTRY, QUERIES, dirty_exports, exact_clusters, query, similar_peers, six  # QUERIES: all, these among them
 
 OFFICE = scope.Principal(scope.MEMBER, member=7)
 STATE_OFFICER = scope.Principal(scope.STATE, "EUROPE")
@@ -109,9 +109,7 @@ def synthetic_control(spark, d):
 
 @query
 def duplicate_evidence(spark, d):
-    work = corpus.works(spark, d).select("work_id", "agency", fn.description_key("description").alias("key"))
-    peers = similarity.similar_peers(work, "agency", "work_id", "key", k=2)
-    rows = scoring.with_citations(corpus.scored_cases(spark, d), peers)
+    rows = scoring.with_citations(corpus.scored_cases(spark, d), similar_peers(spark, d, 2))
     return rows.select("case_id", F.array_join("cited", ",").alias("cited"), six("best"))
 
 
@@ -135,9 +133,8 @@ def outliers_confirmed(spark, d):
 @query
 def citation_ratios(spark, d):
     """Partial and sorted ratios of the texts of fired repetitions and the first work that each cites."""
-    work = corpus.works(spark, d).select("work_id", "agency", fn.description_key("description").alias("key"))
-    peers = similarity.similar_peers(work, "agency", "work_id", "key", k=1)
-    cited = scoring.with_citations(corpus.scored_cases(spark, d), peers, most=1).select("work_id", F.element_at("cited", 1).alias("peer"))
+    work = corpus.described(spark, d)
+    cited = scoring.with_citations(corpus.scored_cases(spark, d), similar_peers(spark, d, 1), most=1).select("work_id", F.element_at("cited", 1).alias("peer"))
     texts = work.select("work_id", F.col("key").alias("a"))
     pairs = cited.join(texts, "work_id").join(texts.select(F.col("work_id").alias("peer"), F.col("a").alias("b")), "peer")
     distinct = similarity.citation_components(pairs.select("a", "b").distinct(), "a", "b")
