@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
 from .ranking import spread_ranks
+from .rulebook import Rulebook
 
-#: Numbers that the model reads. A missing one is a sentinel and a column of its own says so: the trees have no branch for null.
-NUMBERS = ("log_amount", "sanction_lag_days", "vendor_share_in_agency_pct", "mp_utilisation_pct", "same_desc_same_agency_count")
-CODES = ("category", "state", "fy")
-SENTINEL = -999_999.0
+# What the model reads. These are known once a work is under way and mean the same for works that are done
+# and works that aren't; days since the last payment, what is paid so far and the number of payments don't.
+NUMBERS = ("sanction_lag_days", "sanction_to_first_payment_days", "duplicate_similarity", "same_desc_same_agency_count", "mp_utilisation_pct", "log10_sanctioned_amt")
+CATEGORIES = ("state", "category")
+
+
+def horizon_days(book: Rulebook) -> float:
+    """From when on a work is late: the threshold of the rule that reads execution days. Without one there is no meaning of late."""
+    rule = book.by_field("execution_days")
+    if rule is None:
+        raise ValueError("no rule reads execution_days, so the forecast has no definition of late")
+    return float(rule.threshold)
 
 
 def population(horizon_days: float, as_of: datetime.date) -> Column:
@@ -24,14 +31,20 @@ def population(horizon_days: float, as_of: datetime.date) -> Column:
     return F.when(F.col("completion_date").isNotNull(), "completed").when(F.datediff(F.lit(as_of), "sanction_date") > horizon_days, "past_horizon").otherwise("open")
 
 
+def elapsed_days(as_of: datetime.date) -> Column:
+    """Days from the sanction to the corpus's day, never to today."""
+    return F.datediff(F.lit(as_of), "sanction_date")
+
+
 def model_rows(features: DataFrame, horizon_days: float, as_of: datetime.date) -> DataFrame:
-    """work_id, agency, population, label (completed works only), held_out and the model's columns."""
-    rows = features.withColumn("log_amount", F.when(F.col("sanctioned_amt") > 0, F.log10("sanctioned_amt"))).withColumn("population", population(horizon_days, as_of))
-    label = F.when(F.col("execution_days").isNotNull(), (F.col("execution_days") > horizon_days).cast("double"))
-    made = [F.coalesce(F.col(c).cast("double"), F.lit(SENTINEL)).alias(c) for c in NUMBERS] + [F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in NUMBERS]
-    # Codes are by a hash of the value: the same for training and scoring, whatever values a part of the data holds.
-    made += [F.pmod(F.xxhash64(c), F.lit(1024)).cast("double").alias(f"{c}_code") for c in CODES]
-    return rows.select("work_id", "agency", "population", label.alias("label"), (F.pmod(F.xxhash64("agency"), F.lit(100)) < 25).alias("held_out"), *made)
+    """work_id, agency, population, elapsed_days, label (completed works that aren't synthetic only), held_out and what the model reads.
+
+    A value that isn't there stays null. An agency is held out as a whole; a work without one is a group of its own.
+    """
+    rows = features.withColumn("log10_sanctioned_amt", F.when(F.col("sanctioned_amt") > 0, F.log10("sanctioned_amt"))).withColumn("population", population(horizon_days, as_of))
+    label = F.when(F.col("execution_days").isNotNull() & ~F.coalesce("is_synthetic", F.lit(False)), (F.col("execution_days") > horizon_days).cast("double"))
+    group = F.coalesce("agency", F.concat(F.lit("work "), F.col("work_id")))
+    return rows.select("work_id", "agency", "population", elapsed_days(as_of).alias("elapsed_days"), label.alias("label"), (F.pmod(F.xxhash64(group), F.lit(100)) < 25).alias("held_out"), *[F.col(c).cast("double").alias(c) for c in NUMBERS], *CATEGORIES)
 
 
 def with_random_split(rows: DataFrame) -> DataFrame:
@@ -39,16 +52,18 @@ def with_random_split(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.pmod(F.xxhash64("work_id", F.lit("split")), F.lit(100)) < 25)
 
 
-def fit(rows: DataFrame, trees: int = 20) -> GBTClassificationModel:
-    columns = [*NUMBERS, *[f"{c}_missing" for c in NUMBERS], *[f"{c}_code" for c in CODES]]
-    train = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.where("label is not null and not held_out"))
-    return GBTClassifier(maxIter=trees, maxDepth=4, stepSize=0.1, seed=7).fit(train)
+def fit(rows: DataFrame, trees: int = 20) -> boosting.Boosted:
+    return boosting.fit(rows.where("not held_out"), "label", NUMBERS, CATEGORIES, trees=trees)
+
+
+def risks(rows: DataFrame, model: boosting.Boosted) -> DataFrame:
+    return rows.withColumn("risk", model.probability())
 
 
-def risks(rows: DataFrame, model: GBTClassificationModel) -> DataFrame:
-    columns = [*NUMBERS, *[f"{c}_missing" for c in NUMBERS], *[f"{c}_code" for c in CODES]]
-    scored = model.transform(VectorAssembler(inputCols=columns, outputCol="features").transform(rows))
-    return scored.withColumn("risk", vector_to_array("probability")[1]).drop("features", "probability", "prediction")
+def with_percentile(scored: DataFrame) -> DataFrame:
+    """Adds risk_percentile: the share of the other open works whose risk ranks lower, in percent; null for all that aren't open."""
+    ranked = percentile_in(scored.where("population = 'open'").select("work_id", "population", "risk"), "risk", ["population"])
+    return scored.join(ranked.select("work_id", F.col("percentile").alias("risk_percentile")), "work_id", "left")
 
 
 def quality(scored: DataFrame) -> dict[str, float]:

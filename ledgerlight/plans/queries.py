@@ -390,7 +390,7 @@ def audit_chain_verify(spark, d):
 
 @query
 def forecast_populations(spark, d):
-    rows = corpus.works(spark, d).withColumn("population", forecast.population(1000, corpus.AS_OF))
+    rows = corpus.works(spark, d).withColumn("population", forecast.population(forecast.horizon_days(corpus.rulebook()), corpus.AS_OF))
     return rows.groupBy("population").agg(F.count("*").alias("works"), F.sum("sanctioned_amt").alias("sanctioned"))
 
 
@@ -434,5 +434,7 @@ def anomaly_badges(spark, d):
 
 @query
 def delay_risk_gbt(spark, d):
-    rows = materialised(forecast.model_rows(corpus.features(spark, d), 1000, corpus.AS_OF), "forecast-rows")
-    return forecast.risks(rows, forecast.fit(rows)).select("work_id", "population", "held_out", "label", F.when(F.col("population") == "open", F.col("risk")).alias("risk"))
+    """Every work's population and days, and for open works the risk of running late and its rank among them."""
+    rows = materialised(forecast.model_rows(corpus.features(spark, d), forecast.horizon_days(corpus.rulebook()), corpus.AS_OF), "forecast-rows")
+    scored = materialised(forecast.risks(rows, forecast.fit(rows)), "forecast-risks")
+    return forecast.with_percentile(scored).select("work_id", "population", "elapsed_days", "held_out", "label", F.when(F.col("population") == "open", F.col("risk")).alias("risk"), "risk_percentile")

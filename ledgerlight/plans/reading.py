@@ -144,7 +144,7 @@ def citation_ratios(spark, d):
 @query
 def delay_risk_quality(spark, d):
     """How well delays are foretold for agencies that the model hasn't seen, and, as a contrast, for works of any agency."""
-    rows = materialised(forecast.model_rows(corpus.features(spark, d), 1000, corpus.AS_OF), "forecast-rows")
+    rows = materialised(forecast.model_rows(corpus.features(spark, d), forecast.horizon_days(corpus.rulebook()), corpus.AS_OF), "forecast-rows")
     found = []
     for split, part in (("by agency", rows), ("at random", forecast.with_random_split(rows))):
         q = forecast.quality(forecast.risks(part, forecast.fit(part)))

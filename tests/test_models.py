@@ -1,11 +1,14 @@
 """Text weights, name merges, the isolation forest and the delay model on small rows, against plain Python or planted cases."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import anomaly, forecast, similarity
+from ledgerlight.operators import anomaly, boosting, forecast, similarity
+from ledgerlight.plans import corpus
 
 
 def test_tfidf_cosines_against_numpy(spark):
@@ -59,13 +62,82 @@ def test_delays_are_foretold_for_agencies_not_seen(spark):
     rows = []
     for i in range(1200):
         lag = float(random.integers(0, 400))
-        rows.append((f"w{i}", f"a{i % 40}", None if i % 5 == 0 else 1, lag, None if i % 7 == 0 else 1.0, 1.0, 1.0, float(random.random()), "c", "s", "f", float(lag > 200)))
-    columns = ["work_id", "agency", "done", "sanction_lag_days", "vendor_share_in_agency_pct", "mp_utilisation_pct", "same_desc_same_agency_count", "log_amount", "category", "state", "fy", "late"]
-    table = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c in ('work_id', 'agency', 'category', 'state', 'fy') else 'int' if c == 'done' else 'double'}" for c in columns))
-    made = [F.coalesce(F.col(c), F.lit(forecast.SENTINEL)).alias(c) for c in forecast.NUMBERS] + [F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in forecast.NUMBERS] + [F.lit(0.0).alias(f"{c}_code") for c in forecast.CODES]
-    held = (F.pmod(F.xxhash64("agency"), F.lit(100)) < 25).alias("held_out")
-    data = table.select("work_id", "agency", F.lit("completed").alias("population"), F.when(F.col("done") == 1, F.col("late")).alias("label"), held, *made)
-    quality = forecast.quality(forecast.risks(data, forecast.fit(data, trees=5)))
+        rows.append((f"w{i}", f"a{i % 40}", None if i % 5 == 0 else float(lag > 200), lag, None if i % 7 == 0 else 1.0, 1.0, 1.0, 1.0, float(random.random()), "s", "c"))
+    columns = ["work_id", "agency", "label", *forecast.NUMBERS, *forecast.CATEGORIES]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c in ('work_id', 'agency', *forecast.CATEGORIES) else 'double'}" for c in columns))
+    data = table.withColumn("population", F.lit("open")).withColumn("held_out", F.pmod(F.xxhash64("agency"), F.lit(100)) < 25)
+    scored = forecast.risks(data, forecast.fit(data, trees=5))
+    quality = forecast.quality(scored)
     assert quality["auc"] > 0.95 and quality["brier"] < quality["constant_brier"]
     again = forecast.with_random_split(data)
     assert 0.1 < again.agg(F.avg(F.col("held_out").cast("double"))).first()[0] < 0.4
+    ranked = forecast.with_percentile(scored.withColumn("population", F.when(F.col("sanction_lag_days") < 300, "open").otherwise("completed"))).collect()
+    open_ = sorted((r["risk"], r["work_id"]) for r in ranked if r["population"] == "open")
+    assert all((r["risk_percentile"] is None) == (r["population"] != "open") for r in ranked)
+    at = {w: 100 * i / (len(open_) - 1) for i, (_, w) in enumerate(open_)}
+    assert all(abs(r["risk_percentile"] - at[r["work_id"]]) < 1e-9 for r in ranked if r["population"] == "open")
+
+
+def test_the_horizon_is_the_rulebooks():
+    book = corpus.rulebook()
+    assert forecast.horizon_days(book) == next(r.threshold for r in book.rules if r.field == "execution_days")
+    with pytest.raises(ValueError, match="no definition of late"):
+        forecast.horizon_days(replace(book, rules=()))
+    assert not {"days_since_last_payment", "variance_sanction_to_disbursement", "payment_count", "execution_days"} & {*forecast.NUMBERS}
+
+
+def plain_tree(rows, y, m, depth, numbers, least=20, smooth=1.0, rate=0.1):
+    """One tree by trying every split of every node: all edges, all prefixes of the categories by mean gradient, both sides for missing."""
+    p = 1 / (1 + np.exp(-m))
+    g, h = p - y, p * (1 - p)
+    score = lambda at: g[at].sum() ** 2 / (h[at].sum() + smooth)
+    out = np.zeros(len(y))
+
+    def grow(at, left):
+        best = None
+        for f in range(len(rows[0])):
+            col = [rows[i][f] for i in at]
+            seen = {v for v in col if v is not None}
+            values = sorted(seen) if f < numbers else sorted(seen, key=lambda v: (g[[i for i in at if rows[i][f] == v]].sum() / (h[[i for i in at if rows[i][f] == v]].sum() + 10), v))
+            for k in range(1, len(values) + 1):
+                low = set(values[:k])
+                for missing in (False, True):
+                    a = [i for i in at if rows[i][f] in low or missing and rows[i][f] is None]
+                    b = [i for i in at if i not in set(a)]
+                    if left and min(len(a), len(b)) >= least:
+                        gain = score(a) + score(b) - score(at)
+                        if gain > 1e-12 and (best is None or gain > best[0] + 1e-9):
+                            best = gain, a, b
+        if best is None:
+            out[at] = -rate * g[at].sum() / (h[at].sum() + smooth)
+        else:
+            grow(best[1], left - 1)
+            grow(best[2], left - 1)
+
+    grow(list(range(len(y))), depth)
+    return m + out
+
+
+def test_trees_are_those_of_all_splits(spark):
+    random = np.random.default_rng(8)
+    rows = [(None if random.random() < 0.2 else float(random.integers(0, 12)), None if random.random() < 0.1 else float(random.integers(0, 5)), None if random.random() < 0.1 else "abcdef"[random.integers(0, 6)]) for _ in range(260)]
+    y = np.array([float((x is None) != (c in ("a", "d", "f")) and random.random() < 0.9) for x, _, c in rows])
+    data = spark.createDataFrame([(i, *r, float(v)) for i, (r, v) in enumerate(zip(rows, y, strict=True))], "i int, x double, z double, c string, y double")
+    model = boosting.fit(data, "y", ("x", "z"), ("c",), trees=2, depth=2)
+    m = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(2):
+        m = plain_tree(rows, y, m, 2, 2)
+    got = {r["i"]: r["m"] for r in data.select("i", model.margin().alias("m")).collect()}
+    assert np.allclose([got[i] for i in range(len(y))], m, atol=1e-9)
+
+
+def test_missing_values_and_categories_have_branches_of_their_own(spark):
+    rows = [(i, None if i % 2 else 5.0, "pqrs"[i % 4], float(i % 2)) for i in range(400)] + [(i, 5.0, "new", None) for i in range(400, 420)]
+    data = spark.createDataFrame(rows, "i int, x double, c string, y double")
+    only = boosting.fit(data, "y", ("x",), (), trees=3)
+    assert isinstance(only.trees[0], boosting.Split)
+    risk = {r["i"]: r["p"] for r in data.select("i", only.probability().alias("p")).collect()}
+    assert risk[1] > risk[0]  # a missing value is neither the least nor the mean
+    sets = boosting.fit(data, "y", (), ("c",), trees=1, depth=1).trees[0]
+    assert set(sets.left_set) in ({"q", "s"}, {"p", "r"})  # no order of the names gives this
+    assert boosting.fit(data.limit(0), "y", ("x",)).trees == () and boosting.fit(data.where("y = 1"), "y", ("x",)).base == 10.0
