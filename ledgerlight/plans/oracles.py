@@ -416,6 +416,17 @@ ORACLE_SQL |= {
   select case_id, 'raw_score' as field, cast(raw_score as varchar) as before, cast(raw2 as varchar) as after from full2
   union all select case_id, 'score', cast(score as varchar), cast(score2 as varchar) from full2 where score <> score2
   union all select case_id, 'severity', severity, severity2 from full2 where severity <> severity2""",
+    "alerts_folded": """with recursive e as (
+    select cast(user_id as varchar) as case_id, (['raise', 'acknowledge', 'raise', 'escalate', 'acknowledge', 'close', 'raise'])[event_id % 7 + 1] as action, row_number() over (partition by user_id order by event_id) as k from events),
+  moves as (select * from (values ('none', 'raise', 'open'), ('open', 'raise', 'open'), ('open', 'acknowledge', 'acknowledged'), ('acknowledged', 'acknowledge', 'acknowledged'), ('open', 'escalate', 'escalated'),
+    ('acknowledged', 'escalate', 'escalated'), ('escalated', 'escalate', 'escalated'), ('acknowledged', 'close', 'closed'), ('escalated', 'close', 'closed'), ('closed', 'close', 'closed')) m(f, a, t)),
+  folded as (
+    select distinct case_id, 0::bigint as k, 'none' as status, cast(null as varchar) as refused from e
+    union all select e.case_id, e.k, coalesce(m.t, f.status), case when m.t is null then f.status || ':' || e.action end
+    from folded f join e on e.case_id = f.case_id and e.k = f.k + 1 left join moves m on m.f = f.status and m.a = e.action),
+  last as (select case_id, arg_max(status, k) as status, count(refused) as refused from folded group by case_id),
+  named as (select case_id, string_agg(refused || '=' || n, ',' order by refused || '=' || n) as said from (select case_id, refused, count(*) as n from folded where refused is not null group by all) group by case_id)
+  select case_id, 'high_severity' as kind, status, refused, coalesce(said, '') as refused_moves from last left join named using (case_id)""",
     "audit_chain_verify": "select cast(user_id as varchar) as case_id, min(event_id) as first_broken from events where event_id % 1999 = 5 group by user_id",
     "audit_log_hashes": f"{_LOG} select case_id, id, event, prev_hash, row_hash from log",
     "audit_trail": f"{_LOG} select case_id, id, event, id <> 2 as sound from log where case_id in (select case_id from mine where member = 7 order by case_id limit 5)",

@@ -327,6 +327,15 @@ def alerts_inbox_order(spark, d):
     return alerts.inbox(raised, c).select("case_id", "status", "score").limit(50)
 
 
+@query
+def alerts_folded(spark, d):
+    """The status of each alert after its events in their order; here a user's events are the actions on one alert."""
+    e = corpus.table(spark, d, "events")
+    action = F.element_at(F.array(*map(F.lit, ("raise", "acknowledge", "raise", "escalate", "acknowledge", "close", "raise"))), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = e.select(F.col("user_id").cast("string").alias("case_id"), F.lit("high_severity").alias("kind"), F.col("event_id").alias("seq"), action.alias("action"))
+    return alerts.current_status(rows)
+
+
 @query
 def alerts_orphans(spark, d):
     c = corpus.scored_cases(spark, d).where("severity = 'HIGH'")
