@@ -166,12 +166,30 @@ def test_the_build_writes_all_tables_again_and_again(spark, tmp_path):
     again = build.build(spark, SF, str(tmp_path))
     assert {n: t.count() for n, t in again.items()} == first and first["cases"] > 0
     assert audit.broken(again["audit_log"]).count() == 0
+    log = f"{build.current(spark, str(tmp_path))}/audit_log"
     row = again["audit_log"].withColumn("seq", F.col("id"))
-    assert build.append_events(spark, str(tmp_path / "audit_log"), row) == 0  # all of it is there
-    assert build.append_events(spark, str(tmp_path / "audit_log"), row.limit(5).withColumn("event_key", F.concat(F.lit("again:"), "event_key"))) == 5
-    whole = spark.read.parquet(str(tmp_path / "audit_log"))
+    assert build.append_events(spark, log, row) == 0  # all of it is there
+    assert build.append_events(spark, log, row.limit(5).withColumn("event_key", F.concat(F.lit("again:"), "event_key"))) == 5
+    whole = build.read(spark, str(tmp_path), "audit_log")
     assert whole.count() == first["audit_log"] + 5 and audit.broken(whole).count() == 0
     rolled = again["rollup_state"]
     from ledgerlight.operators import rollups
 
     assert not rollups.stale(rolled, again["cases"]) and rollups.stale(rolled, again["cases"].limit(10))
+
+
+def test_a_build_that_fails_changes_nothing_that_is_read(spark, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    with pytest.raises(ValueError, match="nothing was published"):
+        build.read(spark, out, "cases")
+    build.build(spark, SF, out)
+    before = build.current(spark, out)
+    made = build.opening_log
+    monkeypatch.setattr(build, "opening_log", lambda cases: made(cases).withColumn("at", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        build.build(spark, SF, out)
+    assert build.current(spark, out) == before and build.read(spark, out, "cases").count() > 0
+    monkeypatch.undo()
+    build.build(spark, SF, out)
+    assert build.current(spark, out) != before and build.manifest(spark, out).count() == 2
+    assert build.drop_old(spark, out) == 2 and build.read(spark, out, "hits").count() > 0 and build.drop_old(spark, out) == 0
