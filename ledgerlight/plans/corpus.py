@@ -143,12 +143,16 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agency_totals(by_member.join(members(spark, sf_dir).select("member", "agency"), F.col("o_custkey") == F.col("member")))
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """member, allocated_amt, allocated_amt__why, account_sanctioned: to date."""
     spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.sum(F.bround("o_totalprice", 0).cast("long")).alias("account_sanctioned"))
     return members(spark, sf_dir).select("member", "allocated_amt", F.lit(PUBLISHED).alias("allocated_amt__why")).join(spent, "member", "left")
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "accounts")
+
+
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """work_id, agency and key, the description as it is compared."""
     return built(spark, sf_dir, "works").select("work_id", "agency", description_key("description").alias("key"))
@@ -171,6 +175,7 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lines": _paid_lines,
     "works": _works,
     "shares": _shares,
+    "accounts": _accounts,
     "similar": lambda spark, d: similar_texts(described(spark, d), "agency", "work_id", "key"),
     "features": _features,
     "base": lambda spark, d: scoring.base_scores(built(spark, d, "features"), rulebook()),

@@ -29,6 +29,19 @@ def test_ranks_of_spread_groups(spark):
     assert ranking.spread_ranks(table.limit(0), "v", ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outlier", "log-normal", "half share one value"])
+def test_skewed_values_are_dealt_evenly_and_ranked_exactly(spark, kind):
+    random = np.random.default_rng(4)
+    values = {"outlier": lambda: [*random.random(3999), 1e12], "log-normal": lambda: random.lognormal(10, 3, 4000), "half share one value": lambda: [7.0] * 2000 + [*(random.random(2000) * 20)]}[kind]()
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(random.permutation(values))], "id long, v double").repartition(6)
+    sizes = [r["count"] for r in ranking.dealt_to_ranges(table, "v", ["id"], ranges=10).groupBy("_range").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    got = sorted((r["v"], r["id"], r["_rank"], r["_upto"], r["_n"]) for r in ranking.spread_ranks(table, "v", ["id"], ranges=10).collect())
+    order = np.sort([v for v, *_ in got])
+    assert [r[2] for r in got] == list(range(1, 4001))
+    assert all(upto == np.searchsorted(order, v, side="right") and n == 4000 for v, _, _, upto, n in got)
+
+
 def test_chains_hash_canonical_json(spark):
     rows = [(0, "c", "A", "2024", "é😀", "state", None, '{"k": "x"}'), (1, "c", "B", "2025", "b", None, "7", None), (0, "d", "A", None, "a", "r", "1", "p")]
     chain = audit.chained(spark.createDataFrame(rows, "id long, case_id string, event string, at string, actor string, actor_role string, actor_id string, payload_json string"))
