@@ -102,14 +102,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", order_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fits the model on at most ``sample`` rows of (text, label 0 or 1); rows with a null label are left out.
 
-    With rows of one label only, or none, there is nothing to tell apart: every text scores the share of that label, or
-    0 without rows.
+    Beyond ``sample`` rows, exactly so many are taken: those of the least hashes of their ids, rows of one id (null ids are
+    one) by the hash of their texts, so neither ties nor repeated rows empty the sample. Very long texts are read whole, a
+    null text as an empty one. With rows of one label only, or none, there is nothing to tell apart: every text scores the
+    share of that label, or 0 without rows.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text"), F.xxhash64(F.col(order_col)).alias("_order"))
-    # The rows of the least hashes: sample of them, fewer if some tie at the end.
-    first = rows.select("_order").orderBy("_order").limit(sample + 1).agg(F.count("*"), F.max("_order")).first()
-    if first[0] > sample:
-        rows = rows.where(F.col("_order") < first[1])
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text"), F.col(order_col).alias("_id"))
+    key = F.struct(F.xxhash64("_id").alias("a"), F.xxhash64("text").alias("b"), F.col("toxic").alias("c"))
+    last = rows.select(key.alias("k")).orderBy("k").limit(sample).agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
+    if last["n"] == sample:
+        end = F.struct(*[F.lit(last["k"][x]).alias(x) for x in "abc"])
+        below = rows.where(key < end)
+        rows = below.unionByName(rows.where(key == end).limit(sample - below.count()))  # rows that repeat the last one in all
     rows = stored(rows.select("toxic", "text"), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
