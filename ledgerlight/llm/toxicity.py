@@ -107,14 +107,20 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     null text as an empty one. With rows of one label only, or none, there is nothing to tell apart: every text scores the
     share of that label, or 0 without rows.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text"), F.col(order_col).alias("_id"))
-    key = F.struct(F.xxhash64("_id").alias("a"), F.xxhash64("text").alias("b"), F.col("toxic").alias("c"))
-    last = rows.select(key.alias("k")).orderBy("k").limit(sample).agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
-    if last["n"] == sample:
-        end = F.struct(*[F.lit(last["k"][x]).alias(x) for x in "abc"])
-        below = rows.where(key < end)
-        rows = below.unionByName(rows.where(key == end).limit(sample - below.count()))  # rows that repeat the last one in all
-    rows = stored(rows.select("toxic", "text"), "toxicity-sample")
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("toxic"), F.col(text_col).alias("text"), F.xxhash64(F.col(order_col)).alias("_order"))
+    first = rows.select("_order").orderBy("_order").limit(sample).agg(F.count("*").alias("n"), F.max("_order").alias("end")).first()
+    if first["n"] == sample:
+        rows = rows.where(F.col("_order") <= first["end"])  # by the id alone, so that no other text is moved
+    rows = stored(rows, "toxicity-sample")
+    over = rows.count() - sample
+    if first["n"] == sample and over > 0:  # of the rows whose ids tie at the end, those of the least hashes of their texts
+        tied, key = rows.where(F.col("_order") == first["end"]), F.struct(F.xxhash64("text").alias("b"), F.col("toxic").alias("c"))
+        last = tied.select(key.alias("k")).orderBy("k").limit(tied.count() - over).agg(F.max("k").alias("k")).first()["k"]
+        end = F.struct(F.lit(last["b"]).alias("b"), F.lit(last["c"]).alias("c"))
+        below = rows.where((F.col("_order") < first["end"]) | (key < end))
+        same = tied.where(key == end).limit(sample - below.count())  # rows that repeat the last one in all
+        rows = stored(below.unionByName(same), "toxicity-sample")
+    rows = rows.select("toxic", "text")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Model((), (), 20.0 if totals.get(1) else -20.0)
