@@ -19,9 +19,12 @@ def is_footer(c: str) -> Column:
     return F.lower(F.regexp_replace(F.col(c), r"(?U)\s+", " ")).contains("grand total")
 
 
-def work_checks(serial: str, work: str, state: str, member: str) -> list[tuple[Column, str]]:
-    """What every work row is checked for, in order; a dataset's own checks come after."""
-    return [(is_footer(serial), "grand_total_row"), (work_id_parts(work)["canon"].isNull(), "work_id_unparseable"), (_blank(collapsed(state)), "null_required_field"), (_blank(member_name(member)["name"]), "null_required_field")]
+def work_checks(serial: str, work: str, state: str, member: str, own: list[tuple[Column, str]] | None = None) -> list[tuple[Column, str]]:
+    """What every work row is checked for, in order; a dataset's own checks come before that for a name of signs only."""
+    return [
+        (is_footer(serial), "grand_total_row"), (work_id_parts(work)["canon"].isNull(), "work_id_unparseable"), (_blank(collapsed(state)), "null_required_field"),
+        (is_null_token(member), "null_required_field"), *(own or []), (_blank(member_name(member)["name"]), "null_required_field"),
+    ]
 
 
 def expenditure_checks(serial: str, work: str, state: str, status: str, amount: str, on: str, member: str) -> list[tuple[Column, str]]:

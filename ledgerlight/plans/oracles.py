@@ -489,3 +489,53 @@ ORACLE_SQL |= {
          count(distinct agency) as agencies, format('{{:,.2f}}', sum(sanctioned_amt) / 1e7) as sanctioned_value, count(*) filter (order_key % 3 <> 0) as degeneracy_matched,
          count(*) filter (order_key % 3 <> 0 and order_key % 1000 <> 0) as degeneracy_differing, count(*) filter (order_key % 3 = 0) as recommended_not_published, (select vendors from v) as vendors from r""",
 }
+
+
+_WORK_ROWS = """raw as (
+    select o_orderkey as k, o_custkey % 2 as h, case when o_orderkey % 89 <> 3 then 'WS/MP' || o_custkey % 3 || '/2024-2025/' || o_orderkey // 2 end as work_id,
+           case when o_orderkey % 11 = 0 then 'ws/' || chr(9) || ' mp' || o_custkey % 3 || '/2024-2025 /' || o_orderkey // 2 else 'WS/MP' || o_custkey % 3 || '/2024-2025/' || o_orderkey // 2 end as work_id_raw,
+           case when o_orderkey % 37 <> 0 then 'State A' end as state, (['ANAND', 'BELA', 'CHAND'])[o_custkey % 3 + 1] as member, o_orderkey % 41 = 0 as no_member, o_orderkey % 43 = 0 as signs_only,
+           case when o_orderkey % 13 = 0 then 'Other thing' else o_orderpriority end as category, case when o_orderkey % 7 <> 0 then 'Road, ' || o_orderkey % 100 end as description, o_orderstatus as status,
+           o_orderkey % 17 <> 0 and o_orderkey % 19 = 0 as bad_amount, case when o_orderkey % 17 = 0 or o_orderkey % 19 = 0 then null when o_orderkey % 23 = 0 then 0 else cast(floor(o_totalprice) as bigint) end as amount,
+           case when o_orderkey % 29 <> 0 and o_orderkey % 31 <> 0 then cast(o_orderdate as date) end as sanction_on, o_orderkey % 29 <> 0 and o_orderkey % 31 = 0 as bad_sanction,
+           case when o_orderkey % 29 <> 1 and o_orderkey % 31 <> 1 then cast(o_orderdate as date) + 90 end as completed_on, o_orderkey % 29 <> 1 and o_orderkey % 31 = 1 as bad_completion,
+           case when o_orderkey % 53 = 0 then cast(o_orderdate as date) + 10 when o_orderkey % 5 <> 0 then cast(o_orderdate as date) - 20 end as recommended_on, o_orderkey % 2 = 0 as image from orders),
+  rows0 as (
+    select 'sanctioned' as d, 0 as p, * from raw where k % 5 <> 2 union all select 'completed', 1, * from raw where k % 3 = 0 union all select 'recommended', 2, * from raw where k % 4 <> 1),
+  faulty as (
+    select *, d || case h when 0 then '_lok_sabha' else '_rajya_sabha' end as file, k % 1999 = 7 as footer,
+           case when k % 1999 = 7 then 'grand_total_row' when work_id is null then 'work_id_unparseable' when state is null or no_member then 'null_required_field'
+                when d <> 'completed' and bad_amount then 'unparseable_amount' when d = 'sanctioned' and amount is null then 'null_required_field' when d = 'sanctioned' and bad_sanction or d = 'completed' and bad_completion then 'unparseable_date'
+                when d = 'sanctioned' and sanction_on is null then 'null_required_field' when d = 'sanctioned' and recommended_on > sanction_on then 'negative_lag' when signs_only then 'null_required_field' end as fault from rows0),
+  judged as (
+    select *, case when footer then 'grand_total_row' when work_id is null then 'work_id_unparseable'
+                   when k > min(case when fault is null then k end) over (partition by d, h, work_id) then 'duplicate_work_id' else fault end as reason from faulty),
+  merged as (
+    select work_id, arg_min(work_id_raw, (p, h, k)) as work_id_raw, arg_min(member, (p, h, k)) as member, case arg_min(h, (p, h, k)) when 0 then 'lok_sabha' else 'rajya_sabha' end as house, any_value(state) as state,
+           arg_min(category, (p, h, k)) as category, arg_min(file, (p, h, k)) as source_file, arg_min(description, (p, h, k)) filter (description is not null) as description, arg_min(status, h) filter (d = 'sanctioned') as status,
+           arg_min(image, h) filter (d = 'completed') as image, bool_or(d = 'sanctioned') as in_sanctioned, bool_or(d = 'completed') as in_completed, bool_or(d = 'recommended') as in_recommended,
+           arg_max(struct_pack(a := amount, o := sanction_on, r := recommended_on), h) filter (d = 'sanctioned') as s, arg_max(struct_pack(a := amount, o := completed_on), h) filter (d = 'completed') as c,
+           arg_max(struct_pack(a := amount), h) filter (d = 'recommended') as r from judged where reason is null group by work_id)"""
+
+
+def _said(present: str, value: str, zero: bool = False) -> str:
+    return f"case when {present} then case when {value} is null then 'not_published' {f"when {value} = 0 then 'published_zero'" if zero else ''} else 'published' end end"
+
+
+ORACLE_SQL |= {
+    "work_level_load": f"""with {_WORK_ROWS}
+  select work_id, work_id_raw, member, house, state, 'NORTH' as district, 'District Office' as agency, '2024-2025' as fy, category, source_file, in_sanctioned, in_completed, in_recommended,
+         description, {_said("true", "description")} as description__why, status, {_said("true", "status")} as status__why, image, {_said("true", "image")} as image__why,
+         s.a as sanctioned_amt, {_said("in_sanctioned", "s.a", True)} as sanctioned_amt__why, s.o as sanction_date, s.r as recommended_date, {_said("in_sanctioned", "s.r")} as recommended_date__why,
+         c.o as completion_date, {_said("in_completed", "c.o")} as completion_date__why, c.a as completed_amt, {_said("in_completed", "c.a", True)} as completed_amt__why,
+         r.a as recommended_amt, {_said("in_recommended", "r.a", True)} as recommended_amt__why from merged""",
+    "work_level_report": f"""with {_WORK_ROWS}, files as (select distinct file from judged)
+  select file, 'read' as measure, count(*) as rows from judged group by file union all select file, 'loaded', count(*) filter (reason is null) from judged group by file
+  union all select file, 'new_category', count(*) filter (reason is null and category = 'Other thing') from judged group by file
+  union all select file, 'new_status', count(*) filter (reason is null and d = 'sanctioned' and status not in ('F', 'O')) from judged group by file
+  union all select file, reason, count(*) from judged where reason is not null group by all
+  union all select 'all', unnest(['works', 'sanctioned', 'sanctioned_recommended', 'completed', 'completed_sanctioned']),
+    unnest([count(*), count(*) filter (in_sanctioned), count(*) filter (in_sanctioned and in_recommended), count(*) filter (in_completed), count(*) filter (in_completed and in_sanctioned)]) from merged""",
+    "work_level_members": f"""with {_WORK_ROWS} select member as name, case h when 0 then 'lok_sabha' else 'rajya_sabha' end as house, 'State A' as state, max(case when h = 0 then 'NORTH' end) as constituency,
+    2019 as term_start, 2024 as term_end from judged where reason is null group by all""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import ablation, alerts, anomaly, audit, badges, casework, forecast, graph, ingest, rollups, rulebook, scope, scoring, similarity, snapshots
+from ..operators import ablation, alerts, anomaly, audit, badges, casework, forecast, graph, ingest, rollups, rulebook, scope, scoring, similarity, snapshots, worklevel
 from ..sources.tables import materialised, read_all, resolve, shared_path
 from . import build, corpus
 from .queries import DISTRICT_OFFICER, MINISTRY, QUERIES, dirty_exports, exact_clusters, query, similar_peers, six  # QUERIES: all, these among them
@@ -281,6 +281,64 @@ def csv_ingest(spark, d):
     return judged.groupBy(F.col("_house").alias("file")).agg(F.count("*").alias("read"), F.count_if(F.col("reason").isNull()).alias("loaded"), F.count_if(F.col("reason") == "null_required_field").alias("blank"), F.count_if(F.col("reason") == "grand_total_row").alias("footers"), last, F.min("_row_number").alias("first_row"))
 
 
+def work_exports(spark: SparkSession, d: str) -> dict[tuple[str, str], str]:
+    """Orders written as the CSV exports on works of both houses, with the faults that such exports have; {(dataset, house): path}."""
+    k, c, s = F.col("o_orderkey"), F.col("o_custkey"), lambda x: x.cast("string")
+    work = F.concat(F.lit("WS/MP"), s(c % 3), F.lit("/2024-2025/"), s(F.floor(k / 2)))
+    spelled = F.when(k % 89 == 3, "NA-Road").when(k % 11 == 0, F.concat(F.lit("ws/\t mp"), s(c % 3), F.lit("/2024-2025 /"), s(F.floor(k / 2)), F.lit("-Road"))).otherwise(work)
+    amount = F.when(k % 17 == 0, "").when(k % 19 == 0, "twelve").when(k % 23 == 0, "0").otherwise(F.concat(s(F.floor("o_totalprice")), F.lit(".25")))
+    dated = lambda x: F.date_format(x, "dd-MMM-yyyy")
+    on = F.to_date("o_orderdate")
+    common = [
+        k.alias("_k"), (c % 2).alias("_h"), F.when(k % 1999 == 7, "Grand Total").otherwise(s(k)).alias("Sr. No."), spelled.alias("WORK"), F.when(k % 37 == 0, " \t").otherwise("State  A").alias("State"),
+        F.lit("North(District Office_IDA)").alias("IDA"), F.when(k % 41 == 0, "N/A").when(k % 43 == 0, " (NaN-NaN)").otherwise(F.concat(F.lit("Dr. Shri "), F.element_at(F.array(F.lit("Anand"), F.lit("Bela"), F.lit("Chand")), (c % 3 + 1).cast("int")), F.lit(" (2019-24)"))).alias("Hon'ble Members of Parliament"),
+        F.when(k % 13 == 0, "Other thing").otherwise(F.col("o_orderpriority")).alias("Work Category"), F.when(k % 7 == 0, "-").otherwise(F.concat(F.lit("Road, "), s(k % 100))).alias("Work description"), F.lit("North").alias("Constituency"),
+    ]
+    recommended_on = F.when(k % 53 == 0, dated(F.date_add(on, 10))).when(k % 5 == 0, "").otherwise(dated(F.date_sub(on, 20)))
+    own = {
+        "sanctioned": [amount.alias("Sanction Amount ( Rs )"), F.when(k % 29 == 0, "N/A").when(k % 31 == 0, "31-31-2024").otherwise(dated(on)).alias("Sanction Date"), recommended_on.alias("Recommended date"), F.col("o_orderstatus").alias("Work Status")],
+        "completed": [amount.alias("Amount Disbursed ( Rs )"), F.when(k % 29 == 1, "NA").when(k % 31 == 1, "soon").otherwise(dated(F.date_add(on, 90))).alias("Completion Date"), F.when(k % 2 == 0, "Images").otherwise("").alias("Image")],
+        "recommended": [amount.alias("RECOMMENDED AMOUNT   ( Rs )"), recommended_on.alias("Recommended date")],
+    }
+    among = {"sanctioned": k % 5 != 2, "completed": k % 3 == 0, "recommended": k % 4 != 1}
+    orders, folder, paths = corpus.table(spark, d, "orders"), shared_path(spark, "work-exports"), {}
+    for dataset, columns in own.items():
+        for i, house in enumerate(worklevel.HOUSES):
+            paths[dataset, house] = f"{folder}/{dataset}_{house}"
+            rows = orders.where(among[dataset]).select(*common, *columns).where(F.col("_h") == i).coalesce(1).sortWithinPartitions("_k").drop("_k", "_h")
+            rows = rows if house == worklevel.HOUSES[0] else rows.drop("Constituency")
+            rows.write.csv(paths[dataset, house], header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return paths
+
+
+#: What the fixture's exports may say; other values are counted as drift.
+CATEGORIES, STATUSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ["F", "O"]
+
+
+@query
+def work_level_load(spark, d):
+    """Three exports of two houses from CSV to one record a work, each value with its reason."""
+    works = worklevel.load(spark, work_exports(spark, d), CATEGORIES, STATUSES).works
+    pair = lambda c, name: (F.col(f"{c}.value").alias(name), F.col(f"{c}.why").alias(f"{name}__why"))
+    return works.select(
+        "work_id", "work_id_raw", F.col("member.name").alias("member"), F.col("member.house").alias("house"), "state", "district", "agency", "fy", "category", "source_file",
+        *[F.col(f"in_{x}") for x in worklevel.DATASETS], *pair("description", "description"), *pair("status", "status"), *pair("image", "image"), *pair("sanctioned.amount", "sanctioned_amt"), F.col("sanctioned.on").alias("sanction_date"),
+        *pair("sanctioned.recommended_on", "recommended_date"), *pair("completed.on", "completion_date"), *pair("completed.amount", "completed_amt"), *pair("recommended.amount", "recommended_amt"),
+    )
+
+
+@query
+def work_level_report(spark, d):
+    """What the same load counted while it wrote: rows by file and reason, drift, and overlaps of the exports."""
+    return worklevel.load(spark, work_exports(spark, d), CATEGORIES, STATUSES).report
+
+
+@query
+def work_level_members(spark, d):
+    """The members that accepted rows of the exports name, with the state of most of their rows and their stated term."""
+    return worklevel.members(worklevel.load(spark, work_exports(spark, d), CATEGORIES, STATUSES).accepted)
+
+
 @query
 def build_counts(spark, d):
     made = build.build(spark, d, shared_path(spark, "build"))
