@@ -73,17 +73,6 @@ def rank_fields(attributed: DataFrame, catalogue: tuple[Field, ...] = CATALOGUE)
     return sums.withColumn("place", place).withColumn("ties", ties).select("field", "criterion", F.when((F.col("criterion") > 0) & (F.col("ties") == 1), F.col("place")).alias("position"))
 
 
-def band_needs(cases: DataFrame, field: Field, book: Rulebook) -> DataFrame:
-    """(work_id, fires): the fewest fires, heaviest first, with which a case reaches the next band; null if none do."""
-    edge = F.when(F.col("score") < book.medium, book.medium).when(F.col("score") < book.high, book.high)
-    weights = sorted((r.weight for r in book.rules if r.id in field.rules), reverse=True)
-    fires, so_far = F, 0
-    for n, w in enumerate(weights, 1):
-        so_far += w
-        fires = fires.when(F.expr(field.condition) & (F.col("raw_score") + so_far >= edge), n)
-    return cases.select("work_id", F.when(edge.isNotNull(), fires).alias("fires"))
-
-
 def band_ceiling(needs: DataFrame, budget: int) -> DataFrame:
     """(can_change, budget, ceiling): how many cases the extrapolated fires suffice for at most, cheapest first.
 

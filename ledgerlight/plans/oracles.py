@@ -258,13 +258,6 @@ ORACLE_SQL = {
     "ablation_rank": f"""with {_ATTRIBUTED}, names as (select unnest([{", ".join(f"'{f.key}'" for f in CATALOGUE)}]) as field),
   sums as (select n.field, coalesce(cast(sum(skips * weight) as bigint), 0) as criterion from names n left join attributed a using (field) group by n.field)
   select field, criterion, case when criterion > 0 and count(*) over (partition by criterion) = 1 then 1 + (select count(distinct s2.criterion) from sums s2 where s2.criterion > sums.criterion) end as position from sums""",
-    "ablation_band_range": f"""with {_ATTRIBUTED}, needs as (
-    select work_id, case when score < 50 then 50 when score < 75 then 75 end as edge, raw_score,
-           least(cast(payment_count = 0 as int) * 22, 22) as w1, cast(payment_count = 0 as int) * 16 as w2, cast(payment_count = 0 as int) * 12 as w3 from cases),
-  steps as (select *, case when edge is null or w1 = 0 then null when raw_score + w1 >= edge then 1 when raw_score + w1 + w2 >= edge then 2 when raw_score + w1 + w2 + w3 >= edge then 3 end as fires from needs),
-  run as (select fires, sum(fires) over (order by fires, work_id rows unbounded preceding) as used from steps where fires is not null),
-  budget as (select cast(sum(round_even(fired / nullif(fired + passed, 0) * skips, 0)) as bigint) as b from attributed where field = 'expenditure_linkage')
-  select (select count(*) from steps where fires is not null) as can_change, (select b from budget) as budget, (select count(*) from run, budget where used <= b) as ceiling""",
     "trace_diff": f"""{_HITS}, other as (select *, case when value is null then 'skipped' when rule_id = 'stalled_work' and cast(value as double) > 400 then 'fired' when rule_id = 'stalled_work' then 'passed' else status end as now from hits)
   select case_id, rule_id, 'status' as field, status as before, now as after from other where status <> now""",
     "forecast_populations": f"""with {FEATURES} select case when completion_date is not null then 'completed' when date '{AS_OF}' - sanction_date > 1000 then 'past_horizon' else 'open' end as population,
@@ -539,3 +532,22 @@ ORACLE_SQL |= {
     "work_level_members": f"""with {_WORK_ROWS} select member as name, case h when 0 then 'lok_sabha' else 'rajya_sabha' end as house, 'State A' as state, max(case when h = 0 then 'NORTH' end) as constituency,
     2019 as term_start, 2024 as term_end from judged where reason is null group by all""",
 }
+
+
+_BANDS = f"""{_RECOVERED}, lists as (
+  select f.field, t.work_id, list_sort(list(t.weight)) as light from trace t join fields f using (rule_id) join cases c using (work_id)
+  where t.status = 'skipped' and why = reason and case field when 'expenditure_linkage' then payment_count = 0 else completion_date is null end group by all),
+gaps as (select l.field, l.work_id, light, list_reverse_sort(light) as heavy, case when score < {_BOOK.medium} then {_BOOK.medium} - score when score < {_BOOK.high} then {_BOOK.high} - score end as gap from lists l join cases using (work_id)),
+short as (
+  select *, len(list_filter(range(1, len(light) + 1), lambda i: list_sum(light[1:i]) < gap)) as lightest, len(list_filter(range(1, len(heavy) + 1), lambda i: list_sum(heavy[1:i]) < gap)) + 1 as heaviest from gaps),
+needs as (select field, work_id, case when gap is null then len(light) else lightest end as absorbs, case when gap is not null and heaviest <= len(light) then heaviest end as fires from short),
+budgets as (select field, cast(coalesce(sum(round_even(fired / nullif(fired + passed, 0) * skips, 0)), 0) as bigint) as budget from attributed group by field),
+used as (select field, sum(fires) over (partition by field order by fires, work_id rows unbounded preceding) as used from needs where fires is not null),
+ranges as (
+  select field, (select count(fires) from needs n where n.field = b.field) as can_change, budget, (select cast(coalesce(sum(absorbs), 0) as bigint) from needs n where n.field = b.field) as absorb_capacity,
+         (select count(*) from used u where u.field = b.field and u.used <= budget) as ceiling from budgets b)"""
+
+ORACLE_SQL |= {
+    "ablation_band_range": f"with {_BANDS} select can_change, budget, ceiling from ranges where field = 'expenditure_linkage'",
+    "ablation_band_range_by_field": f"with {_BANDS} select field, can_change, budget, absorb_capacity, greatest(0, budget - absorb_capacity) as floor, ceiling from ranges",
+}

@@ -362,7 +362,7 @@ def ablation_rank(spark, d):
 def ablation_band_range(spark, d):
     c, found = _attributed(spark, d)
     budget = found.where("field = 'expenditure_linkage'").agg(F.sum("extrapolated_fires")).first()[0]
-    return ablation.band_ceiling(ablation.band_needs(c, ablation.ATTRIBUTED[0], corpus.rulebook()), int(budget or 0))
+    return ablation.band_ceiling(ablation.band_capacity(c, ablation.ATTRIBUTED[0], corpus.rulebook()), int(budget or 0))
 
 
 @query
