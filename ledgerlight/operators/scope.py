@@ -41,6 +41,27 @@ def scoped(rows: DataFrame, who: Principal) -> DataFrame:
     return rows.where(predicate(who))
 
 
+#: How a table's rows come into scope: by their own columns, or by those of the row that their key names in another table.
+PATHS: dict[str, tuple[str, str] | None] = {
+    "works": None, "cases": None, "payments": ("work_id", "works"), "hits": ("case_id", "cases"), "alerts": ("case_id", "cases"), "audit_log": ("case_id", "cases"),
+}
+
+
+def visible(name: str, tables: dict[str, DataFrame], who: Principal) -> DataFrame:
+    """The rows of a table that a principal may see, in its columns; a table without a path is denied to all.
+
+    The predicate goes to the scan of the table that holds places and members, and other tables are kept to its keys, so
+    a row whose key is null or names nothing is seen by the ministry alone.
+    """
+    if name not in PATHS:
+        raise PermissionError(f"no scope is known for {name}")
+    rows, path = tables[name], PATHS[name]
+    if path is None or who.role == MINISTRY:
+        return rows.where(predicate(who))
+    key, through = path
+    return rows.join(visible(through, tables, who).select(key), key, "left_semi").select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns])
+
+
 def require_grain(who: Principal, grain: str, state: str | None = None, district: str | None = None, member: int | None = None) -> None:
     """Raises PermissionError unless the role may ask for the grain and for this value of it."""
     own = {"state": (who.state, state), "district": (who.district, district), "member": (who.member, member)}

@@ -551,3 +551,13 @@ ORACLE_SQL |= {
     "ablation_band_range": f"with {_BANDS} select can_change, budget, ceiling from ranges where field = 'expenditure_linkage'",
     "ablation_band_range_by_field": f"with {_BANDS} select field, can_change, budget, absorb_capacity, greatest(0, budget - absorb_capacity) as floor, ceiling from ranges",
 }
+
+ORACLE_SQL |= {
+    "scoped_tables": f"""with {CASES}, who as (
+    select case_id, work_id, severity, unnest(list_filter(['ministry', case when state = 'EUROPE' then 'state' end, case when state = 'EUROPE' and district = 'NATION_13' then 'district' end, case when member = 7 then 'member' end], lambda r: r is not null)) as role from cases),
+  names as (select n.name, r.role from (select unnest(['works', 'cases', 'payments', 'hits', 'alerts']) as name) n cross join (select unnest(['ministry', 'state', 'district', 'member']) as role) r),
+  seen as (
+    select 'works' as name, role, count(*) as rows from who group by role union all select 'cases', role, count(*) from who group by role union all select 'payments', role, count(*) from payments join who using (work_id) group by role
+    union all select 'hits', role, count(*) from trace join who using (work_id) group by role union all select 'alerts', role, count(*) from who where severity = 'HIGH' group by role)
+  select name, role, coalesce(rows, 0) as rows from names left join seen using (name, role)""",
+}
