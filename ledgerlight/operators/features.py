@@ -140,9 +140,3 @@ def lifecycle_ladder() -> Column:
     steps = (("recommended", "recommended_date", None), ("sanctioned", "sanction_date", "sanction_lag_days"), ("first_payment", "first_payment", "sanction_to_first_payment_days"), ("completion", "completion_date", "first_payment_to_completion_days"))
     rows = [F.struct(F.lit(s).alias("step"), F.col(d).alias("on"), (F.col(f).cast("int") if f else F.lit(None).cast("int")).alias("lag_days"), (F.col(f"{f}__why") if f else F.lit(None).cast("string")).alias("why")) for s, d, f in steps]
     return F.array(*rows)
-
-
-def unavailable_fields(features: list[str]) -> Column:
-    """array<struct<field, why>> of the features without a value."""
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}__why").alias("why")) for f in features])
-    return F.filter(rows, lambda r: r["why"] != PUBLISHED)

@@ -34,6 +34,8 @@ SCORE_CAP = 100
 # Why a feature can have no value, and when a rule's own caveat is shown.
 SKIP_REASONS = ("not_published", "published_zero", "not_applicable")
 CAVEAT_WHEN = ("always", "fired")
+#: What a fired rule cites: the works that it was judged against, the most similar first, and how similar that one is.
+CITATION = "struct<matched: array<string>, score: double>"
 
 
 @dataclass(frozen=True)
@@ -189,7 +191,7 @@ def trace(book: Rulebook) -> Column:
         rows.append(
             F.struct(
                 F.lit(r.id).alias("rule_id"), F.lit(r.label).alias("label"), F.lit(r.field).alias("field"), F.lit(r.operator).alias("operator"), status.alias("status"), shown.alias("raw_value"), F.lit(str(r.threshold).lower() if isinstance(r.threshold, bool) else str(float(r.threshold))).alias("threshold"),
-                F.when(status == "fired", r.weight).otherwise(0).alias("contribution"), F.when(value.isNull(), why).alias("skip_reason"), caveat.alias("caveat"), none.alias("citation"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
+                F.when(status == "fired", r.weight).otherwise(0).alias("contribution"), F.when(value.isNull(), why).alias("skip_reason"), caveat.alias("caveat"), F.lit(None).cast(CITATION).alias("citation"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
             )
         )
     return F.array(*rows)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import case_id, joined_list, long_date, rupees
+from ..functions.text import case_id
 from .features import gap_hop, slowest_lag
-from .rulebook import SCORE_CAP, Rulebook, trace
+from .rulebook import CITATION, SCORE_CAP, Rulebook, trace
 
 
 def severity(score: Column, book: Rulebook) -> Column:
@@ -98,17 +98,13 @@ def with_citations(cases: DataFrame, peers: DataFrame, rule: str = "duplicate_wo
     return rows.select("case_id", "work_id", cited.cast("array<string>").alias("cited"), F.element_at("peers", 1)["score"].alias("best"))
 
 
-def memo() -> Column:
-    """A paragraph on a case in a fixed order of sentences; those with nothing to say are left out."""
-    fired = F.transform(F.filter("trace", lambda t: t["status"] == "fired"), lambda t: F.replace(t["rule_id"], F.lit("_"), F.lit(" ")))
-    skipped = F.transform(F.filter("trace", lambda t: t["status"] == "skipped"), lambda t: F.concat(F.replace(t["rule_id"], F.lit("_"), F.lit(" ")), F.lit(" ("), F.replace(t["skip_reason"], F.lit("_"), F.lit(" ")), F.lit(")")))
-    money = F.concat(F.lit("It was sanctioned "), rupees("sanctioned_amt"), F.coalesce(F.concat(F.lit(" on "), long_date("sanction_date")), F.lit("")), F.lit(" and paid "), rupees("paid_amt"), F.lit("."))
-    return F.concat_ws(
-        " ",
-        F.concat(F.lit("Work "), F.col("work_id"), F.lit(" scores "), F.col("score").cast("string"), F.lit(" ("), F.col("severity"), F.lit(") with "), F.col("coverage_pct").cast("string"), F.lit("% of the rulebook readable.")),
-        money,
-        F.when(F.size(fired) > 0, F.concat(F.lit("Fired: "), joined_list(fired), F.lit("."))),
-        F.when(F.col("same_desc_same_agency_count") > 1, F.concat(F.lit("The description occurs "), F.col("same_desc_same_agency_count").cast("string"), F.lit(" times under the agency; this asks for review and shows no wrong."))),
-        F.when(F.size(skipped) > 0, F.concat(F.lit("Not evaluated: "), joined_list(skipped), F.lit("."))),
-        F.when(F.col("bonus") > 0, F.concat(F.lit("The agency has "), F.col("peer_count").cast("string"), F.lit(" other HIGH cases in the year."))),
-    )
+def with_evidence(cases: DataFrame, citations: DataFrame, rule: str = "duplicate_work") -> DataFrame:
+    """The cases with what they cite in their traces, as the citation (matched, score) of the rule where it fired.
+
+    citations: of ``with_citations``, a row for each case with the rule fired. A fired rule without its row is an error,
+    so no case can be stored on a similarity that names no other work.
+    """
+    rows = cases.join(citations.select("work_id", F.struct(F.col("cited").alias("matched"), F.col("best").alias("score")).cast(CITATION).alias("_cited")), "work_id", "left")
+    missing = F.raise_error(F.lit(f"{rule} fired and cites no work")).cast(CITATION)
+    own = lambda t: F.when((t["rule_id"] == rule) & (t["status"] == "fired"), F.coalesce(F.col("_cited"), missing))
+    return rows.withColumn("trace", F.transform("trace", lambda t: t.withField("citation", own(t)))).drop("_cited")

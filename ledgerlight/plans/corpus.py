@@ -19,13 +19,15 @@ from ..functions.text import NOT_APPLICABLE, NOT_PUBLISHED, PUBLISHED, descripti
 from ..operators import rollups, scoring
 from ..operators.features import DONE, agency_totals, derive
 from ..operators.rulebook import Rulebook, checked, load
-from ..operators.similarity import best_in_block, similar_texts
+from ..operators.similarity import best_in_block, similar_peers, similar_texts
 from ..sources.tables import shared_path
 
 #: All days are counted to this one, never to today.
 AS_OF = datetime.date(2001, 12, 31)
 #: Paid by an agency in all, at or below which a vendor's share of it is not looked at: large enough here to leave some out.
 AGENCY_FLOOR = 20_000_000
+#: Works that a case on a repeated description cites.
+CITED = 2
 #: One order of so many is a synthetic work, which rollups, lists and alerts leave out.
 SYNTHETIC_EVERY = 997
 
@@ -164,9 +166,15 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(work, None, accounts(spark, sf_dir), AS_OF, similarity=similar, agency_floor=AGENCY_FLOOR, shares=built(spark, sf_dir, "shares"))
 
 
+def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, work_id, cited, best): what each fired repetition cites; the texts it is near to are stored already."""
+    peers = similar_peers(described(spark, sf_dir), "agency", "work_id", "key", CITED, best=built(spark, sf_dir, "similar"))
+    return scoring.with_citations(built(spark, sf_dir, "base"), peers, most=CITED)
+
+
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cases under the rulebook, in files that hold few states and districts each."""
-    base = built(spark, sf_dir, "base")
+    base = scoring.with_evidence(built(spark, sf_dir, "base"), built(spark, sf_dir, "citations"))
     rows = scoring.with_bonus(base, rulebook())
     return rows.repartitionByRange("state", "district", "case_id").sortWithinPartitions("state", "district", "case_id")
 
@@ -179,6 +187,7 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similar": lambda spark, d: similar_texts(described(spark, d), "agency", "work_id", "key"),
     "features": _features,
     "base": lambda spark, d: scoring.base_scores(built(spark, d, "features"), rulebook()),
+    "citations": _citations,
     "cases": _cases,
     "hits": lambda spark, d: scoring.rule_hits(built(spark, d, "cases")),
     **{f"rollup_{g}": (lambda spark, d, g=g: rollups.rollup(built(spark, d, "cases"), g)) for g in rollups.GRAINS},

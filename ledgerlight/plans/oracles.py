@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..functions.text import HONORIFICS
 from ..operators.ablation import CATALOGUE
-from ..operators.rulebook import SQL_OPERATORS, TRUTHS, digest
+from ..operators import memos
+from ..operators.rulebook import NUMERIC, SQL_OPERATORS, TRUTHS, digest
 from .build import RULES
 from .corpus import AGENCY_FLOOR, AS_OF, SYNTHETIC_EVERY, rulebook
 
@@ -457,19 +458,47 @@ def _sql_rupees(c: str) -> str:
 _AND = "case when len({0}) <= 1 then array_to_string({0}, '') else array_to_string({0}[1:len({0}) - 1], ', ') || ' and ' || {0}[len({0})] end"
 _ORDER_OF = f"list_position([{', '.join(repr(r.id) for r in _BOOK.rules)}], rule_id)"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CLAUSE = """case rule_id when 'execution_delay' then 'carrying it out took ' || format('{:,}', execution_days) || ' days, where the limit is 1,000'
+      when 'vendor_concentration' then 'one vendor has ' || format('{:,.2f}', vendor_share_in_agency_pct) || ' % of what the agency paid, where the limit is 2.5 %'
+      when 'status_payment_mismatch' then 'it is reported as completed and no payment for it is published' when 'asset_evidence_missing' then 'no picture of the asset was filed'
+      when 'account_underutilisation' then 'sanctions stand at ' || format('{:,.2f}', mp_utilisation_pct) || ' % of the member''s allocation, where the least is 20,000 %' end"""
+_WHY_SKIPPED = "case " + " ".join(f"when rule_id = '{r}' and why = '{w}' then {_quoted(t)}" for (r, w), t in memos.RULE_REASONS.items()) + " " + " ".join(f"when why = '{w}' then {_quoted(t)}" for w, t in memos.REASONS.items()) + " end"
+_DETAIL = "case " + " ".join(f"when field = '{f}' and why = '{w}' then {_quoted(t)}" for (f, w), t in memos.DETAILS.items()) + " " + " ".join(f"when why = '{w}' then {_quoted(t)}" for w, t in memos.DETAIL_REASONS.items()) + " end"
+_BLANK = " union all ".join(f"select case_id, '{f}' as field, {f}__why as why from cases where {f} is null" for f in (*NUMERIC, *TRUTHS) if f != "payment_count")
+
 ORACLE_SQL |= {
-    "case_memos": f"""with {CASES}, said as (
-    select work_id, coalesce(list(replace(rule_id, '_', ' ') order by {_ORDER_OF}) filter (status = 'fired'), []) as fired,
-           coalesce(list(replace(rule_id, '_', ' ') || ' (' || replace(why, '_', ' ') || ')' order by {_ORDER_OF}) filter (status = 'skipped'), []) as skipped
-    from trace group by work_id)
+    "case_memos": f"""with {CASES}, {_TEXT_PEERS},
+  cited as (select work_id, list(peer order by rank) as cited from peers where rank <= 2 group by work_id),
+  said as (select work_id, coalesce(list({_CLAUSE} order by {_ORDER_OF}) filter (status = 'fired' and {_CLAUSE} is not null), []) as others,
+      coalesce(list(replace(rule_id, '_', ' ') || ' - ' || {_WHY_SKIPPED} order by {_ORDER_OF}) filter (status = 'skipped'), []) as skipped,
+      cast(sum(weight) filter (status = 'skipped') as bigint) as lost,
+      count(*) filter (rule_id = 'duplicate_work' and status = 'fired') as alike, count(*) filter (rule_id = 'split_sanction' and status = 'fired') as split
+    from trace join (select work_id, execution_days, vendor_share_in_agency_pct, mp_utilisation_pct from features) f using (work_id) group by work_id)
   select case_id, concat_ws(' ',
-    'Work ' || work_id || ' scores ' || score || ' (' || severity || ') with ' || coverage_pct || '% of the rulebook readable.',
-    'It was sanctioned ' || {_sql_rupees("sanctioned_amt")} || coalesce(' on ' || strftime(sanction_date, '%-d %B %Y'), '') || ' and paid ' || {_sql_rupees("paid_amt")} || '.',
-    case when len(fired) > 0 then 'Fired: ' || {_AND.format("fired")} || '.' end,
-    case when same_count > 1 then 'The description occurs ' || same_count || ' times under the agency; this asks for review and shows no wrong.' end,
-    case when len(skipped) > 0 then 'Not evaluated: ' || {_AND.format("skipped")} || '.' end,
-    case when bonus > 0 then 'The agency has ' || peer_count || ' other HIGH cases in the year.' end) as memo
-  from cases join said using (work_id)""",
+    case when is_synthetic then {_quoted(memos.CONTROL)} end,
+    'Work ' || work_id || ' (' || coalesce('''' || description || '''', 'no published description') || ') was sanctioned ' || {_sql_rupees("sanctioned_amt")} || ' on ' || strftime(sanction_date, '%-d %B %Y') || ' by ' || agency
+      || coalesce(', ' || format('{{:,}}', sanction_lag_days) || ' days after its recommendation of ' || strftime(recommended_date, '%-d %B %Y'), '') || '.',
+    case when variance_sanction_to_disbursement is not null then {_sql_rupees("paid_amt")} || ' was paid in ' || payment_count || case when payment_count = 1 then ' payment, ' else ' payments, ' end
+      || format('{{:,.2f}}', abs(variance_sanction_to_disbursement)) || case when variance_sanction_to_disbursement > 0 then ' % above the sanction' else ' % below the sanction' end
+      || '; the last was on ' || strftime(last_payment, '%-d %B %Y') || ', ' || format('{{:,}}', days_since_last_payment) || ' days ago.'
+      when payment_count = 0 then 'No payment for it is published, so how much of the sanction was drawn is not known.' end,
+    case when alike + split > 0 then case when same_count > 1 then 'The same description stands on ' || format('{{:,}}', same_count) || ' works of the agency' else 'The description is close to that of other work of the agency' end
+      || case when alike > 0 then '; compare ' || {_AND.format("cited")} || ' before anything is concluded, as such works are often repeated for good reason.' else ', which asks for a review and is no finding.' end end,
+    case when len(others) > 0 then 'The case also shows that ' || {_AND.format("others")} || '.' end,
+    'The agency has ' || format('{{:,}}', peer_count) || ' other HIGH cases in ' || fy || case when bonus > 0 then ', a pattern that adds ' || bonus || ' points.' else ' of the {_BOOK.bonus_least} that a pattern takes; nothing is added for it.' end,
+    case when len(skipped) > 0 then 'Not evaluated: ' || {_AND.format("skipped")} || '. That is ' || lost || ' of {_BOOK.weight_total} points of the rulebook, so the score rests on ' || coverage_pct || ' % of it; no other rule gets their weight.' end,
+    'Score ' || cases.score || ' of 100, ' || severity || ', under rulebook {_BOOK.version}.',
+    {_quoted(memos.NOTICE)}) as memo
+  from cases join said using (work_id) left join cited using (work_id)""",
+    "unavailable_details": f"with {CASES}, blank as ({_BLANK}) select case_id, field, why, {_DETAIL} as detail from blank",
+    "trace_citations": f"""{_HITS}, {_TEXT_PEERS} select h.case_id, 'duplicate_work' as rule_id, cast(p.rank - 1 as int) as at, p.peer as cited, round(max(p.score) over (partition by h.case_id), 6) as best
+  from hits h join peers p on p.work_id = h.work_id and p.rank <= 2 where h.rule_id = 'duplicate_work' and h.status = 'fired'""",
 }
 
 ORACLE_SQL |= {

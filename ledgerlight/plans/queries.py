@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import ablation, alerts, anomaly, audit, features, forecast, graph, ingest, rollups, scope, scoring, similarity
+from ..operators import ablation, alerts, anomaly, audit, features, forecast, graph, ingest, memos, rollups, rulebook, scope, scoring, similarity
 from ..sources.tables import materialised
 from . import corpus
 
@@ -79,7 +79,7 @@ def ladders(spark, d):
     rows = corpus.features(spark, d)
     fund, lifecycle = features.fund_ladder(-60.0), features.lifecycle_ladder()
     text = lambda rungs, part: F.array_join(F.transform(rungs, lambda r: F.coalesce(r[part].cast("string"), F.lit("-"))), ",")
-    missing = features.unavailable_fields(["execution_days", "sanction_lag_days", "asset_image_absent"])
+    missing = memos.unavailable(["execution_days", "sanction_lag_days", "asset_image_absent"])
     return rows.select(
         "work_id", text(fund, "amount").alias("amounts"), text(fund, "state").alias("states"), text(fund, "why").alias("hop_reasons"), text(lifecycle, "on").alias("dates"), text(lifecycle, "lag_days").alias("lags"), text(lifecycle, "why").alias("lag_reasons"),
         F.array_join(F.transform(missing, lambda m: F.concat_ws(":", m["field"], m["why"])), ",").alias("unavailable"),
@@ -88,7 +88,21 @@ def ladders(spark, d):
 
 @query
 def case_memos(spark, d):
-    return corpus.scored_cases(spark, d).select("case_id", scoring.memo().alias("memo"))
+    return corpus.scored_cases(spark, d).select("case_id", memos.memo(corpus.rulebook()).alias("memo"))
+
+
+@query
+def unavailable_details(spark, d):
+    """Why each figure of each case that is blank is so, in words."""
+    rows = corpus.scored_cases(spark, d).select("case_id", F.explode(memos.unavailable([*rulebook.NUMERIC, *rulebook.TRUTHS])).alias("u"))
+    return rows.select("case_id", "u.*")
+
+
+@query
+def trace_citations(spark, d):
+    """What the stored traces cite, a row for each work cited."""
+    rows = corpus.hits(spark, d).where("citation is not null")
+    return rows.select("case_id", "rule_id", F.posexplode("citation.matched").alias("at", "cited"), F.round("citation.score", 6).alias("best"))
 
 
 @query

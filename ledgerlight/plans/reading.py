@@ -37,7 +37,7 @@ def case_version(spark, d):
 
 @query
 def case_sheets(spark, d):
-    rows = casework.sheet(corpus.scored_cases(spark, d), OFFICE)
+    rows = casework.sheet(corpus.scored_cases(spark, d), OFFICE, corpus.rulebook())
     return rows.select("case_id", "work.work_id", "score", "severity", F.array_join("fired", ",").alias("fired"), F.array_join("skipped", ",").alias("skipped"), F.array_join(F.transform("fund", lambda r: r["state"]), ",").alias("fund"), "corroboration.applied", "corroboration.contribution")
 
 
