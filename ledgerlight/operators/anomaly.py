@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+
 # Fixed values of the model's settings.
 TREES, SAMPLE, CONTAMINATION, SEED, PEER_FLOOR = 200, 256, 0.11, 7, 5
 COLUMNS = (
@@ -67,21 +69,20 @@ def missing(columns: tuple[str, ...] = COLUMNS):
 
 
 def anomaly_badges(features: DataFrame, columns: tuple[str, ...] = COLUMNS, peers: tuple[str, ...] = ("category", "state", "fy")) -> DataFrame:
-    """(work_id, score, flagged, score__why, peer_size): rows with a null among the columns, or in a group below the floor of
+    """(work_id, score, flagged, score__why, peer_size, missing_features): rows with a null among the columns, or in a group below the floor of
     peers, have no score and say so; nothing is imputed.
 
     The trees grow on the driver from a sample of TREES * SAMPLE rows by the order of a hash; they are of fixed size and go
     to all tasks. The threshold is the contamination quantile over all scored rows.
     """
-    whole = F.size(missing(columns)) == 0
     size = features.groupBy(*peers).agg(F.count("*").alias("peer_size"))
-    rows = features.join(size, list(peers)).withColumn("_whole", whole)
+    rows = features.join(size, list(peers)).withColumn("missing_features", missing(columns)).withColumn("_whole", F.size("missing_features") == 0)
     numeric = [F.col(c).cast("double").alias(c) for c in columns]
     n = rows.where("_whole").count()
     share = min(1.0, TREES * SAMPLE / max(n, 1))
     sample = rows.where("_whole").where(F.shiftrightunsigned(F.xxhash64("work_id"), 1) <= min(2**63 - 1, int(share * 2**63))).select("work_id", *numeric).toPandas().sort_values("work_id")
     if not len(sample):
-        return rows.select("work_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flagged"), F.lit("not_applicable").alias("score__why"), "peer_size")
+        return rows.select("work_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flagged"), F.when(F.col("_whole"), "not_applicable").otherwise("not_published").alias("score__why"), "peer_size", "missing_features")
     matrix = sample[list(columns)].to_numpy(float)
     forest, size_of = grow(matrix), min(SAMPLE, len(matrix))
 
@@ -89,11 +90,11 @@ def anomaly_badges(features: DataFrame, columns: tuple[str, ...] = COLUMNS, peer
         for frame in frames:
             yield pd.DataFrame({"work_id": frame["work_id"], "score": path_scores(frame[list(columns)].to_numpy(float), forest, size_of)})
 
-    scores = rows.where("_whole").select("work_id", *numeric).mapInPandas(scored, "work_id string, score double")
+    scores = materialised(rows.where("_whole").select("work_id", *numeric).mapInPandas(scored, "work_id string, score double"), "outlier-scores")
     limit = scores.agg(F.percentile_approx("score", 1 - CONTAMINATION, 100_000)).first()[0]
-    out = rows.select("work_id", "peer_size", "_whole").join(scores, "work_id", "left")
+    out = rows.select("work_id", "peer_size", "missing_features", "_whole").join(scores, "work_id", "left")
     shown = F.when(F.col("peer_size") >= PEER_FLOOR, F.col("score"))
-    return out.select("work_id", shown.alias("score"), (shown > limit).alias("flagged"), F.when(shown.isNotNull(), "published").when(~F.col("_whole"), "not_published").otherwise("not_applicable").alias("score__why"), "peer_size")
+    return out.select("work_id", shown.alias("score"), (shown > limit).alias("flagged"), F.when(shown.isNotNull(), "published").when(~F.col("_whole"), "not_published").otherwise("not_applicable").alias("score__why"), "peer_size", "missing_features")
 
 
 def confirmed(badges: DataFrame, fired: DataFrame) -> DataFrame:

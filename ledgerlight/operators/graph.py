@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import NOT_APPLICABLE, PUBLISHED
 from ..sources.tables import materialised
 from .features import agency_totals
 
@@ -41,6 +42,45 @@ def graph_findings(works: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("work_id", "hhi", F.when(F.col("hhi").isNull(), "not_applicable").otherwise("published").alias("hhi__why"))
 
 
+def structure(edges: DataFrame, floor: int, roots: DataFrame | None = None) -> DataFrame:
+    """Where each agency stands in the graph of all payments: a row for each agency that paid something.
+
+    (agency, vendors, disbursed_total, above_floor, top_vendor, top_share_pct, hhi, shared_exposure_pct, widest_span,
+    component_size, component_agencies). edges: of ``with_share``, all of them, as leaving small ones out would cut the graph.
+    The top vendor is the one paid most, ties by the smaller id. roots: (node, root) of ``components`` of ``named_links``.
+    """
+    roots = components(named_links(edges)) if roots is None else roots
+    rows = edges.join(spans(edges), "vendor_id")
+    top = F.min_by(F.struct("vendor_id", "share"), F.struct(-F.col("vendor_paid"), F.col("vendor_id")))
+    shared = F.sum(F.when(F.col("agency_span") > 1, F.col("vendor_paid")).otherwise(0))
+    found = rows.groupBy("agency").agg(F.count("*").alias("vendors"), F.first("agency_paid").alias("disbursed_total"), top.alias("_top"), F.sum(F.col("share") * F.col("share")).alias("hhi"), shared.alias("_shared"), F.max("agency_span").alias("widest_span")).where("disbursed_total > 0")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("component_size"), F.count_if(F.startswith("node", F.lit("A"))).alias("component_agencies"))
+    of = roots.where(F.startswith("node", F.lit("A"))).join(sizes, "root").select(F.substr("node", F.lit(2)).alias("agency"), "component_size", "component_agencies")
+    return found.join(of, "agency").select(
+        "agency", "vendors", "disbursed_total", (F.col("disbursed_total") > floor).alias("above_floor"), F.col("_top.vendor_id").alias("top_vendor"), (F.col("_top.share") * 100).alias("top_share_pct"),
+        "hhi", (F.col("_shared") / F.col("disbursed_total") * 100).alias("shared_exposure_pct"), "widest_span", "component_size", "component_agencies",
+    )
+
+
+def named_links(edges: DataFrame) -> DataFrame:
+    """The edges as links of nodes A<agency> and V<vendor>."""
+    return edges.select(F.concat(F.lit("A"), "agency").alias("a"), F.concat(F.lit("V"), F.col("vendor_id").cast("string")).alias("b"))
+
+
+def structure_findings(works: DataFrame, paid: DataFrame, found: DataFrame, vendors: DataFrame, spanned: DataFrame) -> DataFrame:
+    """Each work with its agency's place in the graph and its own vendors; ``hhi__why`` is not applicable without an edge.
+
+    works: work_id, agency. paid: (work_id, vendor_id), repeats allowed. found: of ``structure``. vendors: (vendor_id,
+    vendor_name). spanned: of ``spans``. work_vendors is an array of (vendor_id, vendor_name, agency_span), by id.
+    """
+    known = spanned.join(vendors, "vendor_id", "left")
+    own = paid.where("vendor_id is not null").distinct().join(known, "vendor_id", "left")
+    own = own.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("vendor_id", "vendor_name", "agency_span"))).alias("work_vendors"))
+    named = found.join(vendors.select(F.col("vendor_id").alias("top_vendor"), F.col("vendor_name").alias("top_vendor_name")), "top_vendor", "left")
+    rows = works.select("work_id", "agency").join(named, "agency", "left").join(own, "work_id", "left")
+    return rows.withColumn("hhi__why", F.when(F.col("hhi").isNull(), NOT_APPLICABLE).otherwise(PUBLISHED))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that links (a, b) reach.
 

@@ -61,16 +61,17 @@ def read(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{current(spark, out)}/{name}")
 
 
-def build(spark: SparkSession, sf_dir: str, out: str) -> dict[str, DataFrame]:
+def build(spark: SparkSession, sf_dir: str, out: str, findings: bool = False) -> dict[str, DataFrame]:
     """Writes all tables as a new set under ``out``, publishes it in one step, and gives them as read back.
 
     Tables are written under the build's own id, and the manifest gets a row for it last, in one small file: a build that
     fails at any table leaves what is read as it was. Running it again gives the same tables, and the inputs are read
     anew: what the session built from them before is forgotten. No cases, or rollups that don't sum them up, are an
     error. The log lies in LOG_BUCKETS parts by case, of which an append reads those of its own cases.
+    With ``findings`` the badges of all four kinds are made anew and belong to the set; two of them fit a model.
     """
     corpus.forget(sf_dir)
-    made = {name: corpus.built(spark, sf_dir, name) for name in WRITTEN}
+    made = {name: corpus.built(spark, sf_dir, name) for name in (*WRITTEN, *(("findings",) if findings else ()))}
     if not made["cases"].limit(1).count():
         raise ValueError(f"no cases in {sf_dir}")
     made |= {"rulebook_versions": versions(spark), "audit_log": opening_log(made["cases"]).withColumn("bucket", bucket())}

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import NOT_APPLICABLE, NOT_PUBLISHED, PUBLISHED, description_key
-from ..operators import rollups, scoring
+from ..operators import anomaly, badges, forecast, graph, rollups, scoring
 from ..operators.features import DONE, agency_totals, derive
 from ..operators.rulebook import Rulebook, checked, load
-from ..operators.similarity import best_in_block, similar_peers, similar_texts
-from ..sources.tables import shared_path
+from ..operators.similarity import best_in_block, exact_clusters, similar_peers, similar_texts
+from ..sources.tables import materialised, shared_path
 
 #: All days are counted to this one, never to today.
 AS_OF = datetime.date(2001, 12, 31)
@@ -179,6 +179,52 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartitionByRange("state", "district", "case_id").sortWithinPartitions("state", "district", "case_id")
 
 
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.structure(graph.with_share(built(spark, sf_dir, "shares")), AGENCY_FLOOR)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each work with its agency's place in the graph of payments and its own vendors."""
+    work = built(spark, sf_dir, "works").select("work_id", "agency", "order_key")
+    own = built(spark, sf_dir, "lines").select("order_key", "vendor_id").join(work, "order_key").select("work_id", "vendor_id")
+    vendors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"))
+    return graph.structure_findings(work, own, built(spark, sf_dir, "structure"), vendors, graph.spans(built(spark, sf_dir, "shares")))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each work with its exact cluster and what it cites."""
+    work = built(spark, sf_dir, "features").select("work_id", "agency", "description_key")
+    rows = badges.cluster_findings(work, exact_clusters(work))
+    return rows.join(built(spark, sf_dir, "citations").select("work_id", "cited", "best"), "work_id", "left")
+
+
+def _outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anomaly.anomaly_badges(built(spark, sf_dir, "features").select("work_id", "category", "state", "fy", *anomaly.COLUMNS))
+    return anomaly.confirmed(rows, badges.fired_counts(built(spark, sf_dir, "cases")))
+
+
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every work's population and days, and for open works the risk of running late and its rank among them."""
+    late = forecast.horizon_days(rulebook())
+    rows = materialised(forecast.model_rows(built(spark, sf_dir, "features"), late, AS_OF), "forecast-rows")
+    scored = materialised(forecast.risks(rows, forecast.fit(rows)), "forecast-risks")
+    found = forecast.with_percentile(scored).select("work_id", "population", "elapsed_days", "held_out", "label", F.when(F.col("population") == "open", F.col("risk")).alias("risk"), "risk_percentile")
+    took = built(spark, sf_dir, "features").select("work_id", "execution_days")
+    return found.join(took, "work_id").withColumns({"outcome": badges.delay_outcome(late), "risk__why": F.when(F.col("risk").isNull(), NOT_APPLICABLE).otherwise(PUBLISHED)}).drop("execution_days")
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of all four kinds, four rows a work. Each kind's version names what its model was made with and over."""
+    own = {name: built(spark, sf_dir, name) for name in ("clusters", "outliers", "risks", "graph")}
+    works, edges = built(spark, sf_dir, "works").count(), built(spark, sf_dir, "shares").count()
+    return badges.findings({
+        "duplicate_cluster": (own["clusters"], "works", "works__why", {"least": 2, "works": works}),
+        "statistical_outlier": (own["outliers"], "score", "score__why", {"columns": anomaly.COLUMNS, "trees": anomaly.TREES, "sample": anomaly.SAMPLE, "contamination": anomaly.CONTAMINATION, "seed": anomaly.SEED, "works": works}),
+        "delay_risk": (own["risks"], "risk", "risk__why", {"numbers": forecast.NUMBERS, "categories": forecast.CATEGORIES, "horizon": forecast.horizon_days(rulebook()), "as_of": str(AS_OF), "works": works}),
+        "vendor_concentration_graph": (own["graph"], "hhi", "hhi__why", {"measure": "hhi", "floor": AGENCY_FLOOR, "edges": edges}),
+    })
+
+
 TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lines": _paid_lines,
     "works": _works,
@@ -190,6 +236,12 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "citations": _citations,
     "cases": _cases,
     "hits": lambda spark, d: scoring.rule_hits(built(spark, d, "cases")),
+    "structure": _structure,
+    "graph": _graph,
+    "clusters": _clusters,
+    "outliers": _outliers,
+    "risks": _risks,
+    "findings": _findings,
     **{f"rollup_{g}": (lambda spark, d, g=g: rollups.rollup(built(spark, d, "cases"), g)) for g in rollups.GRAINS},
 }
 

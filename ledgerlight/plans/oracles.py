@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import HONORIFICS
 from ..operators.ablation import CATALOGUE
+from ..operators.anomaly import COLUMNS, PEER_FLOOR
 from ..operators import memos
 from ..operators.rulebook import NUMERIC, SQL_OPERATORS, TRUTHS, digest
 from .build import RULES
@@ -590,3 +591,31 @@ ORACLE_SQL |= {
     union all select 'hits', role, count(*) from trace join who using (work_id) group by role union all select 'alerts', role, count(*) from who where severity = 'HIGH' group by role)
   select name, role, coalesce(rows, 0) as rows from names left join seen using (name, role)""",
 }
+
+_FORMED = " and ".join(f"{c} is not null" for c in COLUMNS)
+ORACLE_SQL |= {
+    "graph_payloads": f"""with recursive {WORKS}, {EDGES}, near as (select distinct a.agency as a, b.agency as b from edges a join edges b using (vendor_id)),
+  reach(a, b) as (select a, b from near union select r.a, n.b from reach r join near n on n.a = r.b),
+  groups as (select a as agency, min(b) as root, count(*) as component_agencies from reach group by a),
+  sizes as (select root, count(distinct vendor_id) as n_vendors from edges join groups using (agency) group by root),
+  span as (select vendor_id, count(*) as agency_span from edges group by vendor_id),
+  s as (select agency, count(*) as vendors, any_value(agency_paid) as disbursed_total, arg_min(vendor_id, (-vendor_paid, vendor_id)) as top_vendor, max(vendor_paid / agency_paid * 100) as top_share_pct,
+      sum((vendor_paid / agency_paid) ** 2) as hhi, cast(coalesce(sum(vendor_paid) filter (agency_span > 1), 0) as double) as shared, max(agency_span) as widest_span from shares join span using (vendor_id) group by agency),
+  own as (select work_id, string_agg(vendor_id || ':' || s_name || ':' || agency_span, ',' order by vendor_id) as work_vendors
+    from (select distinct work_id, vendor_id from payments) join span using (vendor_id) join supplier on s_suppkey = vendor_id group by work_id)
+  select work_id, case when hhi is null then 'not_applicable' else 'published' end as hhi__why, vendors, disbursed_total, disbursed_total > {AGENCY_FLOOR} as above_floor, top_vendor, s_name as top_vendor_name,
+    round(top_share_pct, 6) as top_share_pct, round(hhi, 6) as hhi, round(shared / disbursed_total * 100, 6) as shared_exposure_pct, widest_span, component_agencies + n_vendors as component_size, component_agencies, work_vendors
+  from works left join s using (agency) left join groups using (agency) left join sizes using (root) left join supplier on s_suppkey = top_vendor left join own using (work_id)""",
+    "cluster_payloads": f"""with {CASES}, {_TEXT_PEERS}, firsts as (select agency, dkey, min(work_id) as first_work from features group by agency, dkey),
+  cites as (select p.work_id, string_agg(peer, ',' order by rank) as cited, max(p.score) as best from peers p join trace t on t.work_id = p.work_id and t.rule_id = 'duplicate_work' and t.status = 'fired' where rank <= 2 group by p.work_id)
+  select c.work_id, case when same_count >= 2 then 'DC-' || upper(substring(sha256(agency || chr(31) || dkey), 1, 8)) end as cluster_id, case when same_count >= 2 then same_count end as works,
+    case when same_count >= 2 then first_work end as first_work, case when same_count >= 2 then 'published' else 'not_applicable' end as works__why, cited, round(best, 6) as best
+  from cases c left join firsts using (agency, dkey) left join cites on cites.work_id = c.work_id""",
+    "findings_by_kind": f"""with {FEATURES}, h as (select distinct agency from shares), sized as (select *, count(*) over (partition by category, state, fy) as peer_size from features),
+  said as (
+    select 'duplicate_cluster' as kind, case when same_count >= 2 then 'published' else 'not_applicable' end as why from features
+    union all select 'statistical_outlier', case when not ({_FORMED}) then 'not_published' when peer_size >= {PEER_FLOOR} then 'published' else 'not_applicable' end from sized
+    union all select 'delay_risk', case when completion_date is null and date '{AS_OF}' - sanction_date <= 1000 then 'published' else 'not_applicable' end from features
+    union all select 'vendor_concentration_graph', case when h.agency is null then 'not_applicable' else 'published' end from features left join h using (agency))
+  select kind, why, count(*) as works, count(*) filter (why = 'published') as measured, cast(0 as bigint) as scored, cast(1 as bigint) as versions from said group by kind, why""",
+}

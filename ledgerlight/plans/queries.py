@@ -452,12 +452,10 @@ def canonical_agencies(spark, d):
 
 @query
 def anomaly_badges(spark, d):
-    return anomaly.anomaly_badges(corpus.features(spark, d).select("work_id", "category", "state", "fy", *anomaly.COLUMNS))
+    return corpus.built(spark, d, "outliers").drop("n_fired", "confirms")
 
 
 @query
 def delay_risk_gbt(spark, d):
     """Every work's population and days, and for open works the risk of running late and its rank among them."""
-    rows = materialised(forecast.model_rows(corpus.features(spark, d), forecast.horizon_days(corpus.rulebook()), corpus.AS_OF), "forecast-rows")
-    scored = materialised(forecast.risks(rows, forecast.fit(rows)), "forecast-risks")
-    return forecast.with_percentile(scored).select("work_id", "population", "elapsed_days", "held_out", "label", F.when(F.col("population") == "open", F.col("risk")).alias("risk"), "risk_percentile")
+    return corpus.built(spark, d, "risks").drop("outcome", "risk__why")

@@ -138,8 +138,33 @@ def badges_attached(spark, d):
 @query
 def outliers_confirmed(spark, d):
     """Flags of the outlier model that some rule says too; null where a work's fired rules aren't known."""
-    rows = corpus.features(spark, d).select("work_id", "category", "state", "fy", *anomaly.COLUMNS)
-    return anomaly.confirmed(anomaly.anomaly_badges(rows), badges.fired_counts(corpus.scored_cases(spark, d))).select("work_id", "flagged", "n_fired", "confirms", "score__why")
+    return corpus.built(spark, d, "outliers").select("work_id", "flagged", "n_fired", "confirms", "score__why")
+
+
+@query
+def graph_payloads(spark, d):
+    """What the graph tells on each work: its agency's place among all payments, and the work's vendors with their spans."""
+    rows = corpus.built(spark, d, "graph")
+    own = F.array_join(F.transform("work_vendors", lambda v: F.concat_ws(":", v["vendor_id"], v["vendor_name"], v["agency_span"])), ",")
+    return rows.select("work_id", "hhi__why", "vendors", "disbursed_total", "above_floor", "top_vendor", "top_vendor_name", *[six(c) for c in ("top_share_pct", "hhi", "shared_exposure_pct")], "widest_span", "component_size", "component_agencies", own.alias("work_vendors"))
+
+
+@query
+def cluster_payloads(spark, d):
+    rows = corpus.built(spark, d, "clusters")
+    return rows.select("work_id", "cluster_id", "works", "first_work", "works__why", F.array_join("cited", ",").alias("cited"), six("best"))
+
+
+@query
+def findings_table(spark, d):
+    """All findings beside the cases, of four kinds, with their payloads."""
+    return corpus.built(spark, d, "findings")
+
+
+@query
+def findings_by_kind(spark, d):
+    rows = corpus.built(spark, d, "findings").groupBy("kind", "why").agg(F.count("*").alias("works"), F.count("value").alias("measured"), F.count_if("feeds_score").alias("scored"), F.countDistinct("model_version").alias("versions"))
+    return rows
 
 
 @query
