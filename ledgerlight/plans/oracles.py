@@ -619,3 +619,23 @@ ORACLE_SQL |= {
     union all select 'vendor_concentration_graph', case when h.agency is null then 'not_applicable' else 'published' end from features left join h using (agency))
   select kind, why, count(*) as works, count(*) filter (why = 'published') as measured, cast(0 as bigint) as scored, cast(1 as bigint) as versions from said group by kind, why""",
 }
+
+_SPACED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+ORACLE_SQL |= {
+    "dirty_names": f"""with {_RAW.split("parsed as (")[0].rstrip().rstrip(",")}, t as (
+    select event_id, work, case when event_id % 7 = 0 then ' North ' || chr(9) || ' East' when event_id % 7 > 1 then 'south ' || event_type || ' ' end as district,
+      case event_id % 7 when 0 then 'Dist. Office, No ' || user_id when 1 then 'Plain  Office ' || user_id else 'Rural-Works ' || user_id end as agency,
+      case when event_id % 5 > 1 then 'a ' || event_type || ' b' end as said, 'State ' || event_type as state from raw)
+  select event_id, case when work like 'NA-%' then null when work like ' %' then trim(left(work, length(work) - 2)) else work end as raw_id, said, case when said is null then 'not_published' else 'published' end as said__why,
+    state, upper(state) as vendor, upper({_SPACED.format("district")}) as district, agency, upper(trim(regexp_replace(agency, '[^A-Za-z0-9]+', ' ', 'g'))) as agency_key from t""",
+    "typed_values": f"""{_HITS} select case_id, rule_id, case when rule_id in ({", ".join(repr(r.id) for r in _BOOK.rules if r.field in TRUTHS)}) then cast(value as boolean) end as as_bool, cast(null as bigint) as as_int,
+    case when rule_id not in ({", ".join(repr(r.id) for r in _BOOK.rules if r.field in TRUTHS)}) then round_even(cast(value as double), 2) end as as_float, cast(null as varchar) as as_text from hits where value is not null""",
+    "alert_messages": f"""{_HITS}, loud as (select case_id, arg_min(rule_id, (-weight, rule_id)) as rule_id from hits where status = 'fired' group by case_id)
+  select case_id, 'Case ' || case_id || ' in ' || district || ' (' || state || ') scores ' || score || '; loudest rule: ' || coalesce(rule_id, 'none') || '.' as message from cases left join loud using (case_id) where severity = 'HIGH'""",
+    "trace_diff_fields": f"""{_HITS}, s as (select case_id, status, case when value is null then 'skipped' when cast(value as double) > 400 then 'fired' else 'passed' end as now from hits where rule_id = 'stalled_work')
+  select case_id, 'stalled_work' as rule_id, unnest(['threshold', 'weight']) as field, unnest(['845.0', '16']) as before, unnest(['400.0', '20']) as after from s
+  union all select case_id, 'stalled_work', 'status', status, now from s where status <> now
+  union all select case_id, 'stalled_work', 'contribution', case when status = 'fired' then '16' else '0' end, case when now = 'fired' then '20' else '0' end from s where status = 'fired' or now = 'fired'""",
+    "busiest_member": f"with {CASES} select member, count(*) as cases, count(*) filter (severity = 'HIGH') as high from cases group by member order by high desc, cases desc, member limit 1",
+    "case_list_by_status": f"with {CASES} select case_id, work_id, district, score, severity from cases where state = 'EUROPE' and status = 'Sanction' and not is_synthetic",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -380,3 +382,47 @@ def work_level_members(spark, d):
 def build_counts(spark, d):
     made = build.build(spark, d, shared_path(spark, "build"))
     return casework.counts(made).select("name", "rows")
+
+
+@query
+def dirty_names(spark, d):
+    """Ids as they were published, texts, places, vendors and offices of exports, read from their spellings."""
+    i, s = F.col("event_id"), lambda c: c.cast("string")
+    office = F.when(i % 7 == 0, F.concat(F.lit(" North \t East(Dist. Office, No "), s(F.col("user_id")), F.lit("_IDA)"))).when(i % 7 == 1, F.concat(F.lit("Plain  Office "), s(F.col("user_id")))).otherwise(F.concat(F.lit("south "), F.col("event_type"), F.lit(" (Rural-Works "), s(F.col("user_id")), F.lit("_12) ")))
+    said = F.when(i % 5 == 0, " n/a ").when(i % 5 == 1, "-").otherwise(F.concat(F.lit("  a \t"), F.col("event_type"), F.lit("\n b ")))
+    rows = dirty_exports(spark, d).join(corpus.table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", "work", office.alias("office"), said.alias("said"), F.concat(F.lit(" State "), F.lit("\t"), F.col("event_type")).alias("place"))
+    split, text = fn.district_and_agency("office"), fn.parsed_text("said")
+    return rows.select("event_id", fn.raw_work_id("work").alias("raw_id"), text["value"].alias("said"), text["why"].alias("said__why"), fn.state_name("place").alias("state"), fn.upper_name("place").alias("vendor"), split["district"].alias("district"), split["agency"].alias("agency"), fn.agency_key(split["agency"]).alias("agency_key"))
+
+
+@query
+def typed_values(spark, d):
+    """The values shown in stored traces, read back to truth values and numbers."""
+    rows = corpus.hits(spark, d).where("raw_value is not null").select("case_id", "rule_id", fn.typed("raw_value").alias("t"))
+    return rows.select("case_id", "rule_id", "t.as_bool", "t.as_int", F.round("t.as_float", 6).alias("as_float"), "t.as_text")
+
+
+@query
+def alert_messages(spark, d):
+    cases = corpus.scored_cases(spark, d).where("severity = 'HIGH'").select("case_id", "district", "state", "score")
+    return cases.join(scoring.loudest_rule(corpus.hits(spark, d)).select("case_id", "rule_id"), "case_id", "left").select("case_id", alerts.message().alias("message"))
+
+
+@query
+def trace_diff_fields(spark, d):
+    """Every field of every trace that another limit and weight of one rule move."""
+    book = corpus.rulebook()
+    other = replace(book, rules=tuple(replace(r, threshold=400, weight=20) if r.id == "stalled_work" else r for r in book.rules))
+    return audit.diff_traces(corpus.hits(spark, d), scoring.rule_hits(corpus.scored_cases(spark, d, other)))
+
+
+@query
+def busiest_member(spark, d):
+    return scope.busiest(corpus.scored_cases(spark, d).select("member", "severity"), "member").select("member", "cases", "high")
+
+
+@query
+def case_list_by_status(spark, d):
+    """The unfinished works of a state as its officer lists them."""
+    rows = scope.listed(corpus.scored_cases(spark, d), STATE_OFFICER, status="Sanction")
+    return rows.select("case_id", "work_id", "district", "score", "severity")

@@ -34,3 +34,13 @@ def test_unknown_tables_and_roles_are_denied(spark):
         scope.visible("passwords", {"passwords": rows}, WHO[0])
     with pytest.raises(PermissionError):
         scope.visible("hits", {"hits": rows, "cases": rows}, scope.Principal("guest"))
+
+
+def test_a_district_in_several_states_is_named_as_such(spark):
+    rows = spark.createDataFrame([("A", "North", 1), ("B", "North", 2), ("A", "South", 3)], "state string, district string, member int")
+    assert scope.resolve_state(rows, "South", scope.Principal(scope.MINISTRY)) == "A"
+    assert scope.resolve_state(rows, "North", scope.Principal(scope.STATE, "B")) == "B"
+    with pytest.raises(LookupError, match="'A', 'B'"):
+        scope.resolve_state(rows, "North", scope.Principal(scope.MINISTRY))
+    with pytest.raises(LookupError, match="no state"):
+        scope.resolve_state(rows, "South", scope.Principal(scope.STATE, "B"))
