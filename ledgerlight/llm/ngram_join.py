@@ -11,16 +11,23 @@ sizes can be similar share a grouping.
 
 Texts with one set form a class and go through the join once. A list is sorted by the
 share of rare tokens in its members: the first ones are nearest to the text that a group
-of near copies goes back to, and lead all of the group's lists. They are compared with all
-others that sizes allow; of the other pairs, those that components
-still divide are compared after that, so large groups of near copies are not
-expanded into all their pairs, and no link between components is missed. Candidates are
-pruned by how many prefix tokens they share, and the rest verified on their whole sets.
+of near copies goes back to, and lead all of the group's lists. A leader is compared with
+all others of its list that sizes allow, which makes a pair for each member of a list, and
+links whole groups. Other pairs matter only where components still divide a list. Those of
+two texts that are each alone of their component are pruned by how many prefix tokens they
+share. A text x that meets more of another component is not paired with each of these: it is
+compared with one of them, the pivot p, and so are all of that component. What a text lacks
+of p and has beyond p is its difference. The texts x and y share |x & p| + |y & p| - |p|
+tokens, and one more for each element that their differences share. So if x is not similar to
+p, it can only be similar to a y whose difference shares a known number of elements with
+its own, and prefixes of the differences find these. Large groups of near copies are so not
+expanded into their pairs, and no link between components is missed. All candidates
+are verified on their whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +43,9 @@ UNDER, OVER = 4, 3
 #: Documents, counted by task, from which a token is frequent; and the most tokens that are (the most frequent ones).
 #: This orders and groups tokens only: which pairs are found does not depend on it.
 FREQUENT, MOST_FREQUENT = 32, 1 << 17
-#: Members of an index list up to which all its pairs are candidates.
+#: Members of an index list up to which one member leads it and shared lists are counted by pair.
 SHORT = 40
-#: Members of a longer list that are compared with all others at first.
+#: Members of a longer list that lead it.
 LEADERS = 3
 #: Tokens whose counts a task holds before it merges them; classes whose entries a task remembers to have sent.
 HELD = 1 << 21
@@ -134,44 +141,44 @@ def entries(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, in
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, n, rare) rows sorted by entry, rare and class to pairs (a, b, shared, lead) and, with b null, the members of long lists.
+    """(entry, class, n, rare) rows sorted by entry, rare and class to (a, b, shared, entry, n): pairs (a, b) of a list's leader
+    and another member, and with b null the members of lists of three or more.
 
-    Lists pass by as a stream; shared counts a pair's short lists of single tokens. Long lists give their leaders' pairs
-    only, with shared 0.
-    lead is above 0 if one of the pair leads some list.
+    Lists pass by as a stream. A pair has a row for each short list, with shared 1 if that is of a single token; pairs of
+    long lists come once from a run of lists, with shared 0. A member has shared 0 where it leads a short list: the list's
+    pairs with it are all there.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("lead", pa.int64()), ("entry", pa.int64()), ("n", pa.int64())])
-    pairs: list[np.ndarray] = []
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "shared", "entry", "n")])
+    held: list[np.ndarray] = []
     size = 0
 
-    def merged() -> Iterator[pa.RecordBatch]:
-        rows = _summed(pairs)
+    def sent(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(rows), 50_000):
             part = rows[k : k + 50_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[pa.array(part[:, c]) for c in range(4)], none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[pa.array(part[:, c]) for c in range(3)], none, none], schema=schema)
 
     for entry, name, n, _ in _runs(batches):
         begins = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
         count = np.diff(np.append(begins, len(entry)))
         width, single = np.repeat(count, count), 1 - (entry & 1)
         place = np.arange(len(entry)) - np.repeat(begins, count)
-        for step in range(1, SHORT):
-            i = np.flatnonzero((width[:-step] <= SHORT) & (place[:-step] + step < width[:-step])) if len(entry) > step else np.empty(0, np.int64)
-            pairs.append(_pairs(name, n, i, i + step, single[i], place[i] == 0))
+        other = np.flatnonzero((width <= SHORT) & (place > 0))
+        yield from sent(_pairs(name, n, other - place[other], other, single[other]))
         long = np.flatnonzero(width > SHORT)
-        if len(long):
-            for leader in range(LEADERS):
-                other = long[place[long] > leader]
-                pairs.append(_pairs(name, n, other - place[other] + leader, other, np.zeros(len(other), np.int64), np.ones(len(other), bool)))
-            none = pa.nulls(len(long), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(name[long]), none, none, none, pa.array(entry[long]), pa.array(n[long])], schema=schema)
-        size += sum(map(len, pairs[-SHORT - LEADERS :]))
+        for leader in range(LEADERS) if len(long) else ():
+            other = long[place[long] > leader]
+            held.append(_pairs(name, n, other - place[other] + leader, other, np.zeros(len(other), np.int64)))
+            size += len(held[-1])
         if size > 1 << 20:
-            yield from merged()
-            pairs, size = [], 0
-    if pairs:
-        yield from merged()
+            yield from sent(_summed(held))
+            held, size = [], 0
+        more = np.flatnonzero(width > 2)
+        if len(more):
+            left = ((place > 0) | (width > SHORT))[more].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name[more]), pa.nulls(len(more), pa.int64()), pa.array(left), pa.array(entry[more]), pa.array(n[more])], schema=schema)
+    if held:
+        yield from sent(_summed(held))
 
 
 def _summed(pairs: list[np.ndarray]) -> np.ndarray:
@@ -184,11 +191,11 @@ def _summed(pairs: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([rows[at, :2], np.add.reduceat(rows[:, 2:], at)], axis=1)
 
 
-def _pairs(name: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, shared: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Rows (smaller class, larger class, shared, lead) of those pairs that sizes allow."""
+def _pairs(name: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Rows (smaller class, larger class, shared) of those pairs that sizes allow."""
     fits = (UNDER * np.minimum(n[i], n[j]) >= OVER * np.maximum(n[i], n[j])) & (name[i] != name[j])
     a, b = name[i[fits]], name[j[fits]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b), shared[fits], lead[fits].astype(np.int64)], axis=1)
+    return np.stack([np.minimum(a, b), np.maximum(a, b), shared[fits]], axis=1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -215,36 +222,48 @@ def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, n, root, open) rows sorted by entry and class to (a, b, shared): pairs of a list whose roots differ, and
-    how many lists of single tokens they share in the task.
+    """(entry, class, n, root, open) rows sorted by entry and class to what of a list its components divide.
 
-    A pair that shares a short list, or that a list's leader is in, is known from there. So a pair's common prefix tokens
-    are no more here than what is open for either: pairs for which that is too few are left out.
+    Where two texts are each alone of their components in the list: (a, b, shared, 0) with both classes, shared being the
+    lists of single tokens in the task that have them so. Else, for each text of the one that has fewer: (class, root of the
+    other, 0, 1). A pair's common prefix tokens are no more than what is open for either: where that is too few, nothing is sent.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
-    pairs: list[np.ndarray] = []
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "shared", "wide")])
+    held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     size = 0
 
-    def merged() -> pa.RecordBatch:
-        rows = _summed(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(3)], schema=schema)
+    def merged() -> Iterator[pa.RecordBatch]:
+        for wide, parts in enumerate(held):
+            if parts:
+                rows = _summed(parts)
+                yield pa.RecordBatch.from_arrays([*[pa.array(rows[:, c]) for c in range(3)], pa.array(np.full(len(rows), wide))], schema=schema)
+                parts.clear()
 
     for entry, name, n, root, free in _runs(batches):
         begins = np.append(np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])), len(entry))
         for lo, hi in zip(begins[:-1], begins[1:], strict=True):
-            roots, counts = np.unique(root[lo:hi], return_counts=True)
-            largest = root[lo:hi] == roots[np.argmax(counts)]
-            # Members outside the largest component, each against that one and the ones after it.
-            for i in np.flatnonzero(~largest) if len(roots) > 1 else ():
-                j = np.flatnonzero((root[lo:hi] != root[lo + i]) & (largest | (np.arange(hi - lo) > i))) + lo
-                j = j[np.minimum(free[lo + i], free[j]) >= _least_common(n[lo + i], n[j])]
-                pairs.append(_pairs(name, n, np.full(len(j), lo + i), j, np.full(len(j), 1 - (entry[lo] & 1)), np.zeros(len(j), bool)))
-                size += len(pairs[-1])
+            roots, group, counts = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+            # The components by size, so that each text looks at those after its own.
+            order = np.argsort(np.argsort(counts, kind="stable"), kind="stable")[group]
+            alone = counts[group] == 1
+            for i in np.flatnonzero(order < len(roots) - 1):
+                j = np.flatnonzero(order > order[i])
+                sizes, at = n[lo + j], n[lo + i]
+                fits = (UNDER * np.minimum(sizes, at) >= OVER * np.maximum(sizes, at)) & (np.minimum(free[lo + i], free[lo + j]) >= _least_common(at, sizes))
+                j = j[fits]
+                if not len(j):
+                    continue
+                single = lo + j[alone[j]]
+                if len(single):
+                    held[0].append(_pairs(name, n, np.full(len(single), lo + i), single, np.full(len(single), 1 - (entry[lo] & 1))))
+                wide = np.unique(root[lo + j[~alone[j]]])
+                if len(wide):
+                    held[1].append(np.stack([np.full(len(wide), name[lo + i]), wide, np.zeros(len(wide), np.int64)], axis=1))
+                size += len(j)
                 if size > 1 << 20:
-                    yield merged()
-                    pairs, size = [], 0
-    if size:
-        yield merged()
+                    yield from merged()
+                    size = 0
+    yield from merged()
 
 
 def _index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -304,20 +323,21 @@ def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.where(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("long") % 2 == 1).drop("_bit", "_bucket", "_map")
 
 
-def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are similar, by their whole sets.
+def _compared(documents: DataFrame, id_col: str, text_col: str, index: DataFrame, pairs: DataFrame, step: Callable[[pa.Table, dict[int, np.ndarray]], pa.Table], kinds: str) -> DataFrame:
+    """What ``step`` makes of pairs (a, b, and more columns) of classes and the sets of these.
 
     Pairs are dealt by the one of the two that is in more of them, so that its set is sent once for all; those of a class
     in many pairs are dealt in parts, by the other class, and its set is sent to each part.
     """
+    asks = pairs.columns
     degrees = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
-    cells = pairs.select("a", "b")
+    cells = pairs
     for side in ("a", "b"):
         cells = cells.join(degrees.select(F.col("class").alias(side), F.col("degree").alias(f"of_{side}")), side)
     by_a = F.struct("of_a", "a") >= F.struct("of_b", "b")
-    cells = cells.select("a", "b", F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("of_a", "of_b").alias("degree"))
+    cells = cells.select(*asks, F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("of_a", "of_b").alias("degree"))
     part = F.pmod(F.xxhash64("other"), F.ceil(F.col("degree") / PART))
-    cells = stored(cells.select("a", "b", "home", "other", F.concat_ws(":", "home", part).alias("cell")), "join-cells")
+    cells = stored(cells.select(*asks, "home", "other", F.concat_ws(":", "home", part).alias("cell")), "join-cells")
 
     wanted = cells.select(F.col("home").alias("class"), "cell").distinct().unionByName(cells.select(F.col("other").alias("class"), "cell"))
     first = index.where("class is not null").groupBy("class").agg(F.min("id").alias("_id"), F.min("key").alias("_key"))
@@ -345,18 +365,65 @@ def _verified(documents: DataFrame, id_col: str, text_col: str, index: DataFrame
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    def similar(asked: pa.Table, sent: pa.Table) -> pa.Table:
-        tokens = {name: np.frombuffer(data.as_buffer(), _U) for name, data in zip(sent.column("class").to_pylist(), sent.column("tokens"), strict=True)}
-        a, b = asked.column("a").to_pylist(), asked.column("b").to_pylist()
-        keep = []
-        for x, y in zip(a, b, strict=True):
-            p, q = tokens[x], tokens[y]
-            shared = len(p) + len(q) - len(np.union1d(p, q))
-            keep.append(UNDER * shared >= OVER * (len(p) + len(q) - shared))
-        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def together(asked: pa.Table, sent: pa.Table) -> pa.Table:
+        return step(asked.select(asks), {name: np.frombuffer(data.as_buffer(), _U) for name, data in zip(sent.column("class").to_pylist(), sent.column("tokens"), strict=True)})
 
     whole = texts.mapInArrow(tidy(sets), "cell string, class long, tokens binary")
-    return cells.select("a", "b", "cell").groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(similar, "a long, b long")
+    return cells.select(*asks, "cell").groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(together, kinds)
+
+
+def _counted(asked: pa.Table, tokens: dict[int, np.ndarray]) -> pa.Table:
+    """The pairs with the sizes of both sets and of what they share."""
+    sizes = []
+    for x, y in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
+        p, q = tokens[x], tokens[y]
+        sizes.append((len(p), len(q), len(p) + len(q) - len(np.union1d(p, q))))
+    for k, name in enumerate(("na", "nb", "both")):
+        asked = asked.append_column(name, pa.array([x[k] for x in sizes], pa.int64()))
+    return asked
+
+
+def _differences(asked: pa.Table, tokens: dict[int, np.ndarray]) -> pa.Table:
+    """For pairs (a, b, root, outside, reach, take) the first ``take`` elements of a's difference to b: what it has beyond b, as even
+    numbers, which few others have, then what it lacks, as odd ones."""
+    out: list[tuple[int, np.ndarray]] = []
+    for x, y, take in zip(*[asked.column(c).to_pylist() for c in ("a", "b", "take")], strict=True):
+        p, q = tokens[x], tokens[y]
+        out.append(np.concatenate([np.setdiff1d(p, q, True) & ~_U(1), np.setdiff1d(q, p, True) | _U(1)])[:take].view(np.int64))
+    rows = asked.select(["a", "root", "outside", "reach"]).take(pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out])))
+    return rows.append_column("element", pa.array(np.concatenate([np.empty(0, np.int64), *out]), pa.int64()))
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    return pairs.where((UNDER + OVER) * F.col("both") >= OVER * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _beside(compare: Callable[[DataFrame, Callable, str], DataFrame], wide: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For texts and components (class, root) that they may belong to: links to pivots, and the pairs (a, b) with others of
+    the component that can be similar by their differences to the pivot. Of a component, the text with most links is the pivot.
+
+    A text beyond p by e tokens and without m of p's has a gap to p of 4m + 3e - |p|: above 0 if not similar. It is similar to
+    another such text if their differences share (its gap + 4m' + 3e') / 7 elements or more; that text has m' + e'.
+    """
+    degrees = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    pivots = degrees.join(roots, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
+    pivots = stored(pivots.join(wide.select("root").distinct(), "root", "left_semi"), "join-pivots")
+    outside = wide.join(pivots, "root").select(F.col("class").alias("a"), "b", "root", F.lit(1).cast("long").alias("outside"))
+    inside = roots.join(pivots, "root").where("node != b").select(F.col("node").alias("a"), "b", "root", F.lit(0).cast("long").alias("outside"))
+    near = stored(compare(outside.unionByName(inside), _counted, "a long, b long, root long, outside long, na long, nb long, both long"), "join-near")
+    near = near.withColumns({"m": F.col("nb") - F.col("both"), "e": F.col("na") - F.col("both")})
+    near = near.withColumns({"gap": UNDER * F.col("m") + OVER * F.col("e") - F.col("nb"), "apart": UNDER * F.col("m") + OVER * F.col("e")})
+    # What a text inside the component reaches: the gap up to which its own difference has as many elements as must be shared.
+    near = near.withColumn("reach", F.when(F.col("outside") == 1, F.col("gap")).otherwise(OVER * F.col("m") + UNDER * F.col("e")))
+    bounds = near.groupBy("root").agg(F.min(F.expr("if(outside = 1 and gap > 0, gap, null)")).alias("least_gap"), F.max(F.expr("if(outside = 0, reach, null)")).alias("most_reach"), F.min(F.expr("if(outside = 0, apart, null)")).alias("least_apart"))
+    kept = near.join(bounds, "root").where("if(outside = 1, gap > 0 and gap <= most_reach, reach >= least_gap)")
+    must = F.when(F.col("outside") == 1, F.col("gap") + F.col("least_apart")).otherwise(F.col("apart") + F.col("least_gap"))
+    kept = kept.withColumn("take", F.col("m") + F.col("e") - F.ceil(must / (UNDER + OVER)) + 1).where("take > 0")
+    kept = stored(kept.select("a", "b", "root", "outside", "reach", "take"), "join-apart")
+    found = stored(compare(kept, _differences, "a long, root long, outside long, reach long, element long"), "join-differences")
+    one, other = found.where("outside = 1").drop("outside"), found.where("outside = 0").select(F.col("a").alias("b"), "root", "element", F.col("reach").alias("reached"))
+    pairs = one.join(other, ["root", "element"]).where("reach <= reached").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _similar(near.where("outside = 1")), pairs
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, uncounted: str) -> DataFrame:
@@ -383,34 +450,42 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = _index(documents, id_col, text_col)
     lists = index.where("entries is not null").select(F.explode("entries").alias("entry"), "class", "n", "rare")
     lists = lists.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "rare", "class")
-    found = stored(lists.mapInArrow(tidy(_candidates), "a long, b long, shared long, lead long, entry long, n long"), "join-candidates")
-
-    # A pair needs as many common tokens in the prefixes as their suffixes leave open; frequent tokens and those of
-    # long lists, which aren't counted by pair, are taken as common as far as both have them.
-    long = found.where("b is null and entry % 2 = 0").groupBy("a").agg(F.countDistinct("entry").alias("long"))
-    facts = index.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.max("often").alias("often")).join(long.withColumnRenamed("a", "class"), "class", "left")
-    facts = stored(facts.select("class", "n", "often", (F.col("often") + F.coalesce("long", F.lit(0))).alias("open")), "join-facts")
-    counted = stored(found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("lead").alias("lead")), "join-counted")
-    pairs = stored(_possible(counted.where("lead > 0"), facts, "open"), "join-pairs")
-    links = stored(_verified(documents, id_col, text_col, index, pairs), "join-links")
+    found = stored(lists.mapInArrow(tidy(_candidates), "a long, b long, shared long, entry long, n long"), "join-candidates")
+
+    def compare(pairs: DataFrame, step: Callable, kinds: str) -> DataFrame:
+        return _compared(documents, id_col, text_col, index, pairs, step, kinds)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _similar(compare(pairs, _counted, "a long, b long, na long, nb long, both long"))
+
+    # A pair needs as many common tokens in the prefixes as their suffixes leave open; frequent tokens, and those of lists
+    # that neither leads and of long lists, which aren't counted by pair, are taken as common as far as both have them.
+    left = found.where("b is null and shared = 1 and entry % 2 = 0").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("left"))
+    facts = index.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.max("often").alias("often")).join(left, "class", "left")
+    facts = stored(facts.select("class", "n", "often", (F.col("often") + F.coalesce("left", F.lit(0))).alias("open")), "join-facts")
+    counted = found.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = stored(_possible(counted, facts, "open"), "join-pairs")
+    links = stored(similar(pairs), "join-links")
     roots = connected_components(links)
 
-    # What components still divide: the other pairs of short lists, and those of long lists, which now are counted, too.
-    members = found.where("b is null").select("entry", F.col("a").alias("class"), "n").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_lists = members.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("entry")
-    members = members.join(open_lists, "entry", "left_semi").join(facts.select("class", "open"), "class").select("entry", "class", "n", "root", "open")
-    rest = members.repartition(shuffle_partitions(spark), "entry").sortWithinPartitions("entry", "class")
-    others = counted.where("lead = 0").select("a", "b", "shared")
-    for side in ("a", "b"):
-        others = others.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    others = others.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "shared")
-    more = rest.mapInArrow(tidy(_divided), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("in_long"))
-    more = more.join(counted, ["a", "b"], "left").select("a", "b", (F.col("in_long") + F.coalesce("shared", F.lit(0))).alias("shared"))
-    # Shared long lists are counted only for pairs that came from there.
-    more = _possible(more, facts, "often").unionByName(_possible(others, facts, "open")).distinct()
+    # What components still divide: lists that neither of a pair leads. A pair that isn't compared yet shares no others.
+    members = found.where("b is null and shared = 1").select("entry", F.col("a").alias("class"), "n").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    open_lists = members.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min("class").alias("least")).where("lo != hi")
+    # Short lists go to the task of their smallest class, where a pair's lists mostly meet and are counted as one row.
+    home = F.when(F.col("size") <= SHORT, F.col("least")).otherwise(F.col("entry")).alias("home")
+    members = stored(members.join(open_lists.select("entry", home), "entry"), "join-members")
+    free = members.where("entry % 2 = 0").groupBy("class").agg(F.count("*").alias("lists"))
+    free = facts.join(free, "class", "left").select("class", (F.col("often") + F.coalesce("lists", F.lit(0))).alias("open"))
+    rest = members.join(free, "class").repartition(shuffle_partitions(spark), "home").sortWithinPartitions("entry", "class")
+    divided = stored(rest.select("entry", "class", "n", "root", "open").mapInArrow(tidy(_divided), "a long, b long, shared long, wide long"), "join-divided")
+    more = _possible(divided.where("wide = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")), facts, "often")
+    wide = stored(divided.where("wide = 1").select(F.col("a").alias("class"), F.col("b").alias("root")).distinct(), "join-wide")
+    if wide.limit(1).count():
+        direct, beside = _beside(compare, wide, links, roots)
+        links, more = links.unionByName(direct), more.unionByName(beside).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "join-rest")
-    if more.limit(1).count():
-        links = links.unionByName(_verified(documents, id_col, text_col, index, more))
+    links = links.unionByName(similar(more)) if more.limit(1).count() else links
+    if wide.limit(1).count() or more.limit(1).count():
         roots = connected_components(links)
 
     rows = index.select("id", "n", "class").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
