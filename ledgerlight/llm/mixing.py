@@ -95,6 +95,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     level = levels(rows, goal).select(F.col("source").alias("_s"), "level")
     goal = goal.join(level, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "level")
+    goal = stored(goal, "mix-goal")  # a row for each source; all that follows would hold its plan again at each place that reads it
     rows = _of_source(rows, goal)
 
     # Whole numbers but for rounding are whole: a document at its most copies is settled.

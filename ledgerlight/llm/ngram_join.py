@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, tidy
+from .common import measured, shuffle_partitions, stored, tidy
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
@@ -341,12 +341,12 @@ def _compared(documents: DataFrame, id_col: str, text_col: str, index: DataFrame
 
     wanted = cells.select(F.col("home").alias("class"), "cell").distinct().unionByName(cells.select(F.col("other").alias("class"), "cell"))
     first = index.where("class is not null").groupBy("class").agg(F.min("id").alias("_id"), F.min("key").alias("_key"))
-    wanted = stored(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")).join(first, "class"), "join-wanted")
+    wanted, seen = measured(wanted.groupBy("class").agg(F.collect_set("cell").alias("cells")).join(first, "class"), "join-wanted", F.count_if(F.col("_id").isNull()).alias("nameless"))
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     named, nameless = wanted.where("_id is not null").drop("_key"), wanted.where("_id is null").drop("_id")
     # Classes whose rows all have no id get a text by its hash; equal texts are brought to one before they are dealt.
     apart = None
-    if nameless.limit(1).count():
+    if seen["nameless"]:
         apart = texts.where("_id is null").select(F.sha2("_text", 256).alias("_key"), "_text")
         apart = _passing(apart, "_key", nameless.select("_key")).groupBy("_key").agg(F.first("_text").alias("_text"))
         apart = apart.join(nameless.hint("shuffle_hash"), "_key").select("_text", "class", "cells")
@@ -479,13 +479,19 @@ def near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = members.join(free, "class").repartition(shuffle_partitions(spark), "home").sortWithinPartitions("entry", "class")
     divided = stored(rest.select("entry", "class", "n", "root", "open").mapInArrow(tidy(_divided), "a long, b long, shared long, wide long"), "join-divided")
     more = _possible(divided.where("wide = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")), facts, "often")
-    wide = stored(divided.where("wide = 1").select(F.col("a").alias("class"), F.col("b").alias("root")).distinct(), "join-wide")
-    if wide.limit(1).count():
+    size = F.count("*").alias("n")
+    wide, of_wide = measured(divided.where("wide = 1").select(F.col("a").alias("class"), F.col("b").alias("root")).distinct(), "join-wide", size)
+    fresh = []
+    if of_wide["n"]:
         direct, beside = _beside(compare, wide, links, roots)
-        links, more = links.unionByName(direct), more.unionByName(beside).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "join-rest")
-    links = links.unionByName(similar(more)) if more.limit(1).count() else links
-    if wide.limit(1).count() or more.limit(1).count():
+        fresh, more = [direct], more.unionByName(beside).distinct()
+    more, of_more = measured(more.join(pairs, ["a", "b"], "left_anti"), "join-rest", size)
+    if of_more["n"]:
+        fresh.append(similar(more))
+    if fresh:  # components of components: each node's link to its root stands for the links that were there
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        for found in fresh:
+            links = links.unionByName(found)
         roots = connected_components(links)
 
     rows = index.select("id", "n", "class").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from ledgerlight.llm import ngram_join
+from ledgerlight.llm.components import connected_components
 
 
 def rows_of(step, **columns):
@@ -29,3 +30,15 @@ def test_two_groups_that_share_a_passage_are_not_written_out_in_pairs():
 def test_texts_alone_of_their_components_are_paired():
     rows = rows_of(ngram_join._divided, entry=[8] * 3 + [10] * 3, name=[1, 2, 3] * 2, n=[50] * 6, root=[1, 2, 3] * 2, open=[20] * 6)
     assert {(r["a"], r["b"]): r["shared"] for r in rows} == {(1, 2): 2, (1, 3): 2, (2, 3): 2}
+
+
+def test_components_are_found_in_few_jobs(spark):
+    links = [(100, k) for k in range(8, 60)] + [(k, k + 1) for k in range(200, 204)] + [(5, 5)]
+    spark.sparkContext.setJobGroup("components", "links of a star, a chain and one of a node to itself")
+    try:
+        got = {tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(k, 8) for k in [*range(8, 60), 100]} | {(k, 200) for k in range(200, 205)}
+    assert jobs <= 30  # 26; 37 where each step read its links four times and asked by a job of its own whether it changed any
