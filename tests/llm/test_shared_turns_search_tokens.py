@@ -121,6 +121,16 @@ def test_words_are_encoded_as_the_library_encodes_texts():
     assert not words.by_word and np.frombuffer(words.encode("Ab c"), "<u4").tolist() == words.tokenizer.encode("Ab c", add_special_tokens=False).ids
 
 
+def test_words_that_come_again_outlast_those_that_come_once(monkeypatch):
+    monkeypatch.setattr(wavelet, "WORDS", 30)
+    ours, library, made = wavelet.Encoder(queries.BYTE_TOKENIZER), Tokenizer.from_file(queries.BYTE_TOKENIZER), []
+    monkeypatch.setattr(ours, "_model", lambda part, make=ours._model: made.append(part) or make(part))
+    for k in range(200):
+        text = f" often come these four and once{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uv'[k // 100]}"
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(made) == len(set(made)) == 205
+
+
 @pytest.mark.parametrize("n, high", [(0, 5), (1, 1), (7, 2), (3000, 40), (200_000, 1 << 31)])
 def test_a_shard_answers_as_its_ids_do(n, high):
     rng = np.random.default_rng(n)
