@@ -53,10 +53,27 @@ _PARTS = re.compile("'(?:[stmd]|re|ve|ll)| ?[{0}]+| ?[{1}]+| ?[^{2}{0}{1}]+|[{2}
 #: The sign that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the others for what follows U+00FF.
 _SIGNS = {b: chr(b) for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
 _SIGNS |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SIGNS)}
+#: The signs of a Latin letter's bytes.
+_SIGNS_OF = {c: "".join([_SIGNS[b] for b in chr(c).encode()]) for c in range(0x250)}
 
 _ID = attrgetter("id")
 
 
+def _signs(part: str) -> str:
+    """The signs of the bytes of a part below U+0250."""
+    space, rest = (_SIGNS[0x20], part[1:]) if part[0] == " " else ("", part)
+    return space + (rest if rest.isascii() and rest.isalnum() else rest.translate(_SIGNS_OF))
+
+
+def _beyond(text: str) -> bool:
+    """Whether a text has characters from U+0250 on."""
+    try:
+        text.encode("latin-1")  # much faster than the search, and true of most
+    except UnicodeEncodeError:
+        return _BEYOND.search(text) is not None
+    return False
+
+
 class _Known(dict):
     """Ids by word or part of a word; ``make`` gives those of one that isn't there, and may put them there."""
 
@@ -102,7 +119,7 @@ class Encoder:
         if found is not None:
             self.parts[part] = found
             return found
-        found = self._model(part.encode().decode("latin-1").translate(_SIGNS))
+        found = self._model(_signs(part))
         if len(part) <= 64:
             self.once[part] = found
         return found
@@ -114,7 +131,7 @@ class Encoder:
         return found
 
     def _plain(self, text: str) -> bytes:
-        if _BEYOND.search(text):
+        if _beyond(text):
             return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
         return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
 
@@ -334,12 +351,11 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, end: int, sh
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_ids": at, "n_docs": len(docs)}], schema=schema)
 
         for batch in batches:
-            for doc_id, text, task in zip(*batch.columns, strict=True):
+            for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = encode(text.as_py()) + last
-                part = task.as_py()
                 held.append(ids)
                 at += len(ids) // 4
-                docs.append(doc_id.as_py())
+                docs.append(doc_id)
                 ends.append(at)
                 if at >= shard_ids:
                     yield shard()
