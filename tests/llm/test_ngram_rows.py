@@ -41,4 +41,4 @@ def test_components_are_found_in_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {(k, 8) for k in [*range(8, 60), 100]} | {(k, 200) for k in range(200, 205)}
-    assert jobs <= 30  # 26; 37 where each step read its links four times and asked by a job of its own whether it changed any
+    assert jobs <= 30  # 26; 37 where the plan of a step had its links at 16 places, now 4, and a job of its own asked whether it changed any
