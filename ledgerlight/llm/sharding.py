@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .common import stored, text_or_empty
 
 #: Parts of a shard, or of the groups of one size, that are counted apart, so that no task holds a whole one.
 PARTS = 1 << 10
+#: How many groups of a size each shard takes.
+PLAN = pa.schema([("bytes", pa.int64()), ("_taken", pa.list_(pa.int64()))])
 
 
 def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
@@ -67,13 +70,14 @@ def shard_documents(documents: DataFrame, shards: int = 24, id_col: str = "doc_i
     raw = F.encode(text_or_empty(text_col), "UTF-8")
     rows = documents.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(raw, 256)).alias("_group"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     rows = stored(rows, "shard-rows")  # without texts: each is hashed once
-    groups = stored(_numbered(rows.groupBy("_group").agg(F.sum("size").alias("bytes")), "bytes", ["_group"], parts), "shard-groups")
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("bytes"))  # few bytes of each row: made again where needed, not stored
 
     sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toLocalIterator()
     plan = [(size, taken) for size, taken in longest_first(((r["bytes"], r["n"]) for r in sizes), shards)]
-    plan = documents.sparkSession.createDataFrame(plan, "bytes long, _taken array<long>")
+    # As an Arrow table, which executors read without Python workers.
+    plan = documents.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array([x[k] for x in plan], kind) for k, kind in enumerate(PLAN.types)], schema=PLAN))
     # The groups of a size go to shards in turn: the first ones to shard 0, as many as it takes, and so on.
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.aggregate(F.slice("_taken", 1, k), F.lit(0).cast("long"), lambda a, n: a + n))
-    placed = groups.join(plan.select("bytes", ends.alias("_ends")), "bytes").select("_group", F.size(F.filter("_ends", lambda e: e <= F.col("_no"))).alias("shard"))
+    placed = _numbered(groups, "bytes", ["_group"], parts).join(plan.select("bytes", ends.alias("_ends")), "bytes").select("_group", F.size(F.filter("_ends", lambda e: e <= F.col("_no"))).alias("shard"))
     rows = _numbered(rows.join(placed, "_group"), "shard", ["_id", "text_crc32", "size"], parts)
     return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_no").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
