@@ -20,6 +20,7 @@ to the digests of the documents; nothing else is kept of a document.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -78,7 +79,7 @@ class MergeList:
         self.strings = {i: s for s, i in (self.ids | self.special).items()}
         self.signs = byte_alphabet()
         self.values = {s: b for b, s in enumerate(self.signs)}
-        self.ranks: dict[tuple[int, int], int] = {}
+        self.ranks: dict[int, int] = {}  # by left part << 32 | right part
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -86,7 +87,7 @@ class MergeList:
             made = self.ids[self.strings[a] + self.strings[b]]
             if max(self.born.get(a, -1), self.born.get(b, -1)) >= rank or made in self.parts:
                 raise ValueError(f"merge {rank} uses what later merges make, or makes a token again")
-            self.ranks[a, b], self.parts[made], self.born[made] = rank, (a, b), rank
+            self.ranks[a << 32 | b], self.parts[made], self.born[made] = rank, (a, b), rank
         self.lookahead = max(len(s.removesuffix(self.end) + END if self.end and s.endswith(self.end) else s) for s in self.ids)
         self.fitting: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -100,6 +101,11 @@ class MergeList:
                 sound[token] = len(self.strings[token].removesuffix(self.end) or self.end) == 1
         # Only tokens whose own text has them as its encoding can be in any encoding.
         self.sound = {name.removesuffix(self.end) + END if self.end and name.endswith(self.end) else name: token for name, token in self.ids.items() if sound[token]}
+        # The longest token by its first three symbols at most.
+        self.reach: dict[str, int] = {}
+        for symbols in self.sound:
+            for k in range(1, min(3, len(symbols)) + 1):
+                self.reach[symbols[:k]] = max(self.reach.get(symbols[:k], 0), len(symbols))
         self.found = ahocorasick.Automaton()
         for symbols, token in self.sound.items():
             self.found.add_word(symbols, (len(symbols), token))
@@ -133,8 +139,14 @@ class MergeList:
 
         Of merges with one rank the leftmost comes first, so at its own left a merge loses a tie and at its right it wins.
         """
-        ranks = self.ranks
-        return any((m := ranks.get((x, y), NEVER)) < before and m < gone_x and m <= gone_y for x, gone_x in self._edge(a, 1) for y, gone_y in self._edge(b, 0))
+        rank, left = self.ranks.get, self._edge(b, 0)
+        for x, gone_x in self._edge(a, 1):
+            x <<= 32
+            for y, gone_y in left:
+                m = rank(x | y)
+                if m is not None and m < before and m < gone_x and m <= gone_y:
+                    return True
+        return False
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the encoding of both tokens' text is just these two."""
@@ -161,7 +173,7 @@ class Transducer:
         A prefix has one encoding, so a point from which the chain can't go on is on no other chain either.
         """
         m, n, at, end = self.merges, len(word), 0, 0
-        get, fits, known = m.sound.get, m.fits, m.fitting.get
+        get, fits, known, reach = m.sound.get, m.fits, m.fitting.get, m.reach.get
         chain, starts = [], []
         for last, (length, token) in m.found.iter_long(word):  # the chain of longest tokens, as far as they fit
             if last + 1 - length != at:
@@ -180,6 +192,8 @@ class Transducer:
         if at == end:  # not at a token that doesn't fit: any length is open
             end = n
         while at < n:
+            if (most := at + reach(word[at : at + 3], 2)) < end:  # where no token begins with these three, it has two at most
+                end = most
             while end > at:
                 token = get(word[at:end])
                 if token is not None and end not in dead:
@@ -339,9 +353,9 @@ class WordBpe:
         self.decoder = Decoder(self.merges, begun=True)
         self._numbers = {i: f" {i}".encode() for i in self.merges.strings}
         self._signs = {b: sign for b, sign in enumerate(self.merges.signs)}
-        # Chunks met lately, and those met before that.
+        # Chunks met again, and those met once so far: most words of a corpus come once, and don't displace those that come again.
         self._chunks: dict[str, tuple[int, bytes, bytes]] = {}
-        self._older: dict[str, tuple[int, bytes, bytes]] = {}
+        self._once: dict[str, tuple[int, bytes, bytes]] = {}
         # Code points without a class here may have one in the tokenizer file's version of Unicode.
         self._new = lru_cache(maxsize=1 << 16)(lambda c: unicodedata.category(c) == "Cn")
 
@@ -367,17 +381,21 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
         """Number of tokens, their ids and their spelling, each after a space, of text without white space, or of a special string."""
-        if (done := self._older.get(chunk)) is None:
-            if chunk[:1] == "S":
-                ids = [int(chunk[1:])]
-            else:
-                ids = [i for word in self._words(chunk) for i in self.transducer.encode(word)]
-            numbers = self._numbers
-            done = (len(ids), b"".join([numbers[i] for i in ids]), self.decoder.feed(ids).encode())
-        if len(chunk) < 50:
-            if len(self._chunks) >= REMEMBERED // 2:
-                self._chunks, self._older = {}, self._chunks
+        if (done := self._once.pop(chunk, None)) is not None:
             self._chunks[chunk] = done
+            return done
+        if chunk[:1] == "S":
+            ids = [int(chunk[1:])]
+        else:
+            ids = [i for word in self._words(chunk) for i in self.transducer.encode(word)]
+        numbers = self._numbers
+        done = (len(ids), b"".join([numbers[i] for i in ids]), self.decoder.feed(ids).encode())
+        if len(chunk) < 50:
+            if len(self._chunks) + len(self._once) >= REMEMBERED:
+                self._once.clear()
+                if len(self._chunks) > 2 * REMEMBERED // 3:
+                    self._chunks.clear()
+            self._once[chunk] = done
         return done
 
     def pieces(self, text: str) -> Iterator[str]:
@@ -434,7 +452,9 @@ class WordBpe:
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
+    made = WordBpe(path)
+    gc.freeze()  # what a worker keeps till its end isn't looked through for garbage again and again
+    return made
 
 
 def encode_ids(documents: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
