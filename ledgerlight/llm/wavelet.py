@@ -15,6 +15,7 @@ u64, and for its blocks and the end ones u64 and offset u64; then the blocks (zs
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import unicodedata
@@ -156,7 +157,9 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    made = Encoder(path)
+    gc.freeze()  # what a worker keeps till its end isn't looked through for garbage again and again
+    return made
 
 
 def _sides(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
