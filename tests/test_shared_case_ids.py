@@ -61,3 +61,8 @@ def test_the_log_has_each_event_of_both_works_once(spark, folder):
     shared = corpus.scored_cases(spark, folder).groupBy("case_id").count().where("count > 1")
     assert shared.count() == len(SHARED)
     assert_as_sql(spark, folder, "build_counts")
+
+
+def test_events_of_two_works_are_one_sound_chain(spark, folder):
+    assert_as_sql(spark, folder, "audit_log_hashes", ["case_id", "id", "event"])
+    assert audit.broken(build.opening_log(corpus.scored_cases(spark, folder))).count() == 0
