@@ -66,3 +66,7 @@ def test_the_log_has_each_event_of_both_works_once(spark, folder):
 def test_events_of_two_works_are_one_sound_chain(spark, folder):
     assert_as_sql(spark, folder, "audit_log_hashes", ["case_id", "id", "event"])
     assert audit.broken(build.opening_log(corpus.scored_cases(spark, folder))).count() == 0
+
+
+def test_recomputed_cases_are_compared_work_by_work(spark, folder):
+    assert_as_sql(spark, folder, "recompute_diff")
