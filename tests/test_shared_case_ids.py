@@ -70,3 +70,7 @@ def test_events_of_two_works_are_one_sound_chain(spark, folder):
 
 def test_recomputed_cases_are_compared_work_by_work(spark, folder):
     assert_as_sql(spark, folder, "recompute_diff")
+
+
+def test_snapshots_list_what_moved_under_a_case_id(spark, folder):
+    assert_as_sql(spark, folder, "recompute_snapshots")
