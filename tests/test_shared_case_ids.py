@@ -74,3 +74,10 @@ def test_recomputed_cases_are_compared_work_by_work(spark, folder):
 
 def test_snapshots_list_what_moved_under_a_case_id(spark, folder):
     assert_as_sql(spark, folder, "recompute_snapshots")
+
+
+def test_a_case_id_lets_nobody_see_the_other_work(spark, folder):
+    assert_as_sql(spark, folder, "scoped_tables")
+    who, cases = scope.Principal(scope.STATE, "EUROPE"), corpus.scored_cases(spark, folder)
+    seen = scope.visible("hits", {"hits": corpus.hits(spark, folder), "cases": cases}, who)
+    assert seen.join(cases.where(F.col("state") == "EUROPE").select("work_id"), "work_id", "left_anti").count() == 0
