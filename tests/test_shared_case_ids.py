@@ -81,3 +81,7 @@ def test_a_case_id_lets_nobody_see_the_other_work(spark, folder):
     who, cases = scope.Principal(scope.STATE, "EUROPE"), corpus.scored_cases(spark, folder)
     seen = scope.visible("hits", {"hits": corpus.hits(spark, folder), "cases": cases}, who)
     assert seen.join(cases.where(F.col("state") == "EUROPE").select("work_id"), "work_id", "left_anti").count() == 0
+
+
+def test_statuses_of_traces_are_compared_work_by_work(spark, folder):
+    assert_as_sql(spark, folder, "trace_diff")
