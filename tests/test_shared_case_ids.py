@@ -85,3 +85,10 @@ def test_a_case_id_lets_nobody_see_the_other_work(spark, folder):
 
 def test_statuses_of_traces_are_compared_work_by_work(spark, folder):
     assert_as_sql(spark, folder, "trace_diff")
+
+
+def test_fields_of_traces_are_compared_work_by_work(spark, folder):
+    assert_as_sql(spark, folder, "trace_diff_fields")
+    cases = corpus.scored_cases(spark, folder).withColumn("again", F.filter("trace", lambda t: t["rule_id"] != "stalled_work"))
+    gone = audit.diff_within(cases, "trace", "again", ("status",))
+    assert gone.count() == cases.count() == gone.where("rule_id = 'stalled_work' and before is not null and after is null").count()
